@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import quality_rules, url_filters
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -51,9 +51,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+URL_RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(str(x) for x in URL_RULES)} AS t(rule, action)")
+    return url_filters.judge(_read(spark, sf_dir, "pages"), rules)
+
+
+OP6_SQL = rf"""
+WITH r(rule, action) AS (VALUES {", ".join(str(x) for x in URL_RULES)}), p AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path, row_number() OVER () AS n FROM pages
+), f AS (
+  SELECT n, rule, action FROM p, r WHERE ('.' || host) LIKE ('%.' || split_part(rule, '/', 1)) AND starts_with(path, substr(rule, strpos(rule, '/')))
+  QUALIFY row_number() OVER (PARTITION BY n ORDER BY length(rule) DESC) = 1
+)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN f USING (n)
+"""
+
 #: name -> (query, DuckDB SQL or None)
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op4_quality_rules": (op4_quality_rules, OP4_SQL),
+    "op6_url_filters": (op6_url_filters, OP6_SQL),
 }
 
 
