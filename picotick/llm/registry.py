@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, url_filters
+from . import chat_format, mixing, quality_rules, url_filters
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -70,10 +72,88 @@ WITH r(rule, action) AS (VALUES {", ".join(str(x) for x in URL_RULES)}), p AS (
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN f USING (n)
 """
 
+def _chat_digests(batches):
+    """Reads each formatted conversation back and digests its turns and the text under its loss mask."""
+    for b in batches:
+        rows = []
+        for c, text, spans in zip(*(b.column(k).to_pylist() for k in ("conv_id", "formatted", "loss")), strict=True):
+            turns = chat_format.parse(text)
+            said = "".join(f"{role}\n{body}\n" for role, body, _, _ in turns)
+            mask = {(x["start"], x["end"]) for x in spans}
+            loss = "".join(body for _, body, start, end in turns if (start, end) in mask)
+            rows.append((c, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
+        if rows:
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            names = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    more = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    formatted = chat_format.format_conversations(given.unionByName(more))
+    return formatted.mapInArrow(_chat_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+OP1_SQL = r"""
+WITH c AS (
+  SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), e AS (
+  SELECT *, CASE WHEN contains(text, chr(92)) OR contains(text, '</turn>') THEN length(text) + length(text) - length(replace(text, chr(92), ''))
+      + (length(text) - length(replace(text, '</turn>', ''))) // 7 ELSE length(text) END
+    + length(role) + 14 AS chars FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP9_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), k AS (
+  SELECT *, -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{mixing.SEED}'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
+    / (0.25::DOUBLE + 0.75::DOUBLE * least(1.0::DOUBLE, size / 200::DOUBLE)) AS key FROM d
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, ([5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source
+), f AS (
+  SELECT *, 3.0::DOUBLE * source_size AS cap,
+    (sum(source_size) OVER ()::DOUBLE - coalesce(sum(3.0::DOUBLE * source_size) OVER (ORDER BY 3.0::DOUBLE * source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY 3.0::DOUBLE * source_size / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s
+), t AS (
+  SELECT source, source_size, round(least(cap, coalesce(min(level) FILTER (level <= cap / w) OVER (), 'inf'::DOUBLE) * w), 6) AS target FROM f
+), b AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t
+), o AS (
+  SELECT k.*, b.source_size, b.target, b.epochs, target - epochs * source_size AS budget,
+    sum(size) OVER (PARTITION BY k.source ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source
+), g AS (
+  SELECT *, budget - coalesce(max(upto) FILTER (upto <= budget) OVER (PARTITION BY source), 0) AS gap FROM o
+), e AS (
+  SELECT source, arg_max(key, (size, -key)) AS extra FROM g WHERE upto > budget AND size > 0 AND size <= gap GROUP BY source
+)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE size * (epochs + CASE WHEN upto <= budget OR key = extra THEN 1 ELSE 0 END) END AS BIGINT) AS taken
+FROM g LEFT JOIN e ON g.source IS NOT DISTINCT FROM e.source
+"""
+
 #: name -> (query, DuckDB SQL or None)
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_chat_format": (op1_chat_format, OP1_SQL),
     "op4_quality_rules": (op4_quality_rules, OP4_SQL),
     "op6_url_filters": (op6_url_filters, OP6_SQL),
+    "op9_mixing": (op9_mixing, OP9_SQL),
 }
 
 
