@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, quality_rules, url_filters
+from . import chat_format, mixing, packing, quality_rules, url_filters
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -114,6 +114,10 @@ FROM e GROUP BY conv_id
 """
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -151,6 +155,7 @@ FROM g LEFT JOIN e ON g.source IS NOT DISTINCT FROM e.source
 #: name -> (query, DuckDB SQL or None)
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_chat_format": (op1_chat_format, OP1_SQL),
+    "op3_packing": (op3_packing, None),
     "op4_quality_rules": (op4_quality_rules, OP4_SQL),
     "op6_url_filters": (op6_url_filters, OP6_SQL),
     "op9_mixing": (op9_mixing, OP9_SQL),
