@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, packing, quality_rules, url_filters
+from . import chat_format, mixing, packing, quality_classifier, quality_rules, url_filters
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -118,6 +118,17 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+
+    def held(c: str):
+        return F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+    weights = quality_classifier.train(docs, labels.where(~held("doc_id")))
+    scored = quality_classifier.score(docs, weights)
+    return scored.select("doc_id", held("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -158,6 +169,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op3_packing": (op3_packing, None),
     "op4_quality_rules": (op4_quality_rules, OP4_SQL),
     "op6_url_filters": (op6_url_filters, OP6_SQL),
+    "op7_quality_classifier": (op7_quality_classifier, None),
     "op9_mixing": (op9_mixing, OP9_SQL),
 }
 
