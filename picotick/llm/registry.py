@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, packing, quality_classifier, quality_rules, url_filters
+from . import chat_format, mixing, packing, quality_classifier, quality_rules, suffix_dedup, url_filters
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -118,6 +118,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(_read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
 
@@ -168,6 +176,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op1_chat_format": (op1_chat_format, OP1_SQL),
     "op3_packing": (op3_packing, None),
     "op4_quality_rules": (op4_quality_rules, OP4_SQL),
+    "op5_suffix_dedup": (op5_suffix_dedup, None),
     "op6_url_filters": (op6_url_filters, OP6_SQL),
     "op7_quality_classifier": (op7_quality_classifier, None),
     "op9_mixing": (op9_mixing, OP9_SQL),
