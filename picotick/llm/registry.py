@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, packing, quality_classifier, quality_rules, suffix_dedup, url_filters
+from . import chat_format, mixing, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, url_filters
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -114,6 +114,30 @@ FROM e GROUP BY conv_id
 """
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup(_read(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), w AS (
+  SELECT doc_id, i, array_to_string(words[i:i+19], ' ') AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM d WHERE len(words) >= 20)
+), r AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS n FROM w) WHERE n > 1
+), g AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM r
+), k AS (
+  SELECT doc_id, i, word, g.i IS NOT NULL AS gone FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d) LEFT JOIN g USING (doc_id, i)
+), s AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM k GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)
+"""
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
@@ -174,6 +198,7 @@ FROM g LEFT JOIN e ON g.source IS NOT DISTINCT FROM e.source
 #: name -> (query, DuckDB SQL or None)
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_chat_format": (op1_chat_format, OP1_SQL),
+    "op2_substring_dedup": (op2_substring_dedup, OP2_SQL),
     "op3_packing": (op3_packing, None),
     "op4_quality_rules": (op4_quality_rules, OP4_SQL),
     "op5_suffix_dedup": (op5_suffix_dedup, None),
