@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, url_filters
+from . import chat_format, jaccard_join, mixing, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, url_filters
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -195,6 +195,10 @@ SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE si
 FROM g LEFT JOIN e ON g.source IS NOT DISTINCT FROM e.source
 """
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_read(spark, sf_dir, "documents"))
+
+
 #: name -> (query, DuckDB SQL or None)
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_chat_format": (op1_chat_format, OP1_SQL),
@@ -205,6 +209,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op6_url_filters": (op6_url_filters, OP6_SQL),
     "op7_quality_classifier": (op7_quality_classifier, None),
     "op9_mixing": (op9_mixing, OP9_SQL),
+    "op10_jaccard_join": (op10_jaccard_join, None),
 }
 
 
