@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, jaccard_join, mixing, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, url_filters
+from . import chat_format, jaccard_join, mixing, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, url_filters, vector_dedup
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -161,6 +161,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.dedup(_read(spark, sf_dir, "embeddings"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -208,6 +212,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op5_suffix_dedup": (op5_suffix_dedup, None),
     "op6_url_filters": (op6_url_filters, OP6_SQL),
     "op7_quality_classifier": (op7_quality_classifier, None),
+    "op8_vector_dedup": (op8_vector_dedup, None),
     "op9_mixing": (op9_mixing, OP9_SQL),
     "op10_jaccard_join": (op10_jaccard_join, None),
 }
