@@ -1,10 +1,65 @@
-"""The corpus pipeline: quality rules, near duplicates, repeated passages, mixing, packing."""
+"""The corpus pipeline: quality rules, near duplicates, repeated passages, mixing, packing.
+
+Every stage takes all rows that the one before kept; its result is written as Parquet and
+read again. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from picotick.llm import jaccard_join, mixing, packing, quality_rules, suffix_dedup
+from picotick.llm._spark import stored
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_rejected(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass every quality rule."""
+    return quality_rules.score(docs, keep=COLUMNS).where("kept").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of every near-duplicate group."""
+    gone = jaccard_join.join(docs).where("doc_id <> component_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without their repeated byte strings; a character cut in two becomes U+FFFD."""
+    rest = tuple(c for c in COLUMNS if c not in ("doc_id", "text", "n_chars"))
+    found = suffix_dedup.dedup(docs, keep=rest)
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    return found.select("doc_id", text.alias("text"), *[F.col(f"carried.{c}").alias(c) for c in rest]).select(
+        "doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many copies of each document as the mix takes."""
+    copies = mixing.mix(docs, keep=COLUMNS).where("times > 0")
+    return copies.select("kept.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy")).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and their places in sequences of 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", drop_rejected),
+    ("jaccard_join", drop_near_duplicates),
+    ("suffix_dedup", drop_repeated_passages),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+#: Tokenizing, suffix sorting and Jaccard groups have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
