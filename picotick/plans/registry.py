@@ -31,3 +31,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {k: s for k, (_, s) in QUERIES.items() if s}
+
+
+def _load() -> None:
+    from . import matches, statistics  # noqa: F401
+
+
+_load()
