@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._hashing import U, chunks
+from ._hashing import U, chunks, mix, runs
 from ._spark import NO_ID, partitions
 
 RAW, DUP, OPEN = 0, 1, 2
@@ -88,21 +88,35 @@ def find_runs(docs: DataFrame, runs_of) -> DataFrame:
                 held.append((key, content, ids[part][doc], tags[part][doc], lo.astype(np.int32), (hi - lo + 1).astype(np.int32)))
                 size += len(key)
                 if size > 500_000:
-                    yield _batch_of(held)
+                    yield batch_of(held)
                     held, size = [], 0
             if size:
-                yield _batch_of(held)
+                yield batch_of(held)
 
     return docs.mapInArrow(run, RUN)
 
 
-def _batch_of(held):
+def batch_of(held):
     key, content, doc, tag, lo, size, kind = _reduced(*(np.concatenate(c) for c in zip(*held, strict=True)))
     # settled rows travel under a key of their own, so they spread over all tasks
     key = np.where(kind == RAW, key, content ^ doc.astype(U))
     return batch(key=signed(key), content=signed(content), doc=doc, tag=tag, lo=lo, len=size, kind=kind)
 
 
+def open_ranges(part, width: int):
+    """(text number, first window, end of its last window) of the maximal opened ranges of a batch."""
+    _, _, texts, owner, lo, size = part
+    order = np.lexsort((lo, owner))
+    owner, lo, hi = owner[order], lo[order], (lo + size)[order]
+    if not len(owner):
+        return owner, lo, hi
+    reach = np.maximum.accumulate(hi + owner * (1 << 40))
+    fresh = np.concatenate(([True], (lo + owner * (1 << 40))[1:] > reach[:-1]))
+    at = np.flatnonzero(fresh)
+    end = reach[np.concatenate((at[1:] - 1, [len(owner) - 1]))] - owner[at] * (1 << 40)
+    return owner[at], lo[at], end - 1 + width
+
+
 def packed_flags(flags: DataFrame) -> DataFrame:
     """One row per document: its flags as an array (no longer than the document)."""
     return flags.groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "len")).alias("flags"))
@@ -135,6 +149,23 @@ def flagged_texts(b: pa.RecordBatch):
 POINT = "key long, content long, doc long, tag int, lo int, len int, kind byte"
 
 
+def points(key, content, doc, tag, place, repeats, which, docs, tags, places) -> pa.RecordBatch:
+    """POINT rows: one for each distinct window of a task, and ranges of those that it settled.
+
+    ``repeats`` are numbers of settled windows, in ``which`` text, at ``places``.
+    """
+    r = repeats[np.lexsort((places[repeats], which[repeats]))]
+    _, lo, count = runs(which[r], places[r])
+    first = r[np.cumsum(count) - count]
+    n, m = len(key), len(lo)
+    spread = mix((docs[first] * 7919 + lo).astype(U))
+    return batch(
+        key=signed(np.concatenate((key, spread))), content=signed(np.concatenate((content, np.zeros(m, U)))),
+        doc=np.concatenate((doc, docs[first])), tag=np.concatenate((tag, tags[first])).astype(np.int32), lo=np.concatenate((place, lo)).astype(np.int32),
+        len=np.concatenate((np.ones(n, np.int64), count)).astype(np.int32), kind=np.concatenate((np.full(n, RAW), np.full(m, DUP))).astype(np.int8),
+    )
+
+
 def first_of_each(rows: DataFrame, opening: bool) -> DataFrame:
     """Settles rows by (key, content): the first keeps its place, later ones are DUP.
 
@@ -209,8 +240,8 @@ def without(texts: DataFrame, flags: DataFrame, cut) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, 200):
+                b = whole.slice(at, 200)
                 _, _, data, owner, lo, size = flagged_texts(b)
                 rows = cut(data, owner, lo, size)
                 kept, removed, n = zip(*rows, strict=True)

@@ -5,8 +5,8 @@ starts earlier: in a document with a smaller id, or earlier in the same one. Str
 judged on the input and never cross documents.
 
 Sorting all suffixes of a corpus would move every byte many times. Only suffixes that may
-repeat are sorted: content-defined runs of them (``_windows``) that share an anchor with a
-different run. Each task sorts its suffixes by their first ``width`` bytes:
+repeat are sorted: content-defined runs of them (``_windows``) that share an anchor of 24, and
+then one of 88 bytes, with a different run. Each task sorts its suffixes by their first ``width`` bytes:
 
 * shallow: multikey quicksort on eight-byte characters, to a depth of 16 bytes;
 * deep: groups that are still equal go into blind tries, which look only at the character
@@ -28,15 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._hashing import BYTES, BYTES_2, concatenated_ranges, covered, runs, segments
+from ._hashing import BYTES, BYTES_2, concatenated_ranges, covered, segments
 from ._spark import id_back, stored
-from ._windows import DUP, OPEN, POINT, RAW, batch, compressed, edges, find_runs, first_of_each, flagged_texts, packed_flags, signed, tagged, without
+from ._windows import DUP, OPEN, POINT, RUN, batch_of, compressed, edges, find_runs, first_of_each, flagged_texts, open_ranges, packed_flags, points, tagged, without
 
 WIDTH = 100
 ANCHOR = 24
+FINER_ANCHOR = 88
 SHALLOW = 16
 #: Suffixes sorted at once in a task.
-SORTED_AT_ONCE = 1_000_000
+SORTED_AT_ONCE = 400_000
 
 
 def deep_shallow(text: np.ndarray, suffixes: np.ndarray, depth: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
@@ -101,59 +102,83 @@ def _unsettled(fresh: np.ndarray) -> np.ndarray:
     return np.flatnonzero(~(fresh & last))
 
 
+def finer_runs(open_texts: DataFrame, width: int, anchor: int) -> DataFrame:
+    """RUN rows of the opened suffixes by a longer anchor, which fewer different runs share."""
+
+    def run(batches):
+        for b in batches:
+            held, size = [], 0
+            for at in range(0, b.num_rows, 100):
+                part = flagged_texts(b.slice(at, 100))
+                owner, start, end = open_ranges(part, width)
+                if not len(owner):
+                    continue
+                ids, tags, texts = part[:3]
+                data = np.frombuffer(b"".join(texts[i][s:e] for i, s, e in zip(owner.tolist(), start.tolist(), end.tolist(), strict=True)), dtype=np.uint8)
+                last = np.cumsum(end - start)
+                first = last - (end - start)
+                piece, key, content, lo, hi = segments(BYTES, BYTES.sums(data), first, last, width, anchor)
+                i = owner[piece]
+                held.append((key, content, ids[i], tags[i], (lo - first[piece] + start[piece]).astype(np.int32), (hi - lo + 1).astype(np.int32)))
+                size += len(key)
+                if size > 500_000:
+                    yield batch_of(held)
+                    held, size = [], 0
+            if size:
+                yield batch_of(held)
+
+    return open_texts.mapInArrow(run, RUN)
+
+
 def repeated_suffixes(open_texts: DataFrame, width: int) -> DataFrame:
     """POINT rows of the opened suffixes: settled repeats, and the first of each string in a task."""
 
     def run(batches):
         for b in batches:
             held, size = [], 0
-            for at in range(0, b.num_rows, 200):
-                part = flagged_texts(b.slice(at, 200))
-                held.append(part)
-                size += int(part[5].sum())
-                if size > SORTED_AT_ONCE:
-                    yield _sorted_points(held, width)
-                    held, size = [], 0
+            for at in range(0, b.num_rows, 100):
+                for piece in _opened(flagged_texts(b.slice(at, 100)), width):
+                    held.append(piece)
+                    size += len(piece[4])
+                    if size > SORTED_AT_ONCE:
+                        yield _sorted_points(held, width)
+                        held, size = [], 0
             if size:
                 yield _sorted_points(held, width)
 
     return open_texts.mapInArrow(run, POINT)
 
 
+def _opened(part, width: int):
+    """Per text: its opened bytes end to end, (doc, tag), and each opened suffix's start there and in the text."""
+    ids, tags, texts, owner, lo, size = part
+    bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+    for i, text in enumerate(texts):
+        a, n = lo[bounds[i] : bounds[i + 1]], size[bounds[i] : bounds[i + 1]]
+        open_ = np.zeros(len(text), dtype=bool)
+        open_[concatenated_ranges(a, n)] = True
+        place = np.flatnonzero(open_)
+        held = covered(len(text), a, a + n - 1 + width)
+        yield np.frombuffer(text, dtype=np.uint8)[held], ids[i], tags[i], (np.cumsum(held) - 1)[place], place
+
+
 def _sorted_points(held, width: int) -> pa.RecordBatch:
-    ids, tags, texts, owners, los, sizes = zip(*held, strict=True)
-    ahead = np.cumsum([0, *(len(t) for t in texts[:-1])])
-    texts = [t for group in texts for t in group]
-    doc, tag = np.concatenate(ids), np.concatenate(tags)
-    owner = np.concatenate([o + a for o, a in zip(owners, ahead, strict=True)])
-    lo, size = np.concatenate(los), np.concatenate(sizes)
-    start = np.cumsum([0, *(len(t) for t in texts)])[:-1]
-    text = np.frombuffer(b"".join(texts) + b"\0" * 8, dtype=np.uint8)
-    suffix = np.unique(concatenated_ranges(start[owner] + lo, size))
-    which = np.searchsorted(start, suffix, side="right") - 1
-    place = suffix - start[which]
+    parts, ids, tags, starts, places = zip(*held, strict=True)
+    ahead = np.cumsum([0, *(len(t) for t in parts)])
+    text = np.concatenate([*parts, np.zeros(8, np.uint8)])
+    suffix = np.concatenate([s + a for s, a in zip(starts, ahead, strict=False)])
+    which = np.repeat(np.arange(len(places)), [len(p) for p in places])
+    doc, tag, place = np.array(ids)[which], np.array(tags)[which], np.concatenate(places)
     order, fresh = deep_shallow(text, suffix, width)
-    leaf = np.cumsum(fresh)
-    by = np.lexsort((place[order], tag[which[order]], doc[which[order]], leaf))
+    by = np.lexsort((place[order], tag[order], doc[order], np.cumsum(fresh)))
     order = order[by]
-    d, t, p = doc[which[order]], tag[which[order]], place[order]
+    d, t, p = doc[order], tag[order], place[order]
     head = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
     again = ~fresh & (d == d[head]) & (t == t[head]) & (p == p[head])
-    repeat = ~fresh & ~again
-    first = np.flatnonzero(fresh)
-    at = suffix[order[first]]
-    sums, sums_2 = BYTES.sums(text), BYTES_2.sums(text)
-    key, content = BYTES.spans(sums, at, at + width), BYTES_2.spans(sums_2, at, at + width)
-    # settled repeats go as ranges of places
-    r = order[repeat]
-    r = r[np.lexsort((place[r], which[r]))]
-    w, lo, count = runs(which[r], place[r])
-    n, m = len(first), len(w)
-    return batch(
-        key=signed(np.concatenate((key, (w * 7919 + lo).astype(np.uint64)))), content=signed(np.concatenate((content, np.zeros(m, np.uint64)))),
-        doc=np.concatenate((d[first], doc[w])), tag=np.concatenate((t[first], tag[w])).astype(np.int32), lo=np.concatenate((p[first], lo)).astype(np.int32),
-        len=np.concatenate((np.ones(n, np.int64), count)).astype(np.int32), kind=np.concatenate((np.full(n, RAW), np.full(m, DUP))).astype(np.int8),
-    )
+    at = suffix[order[fresh]]
+    key = BYTES.spans(BYTES.sums(text), at, at + width)
+    content = BYTES_2.spans(BYTES_2.sums(text), at, at + width)
+    return points(key, content, d[fresh], t[fresh], p[fresh], order[~fresh & ~again], which, doc, tag, place)
 
 
 def _cut(width: int):
@@ -170,7 +195,7 @@ def _cut(width: int):
     return lambda *a: list(cut(*a))
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WIDTH, anchor: int = ANCHOR, keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WIDTH, anchor: int = ANCHOR, finer_anchor: int = FINER_ANCHOR, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: id, ``n_bytes``, ``kept`` (remaining bytes), ``removed`` ([start, end) spans), ``carried``."""
     docs = tagged(df, id_col, text_col, keep)
 
@@ -180,8 +205,10 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, widt
 
     flags = stored(first_of_each(find_runs(docs.select("doc", "tag", "text"), runs_of), opening=True))
     texts = compressed(docs)
-    opened = texts.join(packed_flags(flags.where(F.col("kind") == OPEN)), ["doc", "tag"]).select("doc", "tag", "z", "flags")
-    second = first_of_each(repeated_suffixes(opened, width), opening=False)
-    repeats = flags.where(F.col("kind") == DUP).unionByName(second.where(F.col("kind") == DUP))
+    # the same columns of the texts go into every join, so that they are shuffled once
+    opened = lambda f: texts.join(packed_flags(f.where(F.col("kind") == OPEN)), ["doc", "tag"])
+    finer = first_of_each(finer_runs(opened(flags), width, finer_anchor), opening=True)
+    last = first_of_each(repeated_suffixes(opened(finer), width), opening=False)
+    repeats = flags.unionByName(finer).unionByName(last).where(F.col("kind") == DUP)
     found = without(texts, repeats, _cut(width))
     return found.select(id_back(id_col), F.col("n_tokens").alias("n_bytes"), "kept", "removed", "carried")
