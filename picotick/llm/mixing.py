@@ -55,7 +55,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs:
     level = (F.sum("source_size").over(whole) * F.lit(share) - (F.sum("cap").over(by_fill) - F.col("cap"))) / (
         F.sum("w").over(whole) - F.sum("w").over(by_fill) + F.col("w"))
     levelled = weighed.withColumn("level", level)
-    water = F.min(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("level"))).over(whole)
+    water = F.max(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("level"))).over(whole)
     return levelled.select("source", "source_size", F.round(F.least("cap", F.coalesce(water, F.lit(float("inf"))) * F.col("w")), 6).alias("target"))
 
 
@@ -94,8 +94,9 @@ def mix(
         edge.withColumn("upto", F.col("below") + F.sum("_size").over(in_order)).where("upto <= budget")
         .groupBy("source").agg(F.max("_key").alias("key"), F.max("upto").alias("filled"))
     )
-    cut = cut.alias("c").join(fits.alias("f"), F.col("c.source").eqNullSafe(F.col("f.source")), "left").select(
-        "c.*", F.coalesce("f.key", F.lit(-1.0)).alias("key"), (F.col("budget") - F.coalesce("f.filled", F.col("c.below"))).alias("gap"))
+    # stored, so that its size (a row per source) is known and large sources need not be shuffled to meet it
+    cut = stored(cut.alias("c").join(fits.alias("f"), F.col("c.source").eqNullSafe(F.col("f.source")), "left").select(
+        "c.*", F.coalesce("f.key", F.lit(-1.0)).alias("key"), (F.col("budget") - F.coalesce("f.filled", F.col("c.below"))).alias("gap")))
     chosen = (F.col("_bucket") < F.col("last")) | ((F.col("_bucket") == F.col("last")) & (F.col("_key") <= F.col("key")))
     top = (
         narrow.join(cut, same(narrow, cut)).where(~chosen & (F.col("_size") > 0) & (F.col("_size") <= F.col("gap")))

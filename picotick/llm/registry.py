@@ -183,7 +183,7 @@ WITH d AS (
     (sum(source_size) OVER ()::DOUBLE - coalesce(sum(3.0::DOUBLE * source_size) OVER (ORDER BY 3.0::DOUBLE * source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(w) OVER (ORDER BY 3.0::DOUBLE * source_size / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s
 ), t AS (
-  SELECT source, source_size, round(least(cap, coalesce(min(level) FILTER (level <= cap / w) OVER (), 'inf'::DOUBLE) * w), 6) AS target FROM f
+  SELECT source, source_size, round(least(cap, coalesce(max(level) FILTER (level <= cap / w) OVER (), 'inf'::DOUBLE) * w), 6) AS target FROM f
 ), b AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t
 ), o AS (
