@@ -10,7 +10,11 @@ from .registry import register
 from .tables import HITS, PAIRS, hits, pairs, read, rounded
 
 DAY = 86_400_000_000
-KIND = F.when(F.col("channel") == "view", 0).when(F.col("channel") == "purchase", 1)
+
+
+def kind():
+    """0 for a lead, 1 for a trail, null for other channels."""
+    return F.when(F.col("channel") == "view", 0).when(F.col("channel") == "purchase", 1)
 
 
 def _leads(spark, sf_dir, channel, name):
@@ -128,18 +132,18 @@ def match_earliest_pair(spark, sf_dir):
 
 @register("match_longest_valid")
 def match_longest_valid(spark, sf_dir):
-    return matching.longest_valid_pulses(hits(spark, sf_dir), ["board"], KIND, "toa", 3_600_000_000, 5 * DAY)
+    return matching.longest_valid_pulses(hits(spark, sf_dir), ["board"], kind(), "toa", 3_600_000_000, 5 * DAY)
 
 
 @register("match_recorded_duration")
 def match_recorded_duration(spark, sf_dir):
     recorded = F.rint(F.col("value") * 1_000_000_000)
-    return matching.recorded_duration_pulses(hits(spark, sf_dir).where("value < 400"), ["board"], KIND, "toa", recorded, DAY // 2, 5 * DAY)
+    return matching.recorded_duration_pulses(hits(spark, sf_dir).where("value < 400"), ["board"], kind(), "toa", recorded, DAY // 2, 5 * DAY)
 
 
 @register("match_monotonic_nearest")
 def match_monotonic_nearest(spark, sf_dir):
-    return matching.monotonic_nearest(hits(spark, sf_dir), ["board"], KIND, "toa", DAY)
+    return matching.monotonic_nearest(hits(spark, sf_dir), ["board"], kind(), "toa", DAY)
 
 
 @register("match_one_to_one_overlap")

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HEADER = struct.Struct("<BB3xHHHBBfffQ")
+HEADER = "<BB3xHHHBBfffQ"
+HEADER_SIZE = struct.calcsize(HEADER)
 #: Codes of the acquisition and measurement modes.
 TRIGGER, STREAMING = 0x32, 0x22
 LEAD_ONLY, LEAD_TRAIL = 0x01, 0x03
@@ -33,9 +34,9 @@ class TdcError(ValueError):
 
 
 def header_of(data: bytes) -> dict:
-    if len(data) < HEADER.size:
+    if len(data) < HEADER_SIZE:
         raise TdcError("truncated header")
-    major, minor, _, run, mode, measurement, unit, toa, tot, stamp, _ = HEADER.unpack_from(data)
+    major, minor, _, run, mode, measurement, unit, toa, tot, stamp, _ = struct.unpack_from(HEADER, data)
     checks = (
         (major == 3 and minor >= 2, f"format {major}.{minor} is not 3.2 or later"), (mode in MODE_NAMES, f"acquisition mode {mode:#x}"),
         (measurement in MEASUREMENTS, f"measurement mode {measurement:#x}"), (unit == 0, "times are not in ticks"), (np.isfinite(toa) and toa > 0, f"tick {toa}"),
@@ -47,29 +48,30 @@ def header_of(data: bytes) -> dict:
     return {"run_number": run, "mode": mode, "measurement": measurement, "toa": float(toa), "tot": float(tot), "stamp": float(stamp)}
 
 
-def layout(mode: int, measurement: int) -> tuple[struct.Struct, np.dtype]:
+def layout(mode: int, measurement: int) -> tuple[str, np.dtype]:
     """Event header (after its size) and hit record of a mode."""
     streaming = mode == STREAMING
     with_tot = measurement == LEAD_TRAIL if streaming else measurement != LEAD_ONLY
     fields = [("board", "u1"), ("channel", "u1"), ("edge", "u1"), ("toa", "<u8" if streaming else "<u4")] + [("tot", "<u2")] * with_tot
-    return struct.Struct("<QH" if streaming else "<QQH"), np.dtype(fields)
+    return "<QH" if streaming else "<QQH", np.dtype(fields)
 
 
 def events_of(data: bytes):
     """(timestamp, trigger id, hits) per event; raises on sizes and edges that do not fit."""
     meta = header_of(data)
     head, record = layout(meta["mode"], meta["measurement"])
-    at, end = HEADER.size, len(data)
+    head_size = struct.calcsize(head)
+    at, end = HEADER_SIZE, len(data)
     while at < end:
-        if at + 2 + head.size > end:
+        if at + 2 + head_size > end:
             raise TdcError("truncated event")
         (size,) = struct.unpack_from("<H", data, at)
-        *stamps, n = head.unpack_from(data, at + 2)
-        if size != 2 + head.size + n * record.itemsize:
+        *stamps, n = struct.unpack_from(head, data, at + 2)
+        if size != 2 + head_size + n * record.itemsize:
             raise TdcError(f"event of {size} bytes with {n} hits")
         if at + size > end:
             raise TdcError("truncated hits")
-        hits = np.frombuffer(data, record, n, at + 2 + head.size)
+        hits = np.frombuffer(data, record, n, at + 2 + head_size)
         if (hits["edge"] > 1).any():
             raise TdcError("bad edge code")
         yield stamps[0], stamps[1] if len(stamps) > 1 else 0, hits
@@ -78,14 +80,15 @@ def events_of(data: bytes):
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """One row of META_SCHEMA per file; only headers reach the result."""
+    schema = _arrow(spark, META_SCHEMA)
 
     def run(batches):
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                m = header_of(data.as_buffer().to_pybytes()[: HEADER.size])
+                m = header_of(data.as_buffer().to_pybytes()[:HEADER_SIZE])
                 yield pa.RecordBatch.from_pylist([{
                     "path": name, "run_number": m["run_number"], "acquisition_mode": MODE_NAMES[m["mode"]], "measurement_mode": m["measurement"],
-                    "toa_lsb_ps": m["toa"], "tot_lsb_ps": m["tot"], "timestamp_lsb_ps": m["stamp"]}], schema=_arrow(spark, META_SCHEMA))
+                    "toa_lsb_ps": m["toa"], "tot_lsb_ps": m["tot"], "timestamp_lsb_ps": m["stamp"]}], schema=schema)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, META_SCHEMA)
 
@@ -133,7 +136,7 @@ def encode(hits: DataFrame, run: str, mode: int, measurement: int, toa_lsb_ps: f
     Times that do not fit the mode's record, durations over 16 bits and events over 64 KiB raise.
     """
     head, record = layout(mode, measurement)
-    top = HEADER.pack(3, 2, 0, 0, mode, measurement, 0, toa_lsb_ps, tot_lsb_ps, timestamp_lsb_ps, 0)
+    top = struct.pack(HEADER, 3, 2, 0, 0, mode, measurement, 0, toa_lsb_ps, tot_lsb_ps, timestamp_lsb_ps, 0)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [top]
@@ -144,11 +147,11 @@ def encode(hits: DataFrame, run: str, mode: int, measurement: int, toa_lsb_ps: f
                 if any(not 0 <= v <= np.iinfo(record[k]).max for v in values):
                     raise TdcError(f"{k} does not fit its field")
                 out[k] = values
-            size = 2 + head.size + out.nbytes
+            size = 2 + struct.calcsize(head) + out.nbytes
             if size > 0xFFFF:
                 raise TdcError("event is too large")
             stamps = [int(event["timestamp"].iloc[0])] + ([int(event["trigger_id"].iloc[0])] if mode == TRIGGER else [])
-            parts += [struct.pack("<H", size), head.pack(*stamps, len(out)), out.tobytes()]
+            parts += [struct.pack("<H", size), struct.pack(head, *stamps, len(out)), out.tobytes()]
         return pd.DataFrame({"run": [str(pdf[run].iloc[0])], "content": [b"".join(parts)]})
 
     return hits.groupBy(run).applyInPandas(pack, "run string, content binary")
