@@ -30,6 +30,9 @@ class Roller:
         self.up = np.ones(1, dtype=U)
         self.down = np.ones(1, dtype=U)
 
+    def __reduce__(self):
+        return Roller, (int(self.seed),)  # the powers grow again where they are needed
+
     def _grow(self, n: int) -> None:
         if len(self.up) < n:
             n = max(n, 1 << 16)
