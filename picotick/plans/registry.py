@@ -34,7 +34,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import matches, modelling, ranks, signals, statistics, tdc_run  # noqa: F401
+    from . import attributions, matches, modelling, ranks, signals, statistics, tdc_run  # noqa: F401
 
 
 _load()
