@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from itertools import product
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,8 +28,8 @@ class Stage:
 class StageRun:
     """Stages as Parquet tables in a folder; a stage is redone if its signature or an earlier one changed.
 
-    A table counts as done once its committer's marker and its signature are there, so a lost
-    driver or executor never leaves a half-written stage in use.
+    A table counts as done once a second, one-row table says so, so a lost driver or executor
+    never leaves a half-written stage in use.
     """
 
     def __init__(self, spark: SparkSession, folder: str, stages: Iterable[Stage]):
@@ -45,13 +46,15 @@ class StageRun:
         if not self._done(path):
             s = self.stages[name]
             s.make(*(self.table(n) for n in s.needs), **s.settings).write.mode("overwrite").parquet(path)
+            self.spark.range(1).write.mode("overwrite").parquet(f"{path}-done")
             self.made.append(name)
         return self.spark.read.parquet(path)
 
     def _done(self, path: str) -> bool:
-        jvm = self.spark._jvm.org.apache.hadoop.fs
-        marker = jvm.Path(f"{path}/_SUCCESS")
-        return marker.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(marker)
+        try:
+            return self.spark.read.parquet(f"{path}-done").count() == 1
+        except AnalysisException:  # no such table yet
+            return False
 
 
 def sweep(dimensions: dict[str, list], excluded: list[dict]) -> list[dict]:
