@@ -6,8 +6,8 @@ with a smaller id, or earlier in the same one. Windows are judged on the input.
 ``FingerprintIndex`` keeps *runs*: immutable tables of the window fingerprints of the
 documents so far, bucketed and sorted by fingerprint. A new batch is fingerprinted, dealt to
 the same buckets once, and merge-joined with every run, so history is never shuffled. What
-the batch adds is its own run; when there are more than ``MAX_RUNS``, the two youngest are
-compacted by a merge join into one. Fingerprints are taken per content-defined group of
+the batch adds is its own run; once there are ``MAX_RUNS``, the two youngest are compacted
+by a merge join into one before the next batch. Fingerprints are taken per content-defined group of
 windows (``_windows``); where a group's anchor matches but its content differs, the windows
 themselves are verified one by one by 128-bit hashes of their words.
 
@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._hashing import SHINGLES, SHINGLES_2, WORDS, WORDS_2, Chunk, concatenated_ranges, covered, runs, segments
+from ._hashing import SHINGLES, SHINGLES_2, WORDS, WORDS_2, Chunk, chunks, concatenated_ranges, covered, segments
 from ._spark import id_back, partitions, stored
-from ._windows import DUP, OPEN, POINT, RAW, batch, compressed, edges, find_runs, first_of_each, flagged_texts, packed_flags, signed, tagged, without
+from ._windows import DUP, MOST_CONTENTS, OPEN, POINT, RAW, compressed, edges, find_runs, first_of_each, flagged_texts, packed_flags, points, tagged, without
 
 WIDTH = 20
 ANCHOR = 6
 MAX_RUNS = 2
+#: Opened windows compared at once in a task.
+COMPARED_AT_ONCE = 1_000_000
 #: Batches that one whole table is taken in.
 BATCHES = 3
 
@@ -57,50 +59,57 @@ class FingerprintIndex:
 
     def _write(self, rows: DataFrame) -> str:
         name = f"picotick_run_{uuid.uuid4().hex}"
-        rows.write.bucketBy(self.buckets, "key").sortBy("key", "content").option("compression", "zstd").saveAsTable(name)
+        rows.write.bucketBy(self.buckets, "key").sortBy("key").option("compression", "zstd").saveAsTable(name)
         return name
 
     def _run(self, name: str) -> DataFrame:
-        """First occurrences in a run; its settled and repeated rows are only flags."""
-        return self.spark.table(name).where(F.col("fresh") & (F.col("kind") != DUP))
+        """The rows of a run that are looked up; the others are flags of its batch."""
+        return self.spark.table(name).where("indexed")
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Indexes a batch of later documents (doc, tag, text); returns the flags that it brings.
 
         Flags may also open groups of earlier batches, whose anchors now have two contents.
         """
+        while len(self.runs) >= self.max_runs:
+            self._compact()
         found = find_runs(docs, _groups(self.width, self.anchor)).repartition(self.buckets, "key")
         fresh = F.col("kind") == RAW
-        nth = F.row_number().over(Window.partitionBy("key", "content", "kind").orderBy("doc", "tag", "lo"))
-        one_key = Window.partitionBy("key", "kind")
-        judged = found.withColumn("nth", nth).withColumn("several", F.min("content").over(one_key) != F.max("content").over(one_key))
-        seen, known = F.lit(False), F.lit(False)
+        in_order = Window.partitionBy("key").orderBy("kind", "content", "doc", "tag", "lo")
+        raw_content = F.when(fresh, F.col("content"))
+        one_key = Window.partitionBy("key")
+        judged = found.withColumn("head", fresh & (F.coalesce(F.lag("content").over(in_order) != F.col("content"), F.lit(True))))
+        judged = judged.withColumn("several", F.min(raw_content).over(one_key) != F.max(raw_content).over(one_key))
+        judged = judged.withColumn("content_no", F.sum(F.col("head").cast("int")).over(in_order))
+        seen, known, old = F.lit(False), F.lit(False), []
         for i, name in enumerate(self.runs):
-            run = self._run(name)
-            judged = judged.join(run.groupBy("key").agg(F.lit(True).alias(f"known{i}")), "key", "left")
-            judged = judged.join(run.select("key", "content", F.lit(True).alias(f"seen{i}")), ["key", "content"], "left")
-            seen, known = seen | F.coalesce(f"seen{i}", F.lit(False)), known | F.coalesce(f"known{i}", F.lit(False))
-        first = F.first(F.struct("doc", "tag", "lo")).over(Window.partitionBy("key", "content", "kind").orderBy("doc", "tag", "lo"))
-        kind = F.when(~fresh, F.col("kind")).when(seen | (F.col("nth") > 1), F.lit(DUP)).when(F.col("several") | known, F.lit(OPEN)).otherwise(F.lit(RAW))
-        itself = fresh & (F.col("nth") > 1) & (F.struct("doc", "tag", "lo") == F.col("first"))  # the same document once more
-        judged = judged.withColumn("first", first).where(~itself | seen)
-        name = self._write(judged.select("key", "content", "doc", "tag", "lo", "len", kind.cast("byte").alias("kind"), fresh.alias("fresh")))
-        flags = [self.spark.table(name).where(F.col("kind") != RAW)]
-        news = self._run(name).where(F.col("kind") == OPEN).select("key").distinct()
-        for old in self.runs:
-            run = self._run(old)
-            flags.append(run.where(F.col("kind") == RAW).join(news, "key", "left_semi").withColumn("kind", F.lit(OPEN).cast("byte")))
-        flags = stored(reduce(DataFrame.unionAll, [f.select("doc", "tag", "lo", "len", "kind") for f in flags]))
+            # a run holds at most MOST_CONTENTS contents of a key, so these arrays are short
+            run = self._run(name).groupBy("key").agg(F.collect_list("content").alias(f"c{i}"), F.first(F.struct("doc", "tag", "lo", "len")).alias(f"o{i}"))
+            judged = judged.join(run, "key", "left")
+            seen = seen | F.coalesce(F.array_contains(f"c{i}", F.col("content")), F.lit(False))
+            known = known | F.col(f"c{i}").isNotNull()
+            old.append(F.when(F.size(f"c{i}") == 1, F.col(f"o{i}")))
+        kind = F.when(~fresh, F.col("kind")).when(seen | ~F.col("head"), F.lit(DUP)).when(F.col("several") | known, F.lit(OPEN)).otherwise(F.lit(RAW))
+        opens = F.when(F.col("head") & ~seen, F.coalesce(*old)) if old else F.lit(None).cast("struct<doc: long, tag: int, lo: int, len: int>")
+        name = self._write(judged.select(
+            "key", "content", "doc", "tag", "lo", "len", kind.cast("byte").alias("kind"),
+            (F.col("head") & ~seen & (F.col("content_no") <= MOST_CONTENTS)).alias("indexed"), opens.alias("opens")))
         self.runs.append(name)
-        while len(self.runs) > self.max_runs:
-            self._compact()
-        return flags
+        table = self.spark.table(name)
+        earlier = table.where("opens is not null").select("opens.*", F.lit(OPEN).cast("byte").alias("kind"))
+        return stored(table.where(F.col("kind") != RAW).select("doc", "tag", "lo", "len", "kind").unionAll(earlier))
 
     def _compact(self) -> None:
-        """Merge-joins the two youngest runs, which share no (key, content), into one."""
-        a, b = (self._run(name).alias(x) for name, x in zip(self.runs[-2:], "ab", strict=True))
-        both = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.content") == F.col("b.content")), "full_outer")
-        merged = self._write(both.select(*[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in ("key", "content", "doc", "tag", "lo", "len", "kind", "fresh")]))
+        """Merge-joins the two youngest runs into one."""
+        rows = [
+            self._run(name).groupBy("key").agg(F.collect_list(F.struct("content", "doc", "tag", "lo", "len", "indexed")).alias(f"rows{i}"))
+            for i, name in enumerate(self.runs[-2:])
+        ]
+        # by key alone, as the runs are bucketed: neither is shuffled, and each bucket is written by one task
+        both = rows[0].join(rows[1], "key", "full_outer")
+        none = F.array().cast(both.schema["rows0"].dataType)
+        found = F.slice(F.concat(F.coalesce("rows0", none), F.coalesce("rows1", none)), 1, MOST_CONTENTS)
+        merged = self._write(both.select("key", F.explode(found).alias("r")).select("key", "r.*"))
         for name in self.runs[-2:]:
             self.spark.sql(f"DROP TABLE {name}")
         self.runs[-2:] = [merged]
@@ -116,39 +125,45 @@ def verified_windows(open_texts: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                out = _points(flagged_texts(b.slice(at, 1000)), width)
-                if out.num_rows:
-                    yield out
+            held, size = [], 0
+            for at in range(0, b.num_rows, 100):
+                for piece in _opened(flagged_texts(b.slice(at, 100)), width, at):
+                    held.append(piece)
+                    size += len(piece[0])
+                    if size > COMPARED_AT_ONCE:
+                        yield _points(held)
+                        held, size = [], 0
+            if size:
+                yield _points(held)
 
     return open_texts.mapInArrow(run, POINT)
 
 
-def _points(part, width: int) -> pa.RecordBatch:
+def _opened(part, width: int, base: int):
+    """(key, content, doc, tag, place, text number) of the opened windows, chunk by chunk."""
     ids, tags, texts, owner, lo, size = part
-    chunk = Chunk(texts)
-    chunk.words()
-    at = np.unique(concatenated_ranges(chunk.first[owner] + lo, size))
-    which = np.searchsorted(chunk.first, at, side="right") - 1
-    place = at - chunk.first[which]
-    sums, sums_2 = SHINGLES.sums(chunk.word_hashes(WORDS)), SHINGLES_2.sums(chunk.word_hashes(WORDS_2))
-    key, content = SHINGLES.spans(sums, at, at + width), SHINGLES_2.spans(sums_2, at, at + width)
-    order = np.lexsort((place, tags[which], ids[which], content, key))
-    key, content, which, place = key[order], content[order], which[order], place[order]
-    d, t = ids[which], tags[which]
+    bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+    for at, chunk in chunks(texts, texts):
+        chunk.words()
+        mine = slice(bounds[at.start], bounds[at.stop])
+        start = np.unique(concatenated_ranges(chunk.first[owner[mine] - at.start] + lo[mine], size[mine]))
+        which = np.searchsorted(chunk.last, start, side="right")
+        sums, sums_2 = SHINGLES.sums(chunk.word_hashes(WORDS)), SHINGLES_2.sums(chunk.word_hashes(WORDS_2))
+        text = which + at.start
+        yield SHINGLES.spans(sums, start, start + width), SHINGLES_2.spans(sums_2, start, start + width), ids[text], tags[text], start - chunk.first[which], text + base
+
+
+def _points(held) -> pa.RecordBatch:
+    key, content, doc, tag, place, which = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((which, place, tag, doc, content, key))
+    key, content = key[order], content[order]
     fresh = np.ones(len(key), dtype=bool)
     fresh[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
     head = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
-    repeat = ~fresh & ~((d == d[head]) & (t == t[head]) & (place == place[head]))
-    r = np.flatnonzero(repeat)
-    r = r[np.lexsort((place[r], which[r]))]
-    w, at, count = runs(which[r], place[r])
-    n, m = int(fresh.sum()), len(w)
-    return batch(
-        key=signed(np.concatenate((key[fresh], (w * 7919 + at).astype(np.uint64)))), content=signed(np.concatenate((content[fresh], np.zeros(m, np.uint64)))),
-        doc=np.concatenate((d[fresh], ids[w])), tag=np.concatenate((t[fresh], tags[w])).astype(np.int32), lo=np.concatenate((place[fresh], at)).astype(np.int32),
-        len=np.concatenate((np.ones(n, np.int64), count)).astype(np.int32), kind=np.concatenate((np.full(n, RAW), np.full(m, DUP))).astype(np.int8),
-    )
+    d, t, p = doc[order], tag[order], place[order]
+    again = (d == d[head]) & (t == t[head]) & (p == p[head])
+    first = order[fresh]
+    return points(key[fresh], content[fresh], doc[first], tag[first], place[first], order[~fresh & ~again], which, doc, tag, place)
 
 
 def _cut(width: int):
@@ -183,7 +198,7 @@ def dedup(
     index.drop()
     flags = reduce(DataFrame.unionAll, flags)
     texts = compressed(docs)
-    opened = texts.join(packed_flags(flags.where(F.col("kind") == OPEN)), ["doc", "tag"]).select("doc", "tag", "z", "flags")
+    opened = texts.join(packed_flags(flags.where(F.col("kind") == OPEN)), ["doc", "tag"])  # all columns of the texts, as in the last join, so that they are shuffled once
     second = first_of_each(verified_windows(opened, width), opening=False)
     repeats = flags.where(F.col("kind") == DUP).unionByName(second.where(F.col("kind") == DUP))
     found = without(texts, repeats, _cut(width))
