@@ -5,11 +5,12 @@ A document is its set of word shingles; two link when their Jaccard similarity r
 (the prefix, about 1 - percent of a set) must meet. All orders here put frequent tokens last
 (by a bounded frequency sketch of the whole corpus) and break ties by different hashes:
 
-1. tokens of the first order's prefixes are grouped; sets that meet nowhere are done;
-2. the rest form candidate clusters, and each set's text travels once to its cluster
-   (a large cluster is split into pairs of blocks, so no task holds more than two blocks);
+1. tokens of the first order's prefixes are grouped; sets that meet no set of a fitting size
+   are done;
+2. the rest form candidate clusters, and each set's text travels to its cluster (a large
+   cluster is split into pairs of blocks, so no task holds more than two blocks);
 3. there, a pair is a candidate only if its prefixes meet under all ``ORDERS`` orders and its
-   sizes allow the similarity; candidates that are not yet connected are verified exactly.
+   sizes allow the similarity; candidates are verified by exact counts of shared shingles.
 
 Equal sets are one node, and inside a block a verified link is passed on only if it connects
 two groups, so copies and near copies never become all pairs, yet no connection is lost.
@@ -23,10 +24,9 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,11 +39,11 @@ WORDS_PER_SHINGLE = 4
 PERCENT = 85
 ORDERS = 3
 #: Buckets of the frequency sketch: one byte each on the driver and in tasks, whatever the corpus.
-SKETCH = 1 << 20
+SKETCH = 1 << 21
 #: A bucket is reported by a task only if it saw this many repeats there.
-LEAST_COUNT = 4
+LEAST_COUNT = 1
 #: Blocks of a cluster: as small as SMALL_BLOCK, at most MOST_BLOCKS of them until they reach LARGE_BLOCK.
-SMALL_BLOCK, LARGE_BLOCK, MOST_BLOCKS = 128, 20_000, 32
+SMALL_BLOCK, LARGE_BLOCK, MOST_BLOCKS = 128, 5_000, 16
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -135,7 +135,7 @@ def _prefix_rows(docs: DataFrame, classes, width: int, percent: int) -> DataFram
                 doc, token = doc[order], token[order]
                 rank = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
                 take = rank < prefix_size(n, percent)[doc]
-                held.append((token[take], node[doc[take]]))
+                held.append((token[take], node[doc[take]], n[doc[take]]))
                 size += len(held[-1][0])
                 if size > 300_000:
                     yield _distinct(held)
@@ -143,37 +143,52 @@ def _prefix_rows(docs: DataFrame, classes, width: int, percent: int) -> DataFram
             if size:
                 yield _distinct(held)
 
-    return docs.select("text").mapInArrow(run, "token long, node long")
+    return docs.select("text").mapInArrow(run, "token long, n int, node long")
 
 
 def _distinct(held) -> pa.RecordBatch:
-    token, node = (np.concatenate(x) for x in zip(*held, strict=True))
+    token, node, n = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.lexsort((node, token))
-    token, node = token[order], node[order]
+    token, node, n = token[order], node[order], n[order]
     keep = np.ones(len(token), dtype=bool)
     keep[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-    return batch(token=signed(token[keep]), node=signed(node[keep]))
+    return batch(token=signed(token[keep]), n=n[keep].astype(np.int32), node=signed(node[keep]))
+
 
+def _meetings(rows: DataFrame, percent: int) -> DataFrame:
+    """Star links (leader, another node) of the nodes that share a token and may be similar by size.
 
-def _meetings(rows: DataFrame) -> DataFrame:
-    """Star links (leader of a token, another node with it); tokens of a single node give none."""
+    Nodes of a token come in order of size; where the next is too large for the one before, no
+    smaller one can link with it or with a larger one, so a new star begins.
+    """
 
     def run(batches):
-        last = None  # (token, leader, latest node)
+        last = None  # (token, size, leader) of the latest row
         for b in batches:
-            token, node = b.column(0).to_numpy(), b.column(1).to_numpy()
-            fresh = np.concatenate(([last is None or token[0] != last[0]], token[1:] != token[:-1]))
+            token, n, node = (b.column(c).to_numpy() for c in ("token", "n", "node"))
+            token_before = np.concatenate(([token[0] if last is None else last[0]], token[:-1]))
+            n_before = np.concatenate(([0 if last is None else last[1]], n[:-1])).astype(np.int64)
+            fresh = (token != token_before) | (100 * n_before < percent * n.astype(np.int64))
             at = np.maximum.accumulate(np.where(fresh, np.arange(len(token)), -1))
-            leader = np.where(at >= 0, node[np.maximum(at, 0)], last[1] if last else 0)
+            leader = np.where(at >= 0, node[np.maximum(at, 0)], last[2] if last else 0)
             pair = np.unique(np.stack([leader, node])[:, leader != node], axis=1)
-            last = (token[-1], leader[-1])
+            last = (token[-1], n[-1], leader[-1])
             if pair.shape[1]:
                 yield batch(a=pair[0], b=pair[1])
 
-    dealt = rows.repartition(partitions(rows.sparkSession), "token").sortWithinPartitions("token", "node")
+    dealt = rows.repartition(partitions(rows.sparkSession), "token").sortWithinPartitions("token", "n", "node")
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _compressed(docs: DataFrame) -> DataFrame:
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            yield batch(doc=b.column("doc"), text=pa.array([press.compress(t) for t in b.column("text").to_pylist()], pa.binary()))
+
+    return docs.mapInArrow(run, "doc long, text binary")
+
+
 def _verified(rows: DataFrame, classes, width: int, percent: int) -> DataFrame:
     """Links between nodes of a block or a pair of blocks that connect groups there."""
 
@@ -204,36 +219,73 @@ def _verified(rows: DataFrame, classes, width: int, percent: int) -> DataFrame:
 def _links(nodes, blocks, texts, key, classes, width: int, percent: int) -> list[tuple[int, int]]:
     if len(nodes) < 2:
         return []
-    sets = []
+    unpress = zstandard.ZstdDecompressor()
+    texts, sets = [unpress.decompress(t) for t in texts], []
     for part, chunk in chunks(texts, texts):
         doc, token = shingles(chunk, width)
         cut = np.searchsorted(doc, np.arange(part.stop - part.start + 1))
-        sets += [token[cut[i] : cut[i + 1]] for i in range(part.stop - part.start)]
-    by_size = sorted(range(len(nodes)), key=lambda i: len(sets[i]))
-    across = key[1] != key[2]
+        sets += [token[cut[i] : cut[i + 1]].copy() for i in range(part.stop - part.start)]
+    del texts
+    rank = sorted(range(len(nodes)), key=lambda i: len(sets[i]))
+    sets = [sets[i] for i in rank]
+    nodes, block = [nodes[i] for i in rank], np.array([blocks[i] for i in rank])
+    size = np.array([len(s) for s in sets])
+    prefixes = [Postings([_prefix(s, classes, order, percent) for s in sets]) for order in range(ORDERS)]
+    whole = Postings(sets)
     groups, links = Groups(len(nodes)), []
-    postings = [defaultdict(list) for _ in range(ORDERS)]
-    for x in by_size:
-        mine = sets[x]
-        p = prefix_size(len(mine), percent)
-        near = None
-        for order, posting in enumerate(postings):
-            keys = order_keys(mine, classes, order)
-            prefix = mine[np.argpartition(keys, p - 1)[:p]].tolist() if p < len(mine) else mine.tolist()
-            met = set().union(*(posting[t] for t in prefix if t in posting)) if near is None or near else set()
-            near = met if near is None else near & met
-            for t in prefix:
-                posting[t].append(x)
-        for y in sorted(near):
-            if across and blocks[x] == blocks[y] or 100 * len(sets[y]) < percent * len(mine) or groups.find(x) == groups.find(y):
-                continue
-            both = len(np.intersect1d(mine, sets[y], assume_unique=True))
-            if 100 * both >= percent * (len(mine) + len(sets[y]) - both):
-                groups.join(x, y)
+    for x in range(1, len(nodes)):
+        near = 100 * size[:x] >= percent * size[x]
+        if key[1] != key[2]:
+            near &= block[:x] != block[x]
+        for p in prefixes:
+            if near.any():
+                near &= p.meets(x)[:x] > 0
+        ys = np.flatnonzero(near)
+        if not len(ys):
+            continue
+        both = whole.meets(x)[ys]
+        for y in ys[100 * both >= percent * (size[x] + size[ys] - both)].tolist():
+            if groups.join(x, y):
                 links.append((nodes[x], nodes[y]))
     return links
 
 
+def _prefix(tokens: np.ndarray, classes, order: int, percent: int) -> np.ndarray:
+    p = prefix_size(len(tokens), percent)
+    return tokens[np.argpartition(order_keys(tokens, classes, order), p - 1)[:p]]
+
+
+class Postings:
+    """Which sets share a token, for the sets of one block or pair of blocks.
+
+    Tokens of a single set are left out: they are in no intersection.
+    """
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = len(sets)
+        token = np.concatenate(sets)
+        order = np.argsort(token, kind="stable").astype(np.int32)
+        token = token[order]
+        fresh = np.concatenate(([True], token[1:] != token[:-1]))
+        del token
+        start = np.flatnonzero(fresh)
+        count = np.diff(np.append(start, len(order)))
+        shared = np.repeat(count > 1, count)
+        order, count = order[shared], count[count > 1]
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), [len(s) for s in sets])
+        self.held = owner[order]
+        group = np.repeat(np.arange(len(count), dtype=np.int32), count)
+        back = np.argsort(order, kind="stable")
+        group = group[back]
+        self.at = np.searchsorted(self.held[back], np.arange(self.n + 1))
+        self.start, self.count = (np.cumsum(count) - count)[group].astype(np.int32), count[group].astype(np.int32)
+
+    def meets(self, x: int) -> np.ndarray:
+        """Tokens that each set shares with set x."""
+        mine = slice(self.at[x], self.at[x + 1])
+        return np.bincount(self.held[concatenated_ranges(self.start[mine], self.count[mine].astype(np.int64))], minlength=self.n)
+
+
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WORDS_PER_SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row: id, ``n_shingles`` and ``component_id`` (least id reachable by links)."""
     spark = df.sparkSession
@@ -246,7 +298,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width
     by_bucket[counts.column("bucket").to_numpy()] = counts.column("class").to_numpy()
     classes = spark.sparkContext.broadcast(by_bucket)
 
-    stars = stored(_meetings(_prefix_rows(docs, classes, width, percent)))
+    stars = stored(_meetings(_prefix_rows(docs, classes, width, percent), percent))
     clusters = components(stars)
     clusters = stored(clusters.unionAll(clusters.select(F.col("root").alias("node"), "root")).distinct())
     sizes = clusters.groupBy("root").agg(F.count("*").alias("m"))
@@ -256,7 +308,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .join(sets.groupBy("node").agg(F.min("doc").alias("doc")), "node")
     )
-    texts = placed.join(docs, "doc").select("root", "node", "block", "blocks", "text")
+    texts = placed.join(_compressed(docs), "doc").select("root", "node", "block", "blocks", "text")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     paired = texts.select(F.col("root").alias("cluster"), "node", "block", other, "text").select(
         "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "text")
