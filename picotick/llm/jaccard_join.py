@@ -7,9 +7,13 @@ A document is its set of word shingles; two link when their Jaccard similarity r
 
 1. tokens of the first order's prefixes are grouped; sets that meet no set of a fitting size
    are done;
-2. the rest form candidate clusters, and each set's text travels to its cluster (a large
-   cluster is split into pairs of blocks, so no task holds more than two blocks);
-3. there, a pair is a candidate only if its prefixes meet under all ``ORDERS`` orders and its
+2. the rest form candidate clusters. Rare tokens that two unrelated long texts happen to share
+   can chain these together, so clusters are first cut by parity sketches (n / 16 bytes a set):
+   sketches differ in at most as many bits as the sets differ in tokens, so sets whose sketches
+   differ in more bits than the similarity allows cannot link;
+3. each set's text travels to its cut cluster (a large cluster is split into pairs of blocks,
+   in both steps, so no task holds more than two blocks);
+4. there, a pair is a candidate only if its prefixes meet under all ``ORDERS`` orders and its
    sizes allow the similarity; candidates are verified by exact counts of shared shingles.
 
 Equal sets are one node, and inside a block a verified link is passed on only if it connects
@@ -84,11 +88,25 @@ def order_keys(token: np.ndarray, classes: np.ndarray, which: int) -> np.ndarray
     return (classes[(token & U(SKETCH - 1)).astype(np.int64)].astype(U) << U(56)) | (mix(token + U(which * 7919)) >> U(8))
 
 
-_NARROW = "a long, b long, n int, sketch boolean"
+def sketch_bits(n: np.ndarray) -> np.ndarray:
+    """Bits of the parity sketch of a set of n: a power of two, at least 64 and n / 2."""
+    return (np.uint64(1) << np.ceil(np.log2(np.maximum(n, 128) / 2)).astype(np.uint64)).astype(np.int64)
+
+
+def parity_sketches(doc: np.ndarray, token: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Per set: bit i is the parity of the number of tokens whose hash ends in i."""
+    bits = sketch_bits(n)
+    base = np.cumsum(bits) - bits
+    at = base[doc] + (mix(token + U(29)) & (bits[doc] - 1).astype(U)).astype(np.int64)
+    packed = np.packbits((np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8)).tobytes()
+    return [packed[i // 8 : (i + m) // 8] for i, m in zip(base.tolist(), bits.tolist(), strict=True)]
+
+
+_NARROW = "a long, b long, n int, sketch boolean, parity binary"
 
 
 def _measure(docs: DataFrame, width: int) -> DataFrame:
-    """Per document (a: id, b: set hash, n: size), and rows of the sketch (a: bucket, b: count)."""
+    """Per document (a: id, b: set hash, n: size, parity), and rows of the sketch (a: bucket, b: count)."""
 
     def run(batches):
         seen = np.zeros(SKETCH, dtype=np.int64)
@@ -98,7 +116,8 @@ def _measure(docs: DataFrame, width: int) -> DataFrame:
             for part, chunk in chunks(texts, texts):
                 doc, token = shingles(chunk, width)
                 n, node = set_hashes(doc, token, len(chunk.start))
-                yield batch(a=ids[part], b=signed(node), n=n.astype(np.int32), sketch=np.zeros(len(n), bool))
+                parity = pa.array(parity_sketches(doc, token, n), pa.binary())
+                yield batch(a=ids[part], b=signed(node), n=n.astype(np.int32), sketch=np.zeros(len(n), bool), parity=parity)
                 held.append(token)
                 size += len(token)
                 if size > 2_000_000:
@@ -107,7 +126,7 @@ def _measure(docs: DataFrame, width: int) -> DataFrame:
             _count(held, seen)
         at = np.flatnonzero(seen >= LEAST_COUNT)
         if len(at):
-            yield batch(a=at, b=seen[at], n=np.zeros(len(at), np.int32), sketch=np.ones(len(at), bool))
+            yield batch(a=at, b=seen[at], n=np.zeros(len(at), np.int32), sketch=np.ones(len(at), bool), parity=pa.nulls(len(at), pa.binary()))
 
     return docs.mapInArrow(run, _NARROW)
 
@@ -189,6 +208,83 @@ def _compressed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc long, text binary")
 
 
+def _near(rows: DataFrame, percent: int) -> DataFrame:
+    """Links between nodes of a block or a pair of blocks whose parity sketches allow the similarity."""
+
+    def run(batches):
+        key, held = None, []
+        for b in batches:
+            c = [b.column(k).to_pylist() for k in ("cluster", "i", "j", "node", "block", "n", "parity")]
+            for *k, node, block, n, parity in zip(*c, strict=True):
+                if k != key:
+                    yield from _near_links(held, key, percent)
+                    key, held = k, []
+                if not held or node != held[-1][1]:
+                    held.append((n, node, block, parity))
+        yield from _near_links(held, key, percent)
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _near_links(held: list[tuple], key, percent: int):
+    """One batch of links, enough to connect all nodes that pairs of fitting sketches connect."""
+    if len(held) < 2:
+        return
+    held = sorted(held, key=lambda x: x[:2])
+    size, node, block = (np.array([x[c] for x in held], dtype=np.int64) for c in range(3))
+    bits = sketch_bits(size)
+    classes = {}  # bits -> (first place, sketches): sizes are sorted, so a class is one range
+    for m in np.unique(bits).tolist():
+        lo, hi = np.searchsorted(bits, [m, m + 1])
+        classes[m] = lo, np.frombuffer(b"".join(x[3] for x in held[lo:hi]), dtype=np.uint64).reshape(hi - lo, -1)
+    group, a, b = np.arange(len(held)), [], []
+    for x in range(1, len(held)):
+        m = int(bits[x])
+        least = int(np.searchsorted(size, -(-percent * size[x] // 100)))
+        lo, table = classes[m]
+        mine, apart = table[x - lo], []
+        if least < lo:  # smaller sets may have half the bits, to which this sketch folds
+            first, lower = classes[m // 2]
+            half = mine.reshape(2, -1)
+            apart.append(np.bitwise_count(lower[least - first :] ^ (half[0] ^ half[1])).sum(axis=1, dtype=np.int64))
+        apart.append(np.bitwise_count(table[max(least - lo, 0) : x - lo] ^ mine).sum(axis=1, dtype=np.int64))
+        fits = np.concatenate(apart) * (100 + percent) <= (size[least:x] + size[x]) * (100 - percent)
+        if key[1] != key[2]:
+            fits &= block[least:x] != block[x]
+        ys = np.flatnonzero(fits) + least
+        if len(ys):
+            roots, at = np.unique(group[ys], return_index=True)
+            for root, y in zip(roots.tolist(), ys[at].tolist(), strict=True):
+                if root != group[x]:
+                    group[group == root] = group[x]
+                    a.append(node[x])
+                    b.append(node[y])
+    if a:
+        yield batch(a=np.array(a), b=np.array(b))
+
+
+def _members(links: DataFrame) -> DataFrame:
+    """``node``, ``root`` of every node in a link, roots included."""
+    found = components(links)
+    return stored(found.unionAll(found.select(F.col("root").alias("node"), "root")).distinct())
+
+
+def _placed(clusters: DataFrame) -> DataFrame:
+    """Members with their ``block`` of the cluster and its number of ``blocks``."""
+    sizes = clusters.groupBy("root").agg(F.count("*").alias("m"))
+    block = F.least(F.lit(LARGE_BLOCK), F.greatest(F.lit(SMALL_BLOCK), F.ceil(F.col("m") / MOST_BLOCKS)))
+    return clusters.join(sizes, "root").withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn(
+        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
+def _dealt(placed: DataFrame, *carried: str) -> DataFrame:
+    """Every member once for each block of its cluster, dealt out by pair of blocks."""
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    paired = placed.select(F.col("root").alias("cluster"), "node", "block", other, *carried).select(
+        "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", *carried)
+    return paired.repartition(partitions(placed.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
+
+
 def _verified(rows: DataFrame, classes, width: int, percent: int) -> DataFrame:
     """Links between nodes of a block or a pair of blocks that connect groups there."""
 
@@ -298,21 +394,14 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width
     by_bucket[counts.column("bucket").to_numpy()] = counts.column("class").to_numpy()
     classes = spark.sparkContext.broadcast(by_bucket)
 
-    stars = stored(_meetings(_prefix_rows(docs, classes, width, percent), percent))
-    clusters = components(stars)
-    clusters = stored(clusters.unionAll(clusters.select(F.col("root").alias("node"), "root")).distinct())
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("m"))
-    block = F.least(F.lit(LARGE_BLOCK), F.greatest(F.lit(SMALL_BLOCK), F.ceil(F.col("m") / MOST_BLOCKS)))
-    placed = (
-        clusters.join(sizes, "root").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .join(sets.groupBy("node").agg(F.min("doc").alias("doc")), "node")
-    )
+    nodes = sets.groupBy("node").agg(F.min("doc").alias("doc"))
+    sketches = measured.where("not sketch and n > 0").select(F.col("b").alias("node"), "n", "parity").dropDuplicates(["node"])
+    met = _members(stored(_meetings(_prefix_rows(docs, classes, width, percent), percent)))
+    sketched = _placed(met).join(sketches, "node")
+    cut = _members(_near(_dealt(sketched, "n", "parity"), percent))
+    placed = _placed(cut).join(nodes, "node")
     texts = placed.join(_compressed(docs), "doc").select("root", "node", "block", "blocks", "text")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    paired = texts.select(F.col("root").alias("cluster"), "node", "block", other, "text").select(
-        "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "text")
-    dealt = paired.repartition(partitions(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
+    dealt = _dealt(texts, "text")
     roots = components(_verified(dealt, classes, width, percent))
 
     rooted = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
