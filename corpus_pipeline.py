@@ -13,6 +13,8 @@ from picotick.llm import jaccard_join, mixing, packing, quality_rules, suffix_de
 from picotick.llm._spark import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Words of a shingle and least Jaccard similarity of near duplicates, in percent; op10 has settings of its own.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def drop_rejected(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +24,7 @@ def drop_rejected(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of every near-duplicate group."""
-    gone = jaccard_join.join(docs).where("doc_id <> component_id").select("doc_id")
+    gone = jaccard_join.join(docs, width=NEAR_WORDS, percent=NEAR_PERCENT).where("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 

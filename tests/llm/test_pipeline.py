@@ -51,6 +51,19 @@ def test_stages_against_brute_force(spark):
     check(placed.collect(), few.items())
 
 
+def test_near_duplicates_by_five_words_and_80_percent(spark):
+    """Two edits in 100 words: 86 of 106 shingles of five words are shared (81 %), 84 % of those of four."""
+    words = [f"w{i}" for i in range(100)]
+    near = [*words[:30], "x", *words[31:60], "y", *words[61:]]
+    far = [*words[:30], "x", *words[31:60], "y", *words[61:90], "z", *words[91:]]
+    rows = [(1, " ".join(words), "en", "a", 0), (2, " ".join(near), "en", "a", 0), (3, " ".join(f"v{w}" for w in words), "en", "a", 0), (4, " ".join(f"v{w}" for w in far), "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    single = P.drop_near_duplicates(spark, docs, SF)
+    assert sorted(r.doc_id for r in single.collect()) == [1, 3, 4]
+    assert {i for i, (_, c) in brute.jaccard([r[:2] for r in rows], 5, 80).items() if i == c} == {1, 3, 4}
+    assert {i for i, (_, c) in brute.jaccard([r[:2] for r in rows]).items() if i == c} == {1, 2, 3, 4}
+
+
 def test_run(spark):
     whole = P.run(spark, SF)
     assert whole.count() > 0 and {"doc_id", "piece", "sequence_id", "offset"} <= set(whole.columns)
