@@ -49,5 +49,10 @@ def documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def text_hash(col: str = "text") -> Column:
+    """64-bit hash of a text, null as empty; tells rows of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
+
+
 def id_back(name: str, col: str = "doc") -> Column:
     return F.when(F.col(col) != NO_ID, F.col(col)).alias(name)

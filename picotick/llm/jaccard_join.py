@@ -22,8 +22,8 @@ Orders only decide what is looked at first: the result does not depend on them.
 as 64-bit hashes of shingles.
 
 Null texts and texts without words have no set, link with nothing and keep their own id;
-null ids come before all others; repeated rows are equal sets; other columns are ignored;
-an empty table gives no rows.
+null ids come before all others; rows that share an id are judged each by its own text;
+repeated rows are equal sets; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ._components import Groups, components
 from ._hashing import SHINGLES, WORDS, Chunk, U, chunks, concatenated_ranges, mix
-from ._spark import NO_ID, documents, id_back, partitions, stored
+from ._spark import NO_ID, documents, id_back, partitions, stored, text_hash
 from ._windows import batch, signed
 
 WORDS_PER_SHINGLE = 4
@@ -102,22 +102,22 @@ def parity_sketches(doc: np.ndarray, token: np.ndarray, n: np.ndarray) -> list[b
     return [packed[i // 8 : (i + m) // 8] for i, m in zip(base.tolist(), bits.tolist(), strict=True)]
 
 
-_NARROW = "a long, b long, n int, sketch boolean, parity binary"
+_NARROW = "a long, b long, n int, sketch boolean, parity binary, tag long"
 
 
 def _measure(docs: DataFrame, width: int) -> DataFrame:
-    """Per document (a: id, b: set hash, n: size, parity), and rows of the sketch (a: bucket, b: count)."""
+    """Per document (a: id, b: set hash, n: size, parity, tag), and rows of the sketch (a: bucket, b: count)."""
 
     def run(batches):
         seen = np.zeros(SKETCH, dtype=np.int64)
         for b in batches:
-            texts, ids = b.column("text").to_pylist(), b.column("doc").to_numpy()
+            texts, ids, tag = b.column("text").to_pylist(), b.column("doc").to_numpy(), b.column("tag").to_numpy()
             held, size = [], 0
             for part, chunk in chunks(texts, texts):
                 doc, token = shingles(chunk, width)
                 n, node = set_hashes(doc, token, len(chunk.start))
                 parity = pa.array(parity_sketches(doc, token, n), pa.binary())
-                yield batch(a=ids[part], b=signed(node), n=n.astype(np.int32), sketch=np.zeros(len(n), bool), parity=parity)
+                yield batch(a=ids[part], b=signed(node), n=n.astype(np.int32), sketch=np.zeros(len(n), bool), parity=parity, tag=tag[part])
                 held.append(token)
                 size += len(token)
                 if size > 2_000_000:
@@ -126,7 +126,7 @@ def _measure(docs: DataFrame, width: int) -> DataFrame:
             _count(held, seen)
         at = np.flatnonzero(seen >= LEAST_COUNT)
         if len(at):
-            yield batch(a=at, b=seen[at], n=np.zeros(len(at), np.int32), sketch=np.ones(len(at), bool), parity=pa.nulls(len(at), pa.binary()))
+            yield batch(a=at, b=seen[at], n=np.zeros(len(at), np.int32), sketch=np.ones(len(at), bool), parity=pa.nulls(len(at), pa.binary()), tag=np.zeros(len(at), np.int64))
 
     return docs.mapInArrow(run, _NARROW)
 
@@ -203,9 +203,10 @@ def _compressed(docs: DataFrame) -> DataFrame:
     def run(batches):
         press = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            yield batch(doc=b.column("doc"), text=pa.array([press.compress(t) for t in b.column("text").to_pylist()], pa.binary()))
+            text = pa.array([press.compress(t) for t in b.column("text").to_pylist()], pa.binary())
+            yield batch(doc=b.column("doc"), tag=b.column("tag"), text=text)
 
-    return docs.mapInArrow(run, "doc long, text binary")
+    return docs.mapInArrow(run, "doc long, tag long, text binary")
 
 
 def _near(rows: DataFrame, percent: int) -> DataFrame:
@@ -385,22 +386,27 @@ class Postings:
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WORDS_PER_SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row: id, ``n_shingles`` and ``component_id`` (least id reachable by links)."""
     spark = df.sparkSession
-    docs = documents(df, id_col, text_col)
+    docs = documents(df, id_col, text_col).withColumn("tag", text_hash("text"))
     measured = stored(_measure(docs, width))
-    sets = measured.where("not sketch and n > 0").select(F.col("a").alias("doc"), F.col("b").alias("node"), "n")
+    sets = measured.where("not sketch and n > 0").select(F.col("a").alias("doc"), F.col("b").alias("node"), "n", "tag")
     sketch = measured.where("sketch").groupBy(F.col("a").alias("bucket")).agg(F.sum("b").alias("n"))
     counts = sketch.select("bucket", F.floor(F.log2("n")).cast("byte").alias("class")).toArrow()  # at most SKETCH rows
     by_bucket = np.zeros(SKETCH, dtype=np.uint8)
     by_bucket[counts.column("bucket").to_numpy()] = counts.column("class").to_numpy()
     classes = spark.sparkContext.broadcast(by_bucket)
 
-    nodes = sets.groupBy("node").agg(F.min("doc").alias("doc"))
+    # a node's text is found by id and text hash: rows that share an id (all null ids do) may differ in text
+    nodes = sets.groupBy("node").agg(F.min("doc").alias("doc"), F.min_by("tag", "doc").alias("tag"))
+    repeats = sets.groupBy("doc", "tag").count().where("count > 1").limit(1).count() > 0
     sketches = measured.where("not sketch and n > 0").select(F.col("b").alias("node"), "n", "parity").dropDuplicates(["node"])
     met = _members(stored(_meetings(_prefix_rows(docs, classes, width, percent), percent)))
     sketched = _placed(met).join(sketches, "node")
     cut = _members(_near(_dealt(sketched, "n", "parity"), percent))
     placed = _placed(cut).join(nodes, "node")
-    texts = placed.join(_compressed(docs), "doc").select("root", "node", "block", "blocks", "text")
+    pressed = _compressed(docs)
+    if repeats:
+        pressed = pressed.dropDuplicates(["doc", "tag"])
+    texts = placed.join(pressed, ["doc", "tag"]).select("root", "node", "block", "blocks", "text")
     dealt = _dealt(texts, "text")
     roots = components(_verified(dealt, classes, width, percent))
 

@@ -192,6 +192,20 @@ def test_odd_documents(spark):
     assert jaccard_join.join(df.limit(0)).count() == 0
 
 
+def test_texts_that_share_an_id(spark):
+    """Rows of one null or repeated id: each is linked by its own text, and no row is multiplied."""
+    words = lambda f: [f"w{f}x{i}" for i in range(60)]
+    edited = lambda f: " ".join([*words(f)[:-1], "edit"])
+    rows = [(None, " ".join(words(f))) for f in range(6)] + [(7, " ".join(words(f))) for f in range(6, 12)]
+    rows += [(100 + f, edited(f)) for f in range(12)] + rows[:2] + rows[6:8]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((x.doc_id, x.n_shingles, x.component_id) for x in jaccard_join.join(df).collect())
+    want = {i: c for i, (_, c) in brute.jaccard(list(enumerate(t for _, t in rows))).items()}
+    least = {c: min((rows[i][0] for i in want if want[i] == c), key=lambda d: (d is not None, d or 0)) for c in set(want.values())}
+    assert got == Counter((d, 57, least[want[i]]) for i, (d, _) in enumerate(rows))
+    assert Counter(c for (_, _, c) in got.elements()) == {None: 14, 7: 14}
+
+
 def test_components(spark):
     r = random.Random(4)
     links = [(i, i + 1) for i in range(100, 160)] + [(r.randint(0, 80), r.randint(0, 80)) for _ in range(50)] + [(7, 7)]
