@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from picotick.llm import jaccard_join, mixing, packing, quality_rules, suffix_dedup
-from picotick.llm._spark import stored
+from picotick.llm._spark import NO_ID, stored, text_hash
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Words of a shingle and least Jaccard similarity of near duplicates, in percent; op10 has settings of its own.
@@ -23,9 +23,22 @@ def drop_rejected(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of every near-duplicate group."""
-    gone = jaccard_join.join(docs, width=NEAR_WORDS, percent=NEAR_PERCENT).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """The document with the least id of every near-duplicate group, one row of it; a null id is the least.
+
+    Of different texts with that id the one with the least hash stays. Texts without words are
+    in no group: of those only rows that repeat id and text go.
+    """
+    found = jaccard_join.join(docs, width=NEAR_WORDS, percent=NEAR_PERCENT, groups=True)
+    # a document is an id and a text hash; m is the number of its rows
+    each = stored(found.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc"), F.col("tag").alias("_tag"), "root").agg(F.count("*").alias("m")))
+    first = each.where("root is not null").groupBy("root").agg(F.min(F.struct("_doc", "_tag")).alias("f")).select("root", "f.*")
+    gone = each.where("root is not null").join(first, ["root", "_doc", "_tag"], "left_anti").select("_doc", "_tag")
+    again = each.where("m > 1").select("_doc", "_tag")
+    named = docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc"), text_hash("text").alias("_tag"))
+    apart = stored(gone.withColumn("once", F.lit(False)).unionAll(again.join(gone, ["_doc", "_tag"], "left_anti").withColumn("once", F.lit(True))))
+    single = named.join(apart, ["_doc", "_tag"], "left_anti")
+    once = named.join(apart.where("once").drop("once"), ["_doc", "_tag"], "left_semi").dropDuplicates(["_doc", "_tag"])
+    return single.unionByName(once).select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -383,8 +383,12 @@ class Postings:
         return np.bincount(self.held[concatenated_ranges(self.start[mine], self.count[mine].astype(np.int64))], minlength=self.n)
 
 
-def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WORDS_PER_SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per row: id, ``n_shingles`` and ``component_id`` (least id reachable by links)."""
+def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WORDS_PER_SHINGLE, percent: int = PERCENT, groups: bool = False) -> DataFrame:
+    """Per row: id, ``n_shingles`` and ``component_id`` (least id reachable by links).
+
+    With ``groups`` also ``tag`` (``text_hash``) and ``root``, which tell rows of one id and
+    groups of one least id apart; texts without words have a null root.
+    """
     spark = df.sparkSession
     docs = documents(df, id_col, text_col).withColumn("tag", text_hash("text"))
     measured = stored(_measure(docs, width))
@@ -412,6 +416,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width
 
     rooted = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("doc").alias("component"))
-    linked = rooted.join(least, "root").select("doc", "n", "component")
-    alone = measured.where("not sketch and n = 0").select(F.col("a").alias("doc"), "n", F.col("a").alias("component"))
-    return linked.unionAll(alone).select(id_back(id_col), F.col("n").cast("long").alias("n_shingles"), id_back("component_id", "component"))
+    linked = rooted.join(least, "root").select("doc", "n", "component", "tag", "root")
+    alone = measured.where("not sketch and n = 0").select(F.col("a").alias("doc"), "n", F.col("a").alias("component"), "tag", F.lit(None).cast("long").alias("root"))
+    return linked.unionAll(alone).select(
+        id_back(id_col), F.col("n").cast("long").alias("n_shingles"), id_back("component_id", "component"), *(["tag", "root"] if groups else []))

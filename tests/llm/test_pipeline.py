@@ -1,4 +1,4 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import corpus_pipeline as P
 from picotick.llm import mixing
@@ -64,6 +64,20 @@ def test_near_duplicates_by_five_words_and_80_percent(spark):
     assert {i for i, (_, c) in brute.jaccard([r[:2] for r in rows]).items() if i == c} == {1, 2, 3, 4}
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    """Every group leaves one row, also where its least id is null or its rows repeat; groups of one id stay apart."""
+    text = lambda f: " ".join(f"w{f}x{i}" for i in range(100))
+    edited = lambda f: text(f).replace(f"w{f}x50", "edit")
+    rows = [(None, text(0)), (1, text(0)), (2, edited(0)), (None, text(0))]  # a null id in a group
+    rows += [(None, text(1)), (3, edited(1))]  # another group with a null id
+    rows += [(4, text(2))] * 3 + [(5, text(2))]  # repeated rows
+    rows += [(6, text(3)), (6, text(4)), (7, edited(4))]  # one id, two groups
+    rows += [(8, ""), (9, ""), (9, ""), (None, None), (10, None)]  # no words: no group
+    docs = spark.createDataFrame([(*r, "en", "a", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in P.drop_near_duplicates(spark, docs, SF).collect())
+    assert got == Counter([(None, text(0)), (None, text(1)), (4, text(2)), (6, text(3)), (6, text(4)), (8, ""), (9, ""), (None, None), (10, None)])
+
+
 def test_run(spark):
     whole = P.run(spark, SF)
     assert whole.count() > 0 and {"doc_id", "piece", "sequence_id", "offset"} <= set(whole.columns)
