@@ -2,10 +2,17 @@
 
 Every function works on flat NumPy arrays for a *chunk* of documents at once; ``bounds``
 holds the chunk's document limits, so that no window crosses from one document to the next.
+
+``Roller`` only names anchors: where two of them collide, more is compared and nothing is
+lost. What decides equality is ``digests`` (BLAKE2b of the bytes themselves) or, for sets of
+shingles, ``word_hashes`` and ``shingle_hashes``, which mix block by block and so have no
+words that collide by their form, as polynomials modulo 2**64 do.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
@@ -63,7 +70,26 @@ class Roller:
         return mix((sums[width:] - sums[:n]) * self.up[:n] + self.seed)
 
 
-WORDS, WORDS_2, SHINGLES, SHINGLES_2, BYTES, BYTES_2 = (Roller(s) for s in range(1, 7))
+SHINGLES, BYTES = Roller(3), Roller(5)
+#: Longer words are hashed one by one.
+LONG_WORD = 64
+
+
+def digests(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of the 128-bit BLAKE2b digest of each data[start:end]."""
+    made = b"".join([hashlib.blake2b(data[s:e], digest_size=16).digest() for s, e in zip(start.tolist(), end.tolist(), strict=True)])
+    both = np.frombuffer(made, dtype="<u8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
+def shingle_hashes(words: np.ndarray, start: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
+    """Hash of words start..end-1 (at most ``width`` of them) from their hashes, in order."""
+    h = mix((end - start).astype(U) + U(0x51ED270B))
+    for j in range(width):
+        at = start + j
+        inside = at < end
+        h = np.where(inside, mix((h * U(0x9E3779B97F4A7C15)) ^ words[np.minimum(at, len(words) - 1)]), h)
+    return h
 
 
 def is_space(data: np.ndarray) -> np.ndarray:
@@ -89,8 +115,33 @@ class Chunk:
         self.first = np.searchsorted(self.ws, self.start)
         self.last = np.searchsorted(self.ws, self.end)
 
-    def word_hashes(self, roller: Roller = WORDS, data: np.ndarray | None = None) -> np.ndarray:
-        return roller.spans(roller.sums(self.data if data is None else data), self.ws, self.we)
+    def word_hashes(self, table: np.ndarray | None = None) -> np.ndarray:
+        """64-bit hash of every word, each byte looked up in ``table`` before."""
+        data = np.concatenate((self.data if table is None else table[self.data], np.zeros(8, np.uint8)))
+        eights = np.lib.stride_tricks.sliding_window_view(data, 8)
+        size = self.we - self.ws
+        h = mix(size.astype(U) + U(0xA0761D64))
+        active, at = np.flatnonzero(size <= LONG_WORD), 0
+        while len(active):
+            block = np.ascontiguousarray(eights[self.ws[active] + at]).view("<u8").ravel()
+            rest = np.minimum(size[active] - at, 8)
+            block &= U(0xFFFFFFFFFFFFFFFF) >> (64 - 8 * rest).astype(U)
+            h[active] = mix((h[active] * U(0x9E3779B97F4A7C15)) ^ block)
+            at += 8
+            active = active[size[active] > at]
+        long = np.flatnonzero(size > LONG_WORD)
+        if len(long):
+            h[long] = digests(data.tobytes(), self.ws[long], self.we[long])[0]
+        return h
+
+    def joined(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """All words joined by one space, and each word's start and end there."""
+        space = is_space(self.data)
+        kept = ~space
+        kept[self.we] = True
+        size = self.we - self.ws + 1
+        end = np.cumsum(size)
+        return np.where(space, np.uint8(32), self.data)[kept].tobytes(), end - size, end - 1
 
 
 def chunks(ids: list, texts: list[bytes], most: int = CHUNK_BYTES):
@@ -132,8 +183,7 @@ def segments(roller: Roller, sums: np.ndarray, first: np.ndarray, last: np.ndarr
 
     The anchor of a window is the rightmost of its smallest k-token hashes, so it depends on
     the window's content alone: equal windows anywhere have equal anchors at the same offset.
-    Returns (document, anchor hash, content hash, first window, last window) per run; the
-    content hash covers all tokens of the run's windows and the anchor's place among them.
+    Returns (document, anchor hash, first window, last window) per run.
     """
     width = n - k + 1
     keys = roller.windows(sums, k)
@@ -141,7 +191,7 @@ def segments(roller: Roller, sums: np.ndarray, first: np.ndarray, last: np.ndarr
     has = np.flatnonzero(last - first >= n)
     none = np.zeros(0, dtype=np.int64)
     if not len(has) or not len(low):
-        return none, none.view(U), none.view(U), none, none
+        return none, none.view(U), none, none
     count = (last - first)[has] - n + 1
     places = concatenated_ranges(first[has], count)
     ok = np.zeros(len(low), dtype=bool)
@@ -162,9 +212,7 @@ def segments(roller: Roller, sums: np.ndarray, first: np.ndarray, last: np.ndarr
     final = np.concatenate((fresh[1:], [True]))
     hi[final] = last[doc[final]] - n
     keep = hi >= lo
-    doc, value, lo, hi, pick = doc[keep], value[keep], lo[keep], hi[keep], pick[keep]
-    content = mix(roller.spans(sums, lo, hi + n) + (pick - lo).astype(U) * U(0x9E3779B97F4A7C15))
-    return doc, value, content, lo, hi
+    return doc[keep], value[keep], lo[keep], hi[keep]
 
 
 def runs(doc: np.ndarray, place: np.ndarray):

@@ -4,11 +4,13 @@ A document's windows fall into *runs* that share a content-defined anchor (see
 ``_hashing.segments``): about one run for every 40 bytes or 8 words, so what is shuffled is a
 small part of the text. A run whose anchor occurs nowhere else has no repeated window. A run
 whose whole content started earlier is repeated as a whole. Only runs that share an anchor
-but not their content are *opened*: their windows are compared one by one in a second step.
+but not their content are *opened*: their windows are compared one by one in a further step.
 
 Flags are rows (doc, tag, lo, len, kind): windows lo..lo+len-1 of a document are repeated
 (DUP) or have to be opened (OPEN). ``tag`` tells rows of one doc_id apart when ids repeat;
 rows that repeat both id and text are one document, and each gets that document's result.
+A single text is handled whole in one task, whatever its length: some 30 bytes of memory
+for each of its bytes.
 """
 
 from __future__ import annotations
@@ -50,13 +52,13 @@ def batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 
 
-def _reduced(key, content, doc, tag, lo, size):
+def _reduced(key, content, check, doc, tag, lo, size):
     """Pre-aggregates a batch's runs: of equal runs the first is passed on, the rest are DUP;
     an anchor with many contents is opened here, with two of them passed on as witnesses."""
-    order = np.lexsort((lo, tag, doc, content, key))
-    key, content, doc, tag, lo, size = (x[order] for x in (key, content, doc, tag, lo, size))
+    order = np.lexsort((lo, tag, doc, check, content, key))
+    key, content, check, doc, tag, lo, size = (x[order] for x in (key, content, check, doc, tag, lo, size))
     new_key = np.concatenate(([True], key[1:] != key[:-1]))
-    head = new_key | np.concatenate(([True], content[1:] != content[:-1]))
+    head = new_key | np.concatenate(([True], (content[1:] != content[:-1]) | (check[1:] != check[:-1])))
     at = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
     kind = np.where(head, RAW, DUP).astype(np.int8)
     again = ~head & (doc == doc[at]) & (tag == tag[at]) & (lo == lo[at])  # the same document once more
@@ -68,15 +70,16 @@ def _reduced(key, content, doc, tag, lo, size):
     witness = many & (nth <= 2)
     take = np.concatenate((np.flatnonzero(~again), np.flatnonzero(witness)))
     kind = np.concatenate((kind[~again], np.full(int(witness.sum()), RAW, np.int8)))
-    return key[take], content[take], doc[take], tag[take], lo[take], size[take], kind
+    return key[take], content[take], check[take], doc[take], tag[take], lo[take], size[take], kind
 
 
-RUN = "key long, content long, doc long, tag int, lo int, len int, kind byte"
+#: content and check are the halves of a BLAKE2b digest of the run's own words.
+RUN = "key long, content long, check long, doc long, tag int, lo int, len int, kind byte"
 
 
 def find_runs(docs: DataFrame, runs_of) -> DataFrame:
-    """Rows of RUN: ``runs_of(chunk)`` gives (document, anchor, content, first, last) per chunk,
-    with places counted from the start of the chunk's document."""
+    """Rows of RUN: ``runs_of(chunk)`` gives (document, anchor, content, check, first, last) per
+    chunk, with places counted from the start of the chunk's document."""
 
     def run(batches):
         for b in batches:
@@ -84,8 +87,8 @@ def find_runs(docs: DataFrame, runs_of) -> DataFrame:
             ids, tags = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tag"))
             held, size = [], 0
             for part, chunk in chunks(texts, texts):
-                doc, key, content, lo, hi = runs_of(chunk)
-                held.append((key, content, ids[part][doc], tags[part][doc], lo.astype(np.int32), (hi - lo + 1).astype(np.int32)))
+                doc, key, content, check, lo, hi = runs_of(chunk)
+                held.append((key, content, check, ids[part][doc], tags[part][doc], lo.astype(np.int32), (hi - lo + 1).astype(np.int32)))
                 size += len(key)
                 if size > 500_000:
                     yield batch_of(held)
@@ -97,10 +100,10 @@ def find_runs(docs: DataFrame, runs_of) -> DataFrame:
 
 
 def batch_of(held):
-    key, content, doc, tag, lo, size, kind = _reduced(*(np.concatenate(c) for c in zip(*held, strict=True)))
+    key, content, check, doc, tag, lo, size, kind = _reduced(*(np.concatenate(c) for c in zip(*held, strict=True)))
     # settled rows travel under a key of their own, so they spread over all tasks
     key = np.where(kind == RAW, key, content ^ doc.astype(U))
-    return batch(key=signed(key), content=signed(content), doc=doc, tag=tag, lo=lo, len=size, kind=kind)
+    return batch(key=signed(key), content=signed(content), check=signed(check), doc=doc, tag=tag, lo=lo, len=size, kind=kind)
 
 
 def open_ranges(part, width: int):
@@ -166,60 +169,31 @@ def points(key, content, doc, tag, place, repeats, which, docs, tags, places) ->
     )
 
 
-def first_of_each(rows: DataFrame, opening: bool) -> DataFrame:
-    """Settles rows by (key, content): the first keeps its place, later ones are DUP.
+def first_of_each(rows: DataFrame) -> DataFrame:
+    """Settles POINT rows by (key, content): the first keeps its place, later ones are DUP.
 
-    With ``opening``, firsts whose key has several contents are OPEN. One shuffle by key; each
-    task streams its sorted rows and remembers only the current key, however common it is.
+    One shuffle by key; each task streams its sorted rows and remembers only the current
+    window, however common it is.
     """
 
     def run(batches):
-        carry = None  # (key, content, doc, tag, lo, key has several contents, pending first row or None)
+        carry = None  # (key, content, doc, tag, lo) of the latest row's first
         for b in batches:
-            kind = b.column("kind").to_numpy()
-            settled = kind != RAW
+            settled = b.column("kind").to_numpy() != RAW
             if settled.any():
-                part = b.filter(pa.array(settled))
-                yield part.select(["doc", "tag", "lo", "len", "kind"])
+                yield b.filter(pa.array(settled)).select(["doc", "tag", "lo", "len", "kind"])
             b = b.filter(pa.array(~settled))
             if not b.num_rows:
                 continue
             key, content, doc, tag, lo, size = (b.column(c).to_numpy() for c in ("key", "content", "doc", "tag", "lo", "len"))
-            new_key = np.concatenate(([carry is None or key[0] != carry[0]], key[1:] != key[:-1]))
-            head = new_key | np.concatenate(([carry is None or content[0] != carry[1]], content[1:] != content[:-1]))
+            head = np.concatenate(([carry is None or (key[0], content[0]) != carry[:2]], (key[1:] != key[:-1]) | (content[1:] != content[:-1])))
             at = np.maximum.accumulate(np.where(head, np.arange(len(key)), -1))
-            same = lambda mine, i: np.where(at >= 0, mine == mine[np.maximum(at, 0)], mine == (carry[i] if carry else 0))
-            again = same(doc, 2) & same(tag, 3) & same(lo, 4)
-            out_kind = np.where(head, RAW, DUP).astype(np.int8)
-            keep = ~head & ~again
-            pending = carry[6] if carry else None
-            if opening:
-                group = np.cumsum(new_key) - new_key[0]
-                several = np.zeros(group[-1] + 1, dtype=bool)
-                heads = np.bincount(group, weights=head)
-                several = heads > 1
-                if not new_key[0]:
-                    several[0] = carry[5] or heads[0] > 0
-                if pending is not None and (new_key[0] or several[0]):
-                    if not new_key[0]:
-                        yield batch(doc=np.array([pending[0]]), tag=np.array([pending[1]], np.int32), lo=np.array([pending[2]], np.int32), len=np.array([pending[3]], np.int32), kind=np.array([OPEN], np.int8))
-                    pending = None
-                opened = head & several[group]
-                out_kind[opened] = OPEN
-                keep |= opened
-                if group[-1]:
-                    pending = None
-                last_several = bool(several[-1])
-                if not last_several and head.any() and group[np.flatnonzero(head)[-1]] == group[-1]:
-                    i = np.flatnonzero(head)[-1]
-                    pending = (doc[i], tag[i], lo[i], size[i])
-            else:
-                last_several = False
+            same = lambda mine, i: np.where(at >= 0, mine == mine[np.maximum(at, 0)], mine == (carry[i] if carry else 0))  # noqa: E731, B023
+            keep = ~head & ~(same(doc, 2) & same(tag, 3) & same(lo, 4))
             i = at[-1]
-            first = (doc[i], tag[i], lo[i]) if i >= 0 else carry[2:5]
-            carry = (key[-1], content[-1], *first, last_several, pending)
+            carry = (key[-1], content[-1], *((doc[i], tag[i], lo[i]) if i >= 0 else carry[2:]))
             if keep.any():
-                yield batch(doc=doc[keep], tag=tag[keep], lo=lo[keep], len=size[keep], kind=out_kind[keep])
+                yield batch(doc=doc[keep], tag=tag[keep], lo=lo[keep], len=size[keep], kind=np.full(int(keep.sum()), DUP, np.int8))
 
     dealt = rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "content", "doc", "tag", "lo")
     return dealt.mapInArrow(run, FLAG)

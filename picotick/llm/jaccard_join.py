@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import Groups, components
-from ._hashing import SHINGLES, WORDS, Chunk, U, chunks, concatenated_ranges, mix
+from ._hashing import Chunk, U, chunks, concatenated_ranges, mix, shingle_hashes
 from ._spark import NO_ID, documents, id_back, partitions, stored, text_hash
 from ._windows import batch, signed
 
@@ -56,12 +56,12 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 def shingles(chunk: Chunk, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, shingle hash), sorted and distinct; a text of fewer words is one shingle."""
     chunk.words()
-    sums = SHINGLES.sums(chunk.word_hashes(WORDS, _LOWER[chunk.data]))
+    words = chunk.word_hashes(_LOWER)
     n = chunk.last - chunk.first
     start = concatenated_ranges(chunk.first, np.where(n > 0, np.maximum(n - width + 1, 1), 0))
     count = np.where(n > 0, np.maximum(n - width + 1, 1), 0)
     doc = np.repeat(np.arange(len(n)), count)
-    token = SHINGLES.spans(sums, start, np.minimum(start + width, chunk.last[doc]))
+    token = shingle_hashes(words, start, np.minimum(start + width, chunk.last[doc]), width)
     order = np.lexsort((token, doc))
     doc, token = doc[order], token[order]
     keep = np.ones(len(doc), dtype=bool)

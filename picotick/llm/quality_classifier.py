@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._hashing import SHINGLES, WORDS, Chunk, U, chunks, mix
+from ._hashing import Chunk, U, chunks, mix
 
 BITS = 18
 MAX_TRAIN = 10_000
@@ -40,12 +40,12 @@ def features(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     chunk.words()
     n = len(chunk.ws)
     owner = np.repeat(np.arange(len(chunk.start)), chunk.last - chunk.first)
-    word = chunk.word_hashes(WORDS)
+    word = chunk.word_hashes()
     folded = _SHAPE[chunk.data]
     folded = folded[np.concatenate(([True], folded[1:] != folded[:-1]))]
     plain = Chunk([folded.tobytes()])
     plain.words()
-    shape = plain.word_hashes(SHINGLES)
+    shape = plain.word_hashes()
     docs, slots = [], []
 
     def add(kind: int, values: np.ndarray, width: int) -> None:

@@ -8,12 +8,14 @@ documents so far, bucketed and sorted by fingerprint. A new batch is fingerprint
 the same buckets once, and merge-joined with every run, so history is never shuffled. What
 the batch adds is its own run; once there are ``MAX_RUNS``, the two youngest are compacted
 by a merge join into one before the next batch. Fingerprints are taken per content-defined group of
-windows (``_windows``); where a group's anchor matches but its content differs, the windows
-themselves are verified one by one by 128-bit hashes of their words.
+windows (``_windows``): its anchor's hash finds it in the runs, and a match is verified by the
+128-bit BLAKE2b digest of the group's very words, joined by one space. Where the anchor matches
+but the digest differs, the windows are verified one by one by digests of their 20 words.
 
 Null texts have no words; null ids come before all others; rows that repeat id and text are
 one document (each gets its result), rows that repeat only the id are ordered by a hash of
-the text; extra columns are carried if ``keep`` names them; an empty table gives no rows.
+the text; extra columns are carried if ``keep`` names them; an empty table gives no rows. Words
+may have any length; one text is handled whole by one task.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._hashing import SHINGLES, SHINGLES_2, WORDS, WORDS_2, Chunk, chunks, concatenated_ranges, covered, segments
+from ._hashing import SHINGLES, Chunk, chunks, concatenated_ranges, covered, digests, segments
 from ._spark import id_back, partitions, stored
 from ._windows import DUP, MOST_CONTENTS, OPEN, POINT, RAW, compressed, edges, find_runs, first_of_each, flagged_texts, packed_flags, points, tagged, without
 
@@ -43,14 +45,15 @@ BATCHES = 3
 def _groups(width: int, anchor: int):
     def of(chunk: Chunk):
         chunk.words()
-        doc, key, content, lo, hi = segments(SHINGLES, SHINGLES.sums(chunk.word_hashes(WORDS)), chunk.first, chunk.last, width, anchor)
-        return doc, key, content, lo - chunk.first[doc], hi - chunk.first[doc]
+        doc, key, lo, hi = segments(SHINGLES, SHINGLES.sums(chunk.word_hashes()), chunk.first, chunk.last, width, anchor)
+        joined, start, end = chunk.joined()
+        return doc, key, *digests(joined, start[lo], end[hi + width - 1]), lo - chunk.first[doc], hi - chunk.first[doc]
 
     return of
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of fingerprints: key (anchor), content, and where it occurred first."""
+    """Sorted immutable runs of fingerprints: key (anchor), digest of the words, and where they occurred first."""
 
     def __init__(self, spark: SparkSession, width: int = WIDTH, anchor: int = ANCHOR, max_runs: int = MAX_RUNS):
         self.spark, self.width, self.anchor, self.max_runs = spark, width, anchor, max_runs
@@ -75,24 +78,25 @@ class FingerprintIndex:
             self._compact()
         found = find_runs(docs, _groups(self.width, self.anchor)).repartition(self.buckets, "key")
         fresh = F.col("kind") == RAW
-        in_order = Window.partitionBy("key").orderBy("kind", "content", "doc", "tag", "lo")
-        raw_content = F.when(fresh, F.col("content"))
+        digest = F.struct("content", "check")
+        in_order = Window.partitionBy("key").orderBy("kind", "content", "check", "doc", "tag", "lo")
+        raw_content = F.when(fresh, digest)
         one_key = Window.partitionBy("key")
-        judged = found.withColumn("head", fresh & (F.coalesce(F.lag("content").over(in_order) != F.col("content"), F.lit(True))))
+        judged = found.withColumn("head", fresh & (F.coalesce(F.lag(digest).over(in_order) != digest, F.lit(True))))
         judged = judged.withColumn("several", F.min(raw_content).over(one_key) != F.max(raw_content).over(one_key))
         judged = judged.withColumn("content_no", F.sum(F.col("head").cast("int")).over(in_order))
         seen, known, old = F.lit(False), F.lit(False), []
         for i, name in enumerate(self.runs):
             # a run holds at most MOST_CONTENTS contents of a key, so these arrays are short
-            run = self._run(name).groupBy("key").agg(F.collect_list("content").alias(f"c{i}"), F.first(F.struct("doc", "tag", "lo", "len")).alias(f"o{i}"))
+            run = self._run(name).groupBy("key").agg(F.collect_list(digest).alias(f"c{i}"), F.first(F.struct("doc", "tag", "lo", "len")).alias(f"o{i}"))
             judged = judged.join(run, "key", "left")
-            seen = seen | F.coalesce(F.array_contains(f"c{i}", F.col("content")), F.lit(False))
+            seen = seen | F.coalesce(F.array_contains(f"c{i}", digest), F.lit(False))
             known = known | F.col(f"c{i}").isNotNull()
             old.append(F.when(F.size(f"c{i}") == 1, F.col(f"o{i}")))
         kind = F.when(~fresh, F.col("kind")).when(seen | ~F.col("head"), F.lit(DUP)).when(F.col("several") | known, F.lit(OPEN)).otherwise(F.lit(RAW))
         opens = F.when(F.col("head") & ~seen, F.coalesce(*old)) if old else F.lit(None).cast("struct<doc: long, tag: int, lo: int, len: int>")
         name = self._write(judged.select(
-            "key", "content", "doc", "tag", "lo", "len", kind.cast("byte").alias("kind"),
+            "key", "content", "check", "doc", "tag", "lo", "len", kind.cast("byte").alias("kind"),
             (F.col("head") & ~seen & (F.col("content_no") <= MOST_CONTENTS)).alias("indexed"), opens.alias("opens")))
         self.runs.append(name)
         table = self.spark.table(name)
@@ -102,7 +106,7 @@ class FingerprintIndex:
     def _compact(self) -> None:
         """Merge-joins the two youngest runs into one."""
         rows = [
-            self._run(name).groupBy("key").agg(F.collect_list(F.struct("content", "doc", "tag", "lo", "len", "indexed")).alias(f"rows{i}"))
+            self._run(name).groupBy("key").agg(F.collect_list(F.struct("content", "check", "doc", "tag", "lo", "len", "indexed")).alias(f"rows{i}"))
             for i, name in enumerate(self.runs[-2:])
         ]
         # by key alone, as the runs are bucketed: neither is shuffled, and each bucket is written by one task
@@ -148,9 +152,9 @@ def _opened(part, width: int, base: int):
         mine = slice(bounds[at.start], bounds[at.stop])
         start = np.unique(concatenated_ranges(chunk.first[owner[mine] - at.start] + lo[mine], size[mine]))
         which = np.searchsorted(chunk.last, start, side="right")
-        sums, sums_2 = SHINGLES.sums(chunk.word_hashes(WORDS)), SHINGLES_2.sums(chunk.word_hashes(WORDS_2))
+        joined, first, end = chunk.joined()
         text = which + at.start
-        yield SHINGLES.spans(sums, start, start + width), SHINGLES_2.spans(sums_2, start, start + width), ids[text], tags[text], start - chunk.first[which], text + base
+        yield *digests(joined, first[start], end[start + width - 1]), ids[text], tags[text], start - chunk.first[which], text + base
 
 
 def _points(held) -> pa.RecordBatch:
@@ -191,15 +195,17 @@ def dedup(
     cuts = sorted(set(docs.approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01)))
     limits = [None, *(int(c) for c in cuts), None]
     index, flags = FingerprintIndex(spark, width, anchor), []
-    for low, high in zip(limits, limits[1:], strict=False):
-        part = docs.select("doc", "tag", "text")
-        part = part if low is None else part.where(F.col("doc") > low)
-        flags.append(index.add(part if high is None else part.where(F.col("doc") <= high)))
-    index.drop()
+    try:
+        for low, high in zip(limits, limits[1:], strict=False):
+            part = docs.select("doc", "tag", "text")
+            part = part if low is None else part.where(F.col("doc") > low)
+            flags.append(index.add(part if high is None else part.where(F.col("doc") <= high)))
+    finally:
+        index.drop()
     flags = reduce(DataFrame.unionAll, flags)
     texts = compressed(docs)
     opened = texts.join(packed_flags(flags.where(F.col("kind") == OPEN)), ["doc", "tag"])  # all columns of the texts, as in the last join, so that they are shuffled once
-    second = first_of_each(verified_windows(opened, width), opening=False)
+    second = first_of_each(verified_windows(opened, width))
     repeats = flags.where(F.col("kind") == DUP).unionByName(second.where(F.col("kind") == DUP))
     found = without(texts, repeats, _cut(width))
     return found.select(id_back(id_col), F.col("n_tokens").alias("n_words"), F.col("kept").cast("string").alias("kept"), "removed", "carried")

@@ -4,17 +4,25 @@ A byte is removed if a ``width``-byte string that starts at or before it and cov
 starts earlier: in a document with a smaller id, or earlier in the same one. Strings are
 judged on the input and never cross documents.
 
-Sorting all suffixes of a corpus would move every byte many times. Only suffixes that may
-repeat are sorted: content-defined runs of them (``_windows``) that share an anchor of 24, and
-then one of 88 bytes, with a different run. Each task sorts its suffixes by their first ``width`` bytes:
-
-* shallow: multikey quicksort on eight-byte characters, to a depth of 16 bytes;
-* deep: groups that are still equal go into blind tries, which look only at the character
-  where a group's members first differ and skip what they share, level by level for all
-  groups of a task at once. Leaves with several suffixes are equal over ``width`` bytes.
-
-The first suffix of each leaf meets those of the other tasks by its 128-bit hash, one row
-for each task and string, so a passage that very many documents share stays small.
+Shipping every suffix with its first ``width`` bytes would move a corpus a hundred times. So
+suffixes travel in *runs* (``_windows``): neighbours whose strings share an anchor, about 40
+suffixes in 140 bytes. Equal strings have equal anchors, which gives
+
+1. a filter: suffixes whose 24-byte anchor occurs once in the corpus repeat nothing. That is
+   all that a fingerprint decides;
+2. a partitioning: runs of one anchor meet in one task, as bytes, and are sorted there by
+   deep-shallow sorting, which alone decides what repeats. A leaf of the sort with several
+   runs is one byte string: all but its first are repeated. Where runs of an anchor differ,
+   their suffixes are regrouped by an anchor of 88 bytes and sorted again, and those that
+   differ still by all ``width`` bytes, one suffix a run.
+
+``deep_shallow`` is multikey quicksort on eight-byte characters down to a shallow depth; what
+is still equal there goes, group by group, into a blind trie (``BlindTrie``).
+
+Tasks sort their own runs before the shuffle too, so a passage that very many documents share
+arrives once a batch; an anchor with many different runs in one batch is regrouped there by
+the longer anchor, so no anchor, however common, gathers its runs in one task. Memory is
+bounded by ``SORTED_AT_ONCE`` runs and one text (about 30 bytes for each of its bytes).
 
 Null texts are empty; null ids come before all others; rows that repeat id and text are one
 document (each gets its result), rows that repeat only the id are ordered by a hash of the
@@ -25,160 +33,372 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._hashing import BYTES, BYTES_2, concatenated_ranges, covered, segments
-from ._spark import id_back, stored
-from ._windows import DUP, OPEN, POINT, RUN, batch_of, compressed, edges, find_runs, first_of_each, flagged_texts, open_ranges, packed_flags, points, tagged, without
+from ._hashing import BYTES, U, chunks, concatenated_ranges, covered, mix, segments
+from ._spark import id_back, partitions, stored
+from ._windows import MOST_CONTENTS, batch, compressed, edges, flagged_texts, open_ranges, packed_flags, signed, tagged, without
 
 WIDTH = 100
 ANCHOR = 24
-FINER_ANCHOR = 88
+#: Levels of regrouping: by ANCHOR bytes, by all but FINER of the width, by the whole string.
+FINER, LAST = 12, 2
+DONE = LAST + 1
 SHALLOW = 16
-#: Suffixes sorted at once in a task.
-SORTED_AT_ONCE = 400_000
+#: Runs sorted at once in a task, and regrouped at once.
+SORTED_AT_ONCE, REGROUPED_AT_ONCE = 100_000, 5_000
+
+
+def _characters(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as one number, in the order of the bytes."""
+    eights = np.lib.stride_tricks.sliding_window_view(text, 8)
+    return np.ascontiguousarray(eights[at]).view(">u8").ravel().astype(U)
+
+
+def multikey_quicksort(characters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts rows of characters: their order, and where a row differs from the one before.
+
+    Each round splits every unsettled range into rows whose current character is below, at or
+    above the range's pivot (a median of three); the middle part goes on to its next character.
+    """
+    n, most = characters.shape
+    order, fresh = np.arange(n), np.zeros(n, dtype=bool)
+    fresh[:1] = True
+    start, size, depth = (np.array([x], dtype=np.int64) for x in (0, n, 0))
+    while True:
+        go = (size > 1) & (depth < most)
+        start, size, depth = start[go], size[go], depth[go]
+        if not len(start):
+            return order, fresh
+        slots = concatenated_ranges(start, size)
+        owner = np.repeat(np.arange(len(start)), size)
+        rows = order[slots]
+        key = characters[rows, depth[owner]]
+        head = np.cumsum(size) - size
+        three = np.stack([key[head], key[head + size // 2], key[head + size - 1]])
+        pivot = np.sort(three, axis=0)[1]
+        side = (key >= pivot[owner]).astype(np.int8) + (key > pivot[owner])
+        count = np.bincount(owner * 3 + side, minlength=3 * len(start)).reshape(-1, 3)
+        first = start[:, None] + np.cumsum(count, axis=1) - count
+        for c in range(3):
+            order[concatenated_ranges(first[:, c], count[:, c])] = rows[side == c]
+        fresh[first[count > 0]] = True
+        start, size, depth = first.ravel(), count.ravel(), (depth[:, None] + np.array([0, 1, 0])).ravel()
+
+
+class BlindTrie:
+    """Orders strings of one length: inner nodes hold only where their strings first differ.
+
+    A string goes down by the bytes at those places alone, meets one leaf, and is compared
+    with that leaf's string once; the first byte in which they differ is its place in the trie.
+    """
+
+    def __init__(self):
+        self.root = None
+
+    def add(self, text: bytes, member: int) -> None:
+        if self.root is None:
+            self.root = (text, [member])
+            return
+        node = self.root
+        while isinstance(node[1], dict):
+            node = node[1].get(text[node[0]]) or next(iter(node[1].values()))
+        if node[0] == text:
+            node[1].append(member)
+            return
+        place = _first_difference(node[0], text)
+        above, node_here = None, self.root
+        while isinstance(node_here[1], dict) and node_here[0] < place:
+            above, node_here = node_here, node_here[1][text[node_here[0]]]
+        if isinstance(node_here[1], dict) and node_here[0] == place:
+            node_here[1][text[place]] = (text, [member])
+            return
+        branch = (place, {node[0][place]: node_here, text[place]: (text, [member])})
+        if above is None:
+            self.root = branch
+        else:
+            above[1][text[above[0]]] = branch
+
+    def leaves(self) -> list[list[int]]:
+        """The members of each leaf, in the order of their strings."""
+        out, open_ = [], [self.root] if self.root else []
+        while open_:
+            node = open_.pop()
+            if isinstance(node[1], dict):
+                open_ += [node[1][c] for c in sorted(node[1], reverse=True)]
+            else:
+                out.append(node[1])
+        return out
+
+
+def _first_difference(a: bytes, b: bytes) -> int:
+    low, high = 0, len(a)  # a[:low] == b[:low], a[:high] != b[:high]
+    while high - low > 1:
+        middle = (low + high) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle
+    return low
 
 
 def deep_shallow(text: np.ndarray, suffixes: np.ndarray, depth: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
-    """Sorts suffixes by their first ``depth`` bytes (``depth >= shallow``, a multiple of 8).
+    """Sorts suffixes by their first ``depth`` bytes (at least ``shallow``, a multiple of 8).
 
     Returns their order and a mask that is True where a suffix differs from the one before.
     """
     n = len(suffixes)
-    order, fresh = np.arange(n), np.zeros(n, dtype=bool)
     if not n:
+        return np.arange(0), np.zeros(0, dtype=bool)
+    order, fresh = multikey_quicksort(np.stack([_characters(text, suffixes + d) for d in range(0, shallow, 8)], axis=1))
+    if depth == shallow:
         return order, fresh
-    fresh[0] = True
-    eights = np.lib.stride_tricks.sliding_window_view(text, 8)
-    character = lambda at: np.ascontiguousarray(eights[at]).view(">u8").ravel().astype(np.uint64)
-    active = np.arange(n) if n > 1 else np.zeros(0, dtype=np.int64)
-    for d in range(0, shallow, 8):  # multikey quicksort: groups that agree so far are sorted by their next character
-        group = np.cumsum(fresh)[active]
-        key = character(suffixes[order[active]] + d)
-        o = np.lexsort((key, group))
-        order[active] = order[active][o]
-        key = key[o]
-        fresh[active[1:]] |= key[1:] != key[:-1]
-        active = _unsettled(fresh)
-        if not len(active):
-            return order, fresh
-    places = [*range(shallow, depth - 7, 8)]
-    if (depth - shallow) % 8:
-        places.append(depth - 8)
-    row = np.full(n, -1)
-    row[order[active]] = np.arange(len(active))
-    deep = np.empty((len(active), len(places)), dtype=np.uint64)
-    for j, d in enumerate(places):
-        deep[:, j] = character(suffixes[order[active]] + d)
-    while len(active) and places:
-        group = np.cumsum(fresh)[active]
-        start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        nth = np.cumsum(np.concatenate(([0], (group[1:] != group[:-1]).astype(np.int64))))
-        mine = row[order[active]]
-        differs = deep[mine] != deep[mine[start]][nth]
-        shared = np.where(differs.any(axis=1), differs.argmax(axis=1), len(places))
-        branch = np.minimum.reduceat(shared, start)[nth]  # where the node's members first differ
-        go = branch < len(places)
-        active, nth, mine, branch = active[go], nth[go], mine[go], branch[go]
-        if not len(active):
-            break
-        key = deep[mine, branch]
-        o = np.lexsort((key, nth))
-        order[active] = order[active][o]
-        key, nth = key[o], nth[o]
-        cut = (key[1:] != key[:-1]) & (nth[1:] == nth[:-1])
-        fresh[active[1:]] |= cut
-        in_play = np.zeros(n, dtype=bool)
-        in_play[active] = True
-        active = _unsettled(fresh)
-        active = active[in_play[active]]
+    whole = text.tobytes()
+    start = np.flatnonzero(fresh)
+    size = np.diff(np.append(start, n))
+    for at, m in zip(start[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+        rows = order[at : at + m].tolist()
+        trie = BlindTrie()
+        for row, s in zip(rows, suffixes[order[at : at + m]].tolist(), strict=True):
+            trie.add(whole[s + shallow : s + depth], row)
+        for members in trie.leaves():
+            order[at : at + len(members)] = members
+            fresh[at] = True
+            at += len(members)
     return order, fresh
 
 
-def _unsettled(fresh: np.ndarray) -> np.ndarray:
-    """Slots of groups with two members or more."""
-    last = np.concatenate((fresh[1:], [True]))
-    return np.flatnonzero(~(fresh & last))
+# what travels -------------------------------------------------------------------------------
+
+#: A run's bytes are ``run``; level DONE marks settled repeats (windows lo..lo+len-1), without bytes.
+RUN = "key long, doc long, tag int, lo int, len int, level byte, run binary"
+
+
+class Runs:
+    """Runs of one batch: a row of columns for each, and its bytes data[start:end]."""
+
+    def __init__(self, key, doc, tag, lo, size, data: bytes, start, end):
+        self.key, self.doc, self.tag, self.lo, self.size, self.data, self.start, self.end = key, doc, tag, lo, size, data, start, end
+
+    def take(self, rows) -> Runs:
+        return Runs(*(x[rows] for x in (self.key, self.doc, self.tag, self.lo, self.size)), self.data, self.start[rows], self.end[rows])
+
+    def bytes(self) -> bytes:
+        return b"".join([self.data[s:e] for s, e in zip(self.start.tolist(), self.end.tolist(), strict=True)])
+
+    def rows(self, level: int) -> pa.RecordBatch:
+        n = len(self.key)
+        if level == DONE:  # settled rows travel under keys of their own, so they spread over all tasks
+            key, run = mix(self.doc.astype(U) * U(7919) + self.lo.astype(U)), pa.nulls(n, pa.binary())
+        else:
+            offsets = np.concatenate(([0], np.cumsum(self.end - self.start))).astype(np.int32)
+            key, run = self.key, pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(self.bytes())])
+        return batch(
+            key=signed(key), doc=self.doc, tag=self.tag.astype(np.int32), lo=self.lo.astype(np.int32), len=self.size.astype(np.int32),
+            level=np.full(n, level, np.int8), run=run)
+
+    def regrouped(self, level: int, width: int) -> Runs:
+        """The same windows in runs of that level's anchor."""
+        return joined([self.take(slice(at, at + REGROUPED_AT_ONCE))._regrouped(level, width) for at in range(0, len(self.key), REGROUPED_AT_ONCE)])
+
+    def _regrouped(self, level: int, width: int) -> Runs:
+        data = self.bytes()
+        last = np.cumsum(self.end - self.start)
+        first = last - (self.end - self.start)
+        sums = BYTES.sums(np.frombuffer(data, dtype=np.uint8))
+        i, key, lo, hi = segments(BYTES, sums, first, last, width, (ANCHOR, width - FINER, width)[level])
+        return Runs(key, self.doc[i], self.tag[i], lo - first[i] + self.lo[i], hi - lo + 1, data, lo, hi + width)
+
+    def sorted(self) -> tuple[Runs, np.ndarray, np.ndarray]:
+        """In the order of bytes and then of places; where a new string begins; which rows repeat its first one's place."""
+        size = self.end - self.start
+        most = int(-(-size.max() // 8) * 8)
+        eights = np.lib.stride_tricks.sliding_window_view(np.frombuffer(self.data + b"\0" * (most + 8), dtype=np.uint8), 8)
+        table = np.zeros((len(size), most // 8 + 1), dtype="<u8")
+        for at in range(0, most, 8):
+            rest = np.clip(size - at, 0, 8)
+            block = np.ascontiguousarray(eights[self.start + at]).view("<u8").ravel()
+            table[:, at // 8] = np.where(rest > 0, block & (U(0xFFFFFFFFFFFFFFFF) >> (64 - 8 * np.maximum(rest, 1)).astype(U)), U(0))
+        table[:, -1] = size  # a string and its longer self differ
+        order, fresh = deep_shallow(table.view(np.uint8).ravel(), np.arange(len(size)) * (most + 8), most + 8)
+        order = order[np.lexsort((self.lo[order], self.tag[order], self.doc[order], np.cumsum(fresh)))]
+        found = self.take(order)
+        head = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+        again = ~fresh & (found.doc == found.doc[head]) & (found.tag == found.tag[head]) & (found.lo == found.lo[head])
+        return found, fresh, again
+
+
+def joined(parts: list[Runs]) -> Runs:
+    if len(parts) == 1:
+        return parts[0]
+    columns = [np.concatenate([getattr(p, c) for p in parts]) for c in ("key", "doc", "tag", "lo", "size")]
+    ahead = np.cumsum([0, *(len(p.data) for p in parts)])
+    start, end = (np.concatenate([getattr(p, c) + a for p, a in zip(parts, ahead, strict=False)]) for c in ("start", "end"))
+    return Runs(*columns, b"".join([p.data for p in parts]), start, end)
+
+
+def _before_shuffle(runs: Runs, level: int, width: int):
+    """RUN rows of a task's own runs: the first of each string, and ranges settled as repeated.
+
+    An anchor with many strings goes on to the next level here; two of them stay as witnesses,
+    so that the anchor's runs in other tasks are regrouped too.
+    """
+    for at in range(0, len(runs.key), SORTED_AT_ONCE):
+        found, fresh, again = runs.take(slice(at, at + SORTED_AT_ONCE)).sorted()
+        gone = np.flatnonzero(~fresh & ~again)
+        if len(gone):
+            yield found.take(gone).rows(DONE)
+        heads = np.flatnonzero(fresh)
+        if level < LAST:
+            _, group, count = np.unique(found.key[heads], return_inverse=True, return_counts=True)
+            many = count[group] > MOST_CONTENTS
+            if many.any():
+                by_key = np.argsort(group, kind="stable")
+                nth = np.empty(len(heads), dtype=np.int64)
+                nth[by_key] = np.arange(len(heads)) - np.repeat(np.cumsum(count) - count, count)
+                yield from _before_shuffle(found.take(heads[many]).regrouped(level + 1, width), level + 1, width)
+                heads = heads[~many | (nth < 2)]
+        yield found.take(heads).rows(level)
+
+
+class Settler:
+    """Sorts a task's runs anchor by anchor, in parts of about SORTED_AT_ONCE rows.
+
+    An anchor that does not fit in a part goes on to the next level whole; on the last level,
+    where its runs are one string, that string's first place is carried to the next part.
+    """
+
+    def __init__(self, level: int, width: int):
+        self.level, self.width = level, width
+        self.held: list[pa.RecordBatch] = []
+        self.n = 0
+        self.goes_on = False
+        self.carry: list[Runs] = []
+
+    def add(self, b: pa.RecordBatch):
+        self.held.append(b)
+        self.n += b.num_rows
+        if self.n < SORTED_AT_ONCE:
+            return
+        whole = pa.Table.from_batches(self.held).combine_chunks().to_batches()[0]
+        key = whole.column("key").to_numpy()
+        cut = int(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))[-1])
+        self.held = [whole.slice(cut)] if cut else []
+        self.n = whole.num_rows - cut if cut else 0
+        yield from self._part(whole.slice(0, cut) if cut else whole, more=not cut)
+
+    def finish(self):
+        if self.n:
+            yield from self._part(pa.Table.from_batches(self.held).combine_chunks().to_batches()[0], more=False)
+
+    def _part(self, b: pa.RecordBatch, more: bool):
+        key, doc, tag, lo, size = (b.column(c).to_numpy() for c in ("key", "doc", "tag", "lo", "len"))
+        length = pc.binary_length(b.column("run")).to_numpy(zero_copy_only=False).astype(np.int64)
+        end = np.cumsum(length)
+        runs = Runs(key.view(U), doc, tag, lo, size, b"".join(b.column("run").to_pylist()), end - length, end)
+        first, last = runs.key[0], runs.key[-1]
+        found, fresh, again = (joined([*self.carry, runs]) if self.carry else runs).sorted()
+        self.carry = []
+        gone = np.flatnonzero(~fresh & ~again)
+        if len(gone):
+            yield found.take(gone).rows(DONE)
+        heads = np.flatnonzero(fresh)
+        if self.level == LAST:
+            if more:
+                self.carry = [found.take(heads[found.key[heads] == last])]
+            return
+        _, group, count = np.unique(found.key[heads], return_inverse=True, return_counts=True)
+        go = (count[group] > 1) | ((found.key[heads] == last) & more) | ((found.key[heads] == first) & self.goes_on)
+        self.goes_on = more
+        if go.any():
+            yield from _before_shuffle(found.take(heads[go]).regrouped(self.level + 1, self.width), self.level + 1, self.width)
+
+
+def settle(rows: DataFrame, level: int, width: int) -> DataFrame:
+    """Sorts the runs of every anchor of that level: RUN rows of what repeats, and of the next level."""
+
+    def run(batches):
+        settler = Settler(level, width)
+        for b in batches:
+            mine = b.column("level").to_numpy() == level
+            if not mine.all():
+                yield b.filter(pa.array(~mine))
+            if mine.any():
+                yield from settler.add(b.filter(pa.array(mine)))
+        yield from settler.finish()
+
+    dealt = rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "doc", "tag", "lo")
+    return dealt.mapInArrow(run, RUN)
+
 
+# the two passes over the texts ----------------------------------------------------------------
 
-def finer_runs(open_texts: DataFrame, width: int, anchor: int) -> DataFrame:
-    """RUN rows of the opened suffixes by a longer anchor, which fewer different runs share."""
+_PLACE = "key long, doc long, tag int, lo int, len int, several boolean"
+
+
+def _anchors(docs: DataFrame, width: int, anchor: int) -> DataFrame:
+    """A row for every run; an anchor that a task has several times is sent on once, marked, and settled otherwise."""
 
     def run(batches):
         for b in batches:
+            texts = b.column("text").to_pylist()
+            ids, tags = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tag"))
             held, size = [], 0
-            for at in range(0, b.num_rows, 100):
-                part = flagged_texts(b.slice(at, 100))
-                owner, start, end = open_ranges(part, width)
-                if not len(owner):
-                    continue
-                ids, tags, texts = part[:3]
-                data = np.frombuffer(b"".join(texts[i][s:e] for i, s, e in zip(owner.tolist(), start.tolist(), end.tolist(), strict=True)), dtype=np.uint8)
-                last = np.cumsum(end - start)
-                first = last - (end - start)
-                piece, key, content, lo, hi = segments(BYTES, BYTES.sums(data), first, last, width, anchor)
-                i = owner[piece]
-                held.append((key, content, ids[i], tags[i], (lo - first[piece] + start[piece]).astype(np.int32), (hi - lo + 1).astype(np.int32)))
+            for part, chunk in chunks(texts, texts):
+                doc, key, lo, hi = segments(BYTES, BYTES.sums(chunk.data), chunk.start, chunk.end, width, anchor)
+                held.append((key, ids[part][doc], tags[part][doc], (lo - chunk.start[doc]).astype(np.int32), (hi - lo + 1).astype(np.int32)))
                 size += len(key)
                 if size > 500_000:
-                    yield batch_of(held)
+                    yield places(held)
                     held, size = [], 0
             if size:
-                yield batch_of(held)
+                yield places(held)
+
+    def places(held):
+        key, doc, tag, lo, size = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(key, kind="stable")
+        key, doc, tag, lo, size = (x[order] for x in (key, doc, tag, lo, size))
+        fresh = np.concatenate(([True], key[1:] != key[:-1]))
+        several = ~(fresh & np.concatenate((fresh[1:], [True])))
+        key = np.where(fresh, key, mix(doc.astype(U) * U(7919) + lo.astype(U)))
+        return batch(key=signed(key), doc=doc, tag=tag, lo=lo, len=size, several=several)
+
+    return docs.mapInArrow(run, _PLACE)
 
-    return open_texts.mapInArrow(run, RUN)
 
+def repeated_anchors(docs: DataFrame, width: int, anchor: int) -> DataFrame:
+    """Flags of the windows whose anchor occurs more than once in all texts."""
+    in_key = Window.partitionBy("key").orderBy("doc", "tag", "lo")
+    other = F.lag("lo").over(in_key).isNotNull() | F.lead("lo").over(in_key).isNotNull()
+    dealt = _anchors(docs, width, anchor).repartition(partitions(docs.sparkSession), "key")
+    return dealt.withColumn("several", F.col("several") | other).where("several").select("doc", "tag", "lo", "len")
 
-def repeated_suffixes(open_texts: DataFrame, width: int) -> DataFrame:
-    """POINT rows of the opened suffixes: settled repeats, and the first of each string in a task."""
+
+def opened_runs(open_texts: DataFrame, width: int) -> DataFrame:
+    """RUN rows of the flagged windows of each text."""
 
     def run(batches):
         for b in batches:
             held, size = [], 0
             for at in range(0, b.num_rows, 100):
-                for piece in _opened(flagged_texts(b.slice(at, 100)), width):
-                    held.append(piece)
-                    size += len(piece[4])
-                    if size > SORTED_AT_ONCE:
-                        yield _sorted_points(held, width)
-                        held, size = [], 0
+                part = flagged_texts(b.slice(at, 100))
+                owner, start, end = open_ranges(part, width)
+                if not len(owner):
+                    continue
+                ids, tags, texts = part[:3]
+                data = b"".join([texts[i][s:e] for i, s, e in zip(owner.tolist(), start.tolist(), end.tolist(), strict=True)])
+                last = np.cumsum(end - start)
+                held.append(Runs(owner, ids[owner], tags[owner], start, end - start, data, last - (end - start), last).regrouped(0, width))
+                size += len(held[-1].key)
+                if size > SORTED_AT_ONCE:
+                    yield from _before_shuffle(joined(held), 0, width)
+                    held, size = [], 0
             if size:
-                yield _sorted_points(held, width)
-
-    return open_texts.mapInArrow(run, POINT)
-
-
-def _opened(part, width: int):
-    """Per text: its opened bytes end to end, (doc, tag), and each opened suffix's start there and in the text."""
-    ids, tags, texts, owner, lo, size = part
-    bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
-    for i, text in enumerate(texts):
-        a, n = lo[bounds[i] : bounds[i + 1]], size[bounds[i] : bounds[i + 1]]
-        open_ = np.zeros(len(text), dtype=bool)
-        open_[concatenated_ranges(a, n)] = True
-        place = np.flatnonzero(open_)
-        held = covered(len(text), a, a + n - 1 + width)
-        yield np.frombuffer(text, dtype=np.uint8)[held], ids[i], tags[i], (np.cumsum(held) - 1)[place], place
-
-
-def _sorted_points(held, width: int) -> pa.RecordBatch:
-    parts, ids, tags, starts, places = zip(*held, strict=True)
-    ahead = np.cumsum([0, *(len(t) for t in parts)])
-    text = np.concatenate([*parts, np.zeros(8, np.uint8)])
-    suffix = np.concatenate([s + a for s, a in zip(starts, ahead, strict=False)])
-    which = np.repeat(np.arange(len(places)), [len(p) for p in places])
-    doc, tag, place = np.array(ids)[which], np.array(tags)[which], np.concatenate(places)
-    order, fresh = deep_shallow(text, suffix, width)
-    by = np.lexsort((place[order], tag[order], doc[order], np.cumsum(fresh)))
-    order = order[by]
-    d, t, p = doc[order], tag[order], place[order]
-    head = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
-    again = ~fresh & (d == d[head]) & (t == t[head]) & (p == p[head])
-    at = suffix[order[fresh]]
-    key = BYTES.spans(BYTES.sums(text), at, at + width)
-    content = BYTES_2.spans(BYTES_2.sums(text), at, at + width)
-    return points(key, content, d[fresh], t[fresh], p[fresh], order[~fresh & ~again], which, doc, tag, place)
+                yield from _before_shuffle(joined(held), 0, width)
+
+    return open_texts.mapInArrow(run, RUN)
 
 
 def _cut(width: int):
@@ -195,20 +415,20 @@ def _cut(width: int):
     return lambda *a: list(cut(*a))
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WIDTH, anchor: int = ANCHOR, finer_anchor: int = FINER_ANCHOR, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: id, ``n_bytes``, ``kept`` (remaining bytes), ``removed`` ([start, end) spans), ``carried``."""
-    docs = tagged(df, id_col, text_col, keep)
+def repeated_windows(docs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``doc``, ``tag``, ``lo``, ``len``: windows lo..lo+len-1 of a document start earlier too, as the sort found."""
+    opened = texts.join(packed_flags(repeated_anchors(docs, width, ANCHOR)), ["doc", "tag"])
+    rows = opened_runs(opened, width)
+    for level in range(DONE):
+        rows = settle(rows, level, width)
+    return rows.where(F.col("level") == DONE).select("doc", "tag", "lo", "len")
 
-    def runs_of(chunk):
-        doc, key, content, lo, hi = segments(BYTES, BYTES.sums(chunk.data), chunk.start, chunk.end, width, anchor)
-        return doc, key, content, lo - chunk.start[doc], hi - chunk.start[doc]
 
-    flags = stored(first_of_each(find_runs(docs.select("doc", "tag", "text"), runs_of), opening=True))
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WIDTH, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: id, ``n_bytes``, ``kept`` (remaining bytes), ``removed`` ([start, end) spans), ``carried``; the width is at least 40."""
+    docs = tagged(df, id_col, text_col, keep)
     texts = compressed(docs)
-    # the same columns of the texts go into every join, so that they are shuffled once
-    opened = lambda f: texts.join(packed_flags(f.where(F.col("kind") == OPEN)), ["doc", "tag"])
-    finer = first_of_each(finer_runs(opened(flags), width, finer_anchor), opening=True)
-    last = first_of_each(repeated_suffixes(opened(finer), width), opening=False)
-    repeats = flags.unionByName(finer).unionByName(last).where(F.col("kind") == DUP)
+    # the same columns of the texts go into both joins, so that they are shuffled once
+    repeats = stored(repeated_windows(docs.select("doc", "tag", "text"), texts, width))
     found = without(texts, repeats, _cut(width))
     return found.select(id_back(id_col), F.col("n_tokens").alias("n_bytes"), "kept", "removed", "carried")

@@ -2,11 +2,12 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from picotick.llm import substring_dedup, suffix_dedup
+from picotick.llm import jaccard_join, substring_dedup, suffix_dedup
 from picotick.llm._spark import NO_ID
-from picotick.llm._windows import DUP, tagged
+from picotick.llm._windows import DUP, compressed, tagged
 
 from . import brute
 
@@ -116,3 +117,102 @@ def test_query_digests(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     want = {i: (n, gone, hashlib.sha256(kept).hexdigest()) for i, (n, gone, kept) in brute.byte_repeats(rows).items()}
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in registry.op5_suffix_dedup(spark, SF).collect()} == want
+
+
+def thue_morse(n, a="a", b="b"):
+    word = a
+    while len(word) < n:
+        word += word.translate(str.maketrans(a + b, b + a))
+    return word
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_words_that_polynomial_hashes_confuse(spark, size):
+    """A word and its complement, which collide modulo 2**64 for every base, are two words."""
+    word = thue_morse(size)
+    other = word.translate(str.maketrans("ab", "ba"))
+    around = [f"w{i}" for i in range(30)]
+    rows = [(1, " ".join([*around[:15], word, *around[15:]])), (2, " ".join([*around[:15], other, *around[15:]])), (3, word), (4, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, sum(x["end"] - x["start"] for x in r.removed), r.kept) for r in substring_dedup.dedup(df).collect()}
+    assert got == brute.word_repeats(rows) and got[2][1] == 0
+    got = {r.doc_id: (r.n_bytes, r.n_bytes - len(r.kept), bytes(r.kept)) for r in suffix_dedup.dedup(df).collect()}
+    assert got == brute.byte_repeats(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(df).collect()} == brute.jaccard(rows)
+
+
+def test_texts_over_one_chunk(spark):
+    """Texts over 1 MB, one of them nearly all repeated in another."""
+    r = random.Random(3)
+    long = " ".join(f"w{r.randint(0, 10**6)}" for _ in range(170_000))
+    rows = [(1, long), (2, "x " + long[700:-900] + " y"), (3, "z" * 1_200_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.n_words, len(x.kept.split())) for x in substring_dedup.dedup(df).collect()}
+    assert got[1] == (170_000, 170_000) and got[2][0] > 169_000 and got[2][1] <= 4 and got[3] == (1, 1)
+    got = {x.doc_id: (x.n_bytes, len(x.kept)) for x in suffix_dedup.dedup(df).collect()}
+    assert got[1] == (len(long), len(long)) and got[2][0] == len(rows[1][1]) and got[2][1] in (3, 4)
+    assert got[3] == (1_200_000, 1)  # every string but the first starts earlier too
+
+
+def test_the_sort_decides_all(spark):
+    """Every repeated window comes out of the deep-shallow sort: the rows it settles are all there are."""
+    rows = table(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    docs = tagged(df, "doc_id", "text")
+    found = suffix_dedup.repeated_windows(docs.select("doc", "tag", "text"), compressed(docs)).collect()
+    settled = {(f.doc, f.lo + i) for f in found for i in range(f.len)}
+    seen, repeats = set(), set()
+    for doc, text in rows:
+        data = text.encode()
+        for i in range(len(data) - 99):
+            if data[i : i + 100] in seen:
+                repeats.add((doc, i))
+            seen.add(data[i : i + 100])
+    assert settled == repeats and repeats
+
+
+def test_parts_of_one_anchor(spark, monkeypatch):
+    """Anchors that do not fit in a part of the sort go on to the next level and are settled there."""
+    monkeypatch.setattr(suffix_dedup, "SORTED_AT_ONCE", 7)
+    rows = table(6, n=25)
+    docs = [(0, i, t) for i, t in rows]
+    runs = []
+    for _, i, t in docs:
+        data = t.encode()
+        if len(data) >= 100:
+            n = len(data) - 99
+            one = suffix_dedup.Runs(*(np.array([x]) for x in (0, i, 0, 0, n)), data, np.array([0]), np.array([len(data)]))
+            runs.append(one.regrouped(0, 100))
+    batches = [b.cast(b.schema) for b in suffix_dedup._before_shuffle(suffix_dedup.joined(runs), 0, 100)]
+    done = set()
+    for level in range(suffix_dedup.DONE):
+        out = []
+        whole = pa.Table.from_batches(batches).sort_by([(c, "ascending") for c in ("key", "doc", "tag", "lo")]).to_batches(max_chunksize=3)
+        settler = suffix_dedup.Settler(level, 100)
+        for b in whole:
+            mine = b.column("level").to_numpy() == level
+            out.append(b.filter(pa.array(~mine)))
+            if mine.any():
+                out += settler.add(b.filter(pa.array(mine)))
+        batches = [*out, *settler.finish()]
+    for b in batches:
+        done |= {(d, p) for d, lo, n, k in zip(*(b.column(c).to_pylist() for c in ("doc", "lo", "len", "level")), strict=True) if k == suffix_dedup.DONE for p in range(lo, lo + n)}
+    seen, repeats = set(), set()
+    for doc, text in rows:
+        data = text.encode()
+        for i in range(len(data) - 99):
+            if data[i : i + 100] in seen:
+                repeats.add((doc, i))
+            seen.add(data[i : i + 100])
+    assert done == repeats
+
+
+def test_blind_trie_orders():
+    r = random.Random(8)
+    texts = [bytes(r.choice(b"ab") for _ in range(12)) for _ in range(500)]
+    trie = suffix_dedup.BlindTrie()
+    for i, t in enumerate(texts):
+        trie.add(t, i)
+    leaves = trie.leaves()
+    assert [texts[m[0]] for m in leaves] == sorted(set(texts)) and all(len({texts[i] for i in m}) == 1 for m in leaves)
+    assert sum(map(len, leaves)) == 500
