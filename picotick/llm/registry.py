@@ -172,7 +172,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = rf"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(text, '')), 1, 13) AS BIGINT) AS tie, row_number() OVER () AS n FROM documents
 ), k AS (
   SELECT *, -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{mixing.SEED}'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
     / (0.25::DOUBLE + 0.75::DOUBLE * least(1.0::DOUBLE, size / 200::DOUBLE)) AS key FROM d
@@ -188,15 +189,15 @@ WITH d AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t
 ), o AS (
   SELECT k.*, b.source_size, b.target, b.epochs, target - epochs * source_size AS budget,
-    sum(size) OVER (PARTITION BY k.source ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+    sum(size) OVER (PARTITION BY k.source ORDER BY key, size, tie, n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
   FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source
 ), g AS (
   SELECT *, budget - coalesce(max(upto) FILTER (upto <= budget) OVER (PARTITION BY source), 0) AS gap FROM o
 ), e AS (
-  SELECT source, arg_max(key, (size, -key)) AS extra FROM g WHERE upto > budget AND size > 0 AND size <= gap GROUP BY source
+  SELECT n FROM g WHERE upto > budget AND size > 0 AND size <= gap QUALIFY row_number() OVER (PARTITION BY source ORDER BY size DESC, key, tie, n) = 1
 )
-SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE size * (epochs + CASE WHEN upto <= budget OR key = extra THEN 1 ELSE 0 END) END AS BIGINT) AS taken
-FROM g LEFT JOIN e ON g.source IS NOT DISTINCT FROM e.source
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE size * (epochs + CASE WHEN upto <= budget OR n IN (SELECT n FROM e) THEN 1 ELSE 0 END) END AS BIGINT) AS taken
+FROM g
 """
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,3 +71,25 @@ def test_odd_rows(spark):
     assert len(rows) == 5 and all(r.taken == 0 for r in rows if not r.size)
     check(rows)
     assert mixing.mix(d.limit(0)).count() == 0
+
+
+def test_repeats_do_not_overshoot(spark):
+    """Of 200 repeats of one row only as many are taken as the target allows; with and without the fill."""
+    d = spark.range(600).selectExpr("if(id < 200, -1, id) AS doc_id", "if(id < 200, 'a b c d e', repeat('y ', cast(id % 37 + 1 AS int))) AS text", "if(id < 500, 'a', 'b') AS source")
+    d = d.unionByName(d.where("doc_id = -1").selectExpr("CAST(NULL AS bigint) AS doc_id", "text || ' f' AS text", "'b' AS source")).repartition(5)
+    rows = mixing.mix(d).collect()
+    assert len(rows) == 800
+    check(rows)
+    for s, g in by_source(rows).items():
+        assert sum(r.taken for r in g) >= 0.98 * g[0].target, s
+    assert sorted((r.doc_id or 0, r.size, r.taken) for r in rows) == sorted((r.doc_id or 0, r.size, r.taken) for r in mixing.mix(d.repartition(2)).collect())
+    plain = mixing.mix(d, fill=False).collect()
+    check(plain)
+    assert all(sum(r.taken for r in g) <= sum(r.taken for r in by_source(rows)[s]) for s, g in by_source(plain).items())
+
+
+def by_source(rows):
+    by = defaultdict(list)
+    for r in rows:
+        by[r.source].append(r)
+    return by
