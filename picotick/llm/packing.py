@@ -28,15 +28,15 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import NO_ID, id_back, stored
 
 CAPACITY = 1024
 END = 2
-#: Hash buckets per length; a third of all pieces may share one length.
-BUCKETS = 256
+#: Hash buckets per length: at least BUCKETS, and so many that one holds about BUCKET_ROWS of all pieces.
+BUCKETS, BUCKET_ROWS = 256, 200_000
 #: The packing plan is broadcast up to so many slots (5 MB), and joined otherwise.
 MOST_BROADCAST = 100_000
 SPECIAL = "<|endoftext|>"
@@ -209,11 +209,25 @@ def _slots(patterns: list[tuple[tuple[int, ...], int]]):
     return out
 
 
+def _last_at_most(slots: Column, number: Column, steps: int) -> Column:
+    """Binary search: the place of the last slot that starts at or before ``number``."""
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        right = F.get(slots, middle)["number"] <= number
+        return F.when(at["hi"] - at["lo"] <= 1, at).otherwise(F.struct(F.when(right, middle).otherwise(at["lo"]).alias("lo"), F.when(right, at["hi"]).otherwise(middle).alias("hi")))
+
+    whole = F.struct(F.lit(0).alias("lo"), F.size(slots).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), whole, halve, lambda at: at["lo"])
+
+
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, tokenizer: str = "byte_bpe_50k") -> DataFrame:
     """Per piece: id, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``."""
     spark = df.sparkSession
     cut_up = stored(pieces(df, id_col, text_col, capacity, tokenizer))
-    bucketed = cut_up.withColumn("bucket", F.pmod(F.xxhash64("doc", "piece"), F.lit(BUCKETS)).cast("int"))
+    buckets = max(BUCKETS, cut_up.count() // BUCKET_ROWS)
+    # the CRC spreads the pieces of rows that repeat or lack an id
+    bucketed = cut_up.withColumn("bucket", F.pmod(F.xxhash64("doc", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     per = bucketed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     slots = _slots(solve(histogram, capacity))
@@ -226,7 +240,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capac
     by_length = placed.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("number", "n", "base", "offset"))).alias("slots"))
     if len(slots) <= MOST_BROADCAST:
         by_length = F.broadcast(by_length)
-    found = numbered.join(by_length, "length").withColumn("slot", F.get("slots", F.size(F.filter("slots", lambda x: x["number"] <= F.col("number"))) - 1))
+    steps = max(1, max(Counter(size for size, *_ in slots).values(), default=1).bit_length())
+    found = numbered.join(by_length, "length").withColumn("slot", F.get("slots", _last_at_most(F.col("slots"), F.col("number"), steps)))
     return found.select(
         id_back(id_col), "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32",
         (F.col("slot.base") + F.col("number") - F.col("slot.number")).alias("sequence_id"), F.col("slot.offset").alias("offset"),
