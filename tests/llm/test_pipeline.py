@@ -27,7 +27,7 @@ def test_stages_against_brute_force(spark):
 
     single = P.drop_near_duplicates(spark, kept, SF)
     assert single.columns == docs.columns
-    want = {i for i, (_, c) in brute.jaccard(got.items()).items() if i == c}
+    want = {i for i, (_, c) in brute.jaccard(got.items(), 5, 80).items() if i == c}
     texts = {r.doc_id: r.text for r in single.collect()}
     assert set(texts) == want and all(texts[i] == got[i] for i in want)
 
