@@ -14,15 +14,16 @@ suffixes in 140 bytes. Equal strings have equal anchors, which gives
    deep-shallow sorting, which alone decides what repeats. A leaf of the sort with several
    runs is one byte string: all but its first are repeated. Where runs of an anchor differ,
    their suffixes are regrouped by an anchor of 88 bytes and sorted again, and those that
-   differ still by all ``width`` bytes, one suffix a run.
+   differ still by all ``width`` bytes, one suffix a run; all in the same task.
 
 ``deep_shallow`` is multikey quicksort on eight-byte characters down to a shallow depth; what
 is still equal there goes, group by group, into a blind trie (``BlindTrie``).
 
 Tasks sort their own runs before the shuffle too, so a passage that very many documents share
-arrives once a batch; an anchor with many different runs in one batch is regrouped there by
-the longer anchor, so no anchor, however common, gathers its runs in one task. Memory is
-bounded by ``SORTED_AT_ONCE`` runs and one text (about 30 bytes for each of its bytes).
+arrives once a batch. An anchor with many different runs in one batch is *hot*: it is regrouped
+there by the longer anchor, and two of its runs tell the others of that anchor to be regrouped
+and shuffled again as well, so no anchor, however common, gathers its runs in one task. Memory
+is bounded by ``SORTED_AT_ONCE`` runs and one text (about 30 bytes for each of its bytes).
 
 Null texts are empty; null ids come before all others; rows that repeat id and text are one
 document (each gets its result), rows that repeat only the id are ordered by a hash of the
@@ -31,6 +32,8 @@ text; extra columns are carried if ``keep`` names them; an empty table gives no
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -172,7 +175,9 @@ def deep_shallow(text: np.ndarray, suffixes: np.ndarray, depth: int, shallow: in
 
 # what travels -------------------------------------------------------------------------------
 
-#: A run's bytes are ``run``; level DONE marks settled repeats (windows lo..lo+len-1), without bytes.
+#: A run's bytes are ``run``; level DONE marks settled repeats (windows lo..lo+len-1), without
+#: bytes; a level plus HOT is a run that stands for many of its anchor.
+HOT = 8
 RUN = "key long, doc long, tag int, lo int, len int, level byte, run binary"
 
 
@@ -240,11 +245,7 @@ def joined(parts: list[Runs]) -> Runs:
 
 
 def _before_shuffle(runs: Runs, level: int, width: int):
-    """RUN rows of a task's own runs: the first of each string, and ranges settled as repeated.
-
-    An anchor with many strings goes on to the next level here; two of them stay as witnesses,
-    so that the anchor's runs in other tasks are regrouped too.
-    """
+    """RUN rows of a task's own runs: the first of each string, and ranges settled as repeated."""
     for at in range(0, len(runs.key), SORTED_AT_ONCE):
         found, fresh, again = runs.take(slice(at, at + SORTED_AT_ONCE)).sorted()
         gone = np.flatnonzero(~fresh & ~again)
@@ -259,8 +260,37 @@ def _before_shuffle(runs: Runs, level: int, width: int):
                 nth = np.empty(len(heads), dtype=np.int64)
                 nth[by_key] = np.arange(len(heads)) - np.repeat(np.cumsum(count) - count, count)
                 yield from _before_shuffle(found.take(heads[many]).regrouped(level + 1, width), level + 1, width)
-                heads = heads[~many | (nth < 2)]
-        yield found.take(heads).rows(level)
+                yield found.take(heads[many & (nth < 2)]).rows(level + HOT)
+                heads = heads[~many]
+        if len(heads):
+            yield found.take(heads).rows(level)
+
+
+def _shared(runs: Runs, rows: np.ndarray) -> list[np.ndarray]:
+    """Those of the rows whose anchor is in several, in parts that hold whole anchors."""
+    _, group, count = np.unique(runs.key[rows], return_inverse=True, return_counts=True)
+    several = count[group] > 1
+    rows, group = rows[several], group[several]
+    order = np.argsort(group, kind="stable")
+    rows, group = rows[order], group[order]
+    cuts, at = [], np.flatnonzero(np.diff(group)) + 1
+    for c in at.tolist():
+        if c - (cuts[-1] if cuts else 0) >= SORTED_AT_ONCE // 4:
+            cuts.append(c)
+    return np.split(rows, cuts) if len(rows) else []
+
+
+def _settled_here(runs: Runs, level: int, width: int):
+    """RUN rows of what repeats among runs of which all with their anchors are at hand."""
+    runs = runs.regrouped(level, width)
+    for part in _shared(runs, np.arange(len(runs.key))):
+        found, fresh, again = runs.take(part).sorted()
+        gone = np.flatnonzero(~fresh & ~again)
+        if len(gone):
+            yield found.take(gone).rows(DONE)
+        if level < LAST:
+            for heads in _shared(found, np.flatnonzero(fresh)):
+                yield from _settled_here(found.take(heads), level + 1, width)
 
 
 class Settler:
@@ -294,26 +324,29 @@ class Settler:
             yield from self._part(pa.Table.from_batches(self.held).combine_chunks().to_batches()[0], more=False)
 
     def _part(self, b: pa.RecordBatch, more: bool):
-        key, doc, tag, lo, size = (b.column(c).to_numpy() for c in ("key", "doc", "tag", "lo", "len"))
+        key, doc, tag, lo, size, code = (b.column(c).to_numpy() for c in ("key", "doc", "tag", "lo", "len", "level"))
         length = pc.binary_length(b.column("run")).to_numpy(zero_copy_only=False).astype(np.int64)
         end = np.cumsum(length)
         runs = Runs(key.view(U), doc, tag, lo, size, b"".join(b.column("run").to_pylist()), end - length, end)
         first, last = runs.key[0], runs.key[-1]
+        hot = np.unique(runs.key[code >= HOT])
         found, fresh, again = (joined([*self.carry, runs]) if self.carry else runs).sorted()
         self.carry = []
         gone = np.flatnonzero(~fresh & ~again)
         if len(gone):
             yield found.take(gone).rows(DONE)
         heads = np.flatnonzero(fresh)
+        keys = found.key[heads]
         if self.level == LAST:
             if more:
-                self.carry = [found.take(heads[found.key[heads] == last])]
+                self.carry = [found.take(heads[keys == last])]
             return
-        _, group, count = np.unique(found.key[heads], return_inverse=True, return_counts=True)
-        go = (count[group] > 1) | ((found.key[heads] == last) & more) | ((found.key[heads] == first) & self.goes_on)
+        on = np.isin(keys, hot) | ((keys == last) & more) | ((keys == first) & self.goes_on)
         self.goes_on = more
-        if go.any():
-            yield from _before_shuffle(found.take(heads[go]).regrouped(self.level + 1, self.width), self.level + 1, self.width)
+        if on.any():
+            yield from _before_shuffle(found.take(heads[on]).regrouped(self.level + 1, self.width), self.level + 1, self.width)
+        for several in _shared(found, heads[~on]):
+            yield from _settled_here(found.take(several), self.level + 1, self.width)
 
 
 def settle(rows: DataFrame, level: int, width: int) -> DataFrame:
@@ -322,9 +355,10 @@ def settle(rows: DataFrame, level: int, width: int) -> DataFrame:
     def run(batches):
         settler = Settler(level, width)
         for b in batches:
-            mine = b.column("level").to_numpy() == level
+            mine = b.column("level").to_numpy() % HOT == level
             if not mine.all():
-                yield b.filter(pa.array(~mine))
+                others = b.filter(pa.array(~mine))
+                yield batch(**dict(zip(others.schema.names, others.columns, strict=True)))
             if mine.any():
                 yield from settler.add(b.filter(pa.array(mine)))
         yield from settler.finish()
@@ -418,17 +452,18 @@ def _cut(width: int):
 def repeated_windows(docs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
     """``doc``, ``tag``, ``lo``, ``len``: windows lo..lo+len-1 of a document start earlier too, as the sort found."""
     opened = texts.join(packed_flags(repeated_anchors(docs, width, ANCHOR)), ["doc", "tag"])
-    rows = opened_runs(opened, width)
+    rows, found = opened_runs(opened, width), []
     for level in range(DONE):
-        rows = settle(rows, level, width)
-    return rows.where(F.col("level") == DONE).select("doc", "tag", "lo", "len")
+        # stored: only what is unsettled is shuffled again
+        rows = stored(settle(rows, level, width))
+        found.append(rows.where(F.col("level") == DONE).select("doc", "tag", "lo", "len"))
+        rows = rows.where(F.col("level") != DONE)
+    return reduce(DataFrame.unionAll, found)
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WIDTH, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: id, ``n_bytes``, ``kept`` (remaining bytes), ``removed`` ([start, end) spans), ``carried``; the width is at least 40."""
     docs = tagged(df, id_col, text_col, keep)
     texts = compressed(docs)
-    # the same columns of the texts go into both joins, so that they are shuffled once
-    repeats = stored(repeated_windows(docs.select("doc", "tag", "text"), texts, width))
-    found = without(texts, repeats, _cut(width))
+    found = without(texts, repeated_windows(docs.select("doc", "tag", "text"), texts, width), _cut(width))
     return found.select(id_back(id_col), F.col("n_tokens").alias("n_bytes"), "kept", "removed", "carried")
