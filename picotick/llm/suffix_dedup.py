@@ -451,8 +451,9 @@ def _cut(width: int):
 
 def repeated_windows(docs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
     """``doc``, ``tag``, ``lo``, ``len``: windows lo..lo+len-1 of a document start earlier too, as the sort found."""
-    opened = texts.join(packed_flags(repeated_anchors(docs, width, ANCHOR)), ["doc", "tag"])
-    rows, found = opened_runs(opened, width), []
+    # stored: the anchors' shuffle need not be kept while the runs travel
+    flags = stored(repeated_anchors(docs, width, ANCHOR))
+    rows, found = opened_runs(texts.join(packed_flags(flags), ["doc", "tag"]), width), []
     for level in range(DONE):
         # stored: only what is unsettled is shuffled again
         rows = stored(settle(rows, level, width))
