@@ -3,7 +3,9 @@
 Each round points every node at the least of its neighbours, once from the larger end of its
 links and once from the smaller, and is written to the shared folder, so lineage stays short.
 A few rounds suffice (the number grows with the logarithm of the longest chain). Minima are
-aggregated before the shuffle, so a node with very many links is no burden on one task.
+aggregated before the shuffle. The joins that bring a minimum back to all links of its node are
+plain sort-merge joins, which stream: where one node has very many links, Spark's adaptive skew
+join splits them over tasks.
 """
 
 from __future__ import annotations

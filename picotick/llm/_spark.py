@@ -36,6 +36,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", ways: int = 16) -> DataFrame:
+    """Joins ``right`` (one short row for each key) to ``left``, a key's rows dealt to ``ways`` tasks by ``by``."""
+    dealt = left.withColumn("_way", F.pmod(F.xxhash64(by), F.lit(ways)).cast("int"))
+    copies = right.withColumn("_way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    return dealt.join(copies, [key, "_way"], how).drop("_way")
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, although body uses it repeatedly."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

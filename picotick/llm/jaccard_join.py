@@ -21,6 +21,9 @@ two groups, so copies and near copies never become all pairs, yet no connection
 Orders only decide what is looked at first: the result does not depend on them. Sets are held
 as 64-bit hashes of shingles.
 
+A set's text and hashes are held whole by one task, whatever its length (some 40 bytes of memory
+for each of its bytes), and a block's sets together.
+
 Null texts and texts without words have no set, link with nothing and keep their own id;
 null ids come before all others; rows that share an id are judged each by its own text;
 repeated rows are equal sets; other columns are ignored; an empty table gives no rows.
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ._components import Groups, components
 from ._hashing import Chunk, U, chunks, concatenated_ranges, mix, shingle_hashes
-from ._spark import NO_ID, documents, id_back, partitions, stored, text_hash
+from ._spark import NO_ID, documents, id_back, partitions, spread_join, stored, text_hash
 from ._windows import batch, signed
 
 WORDS_PER_SHINGLE = 4
@@ -272,9 +275,9 @@ def _members(links: DataFrame) -> DataFrame:
 
 def _placed(clusters: DataFrame) -> DataFrame:
     """Members with their ``block`` of the cluster and its number of ``blocks``."""
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("m"))
+    sizes = clusters.groupBy("root").agg(F.count("*").alias("m")).where(F.col("m") > SMALL_BLOCK)
     block = F.least(F.lit(LARGE_BLOCK), F.greatest(F.lit(SMALL_BLOCK), F.ceil(F.col("m") / MOST_BLOCKS)))
-    return clusters.join(sizes, "root").withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn(
+    return spread_join(clusters, sizes, "root", "node", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("m") / block), F.lit(1)).cast("int")).drop("m").withColumn(
         "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
 
@@ -416,7 +419,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width
 
     rooted = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("doc").alias("component"))
-    linked = rooted.join(least, "root").select("doc", "n", "component", "tag", "root")
+    linked = spread_join(rooted, least, "root", "doc").select("doc", "n", "component", "tag", "root")
     alone = measured.where("not sketch and n = 0").select(F.col("a").alias("doc"), "n", F.col("a").alias("component"), "tag", F.lit(None).cast("long").alias("root"))
     return linked.unionAll(alone).select(
         id_back(id_col), F.col("n").cast("long").alias("n_shingles"), id_back("component_id", "component"), *(["tag", "root"] if groups else []))

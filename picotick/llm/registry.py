@@ -150,6 +150,30 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, i, h[2 * i + 1 : 2 * i + 200] AS s FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 99)) AS i FROM d WHERE length(h) >= 200)
+), r AS (
+  SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1
+), b AS (
+  SELECT doc_id, i, h[2 * i + 1 : 2 * i + 2] AS c FROM (SELECT doc_id, h, unnest(range(length(h) // 2)) AS i FROM d)
+), g AS (
+  SELECT b.doc_id, b.i, c, last_value(r.i IGNORE NULLS) OVER (PARTITION BY b.doc_id ORDER BY b.i) AS latest FROM b LEFT JOIN r USING (doc_id, i)
+), k AS (
+  SELECT doc_id, i, c, coalesce(i - latest < 100, false) AS gone FROM g
+), e AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM k
+), s AS (
+  SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans,
+    sha256(unhex(coalesce(string_agg(c, '' ORDER BY i) FILTER (NOT gone), ''))) AS kept_sha256 FROM e GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM d LEFT JOIN s USING (doc_id)
+"""
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
 
@@ -165,6 +189,22 @@ def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.dedup(_read(spark, sf_dir, "embeddings"))
 
 
+OP8_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+), u AS (
+  SELECT vec_id, x FROM v WHERE len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND list_dot_product(x, x) > 0
+), p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u AS a JOIN u AS b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.9
+), r AS (
+  SELECT vec_id, vec_id AS root FROM v UNION SELECT r.vec_id, p.b FROM r JOIN p ON r.root = p.a
+), c AS (
+  SELECT vec_id, min(root) AS component_id FROM r GROUP BY vec_id
+)
+SELECT vec_id, (SELECT count(*) FROM p WHERE p.a = c.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c
+"""
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -204,18 +244,38 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_read(spark, sf_dir, "documents"))
 
 
+OP10_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i+3], ' ') AS shingle FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS i FROM d WHERE len(words) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), m AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+), p AS (
+  SELECT a, b FROM m JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), r AS (
+  SELECT doc_id, doc_id AS root FROM d UNION SELECT r.doc_id, p.b FROM r JOIN p ON r.root = p.a
+), k AS (
+  SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM k LEFT JOIN n USING (doc_id)
+"""
+
+
 #: name -> (query, DuckDB SQL or None)
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_chat_format": (op1_chat_format, OP1_SQL),
     "op2_substring_dedup": (op2_substring_dedup, OP2_SQL),
     "op3_packing": (op3_packing, None),
     "op4_quality_rules": (op4_quality_rules, OP4_SQL),
-    "op5_suffix_dedup": (op5_suffix_dedup, None),
+    "op5_suffix_dedup": (op5_suffix_dedup, OP5_SQL),
     "op6_url_filters": (op6_url_filters, OP6_SQL),
     "op7_quality_classifier": (op7_quality_classifier, None),
-    "op8_vector_dedup": (op8_vector_dedup, None),
+    "op8_vector_dedup": (op8_vector_dedup, OP8_SQL),
     "op9_mixing": (op9_mixing, OP9_SQL),
-    "op10_jaccard_join": (op10_jaccard_join, None),
+    "op10_jaccard_join": (op10_jaccard_join, OP10_SQL),
 }
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import Groups, components
-from ._spark import NO_ID, id_back, partitions, stored
+from ._spark import NO_ID, id_back, partitions, spread_join, stored
 from ._windows import batch
 
 THRESHOLD = 0.9
@@ -74,8 +74,16 @@ def codes(vectors: np.ndarray, tables: int = TABLES, probes: int = PROBES, seed:
     return out
 
 
-def _usable(batches):
-    """id, the vector as doubles (null if it links with nothing) and its 128-bit signature."""
+def _usable(single: bool):
+    """id, the vector's bytes (null if it links with nothing), single or double as it is stored, and its 128-bit signature."""
+
+    def run(batches):
+        yield from _checked(batches, "<f4" if single else "<f8")
+
+    return run
+
+
+def _checked(batches, kind: str):
     for b in batches:
         lists = b.column("vec")
         flat = lists.flatten()
@@ -87,7 +95,7 @@ def _usable(batches):
         out = []
         for n, e in zip(size, end, strict=True):
             v = flat[e - n : e] + 0.0
-            out.append(v.tobytes() if n and np.isfinite(v).all() and v.any() and 0 < v @ v < np.inf else None)
+            out.append(v.astype(kind).tobytes() if n and np.isfinite(v).all() and v.any() and 0 < v @ v < np.inf else None)
         sig = [v and hashlib.blake2b(v, digest_size=16).digest() for v in out]
         yield batch(id=b.column("id"), vec=pa.array(out, pa.binary()), sig=pa.array(sig, pa.binary()))
 
@@ -95,7 +103,12 @@ def _usable(batches):
 _CODED = "g long, m long, vec binary, codes binary, buckets array<struct<t: int, bucket: long, own: boolean>>"
 
 
-def _coded(nodes: DataFrame, tables: int, probes: int) -> DataFrame:
+def _doubles(vectors: list[bytes], single: bool) -> np.ndarray:
+    """One row a vector, all of one length."""
+    return np.frombuffer(b"".join(vectors), dtype="<f4" if single else "<f8").reshape(len(vectors), -1).astype(np.float64)
+
+
+def _coded(nodes: DataFrame, tables: int, probes: int, single: bool) -> DataFrame:
     kind = pa.list_(pa.struct([("t", pa.int32()), ("bucket", pa.int64()), ("own", pa.bool_())]))
 
     def run(batches):
@@ -105,10 +118,9 @@ def _coded(nodes: DataFrame, tables: int, probes: int) -> DataFrame:
                 vecs = b.column("vec").to_pylist()
                 by_length: dict[int, list[int]] = {}
                 for i, v in enumerate(vecs):
-                    by_length.setdefault(len(v) // 8, []).append(i)
+                    by_length.setdefault(len(v) // (4 if single else 8), []).append(i)
                 for d, mine in by_length.items():
-                    x = np.frombuffer(b"".join(vecs[i] for i in mine), dtype="<f8").reshape(len(mine), d)
-                    c = codes(x, tables, probes)
+                    c = codes(_doubles([vecs[i] for i in mine], single), tables, probes)
                     # vectors of one length meet only their like
                     names = c + (d << 40)
                     own = np.zeros((tables, 1 + probes), dtype=bool)
@@ -124,7 +136,7 @@ def _coded(nodes: DataFrame, tables: int, probes: int) -> DataFrame:
     return nodes.mapInArrow(run, _CODED)
 
 
-def _bucket_links(rows: DataFrame, threshold: float, tables: int, probes: int) -> DataFrame:
+def _bucket_links(rows: DataFrame, threshold: float, tables: int, probes: int, single: bool) -> DataFrame:
     """(a, b, n): n of b's copies link to a (b null), or a and b connect two groups (n null)."""
 
     def run(batches):
@@ -133,7 +145,7 @@ def _bucket_links(rows: DataFrame, threshold: float, tables: int, probes: int) -
             names = [b.column(k).to_pylist() for k in ("t", "bucket", "i", "j", "block", "own", "g", "m", "vec", "codes")]
             for t, bucket, i, j, *row in zip(*names, strict=True):
                 if (t, bucket, i, j) != key:
-                    got = _links_of(key, held, threshold, tables, probes)
+                    got = _links_of(key, held, threshold, tables, probes, single)
                     if got:
                         found.append(got)
                         size += len(got[0])
@@ -142,7 +154,7 @@ def _bucket_links(rows: DataFrame, threshold: float, tables: int, probes: int) -
                         yield _link_batch(found)
                         found, size = [], 0
                 held.append(row)
-        got = _links_of(key, held, threshold, tables, probes)
+        got = _links_of(key, held, threshold, tables, probes, single)
         if got:
             found.append(got)
         if found:
@@ -157,13 +169,13 @@ def _link_batch(found):
     return batch(a=pa.array(np.concatenate((a, x))), b=pa.concat_arrays([none_a, pa.array(y)]), n=pa.concat_arrays([pa.array(n), none_x]))
 
 
-def _links_of(key, held, threshold: float, tables: int, probes: int):
+def _links_of(key, held, threshold: float, tables: int, probes: int, single: bool):
     """Counts and connecting links of the pairs that this group of a bucket has to settle."""
     if len(held) < 2 or not any(row[1] for row in held):
         return None
     t, bucket, i, j = key
     block, own, g, m = (np.array(c) for c in list(zip(*held, strict=True))[:4])
-    x = np.frombuffer(b"".join(row[4] for row in held), dtype="<f8").reshape(len(held), -1)
+    x = _doubles([row[4] for row in held], single)
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     a = np.flatnonzero(own)
     near = x[a] @ x.T >= threshold
@@ -197,10 +209,11 @@ def dedup(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *,
     """Per row: id, ``n_links`` (other vectors linked directly) and ``component_id``."""
     spark = df.sparkSession
     given = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    rows = stored(given.mapInArrow(_usable, "id long, vec binary, sig binary"))
+    single = df.schema[vec_col].dataType.simpleString() == "array<float>"  # then doubles carry no more than the stored floats
+    rows = stored(given.mapInArrow(_usable(single), "id long, vec binary, sig binary"))
     nodes = rows.where("sig is not null").groupBy("sig").agg(F.min("id").alias("g"), F.count("*").alias("m"), F.first("vec").alias("vec"))
     # ids may repeat: a node is numbered by its signature if its least id is not its own
-    coded = stored(_coded(nodes.select(F.xxhash64("sig").alias("g"), "m", "vec"), tables, probes))
+    coded = stored(_coded(nodes.select(F.xxhash64("sig").alias("g"), "m", "vec"), tables, probes, single))
     entries = coded.select("g", F.explode("buckets").alias("e")).groupBy("e.t", "e.bucket").agg(F.count("*").alias("n"))
     large = entries.where(F.col("n") > BLOCK).select("t", "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     spread = coded.select(F.explode("buckets").alias("e"), "g", "m", "vec", "codes").select("e.*", "g", "m", "vec", "codes")
@@ -211,14 +224,14 @@ def dedup(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *,
     split = placed.where("blocks > 1").select("t", "bucket", "block", "own", "g", "m", "vec", "codes", other).select(
         "t", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "own", "g", "m", "vec", "codes")
     groups = whole.unionAll(split).repartition(partitions(spark), "t", "bucket", "i", "j").sortWithinPartitions("t", "bucket", "i", "j", "g")
-    links = stored(_bucket_links(groups, threshold, tables, probes))
+    links = stored(_bucket_links(groups, threshold, tables, probes, single))
     roots = components(links.where("b is not null").select("a", "b"))
     counts = links.where("n is not null").groupBy(F.col("a").alias("g")).agg(F.sum("n").alias("n"))
     named = nodes.select("sig", F.xxhash64("sig").alias("g"), F.col("g").alias("least"), "m")
     placed = named.join(counts, "g", "left").join(roots, named["g"] == roots["node"], "left").select(
         "sig", "least", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("root", "g").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component"))
-    known = placed.join(least, "root").select("sig", "n", "component")
+    known = spread_join(placed, least, "root", "sig").select("sig", "n", "component")
     linked = rows.where("sig is not null").join(known, "sig").select("id", "n", "component")
     alone = rows.where("sig is null").select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("component"))
     return linked.unionAll(alone).select(
