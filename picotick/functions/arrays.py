@@ -208,3 +208,48 @@ def hermite(x: Column, gap_start: Column, gap_stop: Column) -> Column:
 
     inside = (a >= 1) & (b + 1 < F.size(x))
     return F.when(inside, let(ends, lambda e: F.transform(x, lambda v, i: F.when((i > a) & (i < b), value(e, i)).otherwise(v)))).otherwise(interpolated(x, gap_start, gap_stop))
+
+
+def anchor_sample(x: Column, crossing: Column, start: Column, stop: Column) -> Column:
+    """The sample next to a crossing, within [start, stop]: of its two neighbours the nearer one, the earlier of ties."""
+    low = F.floor(crossing).cast("int")
+    near = F.when(crossing - low <= low + 1 - crossing, low).otherwise(low + 1)
+    return F.when(F.size(x) > 0, F.greatest(start, F.least(stop, near)))
+
+
+def materialised(x: Column, trigger: Column, before: float, after: float, dt: float) -> Column:
+    """Samples from ``before`` to ``after`` time units around a trigger sample, null where they are not all there.
+
+    Struct (start, samples, peak): the place of the first sample, the samples, and the highest one among them.
+    """
+    import math
+
+    lo, hi = trigger - math.ceil(before / dt), trigger + math.ceil(after / dt)
+    cut = F.slice(x, F.greatest(lo, F.lit(0)) + 1, F.greatest(hi - lo + 1, F.lit(0)))
+    return F.when((lo >= 0) & (hi < F.size(x)), let(cut, lambda c: F.struct(lo.alias("start"), c.alias("samples"), peak_index(c).alias("peak"))))
+
+
+def masked(mask: Column, value: Column) -> Column:
+    """``value``, worked out only where the mask holds, else null."""
+    return F.when(mask, value)
+
+
+def faded_region(x: Column, y: Column, start: int, stop: int, fade: int) -> Column:
+    """x with samples start..stop of y, faded in and out over ``fade`` samples; outside, x to the last bit."""
+    import math
+
+    def weight(i: Column) -> Column:
+        edge = F.least(i - start + 1, F.lit(stop + 1) - i)
+        return F.when(edge > fade, F.lit(1.0)).otherwise(0.5 - 0.5 * F.cos(edge / F.lit(fade + 1.0) * math.pi))
+
+    return F.zip_with(F.transform(x, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), y, lambda a, b: F.when(
+        (a["i"] < start) | (a["i"] > stop), a["v"]).otherwise(a["v"] + weight(a["i"]) * (b - a["v"])))
+
+
+def time_slice(x: Column, first_time: float, step: float, low: float, high: float, tolerance: float = 1e-6) -> Column:
+    """Samples whose time lies in [low, high], widened by a tolerance against rounding."""
+    import math
+
+    lo = max(0, math.ceil((low - tolerance - first_time) / step))
+    hi = math.floor((high + tolerance - first_time) / step)
+    return F.slice(x, lo + 1, max(0, hi - lo + 1))

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Words read as true and as false.
 TRUE_WORDS = ("true", "yes", "y", "1", "on")
 FALSE_WORDS = ("false", "no", "n", "0", "off")
+#: Words of selection columns beside or instead of the above.
+SELECTED_WORDS = ("1", "true", "yes", "y", "pass", "passed", "selected", "keep", "accepted")
+DROPPED_WORDS = ("0", "false", "no", "n", "fail", "failed", "rejected", "drop")
 #: Characters with a meaning in LaTeX and what stands for them.
 LATEX = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
 SIDES = {"a": 0, "b": 1}
@@ -43,10 +46,11 @@ def run_id(path: Column) -> Column:
     return F.try_to_number(F.nullif(F.regexp_extract(path, r"(?i)run[_-]?0*(\d+)", 1), F.lit("")), F.lit("9" * 9)).cast("long")
 
 
-def tri_state(text: Column) -> Column:
-    """True, false or null, by word lists."""
+def tri_state(text: Column, selection: bool = False) -> Column:
+    """True, false or null, by word lists; with ``selection`` those of selection columns."""
     w = F.lower(F.trim(text))
-    return F.when(w.isin(*TRUE_WORDS), True).when(w.isin(*FALSE_WORDS), False)
+    yes, no = (SELECTED_WORDS, DROPPED_WORDS) if selection else (TRUE_WORDS, FALSE_WORDS)
+    return F.when(w.isin(*yes), True).when(w.isin(*no), False)
 
 
 def number_token(x: Column) -> Column:

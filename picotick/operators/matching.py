@@ -4,7 +4,7 @@ Range joins add equi-keys: time is cut into buckets as wide as the window, a pro
 its own bucket and the neighbour, and the range condition removes the rest, so no nested loop
 and no cross join is planned. Greedy one-to-one matchers are folds over time within a key.
 They run in ``applyInPandas`` per (key, segment): a segment ends at a gap that no pair can
-span, so one busy key is many small groups.
+span, so a key with such gaps is many small groups; one that never pauses is one group.
 """
 
 from __future__ import annotations
@@ -18,10 +18,23 @@ from pyspark.sql import functions as F
 
 
 def segments(df: DataFrame, keys: list[str], time: str, reach: int) -> DataFrame:
-    """Adds ``segment``: the first time of a stretch without gaps over ``reach``."""
-    w = Window.partitionBy(*keys).orderBy(time)
-    fresh = F.coalesce(F.col(time) - F.lag(time).over(w) > reach, F.lit(True))
-    return df.withColumn("segment", F.max(F.when(fresh, F.col(time))).over(w))
+    """Adds ``segment``: the first time of a stretch without gaps over ``reach``.
+
+    Times fall into buckets as wide as the reach, inside which no gap can be longer, so gaps
+    are found on one row (first and last time) for each bucket: a busy key is never one task.
+    """
+    cells = df.withColumn("_cell", F.floor(F.col(time) / reach))
+    spans = cells.groupBy(*keys, "_cell").agg(F.min(time).alias("_first"), F.max(time).alias("_last"))
+    w = Window.partitionBy(*keys).orderBy("_cell")
+    fresh = F.coalesce(F.col("_first") - F.lag("_last").over(w) > reach, F.lit(True))
+    named = spans.withColumn("_fresh", fresh).select(*keys, "_cell", F.max(F.when(F.col("_fresh"), F.col("_first"))).over(w).alias("segment"))
+    return _by_keys(cells, named, [*keys, "_cell"]).drop("_cell")
+
+
+def _by_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys, null keys included."""
+    other = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    return left.join(other, reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[f"_k_{k}"]) for k in keys])).drop(*[f"_k_{k}" for k in keys])
 
 
 def window_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, window: int, low: int = 0) -> DataFrame:
@@ -67,24 +80,36 @@ def one_lead_one_trail(hits: DataFrame, keys: list[str], is_lead: Column, is_tra
     return found.where("_leads = 1 and _trails = 1 and trail > lead").select(*keys, "lead", "trail", (F.col("trail") - F.col("lead")).alias("duration"))
 
 
-def pair_edges(hits: DataFrame, keys: list[str], is_lead: Column, is_trail: Column, time: str) -> DataFrame:
+def pair_edges(hits: DataFrame, keys: list[str], is_lead: Column, is_trail: Column, time: str, span: int = 86_400_000_000) -> DataFrame:
     """Each lead takes the next unused later trail, in time order: ``lead``, ``trail`` per pair.
 
-    A fold with built-in functions: the state is the queue of open leads, of which a trail
-    closes the first. Leads at the trail's own time are not before it.
+    The open leads are a queue, so the m-th trail that finds one open closes the m-th lead. With
+    +1 for a lead and -1 for a trail, a trail finds none open where the running sum falls to a
+    new minimum below zero. Sums and minima are taken inside cells of ``span`` time units and
+    carried over from cell to cell, one row each, so a busy key is never one task. Leads at the
+    trail's own time are not before it.
     """
-    edges = hits.where(is_lead | is_trail).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(time).alias("t"), is_lead.alias("lead")))).alias("edges"))
-    state = F.struct(F.array().cast("array<bigint>").alias("open"), F.array().cast("array<struct<lead:bigint,trail:bigint>>").alias("pairs"))
-
-    def step(s: Column, e: Column) -> Column:
-        opened = F.struct(F.concat(s["open"], F.array(e["t"])).alias("open"), s["pairs"].alias("pairs"))
-        first = F.get(s["open"], F.lit(0))
-        closed = F.struct(
-            F.slice(s["open"], 2, F.size(s["open"])).alias("open"), F.concat(s["pairs"], F.array(F.struct(first.alias("lead"), e["t"].alias("trail")))).alias("pairs"))
-        return F.when(e["lead"], opened).when(first < e["t"], closed).otherwise(s)
-
-    pairs = F.aggregate("edges", state, step, lambda s: s["pairs"])
-    return edges.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.lead", "p.trail")
+    cell = F.floor(F.col(time) / span)
+    edges = hits.where(is_lead | is_trail).select(*keys, F.col(time).alias("_t"), is_lead.alias("_lead"), cell.alias("_cell"))
+    here = Window.partitionBy(*keys, "_cell").orderBy("_t", "_lead").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edges = edges.withColumn("_s", F.sum(F.when(F.col("_lead"), 1).otherwise(-1)).over(here)).withColumn("_leads", F.sum(F.col("_lead").cast("long")).over(here))
+    edges = edges.withColumn("_low", F.min("_s").over(here)).withColumn("_n", F.count("*").over(here))
+    cells = edges.groupBy(*keys, "_cell").agg(F.max("_n").alias("n"), F.max("_leads").alias("leads"), F.min("_s").alias("low"))
+    cells = cells.withColumn("sum", 2 * F.col("leads") - F.col("n"))
+    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    cells = cells.withColumn("_s0", zero(F.sum("sum").over(before))).withColumn("_leads0", zero(F.sum("leads").over(before))).withColumn("_n0", zero(F.sum("n").over(before)))
+    cells = cells.withColumn("_lowest", F.col("_s0") + F.col("low")).withColumn("_low0", F.least(F.lit(0), zero(F.min("_lowest").over(before))))
+    e = _by_keys(edges, cells.select(*keys, "_cell", "_s0", "_leads0", "_n0", "_low0"), [*keys, "_cell"])
+    low = F.least("_low0", F.col("_s0") + F.col("_low"))
+    e = e.withColumn("_missed", -low).withColumn("_leads", F.col("_leads0") + F.col("_leads")).withColumn("_sum", F.col("_s0") + F.col("_s"))
+    trails = F.col("_n0") + F.col("_n") - F.col("_leads")
+    # a trail that lowers the minimum finds no lead: then the sum is the minimum, and was above it before
+    earlier = F.lag("_missed").over(Window.partitionBy(*keys, "_cell").orderBy("_t", "_lead"))
+    e = e.withColumn("_found", F.col("_missed") == F.coalesce(earlier, -F.col("_low0")))
+    leads = e.where("_lead").select(*keys, F.col("_leads").alias("_m"), F.col("_t").alias("lead"))
+    closing = e.where(~F.col("_lead") & F.col("_found")).select(*keys, (trails - F.col("_missed")).alias("_m"), F.col("_t").alias("trail"))
+    return _by_keys(leads, closing, [*keys, "_m"]).select(*keys, "lead", "trail")
 
 
 def _folded(df: DataFrame, keys: list[str], fold, columns: str, time: str, reach: int) -> DataFrame:
@@ -217,3 +242,40 @@ def bucket_of(columns: list[str], digits: int = 9) -> Column:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
+
+
+def preceding_candidates(energy: DataFrame, timing: DataFrame, keys: list[str], energy_time: str, timing_time: str, window: int, energy_id: str) -> DataFrame:
+    """Every energy row with ``candidates``, the sorted timing leads inside its preceding window, and a ``status``."""
+    met = window_join(energy, timing.select(*keys, timing_time), keys, energy_time, timing_time, window)
+    lists = met.groupBy(energy_id).agg(F.sort_array(F.collect_list(timing_time)).alias("candidates"))
+    none = F.array().cast(lists.schema["candidates"].dataType)
+    out = energy.join(lists, energy_id, "left").withColumn("candidates", F.coalesce("candidates", none))
+    return out.withColumn("status", F.when(F.size("candidates") > 0, "ok").otherwise("no_timing_candidate"))
+
+
+def trigger_candidates(pulses: DataFrame, timing: DataFrame, event: list[str], lead: str, timing_time: str) -> DataFrame:
+    """Per triggered event: its earliest pulse and all timing leads before it, sorted.
+
+    ``status`` is ``ok``, ``no_energy_pulse`` (no pulse) or ``no_timing_candidate`` (no lead before it).
+    """
+    first = pulses.groupBy(*event).agg(F.min(lead).alias("energy"))
+    leads = timing.groupBy(*event).agg(F.sort_array(F.collect_list(timing_time)).alias("_all"))
+    met = first.join(leads, event, "full_outer")
+    before = F.filter(F.col("_all"), lambda t: t < F.col("energy"))
+    out = met.withColumn("candidates", F.coalesce(before, F.array().cast(leads.schema["_all"].dataType)))
+    status = F.when(F.col("energy").isNull(), "no_energy_pulse").when(F.size("candidates") == 0, "no_timing_candidate").otherwise("ok")
+    return out.select(*event, "energy", "candidates", status.alias("status"))
+
+
+def dispatched(df: DataFrame, board: str, matchers: dict[object, object]) -> DataFrame:
+    """Runs each board's own matcher (a function of its rows) and unions what they give; boards without one raise."""
+    known = F.col(board).isin(*matchers)
+    checked = df.where(F.when(known, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no matcher for board "), F.col(board).cast("string"))).cast("boolean")))
+    return reduce(DataFrame.unionByName, [match(checked.where(F.col(board) == b)) for b, match in matchers.items()])
+
+
+def merged_statistics(stats: DataFrame, sums: list[str], maxima: list[str], means: list[str], weight: str) -> DataFrame:
+    """One row from the boards' statistics: sums, maxima, and means weighted by ``weight``."""
+    return stats.agg(
+        *[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in maxima],
+        *[F.try_divide(F.sum(F.col(c) * F.col(weight)), F.sum(F.when(F.col(c).isNotNull(), F.col(weight)))).alias(c) for c in means])

@@ -1,8 +1,8 @@
 """Bootstrap, permutation and scans, deterministic in (id, draw, seed).
 
 A draw's picks are hashes of (draw, number) modulo n, so every engine and every rerun draws
-alike. Rows are numbered once; a draw is an equi-join on the number, and statistics are one
-aggregation keyed by draw: nothing is gathered in one place.
+alike. Rows are numbered once, range by range of their order; a draw is an equi-join on the
+number, and statistics are one aggregation keyed by draw: nothing is gathered in one place.
 """
 
 from __future__ import annotations
@@ -10,6 +10,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import stored
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds ``name``, each row's place (from 0) in its group's order, without a window over a whole group.
+
+    Rows are dealt to ranges of the order; a row's place is its place in its range plus the
+    rows of its group in the ranges before. Rows equal in the whole order share no place, in any order.
+    """
+    ranged = stored(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1) if keys else Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_r"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_ahead"))
+    same = ranged["_range"] == ahead["_r"]
+    for k in keys:
+        same = same & ranged[k].eqNullSafe(ahead[f"_k_{k}"])
+    here = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    return ranged.join(F.broadcast(ahead), same).withColumn(name, here - 1 + F.col("_ahead")).drop("_range", "_r", "_ahead", *[f"_k_{k}" for k in keys])
+
 
 def _hash(*parts: Column, seed: str) -> Column:
     text = F.concat_ws(":", *[p.cast("string") for p in parts], F.lit(seed))
@@ -21,11 +40,14 @@ def bootstrap(df: DataFrame, keys: list[str], id_col: str, draws: int, seed: str
 
     Adds ``draw``. Columns of one row stay together, so paired statistics share their picks.
     """
-    w = Window.partitionBy(*keys)
-    numbered = df.withColumn("_k", F.row_number().over(w.orderBy(id_col)) - 1).withColumn("_n", F.count("*").over(w))
-    slots = numbered.select(*keys, F.col("_k").alias("_slot"), "_n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    picks = slots.select(*keys, "draw", (_hash(F.col("draw"), F.col("_slot"), seed=seed) % F.col("_n")).cast("int").alias("_k"))
-    return picks.join(numbered.drop("_n"), [*keys, "_k"]).drop("_k")
+    placed = stored(numbered(df, keys, [id_col], "_k"))
+    sizes = placed.groupBy(*keys).agg(F.count("*").alias("_n"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
+    slots = (placed.join(sizes, keys) if keys else placed.withColumn("_n", sizes.scalar())).select(*keys, F.col("_k").alias("_slot"), "_n", each)
+    picks = slots.select(*keys, "draw", (_hash(F.col("draw"), F.col("_slot"), seed=seed) % F.col("_n")).cast("long").alias("_k"))
+    # how often each row is drawn is counted before rows are fetched: one join row for each (row, draw)
+    counted = picks.groupBy(*keys, "draw", "_k").agg(F.count("*").alias("_times"))
+    return counted.join(placed, [*keys, "_k"]).select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))).alias("_again")).drop("_k", "_times", "_again")
 
 
 def poisson_weights(df: DataFrame, id_col: str, draws: int, seed: str) -> DataFrame:
@@ -56,10 +78,12 @@ def permutation_ks(df: DataFrame, flag: Column, order: str, id_col: str, draws:
     each draw the k smallest hashes are the subset, so its size is the same; p counts draws at
     least as far off, plus one over plus one.
     """
-    w = Window.orderBy(order, id_col)
-    placed = df.select(id_col, F.row_number().over(w).alias("_place"), flag.cast("int").alias("_flag")).withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(1)))).withColumn("_k", F.sum("_flag").over(Window.partitionBy(F.lit(1))))
-    every = placed.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws))))
-    shuffled = F.row_number().over(Window.partitionBy("draw").orderBy(_hash(F.col("draw"), F.col(id_col), seed=seed), id_col)) <= F.col("_k")
+    rows = numbered(df.select(id_col, order, flag.cast("int").alias("_flag")) if order != id_col else df.select(id_col, flag.cast("int").alias("_flag")), [], [order, id_col] if order != id_col else [id_col], "_place")
+    placed = stored(rows.select(id_col, (F.col("_place") + 1).alias("_place"), "_flag"))
+    about = placed.agg(F.count("*").alias("_n"), F.sum("_flag").alias("_k"))
+    placed = placed.crossJoin(F.broadcast(about))  # one row
+    every = placed.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws)))).withColumn("_hash", _hash(F.col("draw"), F.col(id_col), seed=seed))
+    shuffled = F.row_number().over(Window.partitionBy("draw").orderBy("_hash", id_col)) <= F.col("_k")
     chosen = every.withColumn("_in", F.when(F.col("draw") == 0, F.col("_flag") == 1).otherwise(shuffled)).where("_in")
     upto = F.row_number().over(Window.partitionBy("draw").orderBy("_place"))
     far = F.greatest(F.abs(upto / F.col("_k") - F.col("_place") / F.col("_n")), F.abs((upto - 1) / F.col("_k") - (F.col("_place") - 1) / F.col("_n")))
@@ -79,9 +103,10 @@ def block_chi2(df: DataFrame, flag: Column, place: str, size: int) -> DataFrame:
 
 
 def adjacent(df: DataFrame, flag: Column, place: str) -> DataFrame:
-    """How many flagged rows directly follow a flagged one."""
-    w = Window.orderBy(place)
-    return df.where(flag).select(F.col(place).alias("_p"), F.lag(place).over(w).alias("_b")).agg(F.count_if(F.col("_p") == F.col("_b") + 1).alias("adjacent"))
+    """How many flagged rows directly follow a flagged one: an equi-join on the next place."""
+    flagged = df.where(flag).select(F.col(place).alias("_p"))
+    follows = flagged.join(flagged.select((F.col("_p") + 1).alias("_p")).distinct(), "_p", "left_semi")
+    return follows.agg(F.count("*").alias("adjacent"))
 
 
 def interval_scan(df: DataFrame, score: str, value: str, keeps: list[float]) -> DataFrame:

@@ -5,18 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes ``df`` under ``spark.checkpoint.dir`` (a temporary folder in local mode) and reads it back."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """A new path under ``spark.checkpoint.dir`` (under a temporary folder in local mode)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="picotick-")
         spark.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared.rstrip('/')}/picotick/{uuid.uuid4().hex}"
+    return f"{shared.rstrip('/')}/picotick/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to a new folder and reads it back."""
+    spark = df.sparkSession
+    path = folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

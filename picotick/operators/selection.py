@@ -131,3 +131,70 @@ def sample_mask(df: DataFrame, a: str, b: str, share: float = 0.99) -> list[bool
     found = rows.groupBy("pos").agg(F.avg((edge("a") & edge("b")).cast("double")).alias("f")).orderBy("pos").collect()
     mask = [r.f < share for r in found]
     return mask if any(mask) else [True] * len(mask)
+
+
+def clipped_prediction(prediction: Column, most: float) -> Column:
+    """A prediction held to [-most, most]; null and NaN stay missing."""
+    x = finite(prediction)
+    return F.greatest(F.lit(-float(most)), F.least(F.lit(float(most)), x))
+
+
+def outlier_sets(df: DataFrame, first: Column, second: Column) -> DataFrame:
+    """Adds ``either``, ``both``, ``only_first``, ``only_second`` and ``core`` (neither) from two flags; null flags are false."""
+    a, b = F.coalesce(first, F.lit(False)), F.coalesce(second, F.lit(False))
+    return df.select("*", (a | b).alias("either"), (a & b).alias("both"), (a & ~b).alias("only_first"), (b & ~a).alias("only_second"), (~a & ~b).alias("core"))
+
+
+def side_counts(df: DataFrame, value: str, centre: Column, populations: dict[str, Column]) -> DataFrame:
+    """How many rows of each population lie below, above or on a centre: ``population``, ``side``, ``n``, ``share``."""
+    x = finite(value)
+    side = F.when(x < centre, "below").when(x > centre, "above").otherwise("equal")
+    which = F.explode(F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in populations.items()]))).alias("population")
+    n = df.where(x.isNotNull()).select(side.alias("side"), which).groupBy("population", "side").agg(F.count("*").alias("n"))
+    total = n.groupBy("population").agg(F.sum("n").alias("_all"))
+    return n.join(total, "population").select("population", "side", "n", (F.col("n") / F.col("_all")).alias("share"))
+
+
+def corrected_count(df: DataFrame, selected: tuple[str, str], baseline: tuple[str, str], choice: tuple[str, str], limit: float) -> DataFrame:
+    """Events whose selected candidate passes both z limits while the baseline does not, with another choice: one row."""
+    good = lambda z: F.coalesce((F.abs(finite(z[0])) <= limit) & (F.abs(finite(z[1])) <= limit), F.lit(False))
+    changed = ~F.col(choice[0]).eqNullSafe(F.col(choice[1]))
+    return df.agg(F.count("*").alias("n"), F.count_if(good(selected)).alias("selected_ok"), F.count_if(good(baseline)).alias("baseline_ok"), F.count_if(good(selected) & ~good(baseline) & changed).alias("corrected"))
+
+
+def interval_grid(df: DataFrame, detectors: dict[str, tuple[float, float]], fractions: list[float], metric: str) -> DataFrame:
+    """Photopeak scan: for every detector, side and fraction, the metric of rows inside the reduced interval.
+
+    An interval [low, high] is cut from the left, the right or both ends by a fraction of its
+    width. One pass: the cuts (a few dozen) are an array on each row, exploded where it passes.
+    """
+    cuts = []
+    for name, (low, high) in detectors.items():
+        for f in fractions:
+            w = (high - low) * f
+            cuts += [(name, side, f, lo, hi) for side, lo, hi in (("left", low + w, high), ("right", low, high - w), ("both", low + w / 2, high - w / 2))]
+    each = F.array(*[F.when(finite(d).between(lo, hi), F.struct(F.lit(d).alias("detector"), F.lit(s).alias("side"), F.lit(float(f)).alias("fraction"))) for d, s, f, lo, hi in cuts])
+    rows = df.select(finite(metric).alias("_m"), F.explode(F.array_compact(each)).alias("c")).where("_m is not null")
+    return rows.groupBy("c.detector", "c.side", "c.fraction").agg(F.count("*").alias("n"), F.avg("_m").alias("mean"), F.stddev_samp("_m").alias("std"), F.sqrt(F.avg(F.col("_m") * F.col("_m"))).alias("rmse"))
+
+
+def threshold_scan(df: DataFrame, residuals: dict[float, str]) -> DataFrame:
+    """Per threshold (a column of residuals each, null where it has no crossing): n, efficiency, mean and std."""
+    each = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), finite(c).alias("x")) for t, c in residuals.items()])).alias("s")
+    s = df.select(each).groupBy("s.threshold").agg(F.count("s.x").alias("n"), (F.count("s.x") / F.count("*")).alias("efficiency"), F.avg("s.x").alias("mean"), F.stddev_samp("s.x").alias("ctr"))
+    return s
+
+
+def frozen_calibration(control: DataFrame, residuals: dict[float, str], least_efficiency: float) -> DataFrame:
+    """What the control data fix for good: the best threshold and the mean residual there, one row."""
+    return best_threshold(threshold_scan(control, residuals), least_efficiency).select("threshold", F.col("mean").alias("control_mean"), "efficiency", "ctr")
+
+
+def control_rules(df: DataFrame, energy: str, low: float, high: float, rms: str, clipped: Column, factor: float, residual: str, window: float) -> DataFrame:
+    """Rows after each control rule in turn: energy interval, noise limit of unclipped rows, coincidence. One row of counts and limits."""
+    at_peak = df.where(inside({energy: (low, high)}))
+    limit = noise_limits(at_peak, rms, clipped, [], factor).select("limit").scalar()
+    quiet = F.coalesce((finite(rms) <= limit) & ~clipped, F.lit(False))
+    met = quiet & F.coalesce(F.abs(finite(residual)) <= window, F.lit(False))
+    counts = at_peak.agg(F.count("*").alias("n_energy"), F.count_if(quiet).alias("n_quiet"), F.count_if(met).alias("n_coincident"))
+    return counts.select(df.agg(F.count("*")).scalar().alias("n_read"), "*", limit.alias("noise_limit"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import attribution as X
-from ..operators import matching
+from ..operators import matching, ranking
 from ..operators import models as M
 from .matches import DAY, _leads
 from .modelling import _linear_predict, xai_window_shapley
@@ -41,8 +44,10 @@ def sig_circular_regression(spark, sf_dir):
 
 @register("ml_regression_tree")
 def ml_regression_tree(spark, sf_dir):
-    w = waves(spark, sf_dir)
-    return rounded(X.regression_tree(w.where("event_id % 2 = 0"), w, "s1", "y", "event_id"))
+    """Out-of-fold predictions: every event by the tree that was grown on the other folds."""
+    w = ranking.folds(waves(spark, sf_dir), "event_id", 3, "tree")
+    each = [X.regression_tree(w.where(F.col("fold_id") != k), w.where(F.col("fold_id") == k), "s1", "y", "event_id") for k in (1, 2, 3)]
+    return rounded(reduce(DataFrame.unionByName, each))
 
 
 @register("rpt_latex_rows", r"SELECT replace(n_name, '_', '\_') || ' & ' || n_regionkey || ' \\' AS line FROM nation")

@@ -118,7 +118,11 @@ def match_one_pulse(spark, sf_dir):
     return matching.one_lead_one_trail(h, ["board", "day"], F.col("channel") == "view", F.col("channel") == "purchase", "toa")
 
 
-@register("match_lead_trail")
+@register("match_lead_trail", f"""WITH h AS (SELECT board, toa, channel = 'view' AS lead FROM ({HITS}) WHERE channel IN ('view', 'purchase')),
+  s AS (SELECT *, sum(CASE WHEN lead THEN 1 ELSE -1 END) OVER w AS s, count(*) FILTER (lead) OVER w AS leads, count(*) FILTER (NOT lead) OVER w AS trails FROM h WINDOW w AS (PARTITION BY board ORDER BY toa, lead ROWS UNBOUNDED PRECEDING)),
+  m AS (SELECT *, greatest(0, -min(s) OVER (PARTITION BY board ORDER BY toa, lead ROWS UNBOUNDED PRECEDING)) AS missed FROM s),
+  f AS (SELECT *, missed = coalesce(lag(missed) OVER (PARTITION BY board ORDER BY toa, lead), 0) AS found FROM m)
+  SELECT l.board, l.toa AS lead, t.toa AS trail FROM f l JOIN f t ON l.board = t.board AND l.lead AND NOT t.lead AND t.found AND l.leads = t.trails - t.missed""")
 def match_lead_trail(spark, sf_dir):
     return matching.pair_edges(hits(spark, sf_dir), ["board"], F.col("channel") == "view", F.col("channel") == "purchase", "toa")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -9,7 +11,11 @@ from pyspark.sql import functions as F
 from ..operators import models as M
 from ..operators import ranking, resampling
 from .registry import register
-from .tables import RESIDUALS, WAVES, pairs, read, residuals, rounded, waves
+from .tables import PAIRS, RESIDUALS, WAVES, pairs, read, residuals, rounded, waves
+
+
+#: Draws of the resampling queries.
+DRAWS, PERMUTATIONS, WIDTH_DRAWS = 100, 1000, 100
 
 
 def _md5(text: str) -> str:
@@ -17,10 +23,10 @@ def _md5(text: str) -> str:
 
 
 @register("stat_bootstrap", f"""WITH r AS ({RESIDUALS}), k AS (SELECT event_type, x, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM r),
-  s AS (SELECT event_type, n, k AS slot, d AS draw FROM k, range(5) t(d)), p AS (SELECT event_type, draw, {_md5("draw || ':' || slot || ':b1'")} % n AS k FROM s)
+  s AS (SELECT event_type, n, k AS slot, d AS draw FROM k, range(100) t(d)), p AS (SELECT event_type, draw, {_md5("draw || ':' || slot || ':b1'")} % n AS k FROM s)
   SELECT event_type, draw::INT AS draw, count(*) AS n, round(avg(x), 6) + 0.0 AS mean FROM p JOIN k USING (event_type, k) GROUP BY ALL""")
 def stat_bootstrap(spark, sf_dir):
-    b = resampling.bootstrap(residuals(spark, sf_dir), ["event_type"], "event_id", 5, "b1")
+    b = resampling.bootstrap(residuals(spark, sf_dir), ["event_type"], "event_id", DRAWS, "b1")
     return rounded(b.groupBy("event_type", "draw").agg(F.count("*").alias("n"), F.avg("x").alias("mean")))
 
 
@@ -30,33 +36,54 @@ def stat_bootstrap_ctr(spark, sf_dir):
     from ..operators import histogram
 
     r = residuals(spark, sf_dir).where("x is not null")
-    draws = histogram.fwhm(resampling.bootstrap(r, ["event_type"], "event_id", 10, "ctr"), "x", ["event_type", "draw"], 0.25)
+    draws = histogram.fwhm(resampling.bootstrap(r, ["event_type"], "event_id", WIDTH_DRAWS, "ctr"), "x", ["event_type", "draw"], 0.25)
     spread = draws.where("success").groupBy("event_type").agg(F.stddev_samp("fwhm").alias("fwhm_std"), F.count("*").alias("draws"))
     return rounded(histogram.fwhm(r, "x", ["event_type"], 0.25).select("event_type", "n", "fwhm", "success").join(spread, "event_type", "left"))
 
 
-@register("stat_percentile_interval")
+def _picks(rows: str, keys: str, seed: str, draws: int = DRAWS) -> str:
+    """DuckDB: ``p`` holds the rows of every draw, with ``draw``."""
+    part = f"PARTITION BY {keys} " if keys else ""
+    on = f"p0.{keys} = k.{keys} AND " if keys else ""
+    return f"""k AS (SELECT *, row_number() OVER ({part}ORDER BY event_id) - 1 AS k, count(*) OVER ({part}) AS n FROM ({rows})),
+      p0 AS (SELECT {keys + ", " if keys else ""}d AS draw, {_md5(f"d || ':' || k || ':{seed}'")} % n AS slot FROM k, range({draws}) t(d)), p AS (SELECT p0.draw, k.* FROM p0 JOIN k ON {on}p0.slot = k.k)"""
+
+
+_INTERVAL = "count({0}) AS n_draws, round(quantile_cont({0}, 0.025), 6) + 0.0 AS low, round(quantile_cont({0}, 0.975), 6) + 0.0 AS high, round(stddev_samp({0}), 6) + 0.0 AS std"
+
+
+@register("stat_percentile_interval", f"WITH {_picks(PAIRS, 'grp', 'ci')}, s AS (SELECT grp, draw, corr(a, b) AS r FROM p GROUP BY ALL) SELECT grp, {_INTERVAL.format('r')} FROM s GROUP BY grp")
 def stat_percentile_interval(spark, sf_dir):
-    b = resampling.bootstrap(pairs(spark, sf_dir), ["grp"], "event_id", 20, "ci").groupBy("grp", "draw").agg(F.corr("a", "b").alias("r"))
-    return rounded(resampling.percentile_interval(b, ["grp"], "r", 20))
+    b = resampling.bootstrap(pairs(spark, sf_dir), ["grp"], "event_id", DRAWS, "ci").groupBy("grp", "draw").agg(F.corr("a", "b").alias("r"))
+    return rounded(resampling.percentile_interval(b, ["grp"], "r", DRAWS))
 
 
-@register("stat_paired_bootstrap")
+@register("stat_paired_bootstrap", f"WITH {_picks(PAIRS, '', 'pair')}, s AS (SELECT draw, sqrt(avg(a * a)) - sqrt(avg(b * b)) AS d FROM p GROUP BY draw) SELECT {_INTERVAL.format('d')} FROM s")
 def stat_paired_bootstrap(spark, sf_dir):
-    b = resampling.bootstrap(pairs(spark, sf_dir), [], "event_id", 10, "pair")
+    b = resampling.bootstrap(pairs(spark, sf_dir), [], "event_id", DRAWS, "pair")
     d = b.groupBy("draw").agg((F.sqrt(F.avg(F.col("a") * F.col("a"))) - F.sqrt(F.avg(F.col("b") * F.col("b")))).alias("d"))
-    return rounded(resampling.percentile_interval(d, [], "d", 10))
+    return rounded(resampling.percentile_interval(d, [], "d", DRAWS))
+
+
+#: Cumulative Poisson(1) probabilities, the cuts of a weight.
+_CUTS = [sum(2.718281828459045 ** -1 / math.factorial(i) for i in range(k + 1)) for k in range(8)]
 
 
-@register("stat_poisson_bootstrap")
+@register("stat_poisson_bootstrap", f"""WITH r AS ({RESIDUALS}), u AS (SELECT event_type, x, d::INT AS draw, ({_md5("d || ':' || event_id || ':p'")} + 0.5::DOUBLE) / 4294967296::DOUBLE AS u FROM r, range({DRAWS}) t(d) WHERE x IS NOT NULL),
+  w AS (SELECT *, {" + ".join(f"(u >= {c!r}::DOUBLE)::BIGINT" for c in _CUTS)} AS weight FROM u)
+  SELECT event_type, draw, sum(weight)::BIGINT AS n, round(sum(weight * x) / sum(weight), 6) + 0.0 AS mean FROM w WHERE weight > 0 GROUP BY ALL""")
 def stat_poisson_bootstrap(spark, sf_dir):
-    w = resampling.poisson_weights(residuals(spark, sf_dir).where("x is not null"), "event_id", 10, "p")
-    return rounded(w.groupBy("event_type", "draw").agg(F.sum("weight").alias("n"), (F.sum(F.col("weight") * F.col("x")) / F.sum("weight")).alias("mean")))
+    w = resampling.poisson_weights(residuals(spark, sf_dir).where("x is not null"), "event_id", DRAWS, "p")
+    return rounded(w.groupBy("event_type", "draw").agg(F.sum("weight").cast("long").alias("n"), (F.sum(F.col("weight") * F.col("x")) / F.sum("weight")).alias("mean")))
 
 
-@register("stat_permutation")
+@register("stat_permutation", f"""WITH o AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS place, count(*) OVER () AS n, (value > 100)::INT AS f, count(*) FILTER (value > 100) OVER () AS k FROM events),
+  e AS (SELECT d AS draw, place, n, k, CASE WHEN d = 0 THEN f = 1 ELSE row_number() OVER (PARTITION BY d ORDER BY {_md5("d || ':' || event_id || ':perm'")}, event_id) <= k END AS chosen FROM o, range({PERMUTATIONS + 1}) t(d)),
+  c AS (SELECT *, row_number() OVER (PARTITION BY draw ORDER BY place) AS u FROM e WHERE chosen),
+  s AS (SELECT draw, n, k, max(greatest(abs(u / k - place / n), abs((u - 1) / k - (place - 1) / n))) AS d FROM c GROUP BY ALL)
+  SELECT n, k, round(d, 6) + 0.0 AS statistic, round(((SELECT count(*) FROM s z WHERE z.draw > 0 AND z.d >= s.d - 1e-12) + 1) / {PERMUTATIONS + 1}, 6) + 0.0 AS p, {PERMUTATIONS} AS draws FROM s WHERE draw = 0""")
 def stat_permutation(spark, sf_dir):
-    return rounded(resampling.permutation_ks(read(spark, sf_dir, "events"), F.col("value") > 100, "event_id", "event_id", 20, "perm"))
+    return rounded(resampling.permutation_ks(read(spark, sf_dir, "events"), F.col("value") > 100, "event_id", "event_id", PERMUTATIONS, "perm"))
 
 
 @register("stat_block_chi2", """WITH b AS (SELECT event_id // 500 AS block, count(*) AS n, count(*) FILTER (value > 100) AS k FROM events GROUP BY 1), s AS (SELECT sum(k) / sum(n) AS p FROM b)
@@ -260,10 +287,10 @@ def rpt_result_groups(spark, sf_dir):
     return read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count_distinct("c_mktsegment").alias("digests"), F.count("*").alias("n"))
 
 
-@register("orc_sweep", """SELECT m.n_name AS mode, w.r_name AS win FROM nation m, region w WHERE m.n_nationkey < 4 AND NOT (m.n_nationkey = 1 AND w.r_regionkey = 2)""")
+@register("orc_sweep", """SELECT m.n_name AS mode, w.r_name AS win FROM nation m, region w WHERE NOT (m.n_nationkey = 1 AND w.r_regionkey = 2)""")
 def orc_sweep(spark, sf_dir):
     """All combinations of small dimensions minus the excluded ones (a bounded product of configurations)."""
-    modes = read(spark, sf_dir, "nation").where("n_nationkey < 4").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("mode"))
+    modes = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("mode"))
     windows = [(r.r_regionkey, r.r_name) for r in read(spark, sf_dir, "region").collect()]
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("name")) for k, n in windows])).alias("w")
     return modes.select("k", "mode", each).where(~((F.col("k") == 1) & (F.col("w.k") == 2))).select("mode", F.col("w.name").alias("win"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -77,3 +80,33 @@ def complete_runs(manifests: DataFrame) -> tuple[DataFrame, DataFrame]:
     status = F.col("status")
     reason = F.when(status.isNull(), "no status").otherwise(F.concat(F.lit("status is "), status))
     return manifests.where(status == "complete"), manifests.where(status.isNull() | (status != "complete")).withColumn("reason", reason)
+
+
+def write_binary(df: DataFrame, folder: str, name: Column) -> int:
+    """Writes each row's ``content`` as a file of its own, inside tasks; returns their number.
+
+    A file appears under its name once it is whole, so a task that is run again replaces it.
+    ``folder`` is any place that pyarrow's file systems reach (a plain path is taken as local).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        from pyarrow import fs
+
+        for b in batches:
+            store, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+            store.create_dir(base, recursive=True)
+            for file, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                part = f"{base}/.{file}.{id(b):x}"
+                with store.open_output_stream(part) as out:
+                    out.write(content.as_buffer())
+                store.move(part, f"{base}/{file}")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    return df.select(name.alias("name"), "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def one_role(df: DataFrame, id_col: str, role: str, roles: list[str]) -> DataFrame:
+    """The rows; reading them raises where a role is unknown or an id is in several roles."""
+    of = df.groupBy(id_col).agg(F.count_distinct(role).alias("_roles"))
+    ok = F.when(F.col(role).isin(*roles) & (F.col("_roles") == 1), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("roles are not kept apart at id "), F.col(id_col).cast("string"))).cast("boolean"))
+    return df.join(of, id_col).where(ok).drop("_roles")

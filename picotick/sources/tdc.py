@@ -78,14 +78,16 @@ def events_of(data: bytes):
         at += size
 
 
-def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """One row of META_SCHEMA per file; only headers reach the result."""
+def read_headers(spark: SparkSession, path: str, expected: str | None = None) -> DataFrame:
+    """One row of META_SCHEMA per file; only headers reach the result. A mode other than the expected one raises."""
     schema = _arrow(spark, META_SCHEMA)
 
     def run(batches):
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 m = header_of(data.as_buffer().to_pybytes()[:HEADER_SIZE])
+                if expected not in (None, MODE_NAMES[m["mode"]]):
+                    raise TdcError(f"{name} is of mode {MODE_NAMES[m['mode']]}, its run of {expected}")
                 yield pa.RecordBatch.from_pylist([{
                     "path": name, "run_number": m["run_number"], "acquisition_mode": MODE_NAMES[m["mode"]], "measurement_mode": m["measurement"],
                     "toa_lsb_ps": m["toa"], "tot_lsb_ps": m["tot"], "timestamp_lsb_ps": m["stamp"]}], schema=schema)
