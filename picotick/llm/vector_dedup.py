@@ -32,6 +32,8 @@ from ._windows import batch
 THRESHOLD = 0.9
 TABLES, HASHES, PROBES, TURNS = 8, 2, 3, 3
 BLOCK = 1024
+#: Large buckets (24 bytes each) that are broadcast to the entries; with more, both sides are shuffled.
+MOST_BROADCAST = 100_000
 SEED = 5
 #: Probes to choose from: which of a hash's best axes to take, for the two hashes.
 _OPTIONS = ((1, 0), (0, 1), (2, 0), (0, 2), (1, 1), (3, 0), (0, 3))
@@ -215,7 +217,9 @@ def dedup(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *,
     # ids may repeat: a node is numbered by its signature if its least id is not its own
     coded = stored(_coded(nodes.select(F.xxhash64("sig").alias("g"), "m", "vec"), tables, probes, single))
     entries = coded.select("g", F.explode("buckets").alias("e")).groupBy("e.t", "e.bucket").agg(F.count("*").alias("n"))
-    large = entries.where(F.col("n") > BLOCK).select("t", "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    large = stored(entries.where(F.col("n") > BLOCK).select("t", "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    if large.count() <= MOST_BROADCAST:  # then vectors are shuffled once, to their buckets
+        large = F.broadcast(large)
     spread = coded.select(F.explode("buckets").alias("e"), "g", "m", "vec", "codes").select("e.*", "g", "m", "vec", "codes")
     placed = spread.join(large, ["t", "bucket"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int"))
