@@ -92,3 +92,33 @@ def test_nearest_is_one_to_one(spark):
 def test_repeated_ids_raise(spark):
     with pytest.raises(Exception, match="repeated"):
         matching.unique_ids(spark.createDataFrame([(1,), (1,)], "k int"), ["k"]).collect()
+
+
+def test_edges_pair_like_a_queue(spark):
+    """Against a plain queue: equal times, cells shorter than a pulse, a null board, repeated edges."""
+    import random
+    from collections import defaultdict, deque
+
+    from pyspark.sql import functions as F
+
+    from picotick.operators import matching
+
+    r = random.Random(3)
+    rows = [(r.choice([1, 2, None]), r.randint(0, 300), r.random() < 0.55) for _ in range(400)]
+    df = spark.createDataFrame(rows, "board int, t long, lead boolean").repartition(3)
+    got = sorted((x.board or 0, x.lead, x.trail) for x in matching.pair_edges(df, ["board"], F.col("lead"), ~F.col("lead"), "t", span=7).collect())
+    open_, want = defaultdict(deque), []
+    for board, t, lead in sorted(((b or 0, t, lead) for b, t, lead in rows)):
+        if lead:
+            open_[board].append(t)
+        elif open_[board]:
+            want.append((board, open_[board].popleft(), t))
+    assert got == sorted(want)
+    assert matching.pair_edges(df.limit(0), ["board"], F.col("lead"), ~F.col("lead"), "t").count() == 0
+    cut = {(x.board, x.t): x.segment for x in matching.segments(df.select("board", "t"), ["board"], "t", 2).collect()}
+    for board in (1, 2, None):
+        times, start, before = sorted({t for b, t, _ in rows if b == board}), None, None
+        for t in times:
+            start = t if before is None or t - before > 2 else start
+            assert cut[board, t] == start
+            before = t
