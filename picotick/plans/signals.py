@@ -158,9 +158,11 @@ def sig_interpolate(spark, sf_dir):
     return rounded(waves(spark, sf_dir).select("event_id", F.get(A.interpolated(F.col("s1"), F.lit(10), F.lit(13)), F.lit(11)).alias("x11")))
 
 
-@register("sig_hermite")
+@register("sig_hermite", f"""WITH w AS ({WAVES}), v AS (SELECT event_id, unnest(range(32)) AS i, unnest(s1) AS v, s1[10] AS p0, s1[15] AS p1, (s1[10] - s1[9]) * 5 AS m0, (s1[16] - s1[15]) * 5 AS m1 FROM w), t AS (SELECT *, (i - 9) / 5 AS t FROM v)
+  SELECT event_id, i::INT AS i, round(CASE WHEN i BETWEEN 10 AND 13 THEN (2 * t ** 3 - 3 * t ** 2 + 1) * p0 + (t ** 3 - 2 * t ** 2 + t) * m0 + (3 * t ** 2 - 2 * t ** 3) * p1 + (t ** 3 - t ** 2) * m1 ELSE v END, 6) + 0.0 AS x FROM t""")
 def sig_hermite(spark, sf_dir):
-    return waves(spark, sf_dir).select("event_id", A.hermite(F.col("s1"), F.lit(10), F.lit(13)).alias("x"))
+    filled = A.hermite(F.col("s1"), F.lit(10), F.lit(13))
+    return rounded(waves(spark, sf_dir).select("event_id", F.posexplode(filled).alias("i", "x")))
 
 
 @register("sig_pickoff")
