@@ -17,7 +17,8 @@ A document is its set of word shingles; two link when their Jaccard similarity r
    sizes allow the similarity; candidates are verified by exact counts of shared shingles.
 
 Equal sets are one node, and inside a block a verified link is passed on only if it connects
-two groups, so copies and near copies never become all pairs, yet no connection is lost.
+two groups, so copies and near copies never become all pairs, yet no connection is lost. All verified
+links are counted in place, each pair of sets in one block or pair of blocks only.
 Orders only decide what is looked at first: the result does not depend on them. Sets are held
 as 64-bit hashes of shingles.
 
@@ -290,33 +291,38 @@ def _dealt(placed: DataFrame, *carried: str) -> DataFrame:
 
 
 def _verified(rows: DataFrame, classes, width: int, percent: int) -> DataFrame:
-    """Links between nodes of a block or a pair of blocks that connect groups there."""
+    """Of a block or a pair of blocks: links that connect groups there (``n`` 0), and per node the
+    number ``n`` of documents in linked nodes (``a`` = ``b``)."""
 
     def run(batches):
-        key, nodes, blocks, texts = None, [], [], []
+        key, nodes, blocks, texts, copies = None, [], [], [], []
         for b in batches:
-            c = [b.column(k).to_pylist() for k in ("cluster", "i", "j", "node", "block", "text")]
+            c = [b.column(k).to_pylist() for k in ("cluster", "i", "j", "node", "block", "text", "copies")]
             found = []
-            for *k, node, block, text in zip(*c, strict=True):
+            for *k, node, block, text, n in zip(*c, strict=True):
                 if k != key:
-                    found += _links(nodes, blocks, texts, key, classes.value, width, percent)
-                    key, nodes, blocks, texts = k, [], [], []
+                    found += _links(nodes, blocks, texts, copies, key, classes.value, width, percent)
+                    key, nodes, blocks, texts, copies = k, [], [], [], []
                 if not nodes or node != nodes[-1]:
                     nodes.append(node)
                     blocks.append(block)
                     texts.append(text)
+                    copies.append(n)
             if found:
-                x, y = zip(*found, strict=True)
-                yield batch(a=pa.array(x, pa.int64()), b=pa.array(y, pa.int64()))
-        found = _links(nodes, blocks, texts, key, classes.value, width, percent)
+                yield _link_rows(found)
+        found = _links(nodes, blocks, texts, copies, key, classes.value, width, percent)
         if found:
-            x, y = zip(*found, strict=True)
-            yield batch(a=pa.array(x, pa.int64()), b=pa.array(y, pa.int64()))
+            yield _link_rows(found)
+
+    return rows.mapInArrow(run, "a long, b long, n long")
 
-    return rows.mapInArrow(run, "a long, b long")
 
+def _link_rows(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    a, b, n = (pa.array(x, pa.int64()) for x in zip(*found, strict=True))
+    return batch(a=a, b=b, n=n)
 
-def _links(nodes, blocks, texts, key, classes, width: int, percent: int) -> list[tuple[int, int]]:
+
+def _links(nodes, blocks, texts, copies, key, classes, width: int, percent: int) -> list[tuple[int, int, int]]:
     if len(nodes) < 2:
         return []
     unpress = zstandard.ZstdDecompressor()
@@ -328,7 +334,8 @@ def _links(nodes, blocks, texts, key, classes, width: int, percent: int) -> list
     del texts
     rank = sorted(range(len(nodes)), key=lambda i: len(sets[i]))
     sets = [sets[i] for i in rank]
-    nodes, block = [nodes[i] for i in rank], np.array([blocks[i] for i in rank])
+    nodes, block, copies = [nodes[i] for i in rank], np.array([blocks[i] for i in rank]), np.array([copies[i] for i in rank])
+    linked = np.zeros(len(nodes), dtype=np.int64)
     size = np.array([len(s) for s in sets])
     prefixes = [Postings([_prefix(s, classes, order, percent) for s in sets]) for order in range(ORDERS)]
     whole = Postings(sets)
@@ -344,10 +351,13 @@ def _links(nodes, blocks, texts, key, classes, width: int, percent: int) -> list
         if not len(ys):
             continue
         both = whole.meets(x)[ys]
-        for y in ys[100 * both >= percent * (size[x] + size[ys] - both)].tolist():
+        ys = ys[100 * both >= percent * (size[x] + size[ys] - both)]
+        linked[ys] += copies[x]
+        linked[x] += copies[ys].sum()
+        for y in ys.tolist():
             if groups.join(x, y):
-                links.append((nodes[x], nodes[y]))
-    return links
+                links.append((nodes[x], nodes[y], 0))
+    return links + [(nodes[x], nodes[x], int(linked[x])) for x in np.flatnonzero(linked)]
 
 
 def _prefix(tokens: np.ndarray, classes, order: int, percent: int) -> np.ndarray:
@@ -387,7 +397,8 @@ class Postings:
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WORDS_PER_SHINGLE, percent: int = PERCENT, groups: bool = False) -> DataFrame:
-    """Per row: id, ``n_shingles`` and ``component_id`` (least id reachable by links).
+    """Per row: id, ``n_shingles``, ``n_links`` (other rows linked directly, equal sets included)
+    and ``component_id`` (least id reachable by links).
 
     With ``groups`` also ``tag`` (``text_hash``) and ``root``, which tell rows of one id and
     groups of one least id apart; texts without words have a null root.
@@ -403,7 +414,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width
     classes = spark.sparkContext.broadcast(by_bucket)
 
     # a node's text is found by id and text hash: rows that share an id (all null ids do) may differ in text
-    nodes = sets.groupBy("node").agg(F.min("doc").alias("doc"), F.min_by("tag", "doc").alias("tag"))
+    nodes = sets.groupBy("node").agg(F.min("doc").alias("doc"), F.min_by("tag", "doc").alias("tag"), F.count("*").alias("copies"))
     repeats = sets.groupBy("doc", "tag").count().where("count > 1").limit(1).count() > 0
     sketches = measured.where("not sketch and n > 0").select(F.col("b").alias("node"), "n", "parity").dropDuplicates(["node"])
     met = _members(stored(_meetings(_prefix_rows(docs, classes, width, percent), percent)))
@@ -413,13 +424,17 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width
     pressed = _compressed(docs)
     if repeats:
         pressed = pressed.dropDuplicates(["doc", "tag"])
-    texts = placed.join(pressed, ["doc", "tag"]).select("root", "node", "block", "blocks", "text")
-    dealt = _dealt(texts, "text")
-    roots = components(_verified(dealt, classes, width, percent))
-
-    rooted = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    texts = placed.join(pressed, ["doc", "tag"]).select("root", "node", "block", "blocks", "text", "copies")
+    verified = stored(_verified(_dealt(texts, "text", "copies"), classes, width, percent))
+    roots = components(verified.where("n = 0").select("a", "b"))
+
+    # what is known of nodes that have a link or a copy, one row each; a node of many copies is dealt to several tasks
+    none = F.lit(None).cast("long").alias("root")
+    known = roots.select("node", "root", F.lit(0).cast("long").alias("n_links")).unionAll(verified.where("n > 0").select(F.col("a").alias("node"), none, F.col("n").alias("n_links"))).unionAll(
+        nodes.where("copies > 1").select("node", none, (F.col("copies") - 1).alias("n_links"))).groupBy("node").agg(F.max("root").alias("root"), F.sum("n_links").alias("n_links"))
+    rooted = spread_join(sets, known, "node", "doc", "left").withColumn("root", F.coalesce("root", "node")).withColumn("n_links", F.coalesce("n_links", F.lit(0)))
     least = rooted.groupBy("root").agg(F.min("doc").alias("component"))
-    linked = spread_join(rooted, least, "root", "doc").select("doc", "n", "component", "tag", "root")
-    alone = measured.where("not sketch and n = 0").select(F.col("a").alias("doc"), "n", F.col("a").alias("component"), "tag", F.lit(None).cast("long").alias("root"))
+    linked = spread_join(rooted, least, "root", "doc").select("doc", "n", "n_links", "component", "tag", "root")
+    alone = measured.where("not sketch and n = 0").select(F.col("a").alias("doc"), "n", F.lit(0).cast("long").alias("n_links"), F.col("a").alias("component"), "tag", F.lit(None).cast("long").alias("root"))
     return linked.unionAll(alone).select(
-        id_back(id_col), F.col("n").cast("long").alias("n_shingles"), id_back("component_id", "component"), *(["tag", "root"] if groups else []))
+        id_back(id_col), F.col("n").cast("long").alias("n_shingles"), "n_links", id_back("component_id", "component"), *(["tag", "root"] if groups else []))

@@ -241,7 +241,7 @@ FROM g
 """
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(_read(spark, sf_dir, "documents"))
+    return jaccard_join.join(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 OP10_SQL = r"""

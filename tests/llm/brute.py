@@ -33,12 +33,20 @@ class Groups:
         self.up[max(a, b)] = min(a, b)
 
 
+def shingles(text, width):
+    w = words(re.sub("[A-Z]+", lambda m: m.group().lower(), text or ""))
+    return {tuple(w[j : j + width]) for j in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
+
+
+def jaccard_links(rows, width=4, percent=85):
+    """{id: number of other rows linked directly}, all pairs compared"""
+    sets = [(i, shingles(text, width)) for i, text in rows]
+    return {i: sum(x != y and bool(s & t) and 100 * len(s & t) >= percent * len(s | t) for y, (_, t) in enumerate(sets)) for x, (i, s) in enumerate(sets)}
+
+
 def jaccard(rows, width=4, percent=85):
     """{id: (size of the set, least id of the component)}"""
-    sets = {}
-    for i, text in rows:
-        w = words(re.sub("[A-Z]+", lambda m: m.group().lower(), text or ""))
-        sets[i] = {tuple(w[j : j + width]) for j in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
+    sets = {i: shingles(text, width) for i, text in rows}
     groups, where = Groups(sets), defaultdict(list)
     for i, s in sets.items():
         for j, n in Counter(j for t in s for j in where[t]).items():

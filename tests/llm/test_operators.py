@@ -183,12 +183,14 @@ def test_jaccard(spark, seed, monkeypatch):
     rows += ["", None, "a", "A", "a b c", "one two three four"] * 2
     rows = list(enumerate(rows))
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, component_id int").repartition(3)
-    assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.join(df).collect()} == brute.jaccard(rows)
+    got = jaccard_join.join(df).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute.jaccard(rows)
+    assert {x.doc_id: x.n_links for x in got} == brute.jaccard_links(rows)
 
 
 def test_odd_documents(spark):
     df = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (6, None)], "doc_id long, text string")
-    assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in jaccard_join.join(df).collect()) == Counter({(None, 1, None): 1, (5, 1, None): 2, (6, 0, 6): 1})
+    assert Counter((x.doc_id, x.n_shingles, x.n_links, x.component_id) for x in jaccard_join.join(df).collect()) == Counter({(None, 1, 2, None): 1, (5, 1, 2, None): 2, (6, 0, 0, 6): 1})
     assert jaccard_join.join(df.limit(0)).count() == 0
 
 
