@@ -34,7 +34,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import attributions, files, matches, modelling, ranks, scans, signals, statistics, tdc_run  # noqa: F401
+    from . import attributions, files, matches, modelling, ranks, scans, signals, statistics, tdc_run, training  # noqa: F401
 
 
 _load()
