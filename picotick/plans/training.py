@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import features as X
 from ..operators import models as M
 from ..operators import scratch
 from ..operators import training as T
@@ -70,3 +71,30 @@ def ml_feature_blocks(spark, sf_dir):
 def ml_pooled_kernels(spark, sf_dir):
     w = waves(spark, sf_dir)
     return rounded(T.kernel_features(w, "event_id", "s1", T.fit_kernel_biases(w, "event_id", "s1")))
+
+
+@register("ml_shapelets")
+def ml_shapelets(spark, sf_dir):
+    w = waves(spark, sf_dir)
+    return rounded(X.shapelet_features(w, "event_id", "s1", X.fit_shapelets(w, "event_id", "s1", 100)))
+
+
+@register("ml_competing_kernels")
+def ml_competing_kernels(spark, sf_dir):
+    """Features scaled as sparse counts."""
+    f = X.competing_kernel_features(waves(spark, sf_dir), "event_id", "s1")
+    return T.sparse_scaled(f, f, "features")
+
+
+@register("ml_tail_phase_ridge")
+def ml_tail_phase_ridge(spark, sf_dir):
+    """What a ridge on samples leaves, corrected by a ridge on relative phases."""
+    w = waves(spark, sf_dir).select("event_id", "y", M.pair_features(F.col("s1"), F.col("s2"), False).alias("x"), X.unit_phases(F.col("s1"), F.col("s2"), [0.125, 0.25], 32, True).alias("phase"))
+    left = w.withColumn("residual", F.col("y") - M.linear(F.col("x"), M.fit_ridge(w, "x", "y", 4.0)))
+    return rounded(left.select("event_id", "residual", (F.col("residual") - M.linear(F.col("phase"), M.fit_ridge(left, "phase", "residual", 1.0))).alias("corrected")))
+
+
+@register("imp_ppca_draws")
+def imp_ppca_draws(spark, sf_dir):
+    w = waves(spark, sf_dir)
+    return X.ppca_draws(w, "event_id", "s1", M.fit_ppca(w, "s1", 4), [10, 11, 12], 5)
