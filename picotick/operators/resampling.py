@@ -17,7 +17,8 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
     """Adds ``name``, each row's place (from 0) in its group's order, without a window over a whole group.
 
     Rows are dealt to ranges of the order; a row's place is its place in its range plus the
-    rows of its group in the ranges before. Rows equal in the whole order share no place, in any order.
+    rows of its group in the ranges before; that table has a row for each group and range, so Spark
+    broadcasts it only while it is small. Rows equal in the whole order share no place, in any order.
     """
     ranged = stored(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
     counts = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_c"))
@@ -27,7 +28,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
     for k in keys:
         same = same & ranged[k].eqNullSafe(ahead[f"_k_{k}"])
     here = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
-    return ranged.join(F.broadcast(ahead), same).withColumn(name, here - 1 + F.col("_ahead")).drop("_range", "_r", "_ahead", *[f"_k_{k}" for k in keys])
+    return ranged.join(ahead, same).withColumn(name, here - 1 + F.col("_ahead")).drop("_range", "_r", "_ahead", *[f"_k_{k}" for k in keys])
 
 
 def _hash(*parts: Column, seed: str) -> Column:
