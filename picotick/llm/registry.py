@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, jaccard_join, mixing, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, url_filters, vector_dedup
+from . import chat_format, concatenation, conversation_repair, jaccard_join, merkle_manifest, mixing, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, url_filters, vector_dedup
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -264,6 +264,149 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM k LEFT JOIN n USI
 """
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    changed = [F.translate("text", upper, lower) if f == "text" else F.col(f) for f in merkle_manifest.FIELDS]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, merkle_manifest.digest(merkle_manifest.preimage(*changed)))
+    found = merkle_manifest.manifest(_read(spark, sf_dir, "documents"), keep={"tampered": tampered})
+    folded = found.withColumn("folded_root", merkle_manifest.fold(F.coalesce("tampered", "leaf"), F.col("proof")))
+    proof = merkle_manifest.digest(merkle_manifest.siblings_of(F.col("proof")))
+    return folded.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+#: CRC-32 of an ASCII text in SQL: the table of the bytes, then a fold over the characters.
+_CRC_TABLE = "SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY b) AS tbl FROM (SELECT unnest(range(256)) AS b)"
+
+
+def _crc(text: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda s: CAST(ord(s) AS BIGINT))), lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _field(name: str) -> str:
+    return f"coalesce(strlen(CAST({name} AS VARCHAR)) || ':' || CAST({name} AS VARCHAR), '-')"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}), d AS (
+  SELECT doc_id, source, row_number() OVER () AS n, sha256({" || ".join(map(_field, merkle_manifest.FIELDS))}) AS leaf,
+    CASE WHEN {_crc("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN sha256({" || ".join(_field(f) if f != "text" else _field("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')") for f in merkle_manifest.FIELDS)}) END AS tampered
+  FROM documents, crc
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS members FROM d
+), t AS (
+  SELECT coalesce(':' || source, '') AS grp, 0 AS k, pos, members, leaf AS h FROM p
+  UNION ALL SELECT grp, k + 1, pos // 16, any_value(members + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE members > 1 GROUP BY grp, k, pos // 16
+), s AS (
+  SELECT grp, h AS subroot, row_number() OVER (ORDER BY encode(grp)) - 1 AS pos, count(*) OVER () AS members FROM t WHERE members = 1
+), u AS (
+  SELECT 0 AS k, pos, members, subroot AS h FROM s
+  UNION ALL SELECT k + 1, pos // 16, any_value(members + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM u WHERE members > 1 GROUP BY k, pos // 16
+), a AS (
+  SELECT p.n, t.k AS step, string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos < p.pos // (16 ** t.k)::BIGINT) AS before, string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos > p.pos // (16 ** t.k)::BIGINT) AS after
+  FROM p JOIN t ON t.grp = coalesce(':' || p.source, '') AND t.members > 1 AND t.pos // 16 = p.pos // (16 ** (t.k + 1))::BIGINT GROUP BY p.n, t.k
+  UNION ALL SELECT p.n, 100 + u.k, string_agg(u.h, '' ORDER BY u.pos) FILTER (u.pos < s.pos // (16 ** u.k)::BIGINT), string_agg(u.h, '' ORDER BY u.pos) FILTER (u.pos > s.pos // (16 ** u.k)::BIGINT)
+  FROM p JOIN s ON s.grp = coalesce(':' || p.source, '') JOIN u ON u.members > 1 AND u.pos // 16 = s.pos // (16 ** (u.k + 1))::BIGINT GROUP BY p.n, u.k
+), o AS (
+  SELECT n, row_number() OVER (PARTITION BY n ORDER BY step) AS j, coalesce(before, '') AS before, coalesce(after, '') AS after FROM a
+), f AS (
+  SELECT n, CAST(0 AS BIGINT) AS j, coalesce(tampered, leaf) AS h FROM p UNION ALL SELECT f.n, o.j, sha256(o.before || f.h || o.after) FROM f JOIN o ON o.n = f.n AND o.j = f.j + 1
+), e AS (
+  SELECT n, arg_max(h, j) AS folded_root FROM f GROUP BY n
+), q AS (
+  SELECT n, sha256(string_agg(before || after, '' ORDER BY j)) AS proof_sha256 FROM o GROUP BY n
+), r AS (
+  SELECT h AS root FROM u WHERE members = 1
+)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM p JOIN s ON s.grp = coalesce(':' || source, '') JOIN e USING (n) LEFT JOIN q USING (n), r
+"""
+
+
+def _repair_digests(batches):
+    """The rows of ``repair`` in their order -> each conversation's counts and the hash of its turns, a piece at a time."""
+    names = ("conv_id", *conversation_repair.STATS, "audit", "repaired_sha256")
+    kinds = [*[pa.int64()] * (len(names) - 2), pa.string(), pa.string()]
+    conv, found, digest, first = None, None, None, True
+
+    def row():
+        return (conv, *(found[c] for c in (*conversation_repair.STATS, "audit")), digest.hexdigest())
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
+
+    for b in batches:
+        done = []
+        for c, head, role, text in zip(*(b.column(k).to_pylist() for k in ("conv_id", "found", "role", "text")), strict=True):
+            if head is not None:
+                if found:
+                    done.append(row())
+                conv, found, digest, first = c, head, hashlib.sha256(), True
+                continue
+            digest.update(f"{'' if first else chr(10)}{role}:{text}".encode())
+            first = False
+        if done:
+            yield batch(done)
+    if found:
+        yield batch([row()])
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversation_repair.damage(_read(spark, sf_dir, "conversations"))
+    turns = conversation_repair.repair(damaged, present=F.col("present"))
+    counts = ", ".join(f"{c} long" for c in conversation_repair.STATS)
+    return turns.mapInArrow(_repair_digests, f"conv_id long, {counts}, audit string, repaired_sha256 string")
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}), g AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS draw FROM conversations, crc
+), d AS (
+  SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role, CASE draw WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE WHEN draw = 3 THEN 2 ELSE 1 END)) FROM g WHERE draw <> 0)
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(role), md5(text)) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+    left(role, 1) AS r FROM d
+), l AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'b' WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 'd' WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 't' ELSE '' END AS fault,
+    r || lead(r) OVER (PARTITION BY conv_id ORDER BY i) AS pair FROM o
+), f AS (
+  SELECT conv_id, n + 1 AS i, {{'c': 0, 'a': ''}} AS f0, {{'c': 4, 'a': 'II'}} AS f1, {{'c': 2, 'a': 'I'}} AS f2, {{'c': 0, 'a': ''}} AS f3 FROM (SELECT DISTINCT conv_id, n FROM l)
+  UNION ALL SELECT conv_id, i, least(g0, {{'c': g2.c + 2, 'a': 'I' || g2.a}}, {{'c': g3.c + 4, 'a': 'II' || g3.a}}), least(g1, {{'c': g2.c + 2, 'a': 'I' || g2.a}}, {{'c': g3.c + 4, 'a': 'II' || g3.a}}),
+    least(g2, {{'c': g3.c + 2, 'a': 'I' || g3.a}}), least(g3, {{'c': g2.c + 2, 'a': 'I' || g2.a}})
+  FROM (SELECT l.conv_id, l.i,
+    least({{'c': f0.c + 3, 'a': 'D' || f0.a}}, {{'c': CASE WHEN r = 's' THEN f1.c + y WHEN r = 'u' THEN f2.c + y ELSE 999999 END, 'a': 'K' || CASE WHEN r = 's' THEN f1.a ELSE f2.a END}}, {{'c': f2.c + y + 2, 'a': 'R' || f2.a}}) AS g0,
+    least({{'c': f1.c + 3, 'a': 'D' || f1.a}}, {{'c': CASE WHEN r = 'u' THEN f2.c + y ELSE 999999 END, 'a': 'K' || f2.a}}, {{'c': f2.c + y + 2, 'a': 'R' || f2.a}}) AS g1,
+    least({{'c': f2.c + 3, 'a': 'D' || f2.a}}, {{'c': CASE WHEN r = 'a' THEN f3.c + y ELSE 999999 END, 'a': 'K' || f3.a}}, {{'c': f3.c + y + 2, 'a': 'R' || f3.a}}) AS g2,
+    least({{'c': f3.c + 3, 'a': 'D' || f3.a}}, {{'c': CASE WHEN r = 'u' THEN f2.c + y ELSE 999999 END, 'a': 'K' || f2.a}}, {{'c': f2.c + y + 2, 'a': 'R' || f2.a}}) AS g3
+    FROM (SELECT *, CASE fault WHEN 'b' THEN 999999 WHEN 'd' THEN 999999 WHEN 't' THEN 1 ELSE 0 END AS y FROM l) AS l JOIN f ON l.conv_id IS NOT DISTINCT FROM f.conv_id AND l.i = f.i - 1)
+), a AS (
+  SELECT conv_id, f0.c AS cost, f0.a AS audit FROM f WHERE i = 1
+), e AS (
+  SELECT conv_id, j, audit[j] AS edit, count(*) FILTER (audit[j] <> 'I') OVER w AS i, count(*) FILTER (audit[j] <> 'D') OVER w AS place
+  FROM (SELECT *, unnest(range(1, length(audit) + 1)) AS j FROM a) WINDOW w AS (PARTITION BY conv_id ORDER BY j)
+), m AS (
+  SELECT e.conv_id, e.place, e.edit, l.role, CASE WHEN e.edit = 'I' THEN '' ELSE l.text END AS text, count(*) OVER (PARTITION BY e.conv_id) % 2 AS odd
+  FROM e LEFT JOIN l ON e.conv_id IS NOT DISTINCT FROM l.conv_id AND e.i = l.i AND e.edit <> 'I' WHERE e.edit <> 'D'
+), h AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (place + odd) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY place)) AS repaired_sha256 FROM m GROUP BY conv_id
+), c AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM l GROUP BY conv_id
+)
+SELECT z.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS z LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM z.conv_id LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM z.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM z.conv_id
+"""
+
+
+def op13_concatenation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = concatenation.pack(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 #: name -> (query, DuckDB SQL or None)
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_chat_format": (op1_chat_format, OP1_SQL),
@@ -276,6 +419,9 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_vector_dedup": (op8_vector_dedup, OP8_SQL),
     "op9_mixing": (op9_mixing, OP9_SQL),
     "op10_jaccard_join": (op10_jaccard_join, OP10_SQL),
+    "op11_merkle_manifest": (op11_merkle_manifest, OP11_SQL),
+    "op12_conversation_repair": (op12_conversation_repair, OP12_SQL),
+    "op13_concatenation": (op13_concatenation, None),
 }
 
 
