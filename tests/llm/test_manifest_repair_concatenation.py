@@ -181,9 +181,11 @@ def test_dropped_rows_name_their_conversation(spark):
 # concatenation ------------------------------------------------------------------------------
 
 
+WORDS = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def word_ids(text):
-    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    return [*t.encode(text or "", add_special_tokens=False).ids, 2]
+    return [*WORDS.encode(text or "", add_special_tokens=False).ids, 2]
 
 
 def check(rows, texts, capacity=4096):
