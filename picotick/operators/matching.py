@@ -2,20 +2,20 @@
 
 Range joins add equi-keys: time is cut into buckets as wide as the window, a probe looks into
 its own bucket and the neighbour, and the range condition removes the rest, so no nested loop
-and no cross join is planned. Greedy one-to-one matchers are folds over time within a key.
-They run in ``applyInPandas`` per (key, segment): a segment ends at a gap that no pair can
-span, so a key with such gaps is many small groups; one that never pauses is one group.
+and no cross join is planned. Greedy one-to-one matchers are walks over cells of time (``walks``), so a
+busy key is never one task.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import walks
+from .scratch import stored
+
 
 def segments(df: DataFrame, keys: list[str], time: str, reach: int) -> DataFrame:
     """Adds ``segment``: the first time of a stretch without gaps over ``reach``.
@@ -112,110 +112,85 @@ def pair_edges(hits: DataFrame, keys: list[str], is_lead: Column, is_trail: Colu
     return _by_keys(leads, closing, [*keys, "_m"]).select(*keys, "lead", "trail")
 
 
-def _folded(df: DataFrame, keys: list[str], fold, columns: str, time: str, reach: int) -> DataFrame:
-    """Runs ``fold(pdf sorted by time) -> rows`` for each (keys, segment)."""
-    types = dict(df.dtypes)
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), columns])
-    names = [c.strip().split()[0] for c in columns.split(",")]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = fold(pdf.sort_values([time, "kind"], kind="stable"))
-        out = pd.DataFrame(rows, columns=names)
-        for i, k in enumerate(keys):
-            out.insert(i, k, pdf[k].iloc[0])
-        return out
-
-    return segments(df, keys, time, reach).groupBy(*keys, "segment").applyInPandas(run, schema)
-
-
 def longest_valid_pulses(hits: DataFrame, keys: list[str], kind: Column, time: str, low: int, high: int) -> DataFrame:
     """Pulses of ``low``..``high`` ticks: each trail takes the earliest unused lead in range.
 
     ``kind`` is 0 for a lead, 1 for a trail, null for neither. Leads that were too old for a
     trail are gone for later ones too.
     """
-
-    def fold(pdf: pd.DataFrame):
-        waiting: list[int] = []
-        for t, k in zip(pdf["t"].tolist(), pdf["kind"].tolist(), strict=True):
-            if k == 0:
-                waiting.append(t)
-                continue
-            while waiting and t - waiting[0] > high:
-                waiting.pop(0)
-            if waiting and t - waiting[0] >= low:
-                yield waiting.pop(0), t
-
-    rows = hits.select(*keys, F.col(time).cast("long").alias("t"), kind.cast("int").alias("kind")).where("kind is not null")
-    return _folded(rows, keys, lambda p: list(fold(p)), "lead long, trail long", "t", high)
+    found = walks.walked(walks.elements(hits, keys, F.col(time), kind), keys, walks.first_in_range(low, high), high)
+    return found.select(*keys, F.col("a").alias("lead"), F.col("b").alias("trail"))
 
 
-def recorded_duration_pulses(hits: DataFrame, keys: list[str], kind: Column, time: str, recorded: Column, tolerance: int, reach: int) -> DataFrame:
-    """Pulses whose trail carries a recorded duration: the unused lead nearest to trail - duration, within tolerance.
+def longest_valid_statistics(hits: DataFrame, keys: list[str], kind: Column, time: str, low: int, high: int) -> DataFrame:
+    """Per key: edges, pairs, and why others found none.
 
-    Ties take the earlier lead. ``reach`` bounds any recorded duration plus the tolerance.
+    ``too_long`` counts unused leads that were too old for some later trail, ``too_short`` unused
+    trails behind any lead, ``nested`` the unused leads between the two of a pair, summed.
     """
-
-    def fold(pdf: pd.DataFrame):
-        leads = pdf.loc[pdf["kind"] == 0, "t"].to_numpy()
-        used = np.zeros(len(leads), dtype=bool)
-        for t, d in pdf.loc[(pdf["kind"] == 1) & pdf["d"].notna(), ["t", "d"]].itertuples(index=False):
-            want = t - int(d)
-            lo, hi = np.searchsorted(leads, want - tolerance), np.searchsorted(leads, want + tolerance, side="right")
-            free = [i for i in range(lo, hi) if not used[i] and leads[i] < t]
-            if free:
-                i = min(free, key=lambda i: (abs(int(leads[i]) - want), leads[i]))
-                used[i] = True
-                yield int(leads[i]), int(t)
-
-    rows = hits.select(*keys, F.col(time).cast("long").alias("t"), kind.cast("int").alias("kind"), recorded.cast("double").alias("d")).where("kind is not null")
-    return _folded(rows, keys, lambda p: list(fold(p)), "lead long, trail long", "t", reach)
-
-
-def monotonic_nearest(hits: DataFrame, keys: list[str], kind: Column, time: str, window: int) -> DataFrame:
-    """One-to-one pairs of kind 0 and kind 1 in time order, each with the nearer of its choices.
+    edges = walks.elements(hits, keys, F.col(time), kind)
+    found = walks.walked(edges, keys, walks.first_in_range(low, high), high)
+    lead, trail = F.col("_side") == 0, F.col("_side") == 1
+    ends = edges.groupBy(*keys).agg(F.max(F.when(trail, F.col("_t"))).alias("_last"), F.min(F.when(lead, F.col("_t"))).alias("_first"))
+    # an edge counts 1, and a pair takes back what its two edges count
+    one = lambda side, t, n: F.struct(F.lit(side).alias("_side"), F.col(t).alias("_t"), F.lit(n).alias("_n"))
+    used = found.select(*keys, "between", F.explode(F.array(one(0, "a", -1), one(1, "b", -1))).alias("_x")).select(*keys, F.when(F.col("_x._side") == 0, F.col("between")).alias("between"), "_x.*")
+    both = edges.select(*keys, F.lit(None).cast("long").alias("between"), "_side", "_t", F.lit(1).alias("_n")).unionByName(used)
+    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("_n"))), F.lit(0)).cast("long")
+    return _by_keys(both, ends, keys).groupBy(*keys).agg(
+        F.count(F.when(lead & (F.col("_n") < 0), 1)).alias("paired"), count(lead).alias("unmatched_leads"), count(trail).alias("unmatched_trails"),
+        count(trail & (F.col("_t") > F.col("_first"))).alias("too_short"), count(lead & (F.col("_t") < F.col("_last") - high)).alias("too_long"),
+        F.coalesce(F.sum("between"), F.lit(0)).cast("long").alias("nested"))
+
+
+def recorded_duration_pulses(
+    hits: DataFrame, keys: list[str], kind: Column, time: str, recorded: Column, tolerance: int, low: int, high: int, *, if_missing: bool = True, if_inconsistent: bool = True,
+) -> DataFrame:
+    """Pulses whose trail carries a recorded duration: ``lead``, ``trail``, ``direct``.
+
+    The expected leads (trail less its duration, where that is ``low``..``high``) are matched in order
+    with the nearest lead within the tolerance, the later one on a tie; a pair lasts ``low``..``high``
+    as well. Trails without a duration (null or none above 0) or, with one, without a lead fall
+    back, as asked, on the earliest lead in range that is still unused (``direct`` is false).
+    """
+    rows = hits.select(*keys, F.col(time).cast("long").alias("_t"), kind.cast("int").alias("_side"), F.when(recorded > 0, recorded).cast("double").alias("_d")).where("_side is not null and _t is not null")
+    rows = rows.withColumn("_d", F.when(F.col("_side") == 1, F.col("_d")))
+    whole = F.rint("_d").cast("long")
+    usable = F.coalesce(F.col("_d").between(low, high) & (whole <= F.col("_t")), F.lit(False))
+    expected = F.when(F.col("_side") == 0, F.col("_t")).otherwise(F.col("_t") - whole)
+    met = walks.walked(walks.elements(rows, keys, expected, F.when((F.col("_side") == 0) | usable, F.col("_side")), F.col("_t")), keys, walks.nearest_in_order(tolerance, later_on_tie=True), tolerance, tolerance)
+    direct = met.where((F.col("b_end") > F.col("a")) & (F.col("b_end") - F.col("a")).between(low, high))
+    direct = stored(direct.select(*keys, F.col("a").alias("lead"), F.col("b_end").alias("trail"), (F.col("b_end") - F.col("b")).alias("_d"), F.lit(True).alias("direct")))
+    if not (if_missing or if_inconsistent):
+        return direct.drop("_d")
+    # what is left: every edge counts 1, and a pair takes its two away
+    counted = rows.select(*keys, "_side", "_t", whole.alias("_d"), F.lit(1).alias("_n"))
+    taken = direct.select(*keys, F.lit(0).alias("_side"), F.col("lead").alias("_t"), F.lit(None).cast("long").alias("_d"), F.lit(-1).alias("_n")).unionByName(
+        direct.select(*keys, F.lit(1).alias("_side"), F.col("trail").alias("_t"), "_d", F.lit(-1).alias("_n")))
+    left = counted.unionByName(taken).groupBy(*keys, "_side", "_t", "_d").agg(F.sum("_n").alias("_n")).where("_n > 0")
+    wanted = (F.col("_side") == 0) | (F.col("_d").isNull() & F.lit(if_missing)) | (F.col("_d").isNotNull() & F.lit(if_inconsistent))
+    left = left.where(wanted).withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    late = walks.walked(walks.elements(left, keys, F.col("_t"), F.col("_side")), keys, walks.first_in_range(low, high), high)
+    return direct.drop("_d").unionByName(late.select(*keys, F.col("a").alias("lead"), F.col("b").alias("trail"), F.lit(False).alias("direct")))
+
+
+def monotonic_nearest(hits: DataFrame, keys: list[str], kind: Column, time: str, window: int, *, later_on_tie: bool = False) -> DataFrame:
+    """One-to-one pairs of kind 0 (``a``) and kind 1 (``b``) in time order, each with the nearer of its choices.
 
     Walks both lists; a pair within the window is made unless the next entry on one side is
-    nearer to the other's present entry, in which case the present one is passed over.
+    nearer to the other's present entry (or, on side 0 and if asked, as near), in which case the
+    present one is passed over.
     """
+    met = walks.walked(walks.elements(hits, keys, F.col(time), kind), keys, walks.nearest_in_order(window, later_on_tie), window, window)
+    return met.select(*keys, "a", "b")
+
 
-    def fold(pdf: pd.DataFrame):
-        a, b = (pdf.loc[pdf["kind"] == k, "t"].tolist() for k in (0, 1))
-        i = j = 0
-        while i < len(a) and j < len(b):
-            gap = abs(a[i] - b[j])
-            if gap > window:
-                i, j = (i + 1, j) if a[i] < b[j] else (i, j + 1)
-            elif i + 1 < len(a) and abs(a[i + 1] - b[j]) < gap:
-                i += 1
-            elif j + 1 < len(b) and abs(a[i] - b[j + 1]) < gap:
-                j += 1
-            else:
-                yield a[i], b[j]
-                i, j = i + 1, j + 1
-
-    rows = hits.select(*keys, F.col(time).cast("long").alias("t"), kind.cast("int").alias("kind")).where("kind is not null")
-    return _folded(rows, keys, lambda p: list(fold(p)), "a long, b long", "t", window)
-
-
-def one_to_one_overlaps(left: DataFrame, right: DataFrame, keys: list[str], longest: int) -> DataFrame:
-    """Pairs of overlapping closed intervals (lead, trail), walked in order; on a miss the earlier end moves on."""
-    tag = lambda df, k: df.select(*keys, F.col("lead").alias("t"), "trail", F.lit(k).alias("kind"))
-
-    def fold(pdf: pd.DataFrame):
-        a, b = (pdf.loc[pdf["kind"] == k, ["t", "trail"]].to_numpy().tolist() for k in (0, 1))
-        i = j = 0
-        while i < len(a) and j < len(b):
-            if a[i][0] <= b[j][1] and b[j][0] <= a[i][1]:
-                yield (*a[i], *b[j])
-                i, j = i + 1, j + 1
-            elif a[i][1] < b[j][1]:
-                i += 1
-            else:
-                j += 1
-
-    both = tag(left, 0).unionByName(tag(right, 1))
-    return _folded(both, keys, lambda p: list(fold(p)), "lead long, trail long, other_lead long, other_trail long", "t", longest)
+def one_to_one_overlaps(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of overlapping closed intervals (``lead``, ``trail``), walked in order; on a miss the one that ends first is passed over."""
+    both = walks.elements(left, keys, F.col("lead"), F.lit(0), F.col("trail")).unionByName(walks.elements(right, keys, F.col("lead"), F.lit(1), F.col("trail")))
+    longest = both.agg(F.max(F.col("_e") - F.col("_t"))).first()[0] or 0
+    met = walks.walked(both, keys, walks.overlapping(), longest)
+    return met.select(*keys, F.col("a").alias("lead"), F.col("a_end").alias("trail"), F.col("b").alias("other_lead"), F.col("b_end").alias("other_trail"))
 
 
 def unique_ids(df: DataFrame, ids: list[str]) -> DataFrame:

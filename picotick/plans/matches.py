@@ -134,26 +134,76 @@ def match_earliest_pair(spark, sf_dir):
     return pairs_.groupBy("board").agg(F.min("lead").alias("lead"), F.min_by("trail", "lead").alias("trail"))
 
 
-@register("match_longest_valid")
+def walk_sql(lists: str, rule: str, name: str = "w") -> str:
+    """CTEs of a walk over two lists a board: ``lists`` gives board, a, b, ae, be; ``rule`` is 0 to pair x and y, 1 to pass x over, 2 to pass y over.
+
+    x, y are the present elements, xn, yn the next ones, xe, ye the present ones' second values.
+    """
+    return f"""{name}_l AS ({lists}), {name} AS (SELECT board, 1 AS i, 1 AS j, NULL::BIGINT AS p, NULL::BIGINT AS q, NULL::BIGINT AS pe, NULL::BIGINT AS qe FROM {name}_l
+  UNION ALL SELECT board, i + (s <> 2)::INT, j + (s <> 1)::INT, CASE WHEN s = 0 THEN x END, CASE WHEN s = 0 THEN y END, CASE WHEN s = 0 THEN xe END, CASE WHEN s = 0 THEN ye END
+  FROM (SELECT *, {rule} AS s FROM (SELECT board, i, j, a[i] AS x, b[j] AS y, a[i + 1] AS xn, b[j + 1] AS yn, ae[i] AS xe, be[j] AS ye FROM {name} JOIN {name}_l USING (board) WHERE i <= len(a) AND j <= len(b))))"""
+
+
+def _edges(table: str = "h") -> str:
+    return f"SELECT board, list(toa ORDER BY toa) FILTER (channel = 'view') AS a, list(toa ORDER BY toa) FILTER (channel = 'purchase') AS b, a AS ae, b AS be FROM {table} GROUP BY board"
+
+
+def first_in_range_sql(low: int, high: int) -> str:
+    return f"CASE WHEN y - x > {high} THEN 1 WHEN y - x < {low} THEN 2 ELSE 0 END"
+
+
+def nearest_sql(window: int, later: bool = False) -> str:
+    return f"""CASE WHEN x - y < -{window} THEN 1 WHEN x - y > {window} THEN 2 WHEN xn IS NOT NULL AND abs(xn - y) {"<=" if later else "<"} abs(x - y) THEN 1
+    WHEN yn IS NOT NULL AND abs(x - yn) < abs(x - y) THEN 2 ELSE 0 END"""
+
+
+SHORTEST, LONGEST = 3_600_000_000, 5 * DAY
+
+
+@register("match_longest_valid", f"WITH RECURSIVE h AS ({HITS}), {walk_sql(_edges(), first_in_range_sql(SHORTEST, LONGEST))} SELECT board, p AS lead, q AS trail FROM w WHERE p IS NOT NULL")
 def match_longest_valid(spark, sf_dir):
-    return matching.longest_valid_pulses(hits(spark, sf_dir), ["board"], kind(), "toa", 3_600_000_000, 5 * DAY)
+    return matching.longest_valid_pulses(hits(spark, sf_dir), ["board"], kind(), "toa", SHORTEST, LONGEST)
+
+
+@register("match_pulse_statistics", f"""WITH RECURSIVE h AS ({HITS}), {walk_sql(_edges(), first_in_range_sql(SHORTEST, LONGEST))}, p AS (SELECT board, p, q FROM w WHERE p IS NOT NULL),
+  e AS (SELECT board, toa, channel = 'view' AS lead FROM h WHERE channel IN ('view', 'purchase')), z AS (SELECT board, max(toa) FILTER (NOT lead) AS last, min(toa) FILTER (lead) AS first FROM e GROUP BY board),
+  u AS (SELECT e.*, last, first, NOT EXISTS (FROM p WHERE p.board = e.board AND CASE WHEN lead THEN p.p ELSE p.q END = e.toa) AS free FROM e JOIN z USING (board)),
+  n AS (SELECT p.board, sum((SELECT count(*) FROM e WHERE e.board = p.board AND lead AND toa > p.p AND toa < p.q)) AS nested, count(*) AS paired FROM p GROUP BY p.board)
+  SELECT board, coalesce(any_value(paired), 0) AS paired, count(*) FILTER (lead AND free) AS unmatched_leads, count(*) FILTER (NOT lead AND free) AS unmatched_trails,
+    count(*) FILTER (NOT lead AND free AND toa > first) AS too_short, count(*) FILTER (lead AND free AND toa < last - {LONGEST}) AS too_long, CAST(coalesce(any_value(nested), 0) AS BIGINT) AS nested
+  FROM u LEFT JOIN n USING (board) GROUP BY board""")
+def match_pulse_statistics(spark, sf_dir):
+    return matching.longest_valid_statistics(hits(spark, sf_dir), ["board"], kind(), "toa", SHORTEST, LONGEST)
+
+
+TOLERANCE = DAY // 2
 
 
-@register("match_recorded_duration")
+@register("match_recorded_duration", f"""WITH RECURSIVE h AS ({HITS}), t AS (SELECT board, toa, CASE WHEN value < 400 THEN value * 1000000000::DOUBLE END AS d, toa - CAST(round_even(value * 1000000000::DOUBLE, 0) AS BIGINT) AS want FROM h WHERE channel = 'purchase'),
+  g AS (SELECT board, list(want ORDER BY want, toa) AS b, list(toa ORDER BY want, toa) AS be FROM t WHERE d BETWEEN {SHORTEST} AND {LONGEST} GROUP BY board),
+  f AS (SELECT board, list(toa ORDER BY toa) AS a FROM h WHERE channel = 'view' GROUP BY board),
+  {walk_sql("SELECT board, a, b, a AS ae, be FROM f JOIN g USING (board)", nearest_sql(TOLERANCE, True))},
+  r AS (SELECT board, p AS lead, qe AS trail FROM w WHERE p < qe AND qe - p BETWEEN {SHORTEST} AND {LONGEST}),
+  o AS (SELECT board, toa, channel FROM h WHERE (channel = 'view' AND NOT EXISTS (FROM r WHERE r.board = h.board AND r.lead = h.toa)) OR (channel = 'purchase' AND NOT EXISTS (FROM r WHERE r.board = h.board AND r.trail = h.toa))),
+  {walk_sql(_edges("o"), first_in_range_sql(SHORTEST, LONGEST), "v")}
+  SELECT board, lead, trail, true AS direct FROM r UNION ALL SELECT board, p, q, false FROM v WHERE p IS NOT NULL""")
 def match_recorded_duration(spark, sf_dir):
-    recorded = F.rint(F.col("value") * 1_000_000_000)
-    return matching.recorded_duration_pulses(hits(spark, sf_dir).where("value < 400"), ["board"], kind(), "toa", recorded, DAY // 2, 5 * DAY)
+    """Values of 400 and more count as not recorded."""
+    recorded = F.when(F.col("value") < 400, F.col("value") * 1_000_000_000)
+    return matching.recorded_duration_pulses(hits(spark, sf_dir), ["board"], kind(), "toa", recorded, TOLERANCE, SHORTEST, LONGEST)
 
 
-@register("match_monotonic_nearest")
+@register("match_monotonic_nearest", f"WITH RECURSIVE h AS ({HITS}), {walk_sql(_edges(), nearest_sql(DAY))} SELECT board, p AS a, q AS b FROM w WHERE p IS NOT NULL")
 def match_monotonic_nearest(spark, sf_dir):
     return matching.monotonic_nearest(hits(spark, sf_dir), ["board"], kind(), "toa", DAY)
 
 
-@register("match_one_to_one_overlap")
+@register("match_one_to_one_overlap", f"""WITH RECURSIVE h AS (SELECT board, channel, toa, toa + CAST(round_even(value * 1000000000::DOUBLE, 0) AS BIGINT) AS e FROM ({HITS}) WHERE value < 400),
+  {walk_sql("SELECT board, list(toa ORDER BY toa, e) FILTER (channel = 'view') AS a, list(toa ORDER BY toa, e) FILTER (channel = 'purchase') AS b, list(e ORDER BY toa, e) FILTER (channel = 'view') AS ae, list(e ORDER BY toa, e) FILTER (channel = 'purchase') AS be FROM h GROUP BY board",
+            "CASE WHEN x <= ye AND y <= xe THEN 0 WHEN xe < y THEN 1 ELSE 2 END")} SELECT board, p AS lead, pe AS trail, q AS other_lead, qe AS other_trail FROM w WHERE p IS NOT NULL""")
 def match_one_to_one_overlap(spark, sf_dir):
     side = lambda c: hits(spark, sf_dir).where((F.col("channel") == c) & (F.col("value") < 400)).select("board", F.col("toa").alias("lead"), (F.col("toa") + F.rint(F.col("value") * 1_000_000_000).cast("long")).alias("trail"))
-    return matching.one_to_one_overlaps(side("view"), side("purchase"), ["board"], 400_000_000_000)
+    return matching.one_to_one_overlaps(side("view"), side("purchase"), ["board"])
 
 
 @register("match_dedup_edges", f"WITH h AS ({HITS}) SELECT board, channel, count(*) AS n, count(DISTINCT toa // {DAY}) AS kept FROM h GROUP BY ALL")

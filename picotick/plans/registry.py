@@ -21,20 +21,20 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    """Imports the modules that register queries; here, so that any of them may be imported first."""
+    from . import attributions, files, matches, modelling, ranks, scans, signals, statistics, tdc_run, training  # noqa: F401
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["agg_f1_fwhm"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return {k: f for k, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return {k: s for k, (_, s) in QUERIES.items() if s}
-
-
-def _load() -> None:
-    from . import attributions, files, matches, modelling, ranks, scans, signals, statistics, tdc_run, training  # noqa: F401
-
-
-_load()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..operators import matching, robust
 from ..operators import selection as S
-from .matches import DAY, _leads
+from .matches import DAY, _leads, nearest_sql, walk_sql
 from .registry import register
 from .tables import HITS, PAIRS, RESIDUALS, WAVES, hits, pairs, read, residuals, rounded, waves
 
@@ -172,14 +172,16 @@ def match_stream_candidates(spark, sf_dir):
 
 
 def stream_events(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Hits to events of two sides: edges without repeats, pulses, coincidences of both sides' first leads, and candidate lists.
+    """Hits to events of two sides: edges without repeats, pulses, one-to-one coincidences with the other side's leads, and candidate lists.
 
     Returns the events and a row of counters; a coincidence without candidates on a side is dropped and counted.
     """
     h = hits(spark, sf_dir).dropDuplicates(["board", "channel", "toa"])
     pulses = matching.pair_edges(h, ["board"], F.col("channel") == "view", F.col("channel") == "purchase", "toa")
     other = h.where("channel = 'signup'").select("board", F.col("toa").alias("other"))
-    met = matching.window_join(pulses, other, ["board"], "lead", "other", DAY).withColumn("event", F.concat_ws(":", "board", "lead", "other"))
+    leads = pulses.select("board", F.col("lead").alias("t"), F.lit(0).alias("side")).unionByName(other.select("board", F.col("other").alias("t"), F.lit(1).alias("side")))
+    near = matching.monotonic_nearest(leads, ["board"], F.col("side"), "t", DAY)
+    met = near.select("board", F.col("a").alias("lead"), F.col("b").alias("other")).withColumn("event", F.concat_ws(":", "board", "lead", "other"))
     timing = h.where("channel = 'click'").select("board", F.col("toa").alias("timing"))
     a = matching.preceding_candidates(met.select("event", "board", "lead"), timing, ["board"], "lead", "timing", 7 * DAY, "event")
     b = matching.preceding_candidates(met.select("event", "board", "other"), timing, ["board"], "other", "timing", 7 * DAY, "event")
@@ -194,16 +196,17 @@ _PULSES = f"""h AS (SELECT DISTINCT board, channel, toa FROM ({HITS})), x AS (SE
   m AS (SELECT *, greatest(0, -min(s) OVER (PARTITION BY board ORDER BY toa, lead ROWS UNBOUNDED PRECEDING)) AS missed FROM s),
   f AS (SELECT *, missed = coalesce(lag(missed) OVER (PARTITION BY board ORDER BY toa, lead), 0) AS found FROM m),
   p AS (SELECT l.board, l.toa AS lead, t.toa AS trail FROM f l JOIN f t ON l.board = t.board AND l.lead AND NOT t.lead AND t.found AND l.leads = t.trails - t.missed),
-  c AS (SELECT p.board, p.lead, o.toa AS other FROM p JOIN h o ON o.board = p.board AND o.channel = 'signup' AND o.toa > p.lead - {DAY} AND o.toa < p.lead),
+  {walk_sql("SELECT board, a, b, a AS ae, b AS be FROM (SELECT board, list(lead ORDER BY lead) AS a FROM p GROUP BY board) JOIN (SELECT board, list(toa ORDER BY toa) AS b FROM h WHERE channel = 'signup' GROUP BY board) USING (board)", nearest_sql(DAY))},
+  c AS (SELECT board, p AS lead, q AS other FROM w WHERE p IS NOT NULL),
   k AS (SELECT *, (SELECT count(*) FROM h t WHERE t.board = c.board AND t.channel = 'click' AND t.toa > lead - {7 * DAY} AND t.toa < lead) AS a, (SELECT count(*) FROM h t WHERE t.board = c.board AND t.channel = 'click' AND t.toa > other - {7 * DAY} AND t.toa < other) AS b FROM c)"""
 
 
-@register("match_stream_events", f"WITH {_PULSES} SELECT board, lead, other, a::INT AS a, b::INT AS b FROM k WHERE a > 0 AND b > 0")
+@register("match_stream_events", f"WITH RECURSIVE {_PULSES} SELECT board, lead, other, a::INT AS a, b::INT AS b FROM k WHERE a > 0 AND b > 0")
 def match_stream_events(spark, sf_dir):
     return stream_events(spark, sf_dir)[0].select("board", "lead", "other", F.size("a").alias("a"), F.size("b").alias("b"))
 
 
-@register("match_stream_counters", f"WITH {_PULSES} SELECT (SELECT count(*) FROM p) AS pulses, count(*) AS coincidences, count(*) FILTER (a = 0 OR b = 0) AS dropped, count(*) FILTER (a > 0 AND b > 0) AS events FROM k")
+@register("match_stream_counters", f"WITH RECURSIVE {_PULSES} SELECT (SELECT count(*) FROM p) AS pulses, count(*) AS coincidences, count(*) FILTER (a = 0 OR b = 0) AS dropped, count(*) FILTER (a > 0 AND b > 0) AS events FROM k")
 def match_stream_counters(spark, sf_dir):
     return stream_events(spark, sf_dir)[1]
 
