@@ -53,30 +53,36 @@ def _split() -> re.Pattern:
 class WordEncoder:
     """Ids of the public lower-casing BPE, as little-endian bytes of ``width`` each.
 
-    ``tokenizers`` defines the ids. Its model never joins pre-tokens, so plain text is split
-    here and each distinct pre-token is encoded once, new ones together (tests hold both ways together).
+    ``tokenizers`` defines the ids. Its model never joins pre-tokens, so plain text is lower-cased
+    and split here, and the model sees each distinct pre-token once, new ones of a text together
+    (tests hold both ways together).
     """
 
     def __init__(self, name: str, width: int):
         import public_tokenizers
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.reference = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-        self.kind = f"<u{width}"
+        self.kind, self.width = f"<u{width}", width
         self.known: dict[str, bytes] = {}
         self.split = _split()
         self.special = [t.content for t in self.reference.get_added_tokens_decoder().values()]
+        # the same model behind white space alone, for pre-tokens that are made already
+        self.words = Tokenizer(self.reference.model)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        ending, vocabulary = self.reference.model.end_of_word_suffix, self.reference.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(ending)]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.reference.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _learn(self, new: list[str]) -> None:
-        found = self.reference.encode(" ".join(new), add_special_tokens=False)
-        raw, width = np.array(found.ids, self.kind).tobytes(), int(self.kind[-1])
-        sizes = np.bincount(np.array(found.word_ids, np.int64), minlength=len(new))
-        if len(sizes) != len(new):
-            raise AssertionError("pre-tokens are not split alike")
-        ends = (np.cumsum(sizes) * width).tolist()
+        ids = np.array(self.words.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, self.kind)
+        ends = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
+        if len(ends) != len(new):
+            raise AssertionError("a pre-token has no last id")
+        raw = ids.tobytes()
         for w, a, z in zip(new, [0, *ends[:-1]], ends, strict=True):
             self.known[w] = raw[a:z]
 

@@ -124,5 +124,6 @@ def manifest(
         named = _numbered(tops.select(F.lit("").alias("grp"), F.col("grp").alias("name"), "h"), ("name",))
         return _tree(named, fanout).select(F.col("name").alias("grp"), "proof", "root")
 
-    found = _tree(_numbered(leaves, ("id", "h")), fanout, above)
+    # stored: the ranges are sampled from the leaves first, which would read and hash all texts twice
+    found = _tree(_numbered(stored(leaves), ("id", "h")), fanout, above)
     return found.select(F.col("id").alias(id_col), F.col("h").alias("leaf"), F.col("top").alias("subroot"), "root", "proof", *([F.col(f"kept.{k}").alias(k) for k in keep] if keep else []))
