@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import quantiles
 from .ranking import guarded_corr
 from .robust import _back, finite
 
@@ -26,7 +27,8 @@ def statistics(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
 def tail_dependence(df: DataFrame, a: str, b: str, keys: list[str], percents: list[float]) -> DataFrame:
     """Per percentile of the absolute values: joint and conditional fractions, independence, equal signs."""
     given = both_finite(df, a, b).select(*keys, F.col(a).alias("_a"), F.col(b).alias("_b"))
-    cuts = given.groupBy(*keys).agg(F.percentile(F.abs("_a"), [p / 100 for p in percents]).alias("_qa"), F.percentile(F.abs("_b"), [p / 100 for p in percents]).alias("_qb"))
+    shares = [p / 100 for p in percents]
+    cuts = quantiles(given, {"_qa": (F.abs("_a"), shares), "_qb": (F.abs("_b"), shares)}, keys)
     cuts = cuts.select(*keys, F.explode(F.arrays_zip(F.array(*[F.lit(float(p)) for p in percents]).alias("p"), F.col("_qa").alias("qa"), F.col("_qb").alias("qb"))).alias("_c")).select(
         *keys, F.col("_c.p").alias("percent"), F.col("_c.qa").alias("_cut_a"), F.col("_c.qb").alias("_cut_b"))
     joined = _back(given, cuts, keys)
@@ -53,8 +55,8 @@ def grid(df: DataFrame, x_bin: Column, x_bins: int, y_bin: Column, y_bins: int,
 def agreement(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
     """Bias, RMSE, MAE and percentiles of the absolute difference of two models."""
     d = finite(a) - finite(b)
-    return both_finite(df, a, b).groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg(d).alias("bias"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"), F.percentile(F.abs(d), 0.5).alias("p50"), F.percentile(F.abs(d), 0.95).alias("p95"))
+    found = quantiles(both_finite(df, a, b), {"_q": (F.abs(d), [0.5, 0.95])}, keys, (F.count("*").alias("n"), F.avg(d).alias("bias"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae")))
+    return found.withColumns({"p50": F.get("_q", F.lit(0)), "p95": F.get("_q", F.lit(1))}).drop("_q")
 
 
 def efficiency(n_valid: Column, n_total: Column) -> tuple[Column, Column]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import median, quantiles
 from .robust import _back, finite
 
 
@@ -76,5 +77,6 @@ def profile(df: DataFrame, x: str, y: str, keys: list[str], least: int = 20) ->
     span = given.groupBy(*keys).agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"), F.least(F.lit(40), F.greatest(F.lit(10), F.floor(F.sqrt(F.count("*"))))).cast("int").alias("_bins"))
     step = F.nullif((F.col("_hi") - F.col("_lo")) / F.col("_bins"), F.lit(0.0))
     bin_ = F.coalesce(F.least(F.col("_bins") - 1, F.floor((F.col("x") - F.col("_lo")) / step)), F.lit(0)).cast("int")
-    return _back(given, span, keys).groupBy(*keys, bin_.alias("bin")).agg(
-        F.count("*").alias("n"), F.median("x").alias("x_median"), F.median("y").alias("y_median"), F.stddev_samp("y").alias("y_std")).where(F.col("n") >= least)
+    rows = _back(given, span, keys).select(*keys, bin_.alias("bin"), "x", "y")
+    found = quantiles(rows, {"x_median": (F.col("x"), [0.5]), "y_median": (F.col("y"), [0.5])}, [*keys, "bin"], (F.count("*").alias("n"), F.stddev_samp("y").alias("y_std")))
+    return found.where(F.col("n") >= least).withColumns({c: median(c) for c in ("x_median", "y_median")})

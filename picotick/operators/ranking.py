@@ -1,4 +1,6 @@
-"""Ranks, bands, top-k and deterministic samples. Ties are broken by an id, never left to chance."""
+"""Ranks, bands, top-k and deterministic samples. Ties are broken by an id, never left to chance.
+
+Ranks of whole groups are places by ranges of the order (``order.placed``), so no group is one task."""
 
 from __future__ import annotations
 
@@ -7,22 +9,27 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import by_keys, placed, running, sized
+from .scratch import stored
+
 
-def average_rank(value: str, keys: list[str]) -> Column:
-    """1-based rank; equal values share the mean of their places."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    return F.rank().over(w) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2.0
+def average_rank(df: DataFrame, value: str, keys: list[str], name: str) -> DataFrame:
+    """Adds ``name``: the 1-based rank; equal values share the mean of their places."""
+    ranked = stored(placed(df, keys, [value], "_place"))
+    shared = ranked.groupBy(*keys, value).agg((F.avg("_place") + 1).alias(name))
+    return by_keys(ranked, shared, [*keys, value]).drop("_place")
 
 
-def ordinal_rank(value: str, id_col: str, keys: list[str]) -> Column:
-    """0-based place in order of value, then id."""
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(value, id_col)) - 1
+def ordinal_rank(df: DataFrame, value: str, id_col: str, keys: list[str], name: str) -> DataFrame:
+    """Adds ``name``: the 0-based place in order of value, then id."""
+    return placed(df, keys, [value, id_col] if value != id_col else [value], name)
 
 
 def spearman(df: DataFrame, a: str, b: str, keys: list[str], id_col: str | None = None) -> DataFrame:
     """Rank correlation per group: average ranks, or ordinal ones if ``id_col`` breaks ties."""
-    rank = (lambda c: ordinal_rank(c, id_col, keys)) if id_col else (lambda c: average_rank(c, keys))
-    return df.select(*keys, rank(a).cast("double").alias("ra"), rank(b).cast("double").alias("rb")).groupBy(*keys).agg(guarded_corr("ra", "rb").alias("spearman"))
+    rank = (lambda d, c, n: ordinal_rank(d, c, id_col, keys, n)) if id_col else (lambda d, c, n: average_rank(d, c, keys, n))
+    ranked = rank(rank(df.select(*dict.fromkeys([*keys, a, b, *([id_col] if id_col else [])])), a, "_ra"), b, "_rb")
+    return ranked.select(*keys, F.col("_ra").cast("double").alias("ra"), F.col("_rb").cast("double").alias("rb")).groupBy(*keys).agg(guarded_corr("ra", "rb").alias("spearman"))
 
 
 def guarded_corr(a: str, b: str) -> Column:
@@ -32,27 +39,27 @@ def guarded_corr(a: str, b: str) -> Column:
 
 def percentile_bands(df: DataFrame, score: str, id_col: str, keys: list[str], edges: list[float]) -> DataFrame:
     """Adds ``percentile`` = 100 (rank + 0.5) / n and ``band``, the number of its [edge, edge) range (null outside)."""
-    n = F.count("*").over(Window.partitionBy(*keys))
-    place = 100 * (ordinal_rank(score, id_col, keys) + 0.5) / n
+    ranked = sized(ordinal_rank(df, score, id_col, keys, "_place"), keys, "_n")
+    place = 100 * (F.col("_place") + 0.5) / F.col("_n")
     ranges = list(zip(edges, edges[1:], strict=False))
     cases = reduce(lambda c, i: c.when((F.col("percentile") >= ranges[i][0]) & (F.col("percentile") < ranges[i][1]), i), range(1, len(ranges)),
                    F.when((F.col("percentile") >= ranges[0][0]) & (F.col("percentile") < ranges[0][1]), 0))
-    return df.withColumn("percentile", place).withColumn("band", cases)
+    return ranked.withColumn("percentile", place).withColumn("band", cases).drop("_place", "_n")
 
 
 def lowest_percent(df: DataFrame, score: str, id_col: str, keys: list[str], percent: float) -> DataFrame:
     """The floor(n percent / 100) rows of the smallest score per group."""
-    n = F.count("*").over(Window.partitionBy(*keys))
-    return df.withColumn("_r", ordinal_rank(score, id_col, keys)).withColumn("_n", n).where(F.col("_r") < F.floor(F.col("_n") * percent / 100)).drop("_r", "_n")
+    ranked = sized(ordinal_rank(df, score, id_col, keys, "_r"), keys, "_n")
+    return ranked.where(F.col("_r") < F.floor(F.col("_n") * percent / 100)).drop("_r", "_n")
 
 
 def extreme_flags(df: DataFrame, values: list[str], id_col: str, keys: list[str], fraction: float) -> DataFrame:
     """Adds ``top_<value>``: among the ceil(n fraction) largest absolute values of its group."""
-    n = F.count("*").over(Window.partitionBy(*keys))
-    out = df.withColumn("_n", n)
+    out = sized(df, keys, "_n")
     for v in values:
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.abs(v).desc(), id_col))
-        out = out.withColumn(f"top_{v}", place <= F.ceil(F.col("_n") * fraction))
+        # nulls are never among the largest
+        ranked = placed(out.withColumn("_big", -F.abs(v)).withColumn("_none", F.col(v).isNull()), keys, ["_none", "_big", id_col], "_place")
+        out = ranked.withColumn(f"top_{v}", F.col("_place") < F.ceil(F.col("_n") * fraction)).drop("_big", "_none", "_place")
     return out.drop("_n")
 
 
@@ -78,9 +85,7 @@ def folds(df: DataFrame, id_col: str, k: int, seed: str, keys: list[str] | None
     """
     h = hash_share(id_col, seed)
     if keys:
-        w = Window.partitionBy(*keys)
-        place, n = F.row_number().over(w.orderBy(h, id_col)) - 1, F.count("*").over(w)
-        ranked = df.withColumn("_place", place).withColumn("_n", n)
+        ranked = sized(placed(df.withColumn("_h", h), keys, ["_h", id_col], "_place"), keys, "_n").drop("_h")
     else:
         ranges = df.withColumn("_h", h).withColumn("_range", F.shiftright("_h", 22))
         sizes = ranges.groupBy("_range").agg(F.count("*").alias("_size"))
@@ -107,7 +112,7 @@ def balanced_bins(df: DataFrame, value: str, bins: int) -> DataFrame:
     """
     counts = df.groupBy(value).agg(F.count("*").alias("_c"))
     total = counts.agg(F.sum("_c")).scalar()
-    upto = F.sum("_c").over(Window.orderBy(value))
-    placed = counts.select(value, F.least(F.lit(bins - 1), F.floor((upto - F.col("_c") / 2) * bins / total)).cast("int").alias("bin"))
-    dense = F.dense_rank().over(Window.orderBy("bin")) - 1
-    return df.join(placed.withColumn("bin", dense), value)
+    upto = running(counts, [], [value], F.col("_c"), "_upto")
+    given = stored(upto.select(value, F.least(F.lit(bins - 1), F.floor((F.col("_upto") - F.col("_c") / 2) * bins / total)).cast("int").alias("_b")))
+    used = given.select("_b").distinct().withColumn("bin", F.dense_rank().over(Window.orderBy("_b")) - 1)  # at most ``bins`` rows
+    return df.join(given.join(F.broadcast(used), "_b").drop("_b"), value)

@@ -1,34 +1,113 @@
 """Bootstrap, permutation and scans, deterministic in (id, draw, seed).
 
-A draw's picks are hashes of (draw, number) modulo n, so every engine and every rerun draws
-alike. Rows are numbered once, range by range of their order; a draw is an equi-join on the
-number, and statistics are one aggregation keyed by draw: nothing is gathered in one place.
+Rows are numbered once, by ranges of their order, and put into blocks of ``BLOCK`` consecutive
+ones. How many of a draw's picks fall into each block is a multinomial number, which every block
+finds by itself: a tree of binomial splits, each seeded by (seed, draw, part of the blocks). Picks
+inside a block are hashes of (seed, draw, block, number), which other engines share. So no draw is
+shuffled: rows move once, and statistics of draws are partial sums.
+
+Permutations need no rows at all but the observed ones: a random subset of k of n places is the k
+smallest hashes, its threshold lies within a few standard deviations of k / n (checked, and looked
+for further out if not), and what a statistic needs of a stretch of places is a row a draw.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .order import placed, sized
 from .scratch import stored
 
+#: Rows of a block. Groups of up to so many rows need no binomial split.
+BLOCK = 1 << 16
+#: Multipliers and mask of the 32-bit hash; each is below 2**31, so no engine overflows a signed long.
+MULTIPLIERS, MASK = (0x7FEB352D, 0x31848BAB), 0xFFFFFFFF
+
+
+def mixed(df: DataFrame, name: str, seed: int, parts: list[Column]) -> DataFrame:
+    """Adds ``name``, a hash below 2**32 of a seed and whole numbers, by shifts and products alone."""
+    df = df.withColumn(name, F.lit(seed).cast("long"))
+    h = F.col(name)
+    for part in parts:
+        df = df.withColumn(name, h.bitwiseXOR(part.cast("long").bitwiseAND(F.lit(MASK))))
+        for shift, by in zip((16, 15), MULTIPLIERS, strict=True):
+            df = df.withColumn(name, (h.bitwiseXOR(F.shiftright(name, shift)) * F.lit(by).cast("long")).bitwiseAND(F.lit(MASK)))
+        df = df.withColumn(name, h.bitwiseXOR(F.shiftright(name, 16)))
+    return df
+
+
+def mix(seed: int, *parts) -> np.ndarray:
+    """The same hash of NumPy arrays."""
+    h = np.uint64(seed)
+    for part in parts:
+        h = h ^ (np.asarray(part).astype(np.uint64) & np.uint64(MASK))
+        for shift, by in zip((16, 15), MULTIPLIERS, strict=True):
+            h = ((h ^ (h >> np.uint64(shift))) * np.uint64(by)) & np.uint64(MASK)
+        h = h ^ (h >> np.uint64(16))
+    return h
+
+
+def mixed_sql(source: str, name: str, seed: int, parts: list[str]) -> str:
+    """The same hash as a DuckDB subquery over ``source`` that adds ``name``."""
+    sql = f"(SELECT *, {seed}::BIGINT AS {name} FROM {source})"
+    for part in parts:
+        for step in (f"xor({name}, ({part})::BIGINT & {MASK})", *(f"(xor({name}, {name} >> {n}) * {by}) & {MASK}" for n, by in zip((16, 15), MULTIPLIERS, strict=True)), f"xor({name}, {name} >> 16)"):
+            sql = f"(SELECT * REPLACE ({step} AS {name}) FROM {sql})"
+    return sql
+
+
+def picks_in_block(n: int, block: int, draws: int, seed: int, size: int = BLOCK, known: dict | None = None) -> list[int]:
+    """How many of n picks among n rows fall into a block of ``size`` rows, for each draw.
+
+    The blocks are split in halves down to the one; each split of a draw is binomial, seeded by the
+    half's first and last block, so blocks that share a split agree on it. ``known`` keeps splits.
+    """
+    known = {} if known is None else known
+    first, last, picks = 0, -(-n // size), np.full(draws, n, np.int64)
+    rows = lambda a, z: min(n, z * size) - a * size
+    while last - first > 1:
+        middle = (first + last) // 2
+        if (n, first, last) not in known:
+            rng = np.random.Generator(np.random.Philox(key=[seed, (n << 64 | first << 32 | last) % (1 << 64)]))
+            known[n, first, last] = rng.binomial(picks, rows(first, middle) / rows(first, last))
+        left = known[n, first, last]
+        if block < middle:
+            last, picks = middle, left
+        else:
+            first, picks = middle, picks - left
+    return picks.tolist()
+
+
+def bootstrap(df: DataFrame, keys: list[str], id_col: str, draws: int, seed: int) -> DataFrame:
+    """The rows of ``draws`` resamples with replacement of each group, each of the group's own size.
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    """Adds ``name``, each row's place (from 0) in its group's order, without a window over a whole group.
-
-    Rows are dealt to ranges of the order; a row's place is its place in its range plus the
-    rows of its group in the ranges before; that table has a row for each group and range, so Spark
-    broadcasts it only while it is small. Rows equal in the whole order share no place, in any order.
+    Adds ``draw``. Columns of one row stay together, so paired statistics share their picks. Null
+    groups are groups; groups of one size share their picks.
     """
-    ranged = stored(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
-    counts = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_c"))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1) if keys else Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_r"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_ahead"))
-    same = ranged["_range"] == ahead["_r"]
-    for k in keys:
-        same = same & ranged[k].eqNullSafe(ahead[f"_k_{k}"])
-    here = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
-    return ranged.join(ahead, same).withColumn(name, here - 1 + F.col("_ahead")).drop("_range", "_r", "_ahead", *[f"_k_{k}" for k in keys])
+    others = [c for c in df.columns if c not in keys]
+    numbered = sized(stored(placed(df, keys, [id_col], "_k")), keys, "_n").withColumn("_block", F.floor(F.col("_k") / BLOCK).cast("long"))
+    dealt = numbered.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_block")
+    blocks = dealt.groupBy(*keys, "_n", "_block").agg(F.sort_array(F.collect_list(F.struct("_k", *others))).alias("_rows"))
+
+    @F.pandas_udf("array<long>")
+    def shares(n: pd.Series, block: pd.Series) -> pd.Series:
+        known: dict = {}
+        return pd.Series([picks_in_block(int(a), int(b), draws, seed, BLOCK, known) for a, b in zip(n, block, strict=True)])
+
+    whole = F.array_repeat(F.col("_n"), draws)
+    split = F.when(F.col("_n") <= BLOCK, whole).otherwise(shares("_n", "_block"))
+    each = blocks.select(*keys, "_block", "_rows", F.posexplode(split).alias("draw", "_picks")).where("_picks > 0")
+    each = each.withColumn("_pick", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_picks") - 1)))
+    each = mixed(each, "_h", seed, [F.col("draw"), F.col("_block"), F.col("_pick")])
+    chosen = F.get("_rows", (F.col("_h") % F.size("_rows")).cast("int"))
+    # a generator, through which no filter is pushed into the hash, where it would be repeated over and over
+    return each.select(*keys, "draw", F.inline(F.array(chosen))).select(*keys, "draw", *others)
 
 
 def _hash(*parts: Column, seed: str) -> Column:
@@ -36,21 +115,6 @@ def _hash(*parts: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def bootstrap(df: DataFrame, keys: list[str], id_col: str, draws: int, seed: str) -> DataFrame:
-    """The rows of ``draws`` resamples with replacement of each group, each of the group's own size.
-
-    Adds ``draw``. Columns of one row stay together, so paired statistics share their picks.
-    """
-    placed = stored(numbered(df, keys, [id_col], "_k"))
-    sizes = placed.groupBy(*keys).agg(F.count("*").alias("_n"))
-    each = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
-    slots = (placed.join(sizes, keys) if keys else placed.withColumn("_n", sizes.scalar())).select(*keys, F.col("_k").alias("_slot"), "_n", each)
-    picks = slots.select(*keys, "draw", (_hash(F.col("draw"), F.col("_slot"), seed=seed) % F.col("_n")).cast("long").alias("_k"))
-    # how often each row is drawn is counted before rows are fetched: one join row for each (row, draw)
-    counted = picks.groupBy(*keys, "draw", "_k").agg(F.count("*").alias("_times"))
-    return counted.join(placed, [*keys, "_k"]).select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))).alias("_again")).drop("_k", "_times", "_again")
-
-
 def poisson_weights(df: DataFrame, id_col: str, draws: int, seed: str) -> DataFrame:
     """Adds ``draw`` and ``weight``: the approximate bootstrap, without a join. Rows of weight 0 are left out."""
     u = (_hash(F.col("draw"), F.col(id_col), seed=seed) + 0.5) / F.lit(float(1 << 32))
@@ -72,27 +136,118 @@ def percentile_interval(draws: DataFrame, keys: list[str], value: str, asked: in
     return draws.groupBy(*keys).agg(F.count(value).alias("n_draws"), F.when(ok, F.get(q, F.lit(0))).alias("low"), F.when(ok, F.get(q, F.lit(1))).alias("high"), F.when(ok, F.stddev_samp(value)).alias("std"))
 
 
-def permutation_ks(df: DataFrame, flag: Column, order: str, id_col: str, draws: int, seed: str) -> DataFrame:
-    """Does a flagged subset lie evenly along an order? One row: n, k, statistic, p value and draw count.
-
-    The statistic is the largest distance between the subset's share and its even growth. In
-    each draw the k smallest hashes are the subset, so its size is the same; p counts draws at
-    least as far off, plus one over plus one.
+def _place_hash(seed: int, draw: int, places: np.ndarray) -> np.ndarray:
+    """62 bits a place, the higher 32 from ``seed``, the others from the next one."""
+    return mix(seed, draw, places) << np.uint64(30) | mix(seed + 1, draw, places) >> np.uint64(2)
+
+
+def thresholds(spark: SparkSession, n: int, k: int, draws: int, seed: int) -> list[tuple[int, int]]:
+    """For draws 1, 2, ...: hash and place of the k-th smallest (hash, place) of n places. One pair a draw."""
+    if not 0 < k < n:
+        return [((1 << 62) if k else -1, n)] * draws
+    width, found = 8 * math.sqrt(k * (1 - k / n)) / n + 2 / n, {}
+    while len(found) < draws:
+        low, high = int(max(0.0, k / n - width) * (1 << 62)), int(min(1.0, k / n + width) * (1 << 62))
+        asked = [d for d in range(1, draws + 1) if d not in found]
+
+        def near(batches, low=low, high=high, asked=asked):
+            for b in batches:
+                for lo, hi, first, last in zip(*(b.column(c).to_pylist() for c in _UNIT), strict=True):
+                    places = np.arange(lo, hi)
+                    for d in asked[first:last]:
+                        h = _place_hash(seed, d, places)
+                        inside = (h >= low) & (h < high)
+                        found = [pa.array([d], pa.int32()), pa.array([int((h < low).sum())], pa.int64()), pa.array([h[inside].astype(np.int64)], pa.list_(pa.int64())), pa.array([places[inside]], pa.list_(pa.int64()))]
+                        yield pa.RecordBatch.from_arrays(found, names=["draw", "below", "hash", "place"])
+
+        counted = _units(spark, n, BLOCK, len(asked)).mapInArrow(near, "draw int, below long, hash array<long>, place array<long>")
+        # few rows a draw: those near its threshold
+        ranked = counted.groupBy("draw").agg(F.sum("below").alias("below"), F.sort_array(F.flatten(F.collect_list(F.arrays_zip("hash", "place")))).alias("near"))
+        at = (F.lit(k - 1) - F.col("below")).cast("int")
+        met = ranked.where((F.col("below") < k) & (at < F.size("near"))).select("draw", F.get("near", at).alias("t")).collect()
+        found |= {r.draw: (r.t["hash"], r.t["place"]) for r in met}
+        width *= 4
+    return [found[d] for d in range(1, draws + 1)]
+
+
+#: Draws that a task works on at a time.
+TOGETHER = 25
+_UNIT = ("lo", "hi", "first", "last")
+
+
+def _units(spark: SparkSession, n: int, size: int, draws: int) -> DataFrame:
+    """``lo``, ``hi``: the places 0..n-1 in stretches of ``size``, each with ``first``..``last`` of the draws, TOGETHER at a time."""
+    groups = -(-draws // TOGETHER)
+    stretch, group = F.floor(F.col("id") / groups), F.col("id") % groups
+    return spark.range(-(-n // size) * groups).select(
+        (stretch * size).alias("lo"), F.least(F.lit(n), (stretch + 1) * size).alias("hi"), (group * TOGETHER).alias("first"), F.least(F.lit(draws), (group + 1) * TOGETHER).alias("last"))
+
+
+def permutation_tests(df: DataFrame, flag: Column, order: str, id_col: str, draws: int, seed: int, block: int) -> DataFrame:
+    """Does a flagged subset lie evenly along an order? A row a test: ``test``, ``n``, ``k``, ``statistic``, ``p``, ``draws``.
+
+    ``ks``: the largest distance between the subset's share and its even growth. ``chi2``: squared
+    deviations of the counts in blocks of ``block`` places, over their expected variance.
+    ``adjacent``: how many flagged rows directly follow a flagged one. Each is held against the same
+    random subsets of as many places; p counts draws at least as far off, plus one over plus one.
     """
-    rows = numbered(df.select(id_col, order, flag.cast("int").alias("_flag")) if order != id_col else df.select(id_col, flag.cast("int").alias("_flag")), [], [order, id_col] if order != id_col else [id_col], "_place")
-    placed = stored(rows.select(id_col, (F.col("_place") + 1).alias("_place"), "_flag"))
-    about = placed.agg(F.count("*").alias("_n"), F.sum("_flag").alias("_k"))
-    placed = placed.crossJoin(F.broadcast(about))  # one row
-    every = placed.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws)))).withColumn("_hash", _hash(F.col("draw"), F.col(id_col), seed=seed))
-    shuffled = F.row_number().over(Window.partitionBy("draw").orderBy("_hash", id_col)) <= F.col("_k")
-    chosen = every.withColumn("_in", F.when(F.col("draw") == 0, F.col("_flag") == 1).otherwise(shuffled)).where("_in")
-    upto = F.row_number().over(Window.partitionBy("draw").orderBy("_place"))
-    far = F.greatest(F.abs(upto / F.col("_k") - F.col("_place") / F.col("_n")), F.abs((upto - 1) / F.col("_k") - (F.col("_place") - 1) / F.col("_n")))
-    stats = chosen.withColumn("_d", far).groupBy("draw", "_n", "_k").agg(F.max("_d").alias("d"))
-    seen = stats.where("draw = 0").select(F.col("d").alias("statistic"), F.col("_n").alias("n"), F.col("_k").alias("k"))
-    observed = seen.select("statistic").scalar()
-    more = stats.where("draw > 0").agg(F.count_if(F.col("d") >= observed - 1e-12)).scalar()
-    return seen.select("n", "k", "statistic", ((more + 1) / F.lit(draws + 1)).alias("p"), F.lit(draws).alias("draws"))
+    spark = df.sparkSession
+    rows = placed(df.select(*dict.fromkeys([order, id_col]), flag.cast("int").alias("_flag")), [], list(dict.fromkeys([order, id_col])), "_place")
+    flagged = stored(rows.select("_place", F.coalesce("_flag", F.lit(0)).alias("_flag")))
+    n, k = flagged.agg(F.count("*"), F.coalesce(F.sum("_flag"), F.lit(0))).first()
+    if not 0 < k < n:
+        return spark.createDataFrame([(t, n, k, None, None, draws) for t in ("ks", "chi2", "adjacent")], "test string, n long, k long, statistic double, p double, draws int")
+    size = block * max(1, BLOCK // block)
+    limits = thresholds(spark, n, k, draws, seed)
+    expected = k / n
+
+    def summary(lo: int, chosen: np.ndarray) -> tuple:
+        """What the three tests need of a stretch: count, extremes of the distance from even growth, chi-squared, adjacency, ends."""
+        places = lo + np.flatnonzero(chosen)
+        upto = np.arange(1, len(places) + 1)
+        off = np.concatenate([upto / k - (places + 1) / n, (upto - 1) / k - places / n])
+        starts = np.arange(0, len(chosen), block)
+        counts, sizes = np.add.reduceat(chosen.astype(np.int64), starts), np.minimum(block, len(chosen) - starts)
+        chi2 = float(((counts - sizes * expected) ** 2 / (sizes * expected * (1 - expected))).sum())
+        return len(places), float(off.max()) if len(off) else None, float(off.min()) if len(off) else None, chi2, int((chosen[1:] & chosen[:-1]).sum()), bool(chosen[0]), bool(chosen[-1])
+
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_(), pa.bool_())
+    names = ("draw", "lo", "count", "most", "least", "chi2", "pairs", "head", "tail")
+    schema = "draw int, lo long, count long, most double, least double, chi2 double, pairs long, head boolean, tail boolean"
+
+    def batch(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
+
+    def drawn(batches):
+        for b in batches:
+            for lo, hi, first, last in zip(*(b.column(c).to_pylist() for c in _UNIT), strict=True):
+                places = np.arange(lo, hi)
+                found = []
+                for d, (t, at) in enumerate(limits[first:last], first + 1):
+                    h = _place_hash(seed, d, places)
+                    found.append((d, lo, *summary(lo, (h < np.uint64(t)) | ((h == np.uint64(t)) & (places <= at)))))
+                yield batch(found)
+
+    def seen(key: tuple, table: pa.Table) -> pa.Table:
+        lo = key[0].as_py() * size
+        places = np.sort(table.column("_place").to_numpy()[table.column("_flag").to_numpy() == 1])
+        chosen = np.zeros(min(n, lo + size) - lo, bool)
+        chosen[places - lo] = True
+        return pa.Table.from_batches([batch([(0, lo, *summary(lo, chosen))])])
+
+    observed = flagged.withColumn("_stretch", F.floor(F.col("_place") / size)).groupBy("_stretch").applyInArrow(seen, schema)
+    every = observed.unionByName(_units(spark, n, size, draws).mapInArrow(drawn, schema))
+    by = Window.partitionBy("draw").orderBy("lo")  # a row a stretch
+    before = F.coalesce(F.sum("count").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / k
+    joined = F.coalesce((F.lag("tail").over(by) & F.col("head")).cast("long"), F.lit(0))
+    each = every.withColumn("_far", F.greatest(F.abs(F.col("most") + before), F.abs(F.col("least") + before))).withColumn("_pairs", F.col("pairs") + joined)
+    stats = each.groupBy("draw").agg(F.max("_far").alias("ks"), F.sum("chi2").alias("chi2"), F.sum("_pairs").cast("double").alias("adjacent"))
+    long = stats.select("draw", F.explode(F.create_map(*[x for t in ("ks", "chi2", "adjacent") for x in (F.lit(t), F.col(t))])).alias("test", "_x"))
+    told = stored(long)
+    real = told.where("draw = 0").select("test", F.col("_x").alias("statistic"))
+    # the distances of equal subsets may differ in their last digits
+    as_far = told.where("draw > 0").join(F.broadcast(real), "test").groupBy("test", "statistic").agg(F.count_if(F.col("_x") >= F.col("statistic") - 1e-9 * F.abs("statistic")).alias("_more"))
+    return as_far.select("test", F.lit(n).cast("long").alias("n"), F.lit(k).cast("long").alias("k"), "statistic", ((F.col("_more") + 1) / F.lit(draws + 1)).alias("p"), F.lit(draws).alias("draws"))
 
 
 def block_chi2(df: DataFrame, flag: Column, place: str, size: int) -> DataFrame:

@@ -1,8 +1,8 @@
 """Robust location and scale, outlier filters and group statistics.
 
 Grouped operators take ``keys``; statistics of a group are one row, joined back by key, so a
-filter costs one aggregation (partial before its shuffle) and one join that Spark broadcasts
-while the statistics are small. NaN and infinite values are missing: they are never in a
+filter costs aggregations and one join that Spark broadcasts while the statistics are small.
+Medians and percentiles are exact and never gather a large group (``order.quantiles``). NaN and infinite values are missing: they are never in a
 statistic and never pass a filter.
 """
 
@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import median, quantiles
 from .scratch import stored
 
 #: Makes the MAD of a normal distribution its standard deviation.
@@ -40,11 +41,14 @@ def robust_scale(df: DataFrame, value: str, keys: list[str], fallback: str = "no
     A zero MAD falls back by policy: ``none`` keeps 0; ``std_one`` takes the sample standard
     deviation and then 1; ``std_floor`` takes it and then ``floor``.
     """
-    x = finite(value)
-    center = df.select(*keys, x.alias("_x")).where("_x is not null").groupBy(*keys).agg(
-        F.median("_x").alias("center"), F.stddev_samp("_x").alias("_std"), F.count("*").alias("n"))
-    spread = _back(df.select(*keys, x.alias("_x")).where("_x is not null"), center, keys)
-    out = spread.groupBy(*keys, "center", "_std", "n").agg((MAD_TO_SIGMA * F.median(F.abs(F.col("_x") - F.col("center")))).alias("scale"))
+    given = df.select(*keys, finite(value).alias("_x")).where("_x is not null")
+    center = quantiles(given, {"_m": (F.col("_x"), [0.5])}, keys, (F.stddev_samp("_x").alias("_std"), F.count("*").alias("n")))
+    center = center.withColumn("center", median("_m")).drop("_m")
+    # a row a group: written, as it is met by every row of the next pass
+    center = stored(center)
+    off = F.abs(F.col("_x") - F.col("center"))
+    spread = quantiles(_back(given, center, keys), {"_s": (off, [0.5])}, [*keys, "center", "_std", "n"])
+    out = spread.withColumn("scale", MAD_TO_SIGMA * median("_s"))
     if fallback != "none":
         last = 1.0 if fallback == "std_one" else floor
         out = out.withColumn("scale", F.when(F.col("scale") > 0, F.col("scale")).when(F.col("_std") > 0, F.col("_std")).otherwise(F.lit(last)))
@@ -76,7 +80,7 @@ def zscore_filter(df: DataFrame, value: str, keys: list[str], zlimit: float, met
 
 def tukey_flags(df: DataFrame, values: list[str], keys: list[str], factor: float = 3.0) -> DataFrame:
     """Adds ``outlier``: any value outside its group's quartiles by more than ``factor`` IQR."""
-    quartiles = df.groupBy(*keys).agg(*[F.percentile(finite(v), [0.25, 0.75]).alias(f"_q_{v}") for v in values])
+    quartiles = quantiles(df, {f"_q_{v}": (finite(v), [0.25, 0.75]) for v in values}, keys)
 
     def outside(v: str) -> Column:
         q1, q3 = F.get(f"_q_{v}", F.lit(0)), F.get(f"_q_{v}", F.lit(1))
@@ -90,33 +94,33 @@ def tukey_flags(df: DataFrame, values: list[str], keys: list[str], factor: float
 def summary(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """n, mean, sample std, quartiles and outer percentiles per group (finite values only)."""
     x = finite(value)
-    q = lambda p: F.percentile(x, p)
-    return df.groupBy(*keys).agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), q(0.5).alias("median"),
-        q(0.25).alias("q1"), q(0.75).alias("q3"), q(0.01).alias("p01"), q(0.99).alias("p99"),
-    )
+    found = quantiles(df, {"_q": (x, [0.5, 0.25, 0.75, 0.01, 0.99])}, keys, (F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std")))
+    return _named(found, "_q", ["median", "q1", "q3", "p01", "p99"])
+
+
+def _named(df: DataFrame, array: str, names: list[str]) -> DataFrame:
+    """The array's elements as columns."""
+    return df.withColumns({name: F.get(array, F.lit(i)) for i, name in enumerate(names)}).drop(array)
 
 
 def residual_summary(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Total and finite counts, RMSE, mean, population std, extremes and outer percentiles."""
     x = finite(value)
-    return df.groupBy(*keys).agg(
+    found = quantiles(df, {"_q": (x, [0.01, 0.99])}, keys, (
         F.count("*").alias("n_total"), F.count(x).alias("n_finite"), F.sqrt(F.avg(x * x)).alias("rmse"), F.avg(x).alias("mean"),
-        F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.percentile(x, 0.01).alias("q01"), F.percentile(x, 0.99).alias("q99"),
-    )
+        F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")))
+    return _named(found, "_q", ["q01", "q99"])
 
 
 def moments(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Mean, median, variance, MAE, MAD, IQR, skew and excess kurtosis of sample-sd z-scores, tail fractions."""
     given = df.select(*keys, finite(value).alias("x")).where("x is not null")
-    first = given.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg("x").alias("mean"), F.median("x").alias("median"), F.var_samp("x").alias("variance"),
-        F.avg(F.abs("x")).alias("mae"), F.percentile("x", [0.25, 0.75]).alias("_q"))
+    first = quantiles(given, {"_q": (F.col("x"), [0.5, 0.25, 0.75])}, keys, (F.count("*").alias("n"), F.avg("x").alias("mean"), F.var_samp("x").alias("variance"), F.avg(F.abs("x")).alias("mae")))
+    first = stored(_named(first, "_q", ["median", "_q1", "_q3"]).withColumn("iqr", F.col("_q3") - F.col("_q1")).drop("_q1", "_q3"))
     z = (F.col("x") - F.col("mean")) / F.nullif(F.sqrt("variance"), F.lit(0.0))
-    return _back(given, first, keys).groupBy(*keys, "n", "mean", "median", "variance", "mae", "_q").agg(
-        F.median(F.abs(F.col("x") - F.col("median"))).alias("mad"), F.avg(z * z * z).alias("skew"), (F.avg(z * z * z * z) - 3).alias("kurtosis"),
-        F.avg((F.abs(z) > 2).cast("double")).alias("beyond_2"), F.avg((F.abs(z) > 3).cast("double")).alias("beyond_3"),
-    ).withColumn("iqr", F.get("_q", F.lit(1)) - F.get("_q", F.lit(0))).drop("_q")
+    found = quantiles(_back(given, first, keys), {"_q": (F.abs(F.col("x") - F.col("median")), [0.5])}, [*keys, "n", "mean", "median", "variance", "mae", "iqr"], (
+        F.avg(z * z * z).alias("skew"), (F.avg(z * z * z * z) - 3).alias("kurtosis"), F.avg((F.abs(z) > 2).cast("double")).alias("beyond_2"), F.avg((F.abs(z) > 3).cast("double")).alias("beyond_3")))
+    return found.withColumn("mad", median("_q")).drop("_q")
 
 
 def clipped_mean(df: DataFrame, value: str, keys: list[str], zlimit: float = 4.0, rounds: int = 8, least: int = 10) -> DataFrame:

@@ -22,11 +22,23 @@ def _md5(text: str) -> str:
     return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)"
 
 
-@register("stat_bootstrap", f"""WITH r AS ({RESIDUALS}), k AS (SELECT event_type, x, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM r),
-  s AS (SELECT event_type, n, k AS slot, d AS draw FROM k, range(100) t(d)), p AS (SELECT event_type, draw, {_md5("draw || ':' || slot || ':b1'")} % n AS k FROM s)
-  SELECT event_type, draw::INT AS draw, count(*) AS n, round(avg(x), 6) + 0.0 AS mean FROM p JOIN k USING (event_type, k) GROUP BY ALL""")
+#: Seeds of the resampling queries; a seed and the next one may be used.
+BOOT, CTR, INTERVAL, PAIR, PERMUTED = 11, 21, 31, 41, 51
+
+
+def _picks(rows: str, keys: str, seed: int, draws: int = DRAWS) -> str:
+    """DuckDB: ``p`` holds the rows of every draw, with ``draw``, for groups of one block."""
+    part = f"PARTITION BY {keys} " if keys else ""
+    on = f"p0.{keys} = k.{keys} AND " if keys else ""
+    mixed = resampling.mixed_sql("s0", "h", seed, ["draw", "0", "slot"])
+    return f"""k AS (SELECT *, row_number() OVER ({part}ORDER BY event_id) - 1 AS k, count(*) OVER ({part}) AS n FROM ({rows})),
+      s0 AS (SELECT {keys + ", " if keys else ""}d AS draw, k AS slot, n FROM k, range({draws}) t(d)),
+      p0 AS (SELECT {keys + ", " if keys else ""}draw, h % n AS pick FROM {mixed}), p AS (SELECT p0.draw, k.* FROM p0 JOIN k ON {on}p0.pick = k.k)"""
+
+
+@register("stat_bootstrap", f"WITH {_picks(RESIDUALS, 'event_type', BOOT)} SELECT event_type, draw::INT AS draw, count(*) AS n, round(avg(x), 6) + 0.0 AS mean FROM p GROUP BY ALL")
 def stat_bootstrap(spark, sf_dir):
-    b = resampling.bootstrap(residuals(spark, sf_dir), ["event_type"], "event_id", DRAWS, "b1")
+    b = resampling.bootstrap(residuals(spark, sf_dir), ["event_type"], "event_id", DRAWS, BOOT)
     return rounded(b.groupBy("event_type", "draw").agg(F.count("*").alias("n"), F.avg("x").alias("mean")))
 
 
@@ -36,31 +48,23 @@ def stat_bootstrap_ctr(spark, sf_dir):
     from ..operators import histogram
 
     r = residuals(spark, sf_dir).where("x is not null")
-    draws = histogram.fwhm(resampling.bootstrap(r, ["event_type"], "event_id", WIDTH_DRAWS, "ctr"), "x", ["event_type", "draw"], 0.25)
+    draws = histogram.fwhm(resampling.bootstrap(r, ["event_type"], "event_id", WIDTH_DRAWS, CTR), "x", ["event_type", "draw"], 0.25)
     spread = draws.where("success").groupBy("event_type").agg(F.stddev_samp("fwhm").alias("fwhm_std"), F.count("*").alias("draws"))
     return rounded(histogram.fwhm(r, "x", ["event_type"], 0.25).select("event_type", "n", "fwhm", "success").join(spread, "event_type", "left"))
 
 
-def _picks(rows: str, keys: str, seed: str, draws: int = DRAWS) -> str:
-    """DuckDB: ``p`` holds the rows of every draw, with ``draw``."""
-    part = f"PARTITION BY {keys} " if keys else ""
-    on = f"p0.{keys} = k.{keys} AND " if keys else ""
-    return f"""k AS (SELECT *, row_number() OVER ({part}ORDER BY event_id) - 1 AS k, count(*) OVER ({part}) AS n FROM ({rows})),
-      p0 AS (SELECT {keys + ", " if keys else ""}d AS draw, {_md5(f"d || ':' || k || ':{seed}'")} % n AS slot FROM k, range({draws}) t(d)), p AS (SELECT p0.draw, k.* FROM p0 JOIN k ON {on}p0.slot = k.k)"""
-
-
 _INTERVAL = "count({0}) AS n_draws, round(quantile_cont({0}, 0.025), 6) + 0.0 AS low, round(quantile_cont({0}, 0.975), 6) + 0.0 AS high, round(stddev_samp({0}), 6) + 0.0 AS std"
 
 
-@register("stat_percentile_interval", f"WITH {_picks(PAIRS, 'grp', 'ci')}, s AS (SELECT grp, draw, corr(a, b) AS r FROM p GROUP BY ALL) SELECT grp, {_INTERVAL.format('r')} FROM s GROUP BY grp")
+@register("stat_percentile_interval", f"WITH {_picks(PAIRS, 'grp', INTERVAL)}, s AS (SELECT grp, draw, corr(a, b) AS r FROM p GROUP BY ALL) SELECT grp, {_INTERVAL.format('r')} FROM s GROUP BY grp")
 def stat_percentile_interval(spark, sf_dir):
-    b = resampling.bootstrap(pairs(spark, sf_dir), ["grp"], "event_id", DRAWS, "ci").groupBy("grp", "draw").agg(F.corr("a", "b").alias("r"))
+    b = resampling.bootstrap(pairs(spark, sf_dir), ["grp"], "event_id", DRAWS, INTERVAL).groupBy("grp", "draw").agg(F.corr("a", "b").alias("r"))
     return rounded(resampling.percentile_interval(b, ["grp"], "r", DRAWS))
 
 
-@register("stat_paired_bootstrap", f"WITH {_picks(PAIRS, '', 'pair')}, s AS (SELECT draw, sqrt(avg(a * a)) - sqrt(avg(b * b)) AS d FROM p GROUP BY draw) SELECT {_INTERVAL.format('d')} FROM s")
+@register("stat_paired_bootstrap", f"WITH {_picks(PAIRS, '', PAIR)}, s AS (SELECT draw, sqrt(avg(a * a)) - sqrt(avg(b * b)) AS d FROM p GROUP BY draw) SELECT {_INTERVAL.format('d')} FROM s")
 def stat_paired_bootstrap(spark, sf_dir):
-    b = resampling.bootstrap(pairs(spark, sf_dir), [], "event_id", DRAWS, "pair")
+    b = resampling.bootstrap(pairs(spark, sf_dir), [], "event_id", DRAWS, PAIR)
     d = b.groupBy("draw").agg((F.sqrt(F.avg(F.col("a") * F.col("a"))) - F.sqrt(F.avg(F.col("b") * F.col("b")))).alias("d"))
     return rounded(resampling.percentile_interval(d, [], "d", DRAWS))
 
@@ -77,13 +81,20 @@ def stat_poisson_bootstrap(spark, sf_dir):
     return rounded(w.groupBy("event_type", "draw").agg(F.sum("weight").cast("long").alias("n"), (F.sum(F.col("weight") * F.col("x")) / F.sum("weight")).alias("mean")))
 
 
-@register("stat_permutation", f"""WITH o AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS place, count(*) OVER () AS n, (value > 100)::INT AS f, count(*) FILTER (value > 100) OVER () AS k FROM events),
-  e AS (SELECT d AS draw, place, n, k, CASE WHEN d = 0 THEN f = 1 ELSE row_number() OVER (PARTITION BY d ORDER BY {_md5("d || ':' || event_id || ':perm'")}, event_id) <= k END AS chosen FROM o, range({PERMUTATIONS + 1}) t(d)),
-  c AS (SELECT *, row_number() OVER (PARTITION BY draw ORDER BY place) AS u FROM e WHERE chosen),
-  s AS (SELECT draw, n, k, max(greatest(abs(u / k - place / n), abs((u - 1) / k - (place - 1) / n))) AS d FROM c GROUP BY ALL)
-  SELECT n, k, round(d, 6) + 0.0 AS statistic, round(((SELECT count(*) FROM s z WHERE z.draw > 0 AND z.d >= s.d - 1e-12) + 1) / {PERMUTATIONS + 1}, 6) + 0.0 AS p, {PERMUTATIONS} AS draws FROM s WHERE draw = 0""")
+_PLACE_HASH = resampling.mixed_sql(resampling.mixed_sql("g", "h1", PERMUTED, ["draw", "place"]), "h2", PERMUTED + 1, ["draw", "place"])
+
+
+@register("stat_permutation", f"""WITH o AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS place, count(*) OVER () AS n, (value > 100)::INT AS f, count(*) FILTER (value > 100) OVER () AS k FROM events),
+  g AS (SELECT d AS draw, place, n, k, f FROM o, range({PERMUTATIONS + 1}) t(d)),
+  e AS (SELECT draw, place, n, k, CASE WHEN draw = 0 THEN f = 1 ELSE row_number() OVER (PARTITION BY draw ORDER BY h1, h2 >> 2, place) <= k END AS chosen FROM {_PLACE_HASH}),
+  c AS (SELECT *, row_number() OVER (PARTITION BY draw ORDER BY place) AS u, place - lag(place) OVER (PARTITION BY draw ORDER BY place) = 1 AS follows FROM e WHERE chosen),
+  s AS (SELECT draw, n, k, max(greatest(abs(u / k - (place + 1) / n), abs((u - 1) / k - place / n))) AS ks, count(*) FILTER (follows) AS adjacent FROM c GROUP BY ALL),
+  b AS (SELECT draw, place // 500 AS b, count(*) AS m, count(*) FILTER (chosen) AS kb, k / n AS q FROM e GROUP BY ALL), x AS (SELECT draw, sum((kb - m * q) ** 2 / (m * q * (1 - q))) AS chi2 FROM b GROUP BY draw),
+  l AS (SELECT draw, n, k, 'ks' AS test, ks AS v FROM s UNION ALL SELECT draw, n, k, 'chi2', chi2 FROM s JOIN x USING (draw) UNION ALL SELECT draw, n, k, 'adjacent', adjacent::DOUBLE FROM s)
+  SELECT r.test, r.n, r.k, round(r.v, 6) + 0.0 AS statistic, round(((SELECT count(*) FROM l WHERE l.test = r.test AND l.draw > 0 AND l.v >= r.v - 1e-9 * abs(r.v)) + 1) / {PERMUTATIONS + 1}, 6) + 0.0 AS p, {PERMUTATIONS} AS draws FROM l r WHERE r.draw = 0""")
 def stat_permutation(spark, sf_dir):
-    return rounded(resampling.permutation_ks(read(spark, sf_dir, "events"), F.col("value") > 100, "event_id", "event_id", PERMUTATIONS, "perm"))
+    """Growth, blocks of 500 and adjacency of large events along the run, against random subsets."""
+    return rounded(resampling.permutation_tests(read(spark, sf_dir, "events"), F.col("value") > 100, "event_id", "event_id", PERMUTATIONS, PERMUTED, 500))
 
 
 @register("stat_block_chi2", """WITH b AS (SELECT event_id // 500 AS block, count(*) AS n, count(*) FILTER (value > 100) AS k FROM events GROUP BY 1), s AS (SELECT sum(k) / sum(n) AS p FROM b)

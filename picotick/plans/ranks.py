@@ -18,12 +18,13 @@ def _h(id_: str, seed: str) -> str:
 
 @register("win_average_rank", "SELECT l_orderkey, l_linenumber, l_quantity, rank() OVER w + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0::DOUBLE AS r FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_quantity)")
 def win_average_rank(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", ranking.average_rank("l_quantity", ["l_returnflag"]).alias("r"))
+    ranked = ranking.average_rank(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"), "l_quantity", ["l_returnflag"], "r")
+    return ranked.drop("l_returnflag")
 
 
 @register("win_ordinal_rank", f"WITH {R} SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY x NULLS FIRST, event_id) - 1 AS r FROM r")
 def win_ordinal_rank(spark, sf_dir):
-    return residuals(spark, sf_dir).select("event_id", ranking.ordinal_rank("x", "event_id", ["event_type"]).cast("long").alias("r"))
+    return ranking.ordinal_rank(residuals(spark, sf_dir), "x", "event_id", ["event_type"], "r").select("event_id", "r")
 
 
 @register("win_percentile_bands", f"""WITH {R}, k AS (SELECT event_id, event_type, 100 * (row_number() OVER (PARTITION BY event_type ORDER BY x NULLS FIRST, event_id) - 1 + 0.5::DOUBLE) / count(*) OVER (PARTITION BY event_type) AS p FROM r)

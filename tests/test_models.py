@@ -142,5 +142,6 @@ def test_sign_test():
 def test_permutation(spark):
     even = spark.range(200).select("id", (F.col("id") % 10 == 0).alias("f"))
     late = spark.range(200).select("id", (F.col("id") >= 180).alias("f"))
-    p = lambda d: resampling.permutation_ks(d, F.col("f"), "id", "id", 30, "s").collect()[0]
-    assert p(even).p > 0.5 and p(late).p < 0.05 and p(late).k == 20
+    p = lambda d: {x.test: x for x in resampling.permutation_tests(d, F.col("f"), "id", "id", 30, 1, 20).collect()}
+    assert p(even)["ks"].p > 0.5 and p(late)["ks"].p < 0.05 and p(late)["ks"].k == 20
+    assert p(late)["adjacent"].statistic == 19 and p(late)["adjacent"].p < 0.05 and p(late)["chi2"].p < 0.05
