@@ -23,7 +23,7 @@ def _hit_files(spark, sf_dir, mode: int) -> str:
         F.concat(F.lit("Run"), F.col("user_id") % 3).alias("run"), F.floor(F.col("event_id") / 4).alias("event_index"), (F.floor(F.col("event_id") / 4) * 10).alias("timestamp"),
         F.floor(F.col("event_id") / 4).alias("trigger_id"), (F.col("user_id") % 4).alias("board"), F.length("event_type").alias("channel"), (F.col("event_id") % 2).alias("edge"), F.col("event_id").alias("toa"), (F.col("user_id") % 1000).alias("tot"))
     path = folder(spark)
-    tables.write_binary(tdc.encode(e, "run", mode, tdc.LEAD_TRAIL, 3.125, 3.125), path, F.concat("run", F.lit("_list.dat")))
+    tdc.write_hits(e, "run", path, mode, tdc.LEAD_TRAIL, 3.125, 3.125)
     return path
 
 
@@ -31,7 +31,7 @@ _HITS = """SELECT user_id % 3 AS run, (event_id // 4 * 10)::DECIMAL(20, 0) AS st
 
 
 def _scanned(spark, sf_dir, mode: int) -> DataFrame:
-    h = tdc.read_hits(spark, _hit_files(spark, sf_dir, mode))
+    h = tdc.read_hits(spark, _hit_files(spark, sf_dir, mode), ["path", "timestamp", "board", "channel", "edge", "toa", "tot"])
     run = F.regexp_extract("path", r"Run(\d+)_list", 1).cast("long")
     return h.select(run.alias("run"), F.col("timestamp").alias("stamp"), "board", "channel", "edge", F.col("toa").cast("long").alias("toa"), "tot")
 
@@ -55,7 +55,7 @@ def src_headers(spark, sf_dir):
 @register("src_concatenated", "SELECT count(*) AS hits, count(DISTINCT event_id // 4) AS stamps, max(event_id) AS last FROM events")
 def src_concatenated(spark, sf_dir):
     path = _hit_files(spark, sf_dir, tdc.STREAMING)
-    whole = tdc.concatenated(tdc.read_headers(spark, path), tdc.read_hits(spark, path))
+    whole = tdc.concatenated(tdc.read_headers(spark, path), tdc.read_hits(spark, path, ["timestamp", "toa"]))
     return whole.agg(F.count("*").alias("hits"), F.count_distinct("timestamp").alias("stamps"), F.max("toa").cast("long").alias("last"))
 
 

@@ -82,24 +82,55 @@ def complete_runs(manifests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return manifests.where(status == "complete"), manifests.where(status.isNull() | (status != "complete")).withColumn("reason", reason)
 
 
-def write_binary(df: DataFrame, folder: str, name: Column) -> int:
-    """Writes each row's ``content`` as a file of its own, inside tasks; returns their number.
+def qualified(spark: SparkSession, path: str) -> str:
+    """The full address of a path, as Spark's file systems see it: with the scheme of the default one if it has none."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
-    A file appears under its name once it is whole, so a task that is run again replaces it.
-    ``folder`` is any place that pyarrow's file systems reach (a plain path is taken as local).
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        from pyarrow import fs
+def store(address: str):
+    """(file system, path) of a full address."""
+    from pyarrow import fs
+
+    if address.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + address.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(address)
+
+
+def opened(address: str):
+    """A file for reading at any place, inside tasks."""
+    files, path = store(address)
+    return files.open_input_file(path)
+
+
+class Appender:
+    """A file that appears under its name once it is closed, so a task that is run again replaces it."""
 
+    def __init__(self, folder: str, name: str):
+        import uuid
+
+        self.files, base = store(folder)
+        self.files.create_dir(base, recursive=True)
+        self.name, self.path, self.part = name, f"{base}/{name}", f"{base}/.{name}.{uuid.uuid4().hex}"
+        self.out = self.files.open_output_stream(self.part)
+        self.write = self.out.write
+
+    def close(self) -> None:
+        self.out.close()
+        self.files.move(self.part, self.path)
+
+
+def write_binary(df: DataFrame, folder: str, name: Column) -> int:
+    """Writes each row's ``content`` as a file of its own, inside tasks; returns their number."""
+    to = qualified(df.sparkSession, folder)
+
+    def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            store, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
-            store.create_dir(base, recursive=True)
             for file, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                part = f"{base}/.{file}.{id(b):x}"
-                with store.open_output_stream(part) as out:
-                    out.write(content.as_buffer())
-                store.move(part, f"{base}/{file}")
+                out = Appender(to, file)
+                out.write(content.as_buffer())
+                out.close()
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
 
     return df.select(name.alias("name"), "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
