@@ -165,14 +165,24 @@ def quartic_bump(n: int) -> Column:
     return F.array(*[F.lit(16 * u * u * (1 - u) ** 2) for u in us])
 
 
+def rising_crossing(x: Column, level: Column) -> Column:
+    """Place of the last strict upward crossing before the first highest sample, interpolated.
+
+    Without one, the last sample there that equals the level and is followed by a higher one.
+    """
+    steps = let(peak_index(x), lambda top: F.when(top > 0, F.sequence(F.lit(0), top - 1)).otherwise(F.array().cast("array<int>")))
+    strict = F.filter(steps, lambda i: (F.get(x, i) < level) & (F.get(x, i + 1) >= level))
+    equal = F.filter(steps, lambda i: (F.get(x, i) == level) & (F.get(x, i + 1) > level))
+    return F.coalesce(let(F.array_max(strict), lambda i: i + _between(level, F.get(x, i), F.get(x, i + 1))), F.array_max(equal).cast("double"))
+
+
 def pickoff_line(x: Column, levels: list[float]) -> Column:
-    """Multi-threshold pickoff: least-squares t(V) through the first crossings before the peak.
+    """Multi-threshold pickoff: least-squares t(V) through the last upward crossings before the peak.
 
     Struct (t0, slope), null if a crossing is missing, times do not rise, the slope is not
     positive, or the line at zero is not before the first crossing.
     """
-    rising = F.slice(x, 1, peak_index(x) + 1)
-    times = F.array(*[first_crossing(rising, F.lit(v)) for v in levels])
+    times = F.array(*[rising_crossing(x, F.lit(v)) for v in levels])
     n, sv, svv = len(levels), sum(levels), sum(v * v for v in levels)
 
     def line(t: Column) -> Column:

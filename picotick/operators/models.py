@@ -304,7 +304,7 @@ def random_kernel_features(df: DataFrame, id_col: str, x: str, kernels: int = 84
     """MiniRocket-style features: share of positive values of x * (dilated kernel) - bias, for each kernel.
 
     Kernels have nine taps, three of them 2 and the others -1; dilations grow in powers of two;
-    biases are quantiles of a seeded reference noise, so no fitting pass is needed.
+    biases are a uniform draw around zero, so no fitting pass is needed. ``training.pooled_kernels`` fits them.
     """
     from itertools import combinations
 

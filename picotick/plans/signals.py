@@ -165,9 +165,15 @@ def sig_hermite(spark, sf_dir):
     return rounded(waves(spark, sf_dir).select("event_id", F.posexplode(filled).alias("i", "x")))
 
 
-@register("sig_pickoff")
+@register("sig_pickoff", f"""WITH {W}, {STEPS}, k AS (SELECT event_id, arg_max(i, v) AS top FROM p GROUP BY event_id), l AS (SELECT unnest([0.02, 0.04, 0.06, 0.08])::DOUBLE AS level),
+  c AS (SELECT event_id, level, coalesce(arg_max(i + (level - v) / (nx - v), i) FILTER (v < level AND nx >= level), arg_max(i::DOUBLE, i) FILTER (v = level AND nx > level)) AS t FROM q JOIN k USING (event_id), l WHERE i < top GROUP BY ALL),
+  r AS (SELECT event_id, t, level, t > lag(t) OVER (PARTITION BY event_id ORDER BY level) AS rises FROM c WHERE t IS NOT NULL),
+  f AS (SELECT event_id, count(*) AS n, bool_and(coalesce(rises, true)) AS up, min(t) AS first, regr_slope(t, level) AS slope, regr_intercept(t, level) AS t0 FROM r GROUP BY event_id),
+  g AS (SELECT event_id, t0, slope FROM f WHERE n = 4 AND up AND slope > 0 AND t0 < first)
+  SELECT w.event_id, {_r('t0', 't0')}, {_r('slope', 'slope', 3)} FROM w LEFT JOIN g USING (event_id)""")
 def sig_pickoff(spark, sf_dir):
-    return waves(spark, sf_dir).select("event_id", A.pickoff_line(F.col("s1"), [0.0, 0.02, 0.04, 0.06]).alias("p")).select("event_id", "p.t0", "p.slope")
+    found = waves(spark, sf_dir).select("event_id", A.pickoff_line(F.col("s1"), [0.02, 0.04, 0.06, 0.08]).alias("p")).select("event_id", "p.t0", "p.slope")
+    return found.select("event_id", (F.round("t0", 6) + 0.0).alias("t0"), (F.round("slope", 3) + 0.0).alias("slope"))
 
 
 @register("fn_units", "SELECT o_orderkey, greatest(1, ceil(o_totalprice * 1000 / 3125.0::DOUBLE))::BIGINT AS ticks FROM orders")

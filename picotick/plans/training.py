@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as X
 from ..operators import models as M
+from ..operators import neural as N
 from ..operators import scratch
 from ..operators import training as T
 from .registry import register
@@ -98,3 +99,52 @@ def ml_tail_phase_ridge(spark, sf_dir):
 def imp_ppca_draws(spark, sf_dir):
     w = waves(spark, sf_dir)
     return X.ppca_draws(w, "event_id", "s1", M.fit_ppca(w, "s1", 4), [10, 11, 12], 5)
+
+
+def _fitted(spark, sf_dir, layers, shape):
+    w = waves(spark, sf_dir)
+    return w, N.fit(w, "event_id", "s1", "s2", "y", layers, shape, epochs=3, batches=2, rate=0.02)
+
+
+def _scored(spark, sf_dir, layers, shape):
+    """Predictions of a scorer after three epochs."""
+    w, model = _fitted(spark, sf_dir, layers, shape)
+    return rounded(N.predict(w, model, "event_id", "s1", "s2").withColumnRenamed("id", "event_id"))
+
+
+DENSE = (N.dense(16), N.TANH, N.dense(1))
+
+
+@register("ml_neural_direct")
+def ml_neural_direct(spark, sf_dir):
+    return _scored(spark, sf_dir, DENSE, "direct")
+
+
+@register("ml_neural_shared_conv")
+def ml_neural_shared_conv(spark, sf_dir):
+    return _scored(spark, sf_dir, (N.conv(4, 5, 2), N.RELU, N.conv(4, 3), N.RELU, N.dense(1)), "antisymmetric")
+
+
+@register("ml_neural_fused_conv")
+def ml_neural_fused_conv(spark, sf_dir):
+    return _scored(spark, sf_dir, (N.conv(6, 5), N.RELU, N.dense(8), N.RELU, N.dense(1)), "fused")
+
+
+@register("ml_neural_local")
+def ml_neural_local(spark, sf_dir):
+    return _scored(spark, sf_dir, (N.local(3, 5, 2), N.TANH, N.local(2, 3), N.TANH, N.dense(1), N.bounded(4.0)), "antisymmetric")
+
+
+@register("ml_neural_swap", "SELECT count(*) AS n, 0.0::DOUBLE AS swap_rmse FROM embeddings")
+def ml_neural_swap(spark, sf_dir):
+    """An antisymmetric scorer of both orders of the detectors: the sum of the two predictions vanishes."""
+    w, model = _fitted(spark, sf_dir, DENSE, "antisymmetric")
+    there, back = N.predict(w, model, "event_id", "s1", "s2"), N.predict(w, model, "event_id", "s2", "s1").withColumnRenamed("prediction", "other")
+    both = there.join(back, "id").agg(F.count("prediction").alias("n"), F.sqrt(F.avg((F.col("prediction") + F.col("other")) ** 2)).alias("swap_rmse"))
+    return rounded(both)
+
+
+@register("xai_input_gradient")
+def xai_input_gradient(spark, sf_dir):
+    w, model = _fitted(spark, sf_dir, DENSE, "antisymmetric")
+    return rounded(N.importance(w, model, "s1", "s2"))

@@ -99,6 +99,10 @@ def test_crossings(spark):
     assert at(last(9.0), [0.0, 1.0]) is None and at(last(1.0), []) is None
     assert at(last(1.0, 0, 1), [0.0, 2.0, 0.0, 4.0]) == 0.5
     assert at(lambda x: A.first_crossing(x, F.lit(1.0)), [0.0, 2.0, 0.0, 4.0]) == 0.5
+    rising = lambda level: lambda x: A.rising_crossing(x, F.lit(level))
+    assert at(rising(1.0), [0.0, 2.0, 0.0, 4.0, 0.0, 3.0]) == 2.25  # the last one before the highest sample
+    assert at(rising(1.0), [0.0, 1.0, 0.5, 1.0, 4.0]) == 3.0 and at(rising(2.0), [3.0, 2.0, 2.5]) is None and at(rising(1.0), [1.0, 1.0, 2.0]) == 1.0
+    assert at(rising(9.0), [0.0, 1.0]) is None and at(rising(1.0), []) is None
     p = at(lambda x: A.pickoff_line(x, [1.0, 2.0, 3.0]), [-1.0, 0.5, 2.0, 3.5, 5.0, 0.0])
     assert (p.t0, p.slope) == pytest.approx((2 / 3, 2 / 3))
     assert at(lambda x: A.pickoff_line(x, [1.0, 9.0]), [0.0, 2.0, 4.0]) is None
