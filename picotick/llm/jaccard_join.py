@@ -11,8 +11,8 @@ A document is its set of word shingles; two link when their Jaccard similarity r
    can chain these together, so clusters are first cut by parity sketches (n / 16 bytes a set):
    sketches differ in at most as many bits as the sets differ in tokens, so sets whose sketches
    differ in more bits than the similarity allows cannot link;
-3. each set's text travels to its cut cluster (a large cluster is split into pairs of blocks,
-   in both steps, so no task holds more than two blocks);
+3. each set's text travels to its cut cluster (a cluster of many or of long sets is split into
+   pairs of blocks, in both steps, so no task holds more than two blocks);
 4. there, a pair is a candidate only if its prefixes meet under all ``ORDERS`` orders and its
    sizes allow the similarity; candidates are verified by exact counts of shared shingles.
 
@@ -50,8 +50,10 @@ ORDERS = 3
 SKETCH = 1 << 21
 #: A bucket is reported by a task only if it saw this many repeats there.
 LEAST_COUNT = 1
-#: Blocks of a cluster: as small as SMALL_BLOCK, at most MOST_BLOCKS of them until they reach LARGE_BLOCK.
-SMALL_BLOCK, LARGE_BLOCK, MOST_BLOCKS = 128, 5_000, 16
+#: Sets of a block of a cluster: as few as SMALL_BLOCK, at most MOST_BLOCKS blocks until they reach LARGE_BLOCK.
+SMALL_BLOCK, LARGE_BLOCK, MOST_BLOCKS = 1_024, 5_000, 16
+#: Shingles of a block, on average, whatever its sets: what a task holds of a pair of blocks is about 150 bytes for each.
+BLOCK_SHINGLES = 400_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -275,11 +277,12 @@ def _members(links: DataFrame) -> DataFrame:
 
 
 def _placed(clusters: DataFrame) -> DataFrame:
-    """Members with their ``block`` of the cluster and its number of ``blocks``."""
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("m")).where(F.col("m") > SMALL_BLOCK)
+    """Members (``root``, ``node``, ``n``, others) with their ``block`` of the cluster and its number of ``blocks``."""
+    sizes = clusters.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where((F.col("m") > SMALL_BLOCK) | (F.col("total") > BLOCK_SHINGLES))
     block = F.least(F.lit(LARGE_BLOCK), F.greatest(F.lit(SMALL_BLOCK), F.ceil(F.col("m") / MOST_BLOCKS)))
-    return spread_join(clusters, sizes, "root", "node", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("m") / block), F.lit(1)).cast("int")).drop("m").withColumn(
-        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = sizes.select("root", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = spread_join(clusters, blocks, "root", "node", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
 
 def _dealt(placed: DataFrame, *carried: str) -> DataFrame:
@@ -414,13 +417,13 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width
     classes = spark.sparkContext.broadcast(by_bucket)
 
     # a node's text is found by id and text hash: rows that share an id (all null ids do) may differ in text
-    nodes = sets.groupBy("node").agg(F.min("doc").alias("doc"), F.min_by("tag", "doc").alias("tag"), F.count("*").alias("copies"))
+    nodes = sets.groupBy("node").agg(F.min("doc").alias("doc"), F.min_by("tag", "doc").alias("tag"), F.count("*").alias("copies"), F.first("n").alias("n"))
     repeats = sets.groupBy("doc", "tag").count().where("count > 1").limit(1).count() > 0
     sketches = measured.where("not sketch and n > 0").select(F.col("b").alias("node"), "n", "parity").dropDuplicates(["node"])
     met = _members(stored(_meetings(_prefix_rows(docs, classes, width, percent), percent)))
-    sketched = _placed(met).join(sketches, "node")
+    sketched = _placed(met.join(sketches, "node"))
     cut = _members(_near(_dealt(sketched, "n", "parity"), percent))
-    placed = _placed(cut).join(nodes, "node")
+    placed = _placed(cut.join(nodes, "node"))
     pressed = _compressed(docs)
     if repeats:
         pressed = pressed.dropDuplicates(["doc", "tag"])

@@ -170,7 +170,8 @@ def test_odd_vectors(spark):
 @pytest.mark.parametrize("seed", range(3))
 def test_jaccard(spark, seed, monkeypatch):
     """Families of edited copies around the threshold, split into tiny blocks."""
-    monkeypatch.setattr(jaccard_join, "SMALL_BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "SMALL_BLOCK", 4 if seed else 100)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 400_000 if seed == 1 else 150)
     r = random.Random(seed)
     rows = []
     for f in range(8):
