@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import stored
+
 MOST_FEATURES = 4096
 
 
@@ -86,6 +88,18 @@ def fit_ridge_by_group(df: DataFrame, x: str, y: str, keys: list[str], alphas: l
     return {k: {a: solve_ridge(_square(rows), a) for a in alphas} for k, rows in by.items()}
 
 
+def fold_errors(by: dict[int, np.ndarray], alphas: list[float]) -> list[tuple[float, int, float]]:
+    """(alpha, fold, RMSE) from the Gram sums of each fold: the others are the whole less the fold's own."""
+    whole, out = sum(by.values()), []
+    for k, z in by.items():
+        for a in alphas:
+            w = solve_ridge(whole - z, a)
+            # the error of a fold follows from its own sums: y'y - 2 w'Z'y + w'Z'Zw
+            sse = z[-1, -1] - 2 * w @ z[:-1, -1] + w @ z[:-1, :-1] @ w
+            out.append((a, k, float(np.sqrt(max(0.0, sse) / z[0, 0]))))
+    return out
+
+
 def cross_validate(df: DataFrame, x: str, y: str, fold: str, alphas: list[float]) -> DataFrame:
     """RMSE per (alpha, fold): Gram sums of each fold are subtracted from the whole, so data is read twice in all."""
     by: dict[int, np.ndarray] = {}
@@ -93,14 +107,7 @@ def cross_validate(df: DataFrame, x: str, y: str, fold: str, alphas: list[float]
     for r in gram(df, x, y, [fold]).collect():
         rows.setdefault(r[fold], []).append(r)
     by = {k: _square(v) for k, v in rows.items()}
-    whole = sum(by.values())
-    weights = {(k, a): solve_ridge(whole - z, a) for k, z in by.items() for a in alphas}
-    # the error of a fold follows from its own sums: y'y - 2 w'Z'y + w'Z'Zw
-    out = []
-    for (k, a), w in weights.items():
-        z = by[k]
-        sse = z[-1, -1] - 2 * w @ z[:-1, -1] + w @ z[:-1, :-1] @ w
-        out.append((f"alpha={a:g}", int(k), float(np.sqrt(max(0.0, sse) / z[0, 0]))))
+    out = [(f"alpha={a:g}", int(k), e) for a, k, e in fold_errors(by, alphas)]
     return df.sparkSession.createDataFrame(out, "candidate_id string, fold_id int, rmse double")
 
 
@@ -136,55 +143,167 @@ def swap_rmse(df: DataFrame, s1: str, s2: str, predict: Callable[[Column, Column
     return df.agg(F.sqrt(F.avg(both * both)).alias("swap_rmse"))
 
 
-def nearest(queries: DataFrame, reference: DataFrame, id_col: str, vec: str, k: int, block: int = 2048) -> DataFrame:
-    """Exact k nearest reference rows of every query row, itself left out: ``id``, ``rank``, ``ref_id``, ``distance2``.
+#: Rows of a block of references, and pivots at most (their vectors are sent to every task).
+BLOCK_ROWS, MOST_PIVOTS = 2048, 1024
+
+
+def _assigned(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """``id``, ``v`` -> and ``pivot``, the nearest one (the first of equal ones), and ``away``, its distance."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                v = _matrix(part.column("v"))
+                d = _distances(v, pivots)
+                near = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), pa.array(near.astype(np.int32)), pa.array(np.sqrt(d[np.arange(len(v)), near]))], names=["id", "v", "pivot", "away"])
+
+    return rows.mapInArrow(run, "id long, v array<double>, pivot int, away double")
+
+
+def _distances(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Squared distances, each summed in the same way wherever it is needed."""
+    step = max(1, 4_000_000 // max(1, w.size))
+    return np.concatenate([((v[i : i + step, None, :] - w[None]) ** 2).sum(axis=2) for i in range(0, len(v), step)]) if len(v) else np.zeros((0, len(w)))
 
-    The reference is dealt into blocks by a hash of its id; each task holds one block and one
-    batch of queries, gives its k best, and a window over (id) keeps the best k of all blocks.
-    Ties take the smaller reference id. The query set is stated by the caller.
-    """
-    n = max(1, -(-reference.count() // block))
-    hashed = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).cast("int")
-    ref = reference.select(hashed.alias("_block"), F.lit(True).alias("_ref"), F.col(id_col).alias("_id"), F.col(vec).cast("array<double>").alias("_v"))
-    ask = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_block"), F.lit(False).alias("_ref"), F.col(id_col).alias("_id"), F.col(vec).cast("array<double>").alias("_v"))
+
+def _best_of_blocks(ref: DataFrame, ask: DataFrame, k: int) -> DataFrame:
+    """Each asked (``pivot``, ``sub``, ``id``, ``v``) with its k nearest references of that block: ``id``, ``ref_id``, ``distance2``."""
 
     def run(batches):
-        held_block, ids, vecs = None, np.zeros(0, np.int64), np.zeros((0, 0))
+        held, ids, vecs = None, [], []
+
+        def found(i, v, ids, vecs):
+            order = np.argsort(ids, kind="stable")
+            ids, vecs = ids[order], vecs[order]
+            d = _distances(v, vecs)
+            d[i[:, None] == ids[None]] = np.inf
+            best = np.argsort(d, axis=1, kind="stable")[:, :k]
+            near = np.take_along_axis(d, best, 1)
+            keep = np.isfinite(near)
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(i, best.shape[1])[keep.ravel()]), pa.array(ids[best][keep]), pa.array(near[keep])], names=["id", "ref_id", "distance2"])
+
         for b in batches:
-            blocks, is_ref = b.column("_block").to_numpy(), b.column("_ref").to_numpy(zero_copy_only=False)
-            i, v = b.column("_id").to_numpy(), _matrix(b.column("_v"))
-            for bl in np.unique(blocks):
-                mine = blocks == bl
-                if bl != held_block:
-                    held_block, ids, vecs = bl, np.zeros(0, np.int64), np.zeros((0, v.shape[1]))
-                r = mine & is_ref
-                ids, vecs = np.append(ids, i[r]), np.vstack([vecs, v[r]])
-                q = np.flatnonzero(mine & ~is_ref)
-                if not len(q) or not len(ids):
-                    continue
-                order = np.argsort(ids)
-                ids, vecs = ids[order], vecs[order]
-                for part in np.array_split(q, max(1, len(q) // 256)):
-                    d = ((v[part][:, None, :] - vecs[None]) ** 2).sum(axis=2) if v.shape[1] * len(ids) < 200_000 else np.stack([((vecs - w) ** 2).sum(axis=1) for w in v[part]])
-                    d[i[part][:, None] == ids[None]] = np.inf
-                    best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    keep = np.isfinite(np.take_along_axis(d, best, 1))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(i[part], best.shape[1])[keep.ravel()]), pa.array(ids[best][keep]), pa.array(np.take_along_axis(d, best, 1)[keep])], names=["id", "ref_id", "distance2"])
-
-    dealt = ref.unionAll(ask).repartition(n, "_block").sortWithinPartitions("_block", F.desc("_ref"), "_id")
-    found = dealt.mapInArrow(run, "id long, ref_id long, distance2 double")
+            block = b.column("pivot").to_numpy().astype(np.int64) << 32 | b.column("sub").to_numpy()
+            is_ref, i, v = b.column("is_ref").to_numpy(zero_copy_only=False), b.column("id").to_numpy(), _matrix(b.column("v"))
+            cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+            for lo, hi in zip(cuts, [*cuts[1:], len(block)], strict=True):
+                if block[lo] != held:
+                    held, ids, vecs = block[lo], [], []
+                r = slice(lo, lo + int(is_ref[lo:hi].sum()))  # references come first
+                if r.stop > lo:
+                    ids.append(i[r])
+                    vecs.append(v[r])
+                if r.stop < hi and ids:
+                    ids, vecs = [np.concatenate(ids)], [np.concatenate(vecs)]
+                    yield found(i[r.stop : hi], v[r.stop : hi], ids[0], vecs[0])
+
+    columns = ("pivot", "sub", "is_ref", "id", "v")
+    both = ref.withColumn("is_ref", F.lit(True)).select(*columns).unionAll(ask.withColumn("is_ref", F.lit(False)).select(*columns))
+    dealt = both.repartition(int(ref.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pivot", "sub").sortWithinPartitions("pivot", "sub", F.desc("is_ref"), "id")
+    return dealt.mapInArrow(run, "id long, ref_id long, distance2 double")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("id").orderBy("distance2", "ref_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "rank", "ref_id", "distance2")
 
 
+def visits(queries: DataFrame, reference: DataFrame, id_col: str, vec: str, k: int, block: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The references in blocks, and every query with each block that can hold one of its k nearest.
+
+    References are dealt to the nearest of some pivots (rows of the smallest hashes, one for about
+    ``block`` rows), and those of a pivot with many to blocks of about ``block`` rows. A query's
+    k-th distance in one block near it bounds its true one; by the triangle inequality it need not
+    visit pivots whose references are all farther off, nor those beyond the plane half way to them.
+    """
+    wanted = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")).where("v is not null and id is not null")
+    ref, ask = stored(wanted(reference)), wanted(queries)
+    n = ref.count()
+    some = ref.orderBy(F.xxhash64("id"), "id").limit(min(MOST_PIVOTS, max(1, -(-n // block)))).toArrow()
+    pivots = np.unique(_matrix(some.column("v").combine_chunks()), axis=0) if n else np.zeros((0, 0))
+    if not n:
+        empty = ask.limit(0).withColumn("pivot", F.lit(0)).withColumn("sub", F.lit(0).cast("long"))
+        return empty, empty
+    placed = stored(_assigned(ref, pivots))
+    about = placed.groupBy("pivot").agg(F.count("*").alias("n"), F.max("away").alias("far")).toArrow()  # a row a pivot
+    rows, far = np.zeros(len(pivots), np.int64), np.full(len(pivots), -np.inf)
+    rows[about.column("pivot").to_numpy()], far[about.column("pivot").to_numpy()] = about.column("n").to_numpy(), about.column("far").to_numpy()
+    subs = np.maximum(1, -(-rows // block))
+    number = F.get(F.array(*[F.lit(int(s)) for s in subs]), F.col("pivot"))
+    spread = lambda df: df.withColumn("sub", F.pmod(F.xxhash64("id"), number))
+    ref = spread(placed).select("pivot", "sub", "id", "v")
+    homes = stored(spread(_assigned(ask, pivots)).select("pivot", "sub", "id", "v"))
+    bound = _best_of_blocks(ref, homes, k).groupBy("id").agg(F.count("*").alias("_n"), F.sqrt(F.max("distance2")).alias("bound")).where(F.col("_n") >= k)
+    known = homes.join(bound.select("id", "bound"), "id", "left")
+    between = np.sqrt(_distances(pivots, pivots))
+
+    def reached(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 2048):
+                part = b.slice(at, 2048)
+                v, limit = _matrix(part.column("v")), part.column("bound").to_numpy(zero_copy_only=False)
+                limit = np.where(np.isnan(limit), np.inf, limit)[:, None]
+                d2 = _distances(v, pivots)
+                near = d2.argmin(axis=1)
+                apart = between[near]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    plane = np.where(apart > 0, (d2 - d2[np.arange(len(v)), near][:, None]) / (2 * apart), -np.inf)
+                # a little more than the bound, for what rounding may have taken
+                slack = limit * (1 + 1e-9) + 1e-9 * np.sqrt(d2.max(axis=1, initial=0))[:, None]
+                go = (np.sqrt(d2) - far <= slack) & (plane <= slack) & (rows > 0)
+                row, pivot = np.nonzero(go)
+                times = subs[pivot]
+                within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                at_row = pa.array(np.repeat(row, times))
+                yield pa.RecordBatch.from_arrays([part.column("id").take(at_row), part.column("v").take(at_row), pa.array(np.repeat(pivot, times).astype(np.int32)), pa.array(within)], names=["id", "v", "pivot", "sub"])
+
+    return ref, known.select("id", "v", "bound").mapInArrow(reached, "id long, v array<double>, pivot int, sub long")
+
+
+def nearest(queries: DataFrame, reference: DataFrame, id_col: str, vec: str, k: int, block: int = BLOCK_ROWS) -> DataFrame:
+    """Exact k nearest reference rows of every query row, itself left out: ``id``, ``rank``, ``ref_id``, ``distance2``.
+
+    Queries travel only to blocks that can hold a neighbour (``visits``); each gives its k best,
+    and a window over (id) keeps the best k of all. Ties take the smaller reference id. Rows without
+    an id or a vector are left out; vectors have one length. The query set is stated by the caller.
+    """
+    return _best(_best_of_blocks(*visits(queries, reference, id_col, vec, k, block), k), k)
+
+
+def tuned_neighbours(df: DataFrame, id_col: str, x: str, hidden: list[int], most: int) -> DataFrame:
+    """Error of hidden samples filled by neighbours in the others: ``k``, ``by_distance``, ``rmse``, ``selected``.
+
+    Every row is left out of its own neighbours. The best pair has the smallest error, then the smaller k, then equal weights.
+    """
+    all_but = F.filter(F.col(x), lambda _, i: ~i.isin(*hidden))
+    seen = df.select(F.col(id_col).alias("id"), all_but.alias("_v"))
+    truth = df.select(F.col(id_col).alias("id"), F.posexplode(x).alias("i", "y")).where(F.col("i").isin(*hidden))
+    met = stored(nearest(seen, seen, "id", "_v", most))
+    errors = []
+    for by_distance in (False, True):
+        weight = _neighbour_weights(met, by_distance)
+        each = weight.join(truth.select(F.col("id").alias("ref_id"), "i", F.col("y").alias("_y")), "ref_id")
+        w = Window.partitionBy("id", "i").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        filled = each.select("id", "i", F.col("rank").alias("k"), (F.sum(F.col("_w") * F.col("_y")).over(w) / F.nullif(F.sum("_w").over(w), F.lit(0.0))).alias("p"))
+        errors.append(filled.join(truth, ["id", "i"]).groupBy("k").agg(F.sqrt(F.avg((F.col("p") - F.col("y")) ** 2)).alias("rmse")).select("k", F.lit(by_distance).alias("by_distance"), "rmse"))
+    found = errors[0].unionAll(errors[1])
+    first = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("rmse", "k", "by_distance"))  # a row for each k and weight
+    return found.withColumn("selected", first == 1)
+
+
+def _neighbour_weights(neighbours: DataFrame, by_distance: bool) -> DataFrame:
+    """Adds ``_w``: 1, or the inverse distance; zero distances decide alone."""
+    if not by_distance:
+        return neighbours.withColumn("_w", F.lit(1.0))
+    none = F.min("distance2").over(Window.partitionBy("id")) == 0
+    return neighbours.withColumn("_w", F.when(none, (F.col("distance2") == 0).cast("double")).otherwise(1 / F.sqrt(F.nullif("distance2", F.lit(0.0)))))
+
+
 def neighbour_mean(neighbours: DataFrame, labels: DataFrame, id_col: str, value: str, by_distance: bool = False) -> DataFrame:
     """Prediction for every k at once: the running mean over ranks; inverse-distance weights let zero distances decide alone."""
-    j = neighbours.join(labels.select(F.col(id_col).alias("ref_id"), F.col(value).alias("_y")), "ref_id")
-    if by_distance:
-        none = F.min("distance2").over(Window.partitionBy("id")) == 0
-        j = j.withColumn("_w", F.when(none, (F.col("distance2") == 0).cast("double")).otherwise(1 / F.sqrt(F.nullif("distance2", F.lit(0.0)))))
-    else:
-        j = j.withColumn("_w", F.lit(1.0))
+    j = _neighbour_weights(neighbours, by_distance).join(labels.select(F.col(id_col).alias("ref_id"), F.col(value).alias("_y")), "ref_id")
     w = Window.partitionBy("id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return j.select("id", F.col("rank").alias("k"), (F.sum(F.col("_w") * F.col("_y")).over(w) / F.nullif(F.sum("_w").over(w), F.lit(0.0))).alias("prediction"))
 

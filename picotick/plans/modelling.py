@@ -149,6 +149,26 @@ def ml_cross_validation(spark, sf_dir):
     return rounded(M.select_candidate(M.cross_validate(f, "x", "y", "fold_id", [0.1, 1.0, 10.0, 100.0]), "rmse", 5))
 
 
+@register("ml_parzen_search")
+def ml_parzen_search(spark, sf_dir):
+    """Penalty and form of ridge by density ratios: the trials, each a cross-validation."""
+    from ..operators import scratch, search
+
+    folded = {k: ranking.folds(_features(spark, sf_dir, shared=k == "shared"), "event_id", 5, "cv") for k in ("direct", "shared")}
+    sums = {k: M.gram(f, "x", "y", ["fold_id"]).toArrow().to_pylist() for k, f in folded.items()}
+
+    def error(p: dict) -> float:
+        by: dict[int, list] = {}
+        for r in sums[p["form"]]:
+            by.setdefault(r["fold_id"], []).append(r)
+        return float(np.mean([e for *_, e in M.fold_errors({k: M._square(v) for k, v in by.items()}, [p["alpha"]])]))
+
+    space = {"alpha": search.Real(1e-3, 1e4, log=True), "form": search.Choice(("direct", "shared"))}
+    study = search.Study(spark, scratch.folder(spark), "ridge", space, seed=5, startup=6)
+    study.run(error, 16)
+    return rounded(study.trials().select("trial", "parameters", "value"))
+
+
 @register("ml_pruning")
 def ml_pruning(spark, sf_dir):
     f = ranking.folds(_features(spark, sf_dir), "event_id", 5, "cv")
@@ -177,6 +197,15 @@ def imp_knn_weighted(spark, sf_dir):
     return rounded(M.neighbour_mean(M.nearest(w, w, "event_id", "s1", 5), w, "event_id", "y", by_distance=True))
 
 
+@register("imp_knn_tuned", f"""WITH w AS ({WAVES}), v AS (SELECT event_id, unnest(s1) AS v, unnest(range(32)) AS i FROM w), h AS (SELECT * FROM v WHERE i BETWEEN 10 AND 13), o AS (SELECT * FROM v WHERE i NOT BETWEEN 10 AND 13),
+  d AS (SELECT a.event_id AS id, b.event_id AS ref_id, sum((a.v - b.v) ** 2) AS d2 FROM o a JOIN o b ON a.i = b.i AND a.event_id <> b.event_id GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, ref_id) AS k FROM d QUALIFY k <= 8),
+  p AS (SELECT id, i, k, avg(v) OVER x AS flat, sum(v / sqrt(d2)) OVER x / sum(1 / sqrt(d2)) OVER x AS near FROM n JOIN h ON h.event_id = ref_id WINDOW x AS (PARTITION BY id, i ORDER BY k)),
+  e AS (SELECT k, sqrt(avg((flat - v) ** 2)) AS a, sqrt(avg((near - v) ** 2)) AS b FROM p JOIN h ON h.event_id = id AND h.i = p.i GROUP BY k), u AS (SELECT k, false AS by_distance, a AS rmse FROM e UNION ALL SELECT k, true, b FROM e)
+  SELECT k::INT AS k, by_distance, round(rmse, 6) + 0.0 AS rmse, row_number() OVER (ORDER BY rmse, k, by_distance) = 1 AS selected FROM u""")
+def imp_knn_tuned(spark, sf_dir):
+    return rounded(M.tuned_neighbours(waves(spark, sf_dir), "event_id", "s1", [10, 11, 12, 13], 8))
+
+
 @register("imp_ppca")
 def imp_ppca(spark, sf_dir):
     w = waves(spark, sf_dir)
