@@ -376,7 +376,7 @@ def blend_weight(df: DataFrame, a: str, b: str, truth: str) -> DataFrame:
     return df.agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(F.sum((F.col(truth) - F.col(b)) * d), F.sum(d * d)))).alias("alpha"))
 
 
-def block_lowpass(df: DataFrame, id_col: str, x: str, cutoff: float, order: int = 4) -> DataFrame:
+def spectral_lowpass(df: DataFrame, id_col: str, x: str, cutoff: float, order: int = 4) -> DataFrame:
     """Zero-phase Butterworth-shaped low-pass of each waveform: gain 1 / (1 + (f / cutoff)^(2 order)), padded by reflection.
 
     ``cutoff`` is in cycles per sample.

@@ -21,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .order import placed, sized
+from ..functions import special
+from .order import by_keys, placed, sized
+from .robust import finite
 from .scratch import stored
 
 #: Rows of a block. Groups of up to so many rows need no binomial split.
@@ -258,6 +260,33 @@ def block_chi2(df: DataFrame, flag: Column, place: str, size: int) -> DataFrame:
     return blocks.agg(F.count("*").alias("blocks"), F.sum(F.pow(F.col("k") - expected, 2) / F.nullif(expected * (1 - share), F.lit(0.0))).alias("chi2"), F.first(share).alias("share"))
 
 
+def uniformity(df: DataFrame, value: str, keys: list[str], inner: float, outer: float, bins: int, level: float = 0.95) -> DataFrame:
+    """Is a background even over both sidebands inner <= |x| <= outer? A row a group.
+
+    Counts, the density and its exact Poisson interval, and p values: equal sides (exact), counts in
+    ``bins`` equal parts (chi-squared), and the largest distance from even growth (Kolmogorov's
+    limit). Groups without a value in the sidebands have a density of 0 and null p values.
+    """
+    x, length = finite(value), 2 * (outer - inner)
+    given = df.select(*keys, x.alias("_x")).where("_x is not null")
+    place = F.when(F.col("_x") < 0, (F.col("_x") + outer) / length).otherwise(0.5 + (F.col("_x") - inner) / length)
+    tail = given.where((F.abs("_x") >= inner) & (F.abs("_x") <= outer)).withColumn("_u", place)
+    counts = given.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.count_if((F.abs("_x") >= inner) & (F.abs("_x") <= outer)).alias("k"),
+        F.count_if((F.col("_x") > 0) & (F.abs("_x") >= inner) & (F.abs("_x") <= outer)).alias("positive"))
+    parts = tail.groupBy(*keys, F.least(F.lit(bins - 1), F.floor(F.col("_u") * bins)).alias("_part")).agg(F.count("*").alias("_c"))
+    squares = parts.groupBy(*keys).agg(F.sum(F.col("_c") * F.col("_c")).alias("_squares"))
+    ranked = sized(placed(tail, keys, ["_u"], "_place"), keys, "_k")
+    far = F.greatest((F.col("_place") + 1) / F.col("_k") - F.col("_u"), F.col("_u") - F.col("_place") / F.col("_k"))
+    distance = ranked.groupBy(*keys).agg(F.max(far).alias("ks"))
+    met = by_keys(by_keys(counts, squares, keys, "left"), distance, keys, "left") if keys else counts.crossJoin(F.broadcast(squares)).crossJoin(F.broadcast(distance))  # one row each
+    low, high = special.poisson_interval(F.col("k"), level)
+    chi2 = F.col("_squares") * bins / F.col("k") - F.col("k")
+    return met.withColumn("chi2", chi2).select(
+        *keys, "n", "k", "positive", (F.col("k") / length).alias("density"), (low / length).alias("density_low"), (high / length).alias("density_high"),
+        special.sign_p(F.col("positive"), F.col("k")).alias("side_p"), "chi2", special.chi2_p(F.col("chi2"), bins - 1).alias("chi2_p"), "ks", special.kolmogorov_p(F.col("ks"), F.col("k").cast("double")).alias("ks_p"))
+
+
 def adjacent(df: DataFrame, flag: Column, place: str) -> DataFrame:
     """How many flagged rows directly follow a flagged one: an equi-join on the next place."""
     flagged = df.where(flag).select(F.col(place).alias("_p"))

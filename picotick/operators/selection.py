@@ -3,74 +3,137 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .robust import finite, robust_scale
 
-#: Distinct (binned) values on which a density is evaluated on the driver.
+#: Bins of a group's histogram, which one task holds.
 MOST_BINS = 100_000
 
 
-def weighted_values(df: DataFrame, value: str, step: float) -> tuple[np.ndarray, np.ndarray]:
-    """Bin centres and counts of a column: a histogram of at most MOST_BINS rows reaches the driver."""
-    bins = df.select(F.floor(finite(value) / step + 0.5).alias("b")).where("b is not null").groupBy("b").agg(F.count("*").alias("n"))
-    rows = bins.orderBy("b").limit(MOST_BINS + 1).collect()
-    if len(rows) > MOST_BINS:
-        raise ValueError(f"more than {MOST_BINS} bins; take a larger step than {step}")
-    return np.array([r.b * step for r in rows], dtype=float), np.array([r.n for r in rows], dtype=float)
+def histograms(df: DataFrame, value: str, keys: list[str], step: float) -> DataFrame:
+    """Per group and bin (``x``, its centre): ``w``, the number of finite values. Counted before rows move."""
+    bins = df.select(*keys, (F.floor(finite(value) / step + 0.5) * step).alias("x")).where("x is not null")
+    return bins.groupBy(*keys, "x").agg(F.count("*").cast("double").alias("w"))
+
+
+def _of_groups(df: DataFrame, value: str, keys: list[str], step: float, columns: dict[str, str], measure) -> DataFrame:
+    """Runs ``measure(centres, counts) -> values of the columns`` for each group's histogram, all groups in one pass.
+
+    A task holds one group's bins, at most MOST_BINS; more raise.
+    """
+    bins = histograms(df, value, keys, step)
+    types = dict(bins.dtypes)
+
+    def run(group: tuple, table: pa.Table) -> pa.Table:
+        if len(table) > MOST_BINS:
+            raise ValueError(f"more than {MOST_BINS} bins; take a larger step than {step}")
+        table = table.sort_by("x")
+        found = measure(table.column("x").to_numpy(), table.column("w").to_numpy())
+        kinds = {"double": pa.float64(), "long": pa.int64(), "boolean": pa.bool_()}
+        return pa.Table.from_arrays([*(pa.array([k.as_py()], k.type) for k in group[: len(keys)]), *(pa.array([v], kinds[columns[c]]) for c, v in zip(columns, found, strict=True))], names=[*keys, *columns])
+
+    return bins.withColumn("_all", F.lit(0)).groupBy(*(keys or ["_all"])).applyInArrow(run, ", ".join([*(f"{k} {types[k]}" for k in keys), *(f"{c} {t}" for c, t in columns.items())]))
+
+
+def _weighted_median(x: np.ndarray, w: np.ndarray) -> float:
+    """Median of sorted values that come ``w`` times each."""
+    ends, n = np.cumsum(w), w.sum()
+    at = lambda r: x[min(len(x) - 1, int(np.searchsorted(ends, r, side="right")))]
+    return float((at((n - 1) // 2) + at(n // 2)) / 2)
+
+
+def peak_intervals(df: DataFrame, value: str, keys: list[str], step: float, left: float, right: float, bandwidth: float = 1.0, least_height: float = 0.3, rightmost: bool = True) -> DataFrame:
+    """Per group: ``n``, ``centre``, ``sigma`` and [``low``, ``high``] = [centre - left sigma, centre + right sigma] of a peak.
+
+    The density is a Gaussian kernel's over the histogram, with Scott's bandwidth times
+    ``bandwidth``. Of peaks over ``least_height`` of the highest, the right-most (or the highest)
+    counts; its core above half its height gives a robust centre and width. A group without a
+    peak has nulls; a group without finite values has no row.
+    """
+
+    def measure(x: np.ndarray, w: np.ndarray) -> tuple:
+        n, mean = w.sum(), np.average(x, weights=w)
+        sd = np.sqrt(np.average((x - mean) ** 2, weights=w)) or step
+        h = bandwidth * sd * n ** (-1 / 5)
+        grid = np.linspace(x[0] - 3 * h, x[-1] + 3 * h, 1024)
+        density = np.concatenate([(np.exp(-0.5 * ((g[:, None] - x) / h) ** 2) * w).sum(axis=1) for g in np.array_split(grid, 16)])
+        inner = np.flatnonzero((density[1:-1] > density[:-2]) & (density[1:-1] >= density[2:])) + 1
+        high = inner[density[inner] >= least_height * density.max()]
+        if not len(high):
+            return int(n), None, None, None, None
+        top = high[-1] if rightmost else high[np.argmax(density[high])]
+        lower = np.flatnonzero(density < density[top] / 2)
+        lo, hi = max(lower[lower < top], default=-1) + 1, min(lower[lower > top], default=len(grid)) - 1
+        core = (x >= grid[lo]) & (x <= grid[hi])
+        if not core.any():
+            return int(n), None, None, None, None
+        centre = _weighted_median(x[core], w[core])
+        off = np.abs(x[core] - centre)
+        by = np.argsort(off, kind="stable")
+        sigma = 1.4826 * _weighted_median(off[by], w[core][by]) or (grid[hi] - grid[lo]) / 2.355
+        return int(n), centre, sigma, centre - left * sigma, centre + right * sigma
+
+    return _of_groups(df, value, keys, step, {"n": "long", "centre": "double", "sigma": "double", "low": "double", "high": "double"}, measure)
 
 
 def peak_interval(df: DataFrame, value: str, step: float, left: float, right: float, bandwidth: float = 1.0, least_height: float = 0.3, rightmost: bool = True) -> tuple[float, float]:
-    """[centre - left sigma, centre + right sigma] of the peak of a Gaussian kernel density.
+    """The interval of a table of one group."""
+    found = peak_intervals(df, value, [], step, left, right, bandwidth, least_height, rightmost).first()
+    if found is None or found.low is None:
+        raise ValueError("no peak of finite values")
+    return found.low, found.high
+
 
-    The density is that of the histogram with Scott's bandwidth times ``bandwidth``. Of peaks
-    over ``least_height`` of the highest, the right-most (or the highest) counts; its core
-    above half its height gives a robust centre and width.
+def gaussian_peaks(df: DataFrame, value: str, keys: list[str], step: float, reach: float = 1.5, rounds: int = 20, tolerance: float = 1e-4) -> DataFrame:
+    """Per group: ``amplitude``, ``centre``, ``sigma``, their errors, ``chi2``, ``n_bins`` and ``success`` of a fitted peak.
+
+    The highest bin of the smoothed histogram starts it; fits of the bins within ``reach`` sigma
+    of the last one are repeated until centre and width stand still. Errors follow from the
+    curvature of chi-squared. With fewer than four bins in reach there is no fit.
     """
-    x, w = weighted_values(df, value, step)
-    if not len(x):
-        raise ValueError("no finite values")
-    n, mean = w.sum(), np.average(x, weights=w)
-    sd = np.sqrt(np.average((x - mean) ** 2, weights=w)) or step
-    h = bandwidth * sd * n ** (-1 / 5)
-    grid = np.linspace(x[0] - 3 * h, x[-1] + 3 * h, 1024)
-    density = np.concatenate([(np.exp(-0.5 * ((g[:, None] - x) / h) ** 2) * w).sum(axis=1) for g in np.array_split(grid, 16)])
-    inner = np.flatnonzero((density[1:-1] > density[:-2]) & (density[1:-1] >= density[2:])) + 1
-    high = inner[density[inner] >= least_height * density.max()]
-    top = high[-1] if rightmost else high[np.argmax(density[high])]
-    lo = hi = top
-    while lo > 0 and density[lo - 1] >= density[top] / 2:
-        lo -= 1
-    while hi < len(grid) - 1 and density[hi + 1] >= density[top] / 2:
-        hi += 1
-    core = (x >= grid[lo]) & (x <= grid[hi])
-    order = np.repeat(x[core], w[core].astype(int)) if w[core].sum() < 1_000_000 else np.interp(np.linspace(0, 1, 100_001), (np.cumsum(w[core]) - w[core] / 2) / w[core].sum(), x[core])
-    centre = float(np.median(order))
-    sigma = 1.4826 * float(np.median(np.abs(order - centre))) or (grid[hi] - grid[lo]) / 2.355
-    return centre - left * sigma, centre + right * sigma
+
+    def measure(x: np.ndarray, w: np.ndarray) -> tuple:
+        # bins without values belong to the curve too
+        i = np.rint((x - x[0]) / step).astype(int)
+        if i[-1] >= MOST_BINS:
+            raise ValueError(f"more than {MOST_BINS} bins; take a larger step than {step}")
+        full = np.zeros(i[-1] + 1)
+        full[i] = w
+        x, w = x[0] + step * np.arange(len(full)), full
+        smooth = np.convolve(np.pad(w, 2), np.ones(5) / 5, mode="valid")
+        top = int(np.argmax(smooth))
+        half = np.abs(x - x[top])[smooth < smooth[top] / 2]
+        p, fitted = np.array([smooth[top], x[top], max(step, float(half.min()) / 1.18) if len(half) else step]), False
+        for _ in range(rounds):
+            m = np.abs(x - p[1]) <= reach * p[2]
+            if m.sum() < 4:
+                break
+            q = _damped_fit(x[m], w[m], p)
+            done, p, fitted = np.abs(q - p)[1:].max() <= tolerance * q[2], q, True
+            if done:
+                break
+        z = (x - p[1]) / p[2]
+        inside = np.abs(z) <= reach
+        g = p[0] * np.exp(-0.5 * z * z)
+        chi2 = float((((w - g) ** 2 / np.maximum(w, 1))[inside]).sum())
+        j = np.stack([g / p[0], g * z / p[2], g * z * z / p[2]], axis=1)[inside]
+        curvature = j.T @ (j / np.maximum(w[inside], 1)[:, None])
+        errors = [float(e) for e in np.sqrt(np.diag(np.linalg.inv(curvature)))] if fitted and np.linalg.cond(curvature) < 1e12 else [None] * 3
+        return float(p[0]), float(p[1]), float(p[2]), *errors, chi2, int(inside.sum()), fitted
+
+    columns = {c: "double" for c in ("amplitude", "centre", "sigma", "amplitude_error", "centre_error", "sigma_error", "chi2")}
+    return _of_groups(df, value, keys, step, columns | {"n_bins": "long", "success": "boolean"}, measure)
 
 
 def gaussian_peak(df: DataFrame, value: str, step: float, reach: float = 1.5, rounds: int = 20, tolerance: float = 1e-4) -> dict[str, float]:
-    """Amplitude, centre and sigma of a peak by repeated weighted fits within ``reach`` sigma."""
-    x, w = weighted_values(df, value, step)
-    smooth = np.convolve(w, np.ones(5) / 5, mode="same")
-    top = int(np.argmax(smooth))
-    half = np.abs(x - x[top])[smooth < smooth[top] / 2]
-    p = np.array([smooth[top], x[top], max(step, float(half.min()) / 1.18) if len(half) else step])
-    for _ in range(rounds):
-        m = np.abs(x - p[1]) <= reach * p[2]
-        if m.sum() < 4:
-            break
-        q = _damped_fit(x[m], w[m], p)
-        done = np.abs(q - p)[1:].max() <= tolerance * q[2]
-        p = q
-        if done:
-            break
-    z = (x - p[1]) / p[2]
-    inside = np.abs(z) <= reach
-    chi2 = float((((w - p[0] * np.exp(-0.5 * z * z)) ** 2 / np.maximum(w, 1))[inside]).sum())
-    return {"amplitude": float(p[0]), "centre": float(p[1]), "sigma": float(p[2]), "chi2": chi2, "n_bins": int(inside.sum())}
+    """The fit of a table of one group."""
+    found = gaussian_peaks(df, value, [], step, reach, rounds, tolerance).first()
+    if found is None:
+        raise ValueError("no finite values")
+    return found.asDict()
 
 
 def _damped_fit(x: np.ndarray, y: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -110,9 +173,14 @@ def noise_limits(df: DataFrame, rms: str, clipped: Column, keys: list[str], fact
     return s.select(*keys, (F.col("center") + factor * F.col("scale")).alias("limit"))
 
 
-def best_threshold(scan: DataFrame, least_efficiency: float) -> DataFrame:
-    """The scan's row of smallest (ctr, threshold) among efficient ones; none gives no row."""
-    return scan.where((F.col("efficiency") >= least_efficiency) & F.col("ctr").isNotNull()).orderBy("ctr", "threshold").limit(1)
+def best_threshold(scan: DataFrame, least_efficiency: float, keys: list[str] | None = None) -> DataFrame:
+    """The scan's row of smallest (ctr, threshold) among efficient ones, for each group of ``keys``; none gives no row."""
+    good = scan.where((F.col("efficiency") >= least_efficiency) & F.col("ctr").isNotNull())
+    if not keys:
+        return good.orderBy("ctr", "threshold").limit(1)
+    others = [c for c in scan.columns if c not in keys]
+    best = good.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct("ctr", "threshold")).alias("_b"))
+    return best.select(*keys, "_b.*").select(*scan.columns)
 
 
 def nearest_duration(hits: Column, centre: float, low: float, high: float) -> Column:

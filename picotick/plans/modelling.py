@@ -248,11 +248,6 @@ def xai_signed_summary(spark, sf_dir):
     return rounded(M.signed_summary(xai_window_shapley(spark, sf_dir)))
 
 
-@register("sig_lowpass")
-def sig_lowpass(spark, sf_dir):
-    return M.block_lowpass(waves(spark, sf_dir), "event_id", "s1", 0.2)
-
-
 @register("sig_periodogram")
 def sig_periodogram(spark, sf_dir):
     return rounded(M.periodogram(waves(spark, sf_dir), "s1"), 8)

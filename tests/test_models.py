@@ -83,7 +83,7 @@ def test_lowpass_keeps_slow_and_removes_fast(spark):
     t = np.arange(200)
     x = np.sin(2 * np.pi * 0.01 * t) + np.sin(2 * np.pi * 0.4 * t)
     df = spark.createDataFrame([(1, x.tolist())], "id long, x array<double>")
-    y = np.array(models.block_lowpass(df, "id", "x", 0.1).collect()[0].filtered)
+    y = np.array(models.spectral_lowpass(df, "id", "x", 0.1).collect()[0].filtered)
     assert np.abs(y[20:-20] - np.sin(2 * np.pi * 0.01 * t)[20:-20]).max() < 0.05
 
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from picotick.operators import matching, selection
+from picotick.operators import matching, resampling, selection
 from picotick.streaming.hits import longest_valid_pulses
 
 
@@ -36,6 +36,34 @@ def test_peak_interval_and_fit(spark):
     assert fit["centre"] == pytest.approx(100, abs=0.5) and fit["sigma"] == pytest.approx(5, abs=0.6)
 
 
+def test_peaks_of_many_groups(spark):
+    """Each group as on its own; errors as large as the spread of the fits."""
+    r = np.random.default_rng(6)
+    rows = [(g, float(v)) for g, centre in (("a", 40), ("b", -7), (None, 1000)) for v in np.concatenate([r.normal(centre, 3, 3000), r.uniform(centre - 60, centre - 20, 400)])]
+    rows += [("one", 5.0), ("none", None), ("none", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(4)
+    found = {q.g: q for q in selection.peak_intervals(df, "x", ["g"], 0.5, 2.0, 2.0, bandwidth=0.3).collect()}
+    fits = {q.g: q for q in selection.gaussian_peaks(df, "x", ["g"], 0.5).collect()}
+    assert set(found) == set(fits) == {"a", "b", None, "one"} and not fits["one"].success and fits["one"].centre_error is None
+    for g, centre in (("a", 40), ("b", -7), (None, 1000)):
+        own = df.where(F.col("g").eqNullSafe(F.lit(g)))
+        assert selection.peak_interval(own, "x", 0.5, 2.0, 2.0, bandwidth=0.3) == (found[g].low, found[g].high)
+        assert found[g].n == 3400 and found[g].centre == pytest.approx(centre, abs=0.5) and found[g].sigma == pytest.approx(3, abs=0.8)
+        assert abs(fits[g].centre - centre) < 5 * fits[g].centre_error and 0.03 < fits[g].centre_error < 0.2 and fits[g].chi2 < 3 * fits[g].n_bins
+    with pytest.raises(ValueError, match="no peak"):
+        selection.peak_interval(df.limit(0), "x", 0.5, 1, 1)
+    assert selection._weighted_median(np.array([1.0, 2.0, 9.0]), np.array([1.0, 1.0, 2.0])) == 5.5
+
+
+def test_uniformity_of_nothing_and_of_one_side(spark):
+    df = spark.createDataFrame([("in", 0.1)] * 5 + [("up", 0.6 + i / 10) for i in range(20)] + [(None, None)], "g string, x double")
+    got = {q.g: q for q in resampling.uniformity(df, "x", ["g"], 0.5, 3.0, 4).collect()}
+    assert set(got) == {"in", "up"} and (got["in"].k, got["in"].density, got["in"].density_low, got["in"].side_p, got["in"].chi2_p, got["in"].ks_p) == (0, 0.0, 0.0, None, None, None)
+    assert got["up"].positive == 20 and got["up"].side_p < 1e-5 and got["up"].ks_p < 1e-3 and got["up"].chi2_p < 0.01 and got["up"].density == 4.0
+    whole = resampling.uniformity(df, "x", [], 0.5, 3.0, 4).first()
+    assert whole.n == 25 and whole.k == 20 and whole.ks == got["up"].ks
+
+
 def test_sample_mask(spark):
     rows = [([1.0, 0.2, 1.0], [0.0, 0.3, 0.4]) for _ in range(100)]
     df = spark.createDataFrame(rows, "a array<double>, b array<double>")
