@@ -118,32 +118,78 @@ def _features(spark, sf_dir, shared=False):
     return w.select("event_id", "y", "s1", "s2", M.pair_features(F.col("s1"), F.col("s2"), shared).alias("x"))
 
 
-@register("ml_ridge_direct")
+def solved_sql(sums: str, size: int, name: str) -> str:
+    """CTEs that solve systems by elimination without pivoting, as their matrices are positive.
+
+    ``sums`` gives grp, i, j, v for 0 <= i < size and 0 <= j <= size, the last column the right side;
+    ``name`` then has grp, i and w.
+    """
+    return f"""{name}_e AS (SELECT 0 AS k, grp, i, j, v FROM ({sums})
+    UNION ALL SELECT k + 1, grp, i, j, CASE WHEN i = k THEN v / p ELSE v - f * r / p END
+    FROM (SELECT *, max(CASE WHEN i = k AND j = k THEN v END) OVER (PARTITION BY grp) AS p, max(CASE WHEN j = k THEN v END) OVER (PARTITION BY grp, i) AS f, max(CASE WHEN i = k THEN v END) OVER (PARTITION BY grp, j) AS r FROM {name}_e) WHERE k < {size}),
+  {name} AS (SELECT grp, i, v AS w FROM {name}_e WHERE k = {size} AND j = {size})"""
+
+
+def ridge_sql(x: str, size: int, alpha: str, intercept: bool = True, name: str = "m") -> str:
+    """CTEs with the ridge weights ``{name}`` (grp 0, i, w) of y on the list ``x`` of the CTE w; i = 0 is the intercept, if there is one."""
+    first = "[1.0::DOUBLE] || " if intercept else ""
+    n = size + intercept
+    free = "a.i > 0 AND " if intercept else ""
+    return f"""{name}_z AS (SELECT event_id, unnest(range({n + 1})) AS i, unnest({first}{x} || [y]) AS v FROM w),
+  {solved_sql(f"SELECT 0 AS grp, a.i, b.i AS j, sum(a.v * b.v) + CASE WHEN {free}a.i = b.i THEN {alpha} ELSE 0 END AS v FROM {name}_z a JOIN {name}_z b USING (event_id) WHERE a.i < {n} GROUP BY a.i, b.i", n, name)}"""
+
+
+def predicted_sql(x: str, name: str = "m", intercept: bool = True) -> str:
+    """A prediction of the list ``x`` by the weights ``name`` in scope."""
+    weights = f"(SELECT list(w ORDER BY i) FROM {name} WHERE i >= {int(intercept)})"
+    return (f"(SELECT w FROM {name} WHERE i = 0) + " if intercept else "") + f"list_dot_product({x}, {weights})"
+
+
+_ALL = "s1 || s2"
+_GAP = "list_transform(range(1, 33), lambda i: s1[i] - s2[i])"
+
+
+@register("ml_ridge_direct", f"WITH RECURSIVE w AS ({WAVES}), {ridge_sql(_ALL, 64, '4')} SELECT event_id, round(y, 6) + 0.0 AS y, round({predicted_sql(_ALL)}, 6) + 0.0 AS prediction FROM w")
 def ml_ridge_direct(spark, sf_dir):
     f = _features(spark, sf_dir)
     return rounded(f.select("event_id", "y", M.linear(F.col("x"), M.fit_ridge(f, "x", "y", 4.0)).alias("prediction")))
 
 
-@register("ml_ridge_shared")
+@register("ml_ridge_shared", f"WITH RECURSIVE w AS ({WAVES}), {ridge_sql(_GAP, 32, '4', False)} SELECT event_id, round({predicted_sql(_GAP, intercept=False)}, 6) + 0.0 AS prediction FROM w")
 def ml_ridge_shared(spark, sf_dir):
     f = _features(spark, sf_dir, shared=True)
     return rounded(f.select("event_id", M.linear(F.col("x"), M.fit_ridge(f, "x", "y", 4.0, intercept=False)).alias("prediction")))
 
 
-@register("ml_ridge_composite")
+@register("ml_ridge_composite", f"WITH RECURSIVE w AS ({WAVES}), {ridge_sql(_ALL, 64, 'CASE WHEN a.i <= 32 THEN 4 ELSE 17 END')} SELECT event_id, round({predicted_sql(_ALL)}, 6) + 0.0 AS prediction FROM w")
 def ml_ridge_composite(spark, sf_dir):
     f = _features(spark, sf_dir)
     return rounded(f.select("event_id", M.linear(F.col("x"), M.fit_ridge(f, "x", "y", 0.0, blocks=(32, 32), alphas=(4.0, 17.0))).alias("prediction")))
 
 
-@register("ml_swap_diagnostic")
+@register("ml_swap_diagnostic", f"WITH RECURSIVE w AS ({WAVES}), {ridge_sql(_GAP, 32, '4', False)}, r AS (SELECT {predicted_sql(_GAP, intercept=False)} AS there, {predicted_sql(_GAP.replace('s1[i] - s2[i]', 's2[i] - s1[i]'), intercept=False)} AS back FROM w) SELECT round(sqrt(avg((there + back) ** 2)), 6) + 0.0 AS swap_rmse FROM r")
 def ml_swap_diagnostic(spark, sf_dir):
     f = _features(spark, sf_dir, shared=True)
     w = M.fit_ridge(f, "x", "y", 4.0, intercept=False)
     return rounded(M.swap_rmse(f, "s1", "s2", lambda a, b: M.linear(M.pair_features(a, b, True), w)))
 
 
-@register("ml_cross_validation")
+def folded_sql(alphas: list[float]) -> str:
+    """CTE ``e``: RMSE of every fold (fold_id) for every penalty (alpha), by ridge on the other folds."""
+    return f"""w AS ({WAVES}), o AS (SELECT *, row_number() OVER (ORDER BY {_md5("event_id || ':cv'")}, event_id) - 1 AS p, count(*) OVER () AS n FROM w),
+  f AS (SELECT event_id, s1 || s2 AS x, y, (1 + CASE WHEN p < (n % 5) * (n // 5 + 1) THEN p // (n // 5 + 1) ELSE n % 5 + (p - (n % 5) * (n // 5 + 1)) // (n // 5) END)::INT AS fold_id FROM o),
+  z AS (SELECT event_id, fold_id, unnest(range(66)) AS i, unnest([1.0::DOUBLE] || x || [y]) AS v FROM f), g AS (SELECT a.fold_id, a.i, b.i AS j, sum(a.v * b.v) AS v FROM z a JOIN z b USING (event_id) WHERE a.i < 65 GROUP BY ALL),
+  t AS (SELECT k.fold_id, i, j, sum(v) AS v FROM g JOIN (SELECT DISTINCT fold_id FROM f) k ON k.fold_id <> g.fold_id GROUP BY ALL), c AS (SELECT unnest({alphas})::DOUBLE AS alpha),
+  {solved_sql("SELECT fold_id || ':' || alpha AS grp, i, j, v + CASE WHEN i = j AND i > 0 THEN alpha ELSE 0 END AS v FROM t, c", 65, "m")},
+  v AS (SELECT grp, max(w) FILTER (i = 0) AS w0, list(w ORDER BY i) FILTER (i > 0) AS ws FROM m GROUP BY grp),
+  e AS (SELECT alpha, fold_id, sqrt(avg((y - w0 - list_dot_product(x, ws)) ** 2)) AS rmse FROM f JOIN c ON true JOIN v ON grp = fold_id || ':' || alpha GROUP BY alpha, fold_id)"""
+
+
+_NAMED = "'alpha=' || CASE WHEN alpha >= 1 THEN alpha::BIGINT::VARCHAR ELSE alpha::VARCHAR END"
+
+
+@register("ml_cross_validation", f"""WITH RECURSIVE {folded_sql([0.1, 1.0, 10.0, 100.0])}, s AS (SELECT {_NAMED} AS candidate_id, avg(rmse) AS mean, stddev_samp(rmse) AS std, count(*) AS completed FROM e GROUP BY alpha)
+  SELECT candidate_id, round(mean, 6) + 0.0 AS mean, round(std, 6) + 0.0 AS std, completed, false AS partial, row_number() OVER (ORDER BY s.mean, candidate_id) = 1 AS selected FROM s""")
 def ml_cross_validation(spark, sf_dir):
     f = ranking.folds(_features(spark, sf_dir), "event_id", 5, "cv")
     return rounded(M.select_candidate(M.cross_validate(f, "x", "y", "fold_id", [0.1, 1.0, 10.0, 100.0]), "rmse", 5))
@@ -169,7 +215,8 @@ def ml_parzen_search(spark, sf_dir):
     return rounded(study.trials().select("trial", "parameters", "value"))
 
 
-@register("ml_pruning")
+@register("ml_pruning", f"""WITH RECURSIVE {folded_sql([0.1, 10.0, 1000.0])}, x AS (SELECT {_NAMED} AS candidate_id, count(*) AS common_folds, avg(a.rmse - b.rmse) AS worse FROM e a JOIN (SELECT fold_id, rmse FROM e WHERE alpha = 10) b USING (fold_id) WHERE alpha <> 10 GROUP BY alpha)
+  SELECT candidate_id, common_folds, round(worse, 6) + 0.0 AS excess, worse > 0.001 AS pruned FROM x""")
 def ml_pruning(spark, sf_dir):
     f = ranking.folds(_features(spark, sf_dir), "event_id", 5, "cv")
     return rounded(M.pruned(M.cross_validate(f, "x", "y", "fold_id", [0.1, 10.0, 1000.0]), "rmse", "alpha=10", 0.001))
@@ -236,19 +283,27 @@ def _linear_predict(weights: np.ndarray):
     return lambda v: weights[0] + v @ weights[1:]
 
 
-@register("xai_window_shapley")
+#: The attributions of linear predictions: each window's weighted distance from the mean reference.
+SHAPLEY = f"""w AS ({WAVES}), {ridge_sql("s1", 32, "4")}, b AS (SELECT list(w ORDER BY i) FILTER (i > 0) AS ws, max(w) FILTER (i = 0) AS w0 FROM m),
+  h AS (SELECT event_id AS id, a::INT AS start, round(list_sum(list_transform(range(a + 1, a + 9), lambda i: ws[i] * (s1[i] - 0.025::DOUBLE))), 6) + 0.0 AS phi FROM w, b, (SELECT unnest([0, 8, 16, 24]) AS a))"""
+
+
+@register("xai_window_shapley", f"WITH RECURSIVE {SHAPLEY} SELECT id, start, phi FROM h")
 def xai_window_shapley(spark, sf_dir):
     w = waves(spark, sf_dir)
     weights = M.fit_ridge(w, "s1", "y", 4.0)
     return rounded(M.window_shapley(w, "event_id", "s1", [[0.0] * 32, [0.05] * 32], 8, 8, _linear_predict(weights)))
 
 
-@register("xai_signed_summary")
+@register("xai_signed_summary", f"""WITH RECURSIVE {SHAPLEY} SELECT start, count(*) AS n, round(avg(phi), 6) + 0.0 AS mean, round(avg(greatest(phi, 0)), 6) + 0.0 AS positive, round(avg(least(phi, 0)), 6) + 0.0 AS negative, round(avg(abs(phi)), 6) + 0.0 AS absolute FROM h GROUP BY start""")
 def xai_signed_summary(spark, sf_dir):
     return rounded(M.signed_summary(xai_window_shapley(spark, sf_dir)))
 
 
-@register("sig_periodogram")
+@register("sig_periodogram", f"""WITH w AS ({WAVES}), v AS (SELECT event_id, i, (v - avg(v) OVER (PARTITION BY event_id)) * (0.5 - 0.5 * cos(2 * pi() * i / 31)) AS v FROM (SELECT event_id, unnest(s1) AS v, unnest(range(32)) AS i FROM w)),
+  f AS (SELECT event_id, bin, sum(v * cos(2 * pi() * bin * i / 32)) AS re, -sum(v * sin(2 * pi() * bin * i / 32)) AS im FROM v, range(17) t(bin) GROUP BY ALL),
+  g AS (SELECT bin::INT AS bin, count(*) AS n, avg(re) AS re, avg(im) AS im, avg(re * re + im * im) AS total, sqrt(avg(re / sqrt(re * re + im * im)) ** 2 + avg(im / sqrt(re * re + im * im)) ** 2) AS consistency FROM f GROUP BY bin)
+  SELECT bin, n, round(total, 8) + 0.0 AS total, round(re * re + im * im, 8) + 0.0 AS coherent, round(total - re * re - im * im, 8) + 0.0 AS variable, round(consistency, 8) + 0.0 AS consistency FROM g""")
 def sig_periodogram(spark, sf_dir):
     return rounded(M.periodogram(waves(spark, sf_dir), "s1"), 8)
 
