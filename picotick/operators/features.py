@@ -15,18 +15,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from .matching import all_of
 from .models import _matrix
 
 #: Rows that a task turns into features at once.
 ROWS = 256
 
 
-def examples(control: DataFrame, id_col: str, x: str, n: int) -> np.ndarray:
-    """The ``n`` control waveforms with the least hashes of their ids; none at all raises."""
-    rows = control.where(F.col(x).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(n).select(F.col(x).cast("array<double>")).collect()
-    if not rows:
+def examples(control: DataFrame, id_col: str, xs: str | list[str], n: int) -> np.ndarray:
+    """The ``n`` control waveforms with the least hashes of their ids, of several columns one after the other; none at all raises."""
+    names = [xs] if isinstance(xs, str) else xs
+    some = control.where(all_of([F.col(x).isNotNull() for x in names])).orderBy(F.xxhash64(id_col), id_col).limit(-(-n // len(names)))
+    found = some.select(*[F.col(x).cast("array<double>").alias(f"x{i}") for i, x in enumerate(names)]).toArrow()
+    if not len(found):
         raise ValueError("a fit takes a control example")
-    return np.array([r[0] for r in rows])
+    return np.concatenate([_matrix(found.column(c).combine_chunks()) for c in found.column_names])
 
 
 def _mapped(df: DataFrame, id_col: str, x: str, name: str, function) -> DataFrame:
@@ -44,6 +47,24 @@ def _mapped(df: DataFrame, id_col: str, x: str, name: str, function) -> DataFram
     return rows.mapInArrow(run, f"id long, {name} array<double>")
 
 
+def paired(df: DataFrame, id_col: str, s1: str, s2: str, function, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id``, ``keep`` and ``a``, ``b``: the features of both detectors' waveforms, in one pass. Rows that lack one are left out."""
+
+    def run(batches):
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                part = whole.slice(first, ROWS)
+                out = []
+                for c in ("_s1", "_s2"):
+                    f = np.ascontiguousarray(function(_matrix(part.column(c))), dtype=np.float64)
+                    out.append(pa.ListArray.from_arrays(pa.array(np.arange(0, f.size + 1, f.shape[1], dtype=np.int32)), pa.array(f.ravel())))
+                yield pa.RecordBatch.from_arrays([part.column("id"), *(part.column(k) for k in keep), *out], names=["id", *keep, "a", "b"])
+
+    rows = df.where((F.size(s1) > 0) & (F.size(s2) > 0)).select(F.col(id_col).alias("id"), *keep, F.col(s1).cast("array<double>").alias("_s1"), F.col(s2).cast("array<double>").alias("_s2"))
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c not in ("_s1", "_s2"))
+    return rows.mapInArrow(run, f"{schema}, a array<double>, b array<double>")
+
+
 def _windows(v: np.ndarray, length: int, step: int) -> np.ndarray:
     """Of each row, all stretches of ``length`` samples that lie ``step`` apart."""
     return np.stack([v[:, k * step : v.shape[1] - (length - 1 - k) * step] for k in range(length)], axis=2)
@@ -67,7 +88,7 @@ class Shapelet:
         return np.abs((_standard(w) if self.standard else w) - self.values).sum(axis=2)
 
 
-def fit_shapelets(control: DataFrame, id_col: str, x: str, count: int, *, length: int = 11, standard: float = 0.8, seed: int = 7, most: int = 256) -> list[Shapelet]:
+def fit_shapelets(control: DataFrame, id_col: str, x: str | list[str], count: int, *, length: int = 11, standard: float = 0.8, seed: int = 7, most: int = 256) -> list[Shapelet]:
     """``count`` random dilated stretches of at most ``most`` control examples.
 
     A shapelet is standardised with the probability ``standard``; it occurs where the distance is at
@@ -87,17 +108,17 @@ def fit_shapelets(control: DataFrame, id_col: str, x: str, count: int, *, length
     return out
 
 
-def shapelet_features(df: DataFrame, id_col: str, x: str, shapelets: list[Shapelet]) -> DataFrame:
-    """Per shapelet: least distance, its first place, and the number of places where the shapelet occurs."""
+def shapelet_values(v: np.ndarray, shapelets: list[Shapelet]) -> np.ndarray:
+    out = []
+    for s in shapelets:
+        d = s.distances(v)
+        out += [d.min(axis=1), d.argmin(axis=1), (d <= s.near).sum(axis=1)]
+    return np.stack(out, axis=1).astype(float)
 
-    def features(_, v):
-        out = []
-        for s in shapelets:
-            d = s.distances(v)
-            out += [d.min(axis=1), d.argmin(axis=1), (d <= s.near).sum(axis=1)]
-        return np.stack(out, axis=1).astype(float)
 
-    return _mapped(df, id_col, x, "features", features)
+def shapelet_features(df: DataFrame, id_col: str, x: str, shapelets: list[Shapelet]) -> DataFrame:
+    """Per shapelet: least distance, its first place, and the number of places where the shapelet occurs."""
+    return _mapped(df, id_col, x, "features", lambda _, v: shapelet_values(v, shapelets))
 
 
 def competing_kernel_features(df: DataFrame, id_col: str, x: str, *, groups: int = 16, kernels: int = 8, seed: int = 7) -> DataFrame:
@@ -108,27 +129,33 @@ def competing_kernel_features(df: DataFrame, id_col: str, x: str, *, groups: int
     half its first difference, each under dilations in powers of two; ``groups`` is even. Features come by
     view, dilation, group and kernel, first counts before second ones.
     """
+    weights = competing_kernels(groups, kernels, seed)
+    return _mapped(df, id_col, x, "features", lambda _, v: competing_values(v, weights))
+
+
+def competing_kernels(groups: int = 16, kernels: int = 8, seed: int = 7) -> np.ndarray:
+    """[view, group, kernel, tap]"""
     if groups < 2 or groups % 2:
         raise ValueError("groups must be even")
     weights = np.random.default_rng(seed).normal(size=(2, groups // 2 * kernels, 9))
     weights -= weights.mean(axis=2, keepdims=True)
     weights /= np.abs(weights).sum(axis=2, keepdims=True)
-
-    def features(_, v):
-        out = []
-        for view, weight in zip((v, np.diff(v, axis=1)), weights, strict=True):
-            step = 1
-            while step == 1 or 8 * step < view.shape[1]:
-                padded = np.pad(view, ((0, 0), (4 * step, 4 * step)))
-                c = (_windows(padded, 9, step) @ weight.T).reshape(*view.shape, groups // 2, kernels)
-                best, least = c.argmax(axis=3)[..., None], c.argmin(axis=3)[..., None]
-                each = np.arange(kernels)
-                out.append(np.where(best == each, c, 0).sum(axis=1).reshape(len(v), -1))
-                out.append((least == each).sum(axis=1).reshape(len(v), -1))
-                step *= 2
-        return np.concatenate(out, axis=1).astype(float)
-
-    return _mapped(df, id_col, x, "features", features)
+    return weights.reshape(2, groups // 2, kernels, 9)
+
+
+def competing_values(v: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    out, kernels = [], weights.shape[2]
+    for view, weight in zip((v, np.diff(v, axis=1)), weights, strict=True):
+        step = 1
+        while step == 1 or 8 * step < view.shape[1]:
+            padded = np.pad(view, ((0, 0), (4 * step, 4 * step)))
+            c = (_windows(padded, 9, step) @ weight.reshape(-1, 9).T).reshape(*view.shape, len(weight), kernels)
+            best, least = c.argmax(axis=3)[..., None], c.argmin(axis=3)[..., None]
+            each = np.arange(kernels)
+            out.append(np.where(best == each, c, 0).sum(axis=1).reshape(len(v), -1))
+            out.append((least == each).sum(axis=1).reshape(len(v), -1))
+            step *= 2
+    return np.concatenate(out, axis=1).astype(float)
 
 
 def unit_phases(s1: Column, s2: Column, cycles: list[float], n: int, relative: bool) -> Column:

@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,11 +57,30 @@ def gram(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFr
     return rows.mapInArrow(run, schema).groupBy(*keys, "i", "j").agg(F.sum("v").alias("v"))
 
 
-def _square(entries: list) -> np.ndarray:
-    n = max(r["i"] for r in entries) + 1
+def _square(table: pa.Table) -> np.ndarray:
+    """The full matrix of the entries (i, j, v) of an upper triangle."""
+    i, j, v = (table.column(c).to_numpy() for c in ("i", "j", "v"))
+    n = int(max(i.max(), j.max())) + 1
     out = np.zeros((n, n))
-    for r in entries:
-        out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["v"]
+    out[i, j] = out[j, i] = v
+    return out
+
+
+def squares(sums: DataFrame, keys: list[str]) -> dict[tuple, np.ndarray]:
+    """The matrices of ``gram`` by group; entries reach the driver as Arrow columns."""
+    table = sums.toArrow()
+    if not len(table):
+        return {}
+    if not keys:
+        return {(): _square(table)}
+    names = table.select(keys).group_by(keys).aggregate([]).to_pylist()
+    out = {}
+    for name in names:
+        own = None
+        for k in keys:
+            same = pc.is_null(table.column(k)) if name[k] is None else pc.equal(table.column(k), pa.scalar(name[k], table.column(k).type))
+            own = same if own is None else pc.and_(own, same)
+        out[tuple(name[k] for k in keys)] = _square(table.filter(own))
     return out
 
 
@@ -77,15 +97,12 @@ def solve_ridge(z: np.ndarray, alpha: float | np.ndarray, intercept: bool = True
 def fit_ridge(df: DataFrame, x: str, y: str, alpha: float, *, intercept: bool = True, blocks: tuple[int, ...] | None = None, alphas: tuple[float, ...] | None = None) -> np.ndarray:
     """Ridge weights. ``blocks`` and ``alphas`` give groups of features penalties of their own."""
     penalty = np.repeat(alphas, blocks) if blocks else alpha
-    return solve_ridge(_square(gram(df, x, y).collect()), penalty, intercept)
+    return solve_ridge(_square(gram(df, x, y).toArrow()), penalty, intercept)
 
 
 def fit_ridge_by_group(df: DataFrame, x: str, y: str, keys: list[str], alphas: list[float]) -> dict[tuple, dict[float, np.ndarray]]:
     """One pass over the data for all groups and penalties; a group is e.g. a fold."""
-    by: dict[tuple, list] = {}
-    for r in gram(df, x, y, keys).collect():
-        by.setdefault(tuple(r[k] for k in keys), []).append(r)
-    return {k: {a: solve_ridge(_square(rows), a) for a in alphas} for k, rows in by.items()}
+    return {k: {a: solve_ridge(z, a) for a in alphas} for k, z in squares(gram(df, x, y, keys), keys).items()}
 
 
 def fold_errors(by: dict[int, np.ndarray], alphas: list[float]) -> list[tuple[float, int, float]]:
@@ -102,11 +119,7 @@ def fold_errors(by: dict[int, np.ndarray], alphas: list[float]) -> list[tuple[fl
 
 def cross_validate(df: DataFrame, x: str, y: str, fold: str, alphas: list[float]) -> DataFrame:
     """RMSE per (alpha, fold): Gram sums of each fold are subtracted from the whole, so data is read twice in all."""
-    by: dict[int, np.ndarray] = {}
-    rows: dict[int, list] = {}
-    for r in gram(df, x, y, [fold]).collect():
-        rows.setdefault(r[fold], []).append(r)
-    by = {k: _square(v) for k, v in rows.items()}
+    by = {k: z for (k,), z in squares(gram(df, x, y, [fold]), [fold]).items()}
     out = [(f"alpha={a:g}", int(k), e) for a, k, e in fold_errors(by, alphas)]
     return df.sparkSession.createDataFrame(out, "candidate_id string, fold_id int, rmse double")
 
@@ -128,7 +141,7 @@ def pruned(folds: DataFrame, metric: str, incumbent: str, tolerance: float) -> D
 
 def linear(x: Column, weights: np.ndarray) -> Column:
     """Prediction with built-in functions."""
-    w = F.array(*[F.lit(float(v)) for v in weights[1:]])
+    w = F.lit(np.asarray(weights[1:], dtype=np.float64))  # one literal, however many weights
     return F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(float(weights[0])), lambda s, v: s + v)
 
 
@@ -310,7 +323,7 @@ def neighbour_mean(neighbours: DataFrame, labels: DataFrame, id_col: str, value:
 
 def fit_ppca(df: DataFrame, x: str, components: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Mean, loadings and noise variance of probabilistic PCA, from the same sums."""
-    z = _square(gram(df.withColumn("_zero", F.lit(0.0)), x, "_zero").collect())[:-1, :-1]
+    z = _square(gram(df.withColumn("_zero", F.lit(0.0)), x, "_zero").toArrow())[:-1, :-1]
     n, mean = z[0, 0], z[0, 1:] / z[0, 0]
     cov = z[1:, 1:] / n - np.outer(mean, mean)
     value, vector = np.linalg.eigh(cov)
@@ -417,33 +430,3 @@ def periodogram(df: DataFrame, x: str) -> DataFrame:
     s = df.select(F.col(x).cast("array<double>").alias("x")).mapInArrow(run, "bin int, n long, re double, im double, power double, ur double, ui double").groupBy("bin").agg(*[F.sum(c).alias(c) for c in ("n", "re", "im", "power", "ur", "ui")])
     coherent = (F.col("re") / F.col("n")) ** 2 + (F.col("im") / F.col("n")) ** 2
     return s.select("bin", "n", (F.col("power") / F.col("n")).alias("total"), coherent.alias("coherent"), (F.col("power") / F.col("n") - coherent).alias("variable"), (F.hypot("ur", "ui") / F.col("n")).alias("consistency"))
-
-
-def random_kernel_features(df: DataFrame, id_col: str, x: str, kernels: int = 84, seed: int = 7) -> DataFrame:
-    """MiniRocket-style features: share of positive values of x * (dilated kernel) - bias, for each kernel.
-
-    Kernels have nine taps, three of them 2 and the others -1; dilations grow in powers of two;
-    biases are a uniform draw around zero, so no fitting pass is needed. ``training.pooled_kernels`` fits them.
-    """
-    from itertools import combinations
-
-    taps = list(combinations(range(9), 3))[:kernels]
-
-    def run(batches):
-        r = np.random.default_rng(seed)
-        quantile = r.uniform(0.1, 0.9, size=len(taps))
-        for b in batches:
-            v = _matrix(b.column("x"))
-            n = v.shape[1]
-            out = []
-            for i, t in enumerate(taps):
-                step = 1 << (i % max(1, int(np.log2(max(2, (n - 1) // 8))) + 1))
-                weights = np.full(9, -1.0)
-                weights[list(t)] = 2.0
-                pad = np.pad(v, ((0, 0), (4 * step, 4 * step)))
-                c = sum(w * pad[:, k * step : k * step + n] for k, w in enumerate(weights))
-                out.append((c > (quantile[i] - 0.5) * 0.1).mean(axis=1))
-            f = np.stack(out, axis=1)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(0, f.size + 1, f.shape[1], dtype=np.int32)), pa.array(f.ravel()))], names=["id", "features"])
-
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(x).cast("array<double>").alias("x")).mapInArrow(run, "id long, features array<double>")

@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .models import _matrix, _square, gram, solve_ridge
+from .matching import all_of
+from .models import _matrix, gram, solve_ridge, squares
 
 
 def grid(space: dict[str, list]) -> list[dict]:
@@ -31,10 +32,7 @@ def window_cross_validation(df: DataFrame, x: str, y: str, fold: str, space: dic
     each fold; what a window or a training part needs is a part or a difference of these.
     Rows without a target are left out; a fold without rows does not appear.
     """
-    rows: dict[int, list] = {}
-    for r in gram(df.where(F.col(fold).isNotNull()), x, y, [fold]).collect():
-        rows.setdefault(r[fold], []).append(r)
-    by = {k: _square(v) for k, v in rows.items()}
+    by = {k: z for (k,), z in squares(gram(df.where(F.col(fold).isNotNull()), x, y, [fold]), [fold]).items()}
     out = []
     for c in grid(space):
         n, alpha = c["n_features"], c["alpha"]
@@ -167,7 +165,7 @@ def _per_feature(df: DataFrame, x: Column, *sums: Column) -> np.ndarray:
 
 
 def _constants(v: np.ndarray) -> Column:
-    return F.array(*[F.lit(float(a)) for a in v])
+    return F.lit(np.asarray(v, dtype=np.float64))
 
 
 def sparse_scaled(control: DataFrame, df: DataFrame, x: str) -> DataFrame:
@@ -228,21 +226,30 @@ def _views(v: np.ndarray) -> list[np.ndarray]:
     return [v, np.diff(v, axis=1)]
 
 
-def fit_kernel_biases(control: DataFrame, id_col: str, x: str, *, examples: int = 84) -> np.ndarray:
-    """A bias for each kernel, dilation and view: a quantile of its response to one control example.
+def fit_kernel_biases(control: DataFrame, id_col: str, xs: str | list[str], *, examples: int = 84, each: int = 1) -> np.ndarray:
+    """``each`` biases for every kernel, dilation and view: quantiles of its response to a control example.
 
-    ``examples`` rows with the least hashes of their ids are taken in turn; quantiles follow the
-    golden ratio, so that neighbouring kernels get distant ones. An empty control raises.
+    ``examples`` rows with the least hashes of their ids are taken in turn (of several columns the
+    waveforms of the first come first); quantiles follow the golden ratio, so that neighbouring
+    kernels, and biases of one kernel, get distant ones. An empty control raises.
     """
-    rows = control.where(F.col(x).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(examples).select(F.col(x).cast("array<double>")).collect()
-    if not rows:
+    names = [xs] if isinstance(xs, str) else xs
+    some = control.where(all_of([F.col(x).isNotNull() for x in names])).orderBy(F.xxhash64(id_col), id_col).limit(examples)
+    found = some.select(*[F.col(x).cast("array<double>").alias(f"x{i}") for i, x in enumerate(names)]).toArrow()
+    if not len(found):
         raise ValueError("biases take a control example")
-    v = np.array([r[0] for r in rows])
+    v = np.concatenate([_matrix(found.column(c).combine_chunks()) for c in found.column_names])
     share = (1 + 5**0.5) / 2
-    out = [np.quantile(c[k % len(v)], (k + 1) * share % 1) for view in _views(v) for k, c in enumerate(_responses(view))]
+    out = [[np.quantile(c[k % len(v)], (k * each + m + 1) * share % 1) for m in range(each)] for view in _views(v) for k, c in enumerate(_responses(view))]
     return np.array(out)
 
 
+def pooled_responses(v: np.ndarray, biases: np.ndarray) -> np.ndarray:
+    """Four poolings of each response less each of its biases, of rows and of their first differences."""
+    responses = (c for view in _views(v) for c in _responses(view))
+    return np.concatenate([pooled(c - bias) for c, own in zip(responses, biases, strict=True) for bias in own], axis=1)
+
+
 def kernel_features(df: DataFrame, id_col: str, x: str, biases: np.ndarray) -> DataFrame:
     """``id`` and ``features``: four poolings of each response less its bias, of a waveform and of its first difference.
 
@@ -253,10 +260,35 @@ def kernel_features(df: DataFrame, id_col: str, x: str, biases: np.ndarray) -> D
         for b in batches:
             if not b.num_rows:
                 continue
-            responses = (c for view in _views(_matrix(b.column("x"))) for c in _responses(view))
-            f = np.concatenate([pooled(c - bias) for c, bias in zip(responses, biases, strict=True)], axis=1)
+            f = pooled_responses(_matrix(b.column("x")), biases)
             offsets = pa.array(np.arange(0, f.size + 1, f.shape[1], dtype=np.int32))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(offsets, pa.array(f.ravel()))], names=["id", "features"])
 
     rows = df.where(F.col(x).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(x).cast("array<double>").alias("x"))
     return rows.mapInArrow(run, "id long, features array<double>")
+
+
+def scaled_pair(control: DataFrame, df: DataFrame, a: str, b: str, out: str, *, shared: bool, sparse: bool = False) -> DataFrame:
+    """Features of two detectors as one array ``out``: phi(s1) - phi(s2) if ``shared``, else side by side.
+
+    A shared form is scaled by both detectors' control features together, so a swap only changes
+    the sign of the result; side by side each detector has its own scale. Scales are population
+    deviations (1 where that is 0), or those of ``sparse_scaled``.
+    """
+    def scales(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        value = F.sqrt(F.greatest(F.col("v"), F.lit(0.0))) if sparse else F.col("v")
+        found = _per_feature(rows, F.col("x"), F.avg(value), F.stddev_samp(value) if sparse else F.stddev_pop(value), F.avg((F.col("v") <= 0).cast("double")), F.count("v"))
+        if not len(found) or found[:, 3].min() < 2:
+            raise ValueError("a scale takes two control rows at least")
+        return (found[:, 0], found[:, 1] + found[:, 2] ** 4 + 1e-8) if sparse else (np.zeros(len(found)), np.where(found[:, 1] > 0, found[:, 1], 1.0))
+
+    def scaled(c: str, scale: tuple[np.ndarray, np.ndarray]) -> Column:
+        both = F.arrays_zip(F.col(c).alias("v"), _constants(scale[0]).alias("m"), _constants(scale[1]).alias("s"))
+        root = lambda v: F.sqrt(F.greatest(v, F.lit(0.0))) if sparse else v
+        return F.transform(both, lambda z: F.when(F.lit(sparse) & (z["v"] <= 0), 0.0).otherwise((root(z["v"]) - z["m"]) / z["s"]))
+
+    one = lambda c: control.select(F.col(c).alias("x"))
+    if shared:
+        scale = scales(one(a).unionAll(one(b)))
+        return df.withColumn(out, F.zip_with(scaled(a, scale), scaled(b, scale), lambda u, v: u - v))
+    return df.withColumn(out, F.concat(scaled(a, scales(one(a))), scaled(b, scales(one(b)))))

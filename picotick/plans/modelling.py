@@ -201,13 +201,10 @@ def ml_parzen_search(spark, sf_dir):
     from ..operators import scratch, search
 
     folded = {k: ranking.folds(_features(spark, sf_dir, shared=k == "shared"), "event_id", 5, "cv") for k in ("direct", "shared")}
-    sums = {k: M.gram(f, "x", "y", ["fold_id"]).toArrow().to_pylist() for k, f in folded.items()}
+    sums = {k: {fold: z for (fold,), z in M.squares(M.gram(f, "x", "y", ["fold_id"]), ["fold_id"]).items()} for k, f in folded.items()}
 
     def error(p: dict) -> float:
-        by: dict[int, list] = {}
-        for r in sums[p["form"]]:
-            by.setdefault(r["fold_id"], []).append(r)
-        return float(np.mean([e for *_, e in M.fold_errors({k: M._square(v) for k, v in by.items()}, [p["alpha"]])]))
+        return float(np.mean([e for *_, e in M.fold_errors(sums[p["form"]], [p["alpha"]])]))
 
     space = {"alpha": search.Real(1e-3, 1e4, log=True), "form": search.Choice(("direct", "shared"))}
     study = search.Study(spark, scratch.folder(spark), "ridge", space, seed=5, startup=6)
@@ -308,11 +305,6 @@ def sig_periodogram(spark, sf_dir):
     return rounded(M.periodogram(waves(spark, sf_dir), "s1"), 8)
 
 
-@register("ml_kernel_features")
-def ml_kernel_features(spark, sf_dir):
-    return M.random_kernel_features(waves(spark, sf_dir), "event_id", "s1")
-
-
 @register("ml_ensemble", """WITH b AS (SELECT l_orderkey AS k, sum(l_extendedprice) AS v FROM lineitem GROUP BY 1) SELECT o_orderkey, round((o_totalprice + v) / 2, 4) + 0.0 AS p FROM orders JOIN b ON k = o_orderkey""")
 def ml_ensemble(spark, sf_dir):
     return rounded(pairs(spark, sf_dir).select(F.col("event_id").alias("o_orderkey"), ((F.col("a") + F.col("b")) / 2).alias("p")), 4)

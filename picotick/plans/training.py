@@ -87,6 +87,36 @@ def ml_competing_kernels(spark, sf_dir):
     return T.sparse_scaled(f, f, "features")
 
 
+def _pair_ridge(spark, sf_dir, values, *, sparse=False, alpha=50.0):
+    """Ridge on phi(s1) - phi(s2): predictions, and what a swap of the detectors leaves of them."""
+    w = waves(spark, sf_dir)
+    f = scratch.stored(X.paired(w, "event_id", "s1", "s2", values, keep=("y",)))
+    x = T.scaled_pair(f, f, "a", "b", "x", shared=True, sparse=sparse)
+    weights = M.fit_ridge(x, "x", "y", alpha, intercept=False)
+    swapped = T.scaled_pair(f, f.select("id", "y", F.col("b").alias("a"), F.col("a").alias("b")), "a", "b", "x", shared=True, sparse=sparse)
+    both = x.select("id", M.linear(F.col("x"), weights).alias("prediction")).join(swapped.select("id", M.linear(F.col("x"), weights).alias("other")), "id")
+    return rounded(both.select(F.col("id").alias("event_id"), "prediction", (F.abs(F.col("prediction") + F.col("other")) < 1e-9).alias("antisymmetric")))
+
+
+@register("ml_pair_pooled_ridge")
+def ml_pair_pooled_ridge(spark, sf_dir):
+    """Pooled kernel responses with two biases each; every eighth kernel, to stay within one Gram matrix."""
+    biases = T.fit_kernel_biases(waves(spark, sf_dir), "event_id", ["s1", "s2"], each=2)
+    return _pair_ridge(spark, sf_dir, lambda v: T.pooled_responses(v, biases)[:, ::16])
+
+
+@register("ml_pair_shapelet_ridge")
+def ml_pair_shapelet_ridge(spark, sf_dir):
+    shapelets = X.fit_shapelets(waves(spark, sf_dir), "event_id", ["s1", "s2"], 40)
+    return _pair_ridge(spark, sf_dir, lambda v: X.shapelet_values(v, shapelets))
+
+
+@register("ml_pair_competing_ridge")
+def ml_pair_competing_ridge(spark, sf_dir):
+    kernels = X.competing_kernels(4, 4)
+    return _pair_ridge(spark, sf_dir, lambda v: X.competing_values(v, kernels), sparse=True)
+
+
 @register("ml_tail_phase_ridge")
 def ml_tail_phase_ridge(spark, sf_dir):
     """What a ridge on samples leaves, corrected by a ridge on relative phases."""

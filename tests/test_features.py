@@ -81,3 +81,34 @@ def test_draws_follow_the_conditional_law(spark):
     assert np.allclose(np.cov(got[:, gone].T), c[np.ix_(gone, gone)] - c[np.ix_(gone, kept)] @ back, atol=0.1)
     again = {(x.id, x.draw): x.filled for x in X.ppca_draws(df.repartition(2), "id", "x", model, gone, 20).collect()}
     assert all(again[x.id, x.draw] == x.filled for x in rows)
+
+
+def test_pairs(spark):
+    """Shared forms change sign with a swap and are scaled by both detectors; sides by side each by its own."""
+    from picotick.operators import training as T
+
+    r = np.random.default_rng(8)
+    v = r.normal(size=(2, 30, 24))
+    df = spark.createDataFrame([(i, v[0, i].tolist(), v[1, i].tolist(), float(i)) for i in range(30)] + [(99, None, [1.0] * 24, 0.0), (98, [], [1.0] * 24, 0.0)], "id long, s1 array<double>, s2 array<double>, y double").repartition(3)
+    biases = T.fit_kernel_biases(df.where("id < 30"), "id", ["s1", "s2"], each=3)
+    assert biases.shape == (2 * 84 * 2, 3) and len(np.unique(biases[0])) == 3
+    for sparse, values in ((False, lambda x: T.pooled_responses(x, biases)[:, :40]), (True, lambda x: X.competing_values(x, X.competing_kernels(4, 3)))):
+        f = X.paired(df, "id", "s1", "s2", values, keep=("y",))
+        a, b = values(v[0]), values(v[1])
+        got = {q.id: q for q in T.scaled_pair(f, f, "a", "b", "x", shared=True, sparse=sparse).collect()}
+        assert set(got) == set(range(30)) and got[5].y == 5.0
+        both = np.concatenate([a, b])
+        if sparse:
+            root = np.sqrt(np.maximum(both, 0))
+            sd = root.std(axis=0, ddof=1) + (both <= 0).mean(axis=0) ** 4 + 1e-8
+            scaled = np.where(both <= 0, 0, (root - root.mean(axis=0)) / sd)
+        else:
+            sd = both.std(axis=0)
+            scaled = both / np.where(sd > 0, sd, 1)
+        assert np.allclose([got[i].x for i in range(30)], scaled[:30] - scaled[30:])
+        swapped = {q.id: q.x for q in T.scaled_pair(f, f.select("id", f.b.alias("a"), f.a.alias("b")), "a", "b", "x", shared=True, sparse=sparse).collect()}
+        assert np.allclose(swapped[7], -np.array(got[7].x))
+        side = T.scaled_pair(f, f, "a", "b", "x", shared=False, sparse=sparse).where("id = 3").first().x
+        assert len(side) == 2 * a.shape[1]
+    with pytest.raises(ValueError, match="two control rows"):
+        T.scaled_pair(f.limit(1), f, "a", "b", "x", shared=False)
