@@ -54,6 +54,8 @@ LEAST_COUNT = 1
 SMALL_BLOCK, LARGE_BLOCK, MOST_BLOCKS = 1_024, 5_000, 16
 #: Shingles of a block, on average, whatever its sets: what a task holds of a pair of blocks is about 150 bytes for each.
 BLOCK_SHINGLES = 400_000
+#: The same two bounds for blocks of sketches, which are a hundredth as large.
+SKETCH_BLOCK, SKETCH_SHINGLES = 20_000, 40_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -276,11 +278,14 @@ def _members(links: DataFrame) -> DataFrame:
     return stored(found.unionAll(found.select(F.col("root").alias("node"), "root")).distinct())
 
 
-def _placed(clusters: DataFrame) -> DataFrame:
-    """Members (``root``, ``node``, ``n``, others) with their ``block`` of the cluster and its number of ``blocks``."""
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where((F.col("m") > SMALL_BLOCK) | (F.col("total") > BLOCK_SHINGLES))
-    block = F.least(F.lit(LARGE_BLOCK), F.greatest(F.lit(SMALL_BLOCK), F.ceil(F.col("m") / MOST_BLOCKS)))
-    blocks = sizes.select("root", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+def _placed(clusters: DataFrame, small: int, large: int, shingles: int) -> DataFrame:
+    """Members (``root``, ``node``, ``n``, others) with their ``block`` of the cluster and its number of ``blocks``.
+
+    A block has about ``small`` sets, up to ``large`` if there would be more than MOST_BLOCKS, and at most about ``shingles`` shingles.
+    """
+    sizes = clusters.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where((F.col("m") > small) | (F.col("total") > shingles))
+    block = F.least(F.lit(large), F.greatest(F.lit(small), F.ceil(F.col("m") / MOST_BLOCKS)))
+    blocks = sizes.select("root", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("total") / shingles)).cast("int").alias("blocks"))
     placed = spread_join(clusters, blocks, "root", "node", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     return placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
@@ -421,9 +426,9 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width
     repeats = sets.groupBy("doc", "tag").count().where("count > 1").limit(1).count() > 0
     sketches = measured.where("not sketch and n > 0").select(F.col("b").alias("node"), "n", "parity").dropDuplicates(["node"])
     met = _members(stored(_meetings(_prefix_rows(docs, classes, width, percent), percent)))
-    sketched = _placed(met.join(sketches, "node"))
+    sketched = _placed(met.join(sketches, "node"), SKETCH_BLOCK, SKETCH_BLOCK, SKETCH_SHINGLES)
     cut = _members(_near(_dealt(sketched, "n", "parity"), percent))
-    placed = _placed(cut.join(nodes, "node"))
+    placed = _placed(cut.join(nodes, "node"), SMALL_BLOCK, LARGE_BLOCK, BLOCK_SHINGLES)
     pressed = _compressed(docs)
     if repeats:
         pressed = pressed.dropDuplicates(["doc", "tag"])

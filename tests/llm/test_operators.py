@@ -172,6 +172,7 @@ def test_jaccard(spark, seed, monkeypatch):
     """Families of edited copies around the threshold, split into tiny blocks."""
     monkeypatch.setattr(jaccard_join, "SMALL_BLOCK", 4 if seed else 100)
     monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 400_000 if seed == 1 else 150)
+    monkeypatch.setattr(jaccard_join, "SKETCH_BLOCK", 5 if seed else 20_000)
     r = random.Random(seed)
     rows = []
     for f in range(8):
