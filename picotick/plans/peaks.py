@@ -1,14 +1,16 @@
-"""Queries over peaks of many groups, exact intervals of counts, and recursive filters."""
+"""Queries over peaks of many groups, exact intervals of counts, recursive filters, and a stream."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import special
-from ..operators import filters, resampling
+from ..operators import filters, resampling, scratch
 from ..operators import selection as S
+from ..streaming import hits as streams
+from .matches import DAY, LONGEST, SHORTEST, _edges, first_in_range_sql, walk_sql
 from .registry import register
-from .tables import RESIDUALS, read, residuals, rounded, waves
+from .tables import HITS, RESIDUALS, hits, read, residuals, rounded, waves
 
 STEP, LEFT, RIGHT, NARROW, HEIGHT = 2.0, 2.0, 3.0, 0.5, 0.2
 
@@ -99,3 +101,30 @@ def sig_region_lowpass(spark, sf_dir):
 @register("sig_phase_rotation")
 def sig_phase_rotation(spark, sf_dir):
     return filters.rotated(waves(spark, sf_dir), "event_id", "s1", 0.2, 90.0, filters.Region(tail_start=14, fade=3))
+
+
+#: Days by which hits of the streaming query may be late.
+LATE = 2
+
+
+@register("stream_longest_valid", f"""WITH RECURSIVE h AS ({HITS}), {walk_sql(_edges(), first_in_range_sql(SHORTEST, LONGEST))}
+  SELECT board, p AS lead, q AS trail FROM w WHERE p IS NOT NULL AND q <= (SELECT (max(toa) // 1000 - {LATE * DAY // 1000}) * 1000 FROM h WHERE channel IN ('view', 'purchase'))""")
+def stream_longest_valid(spark, sf_dir):
+    """The hits as files of a stream, out of order by up to two days, and its pulses up to the last watermark."""
+    h = hits(spark, sf_dir).where("channel in ('view', 'purchase')")
+    rows = scratch.stored(h.select("board", F.timestamp_micros("toa").alias("ts"), "toa", (F.col("channel") == "purchase").cast("int").alias("kind"), (F.col("toa") + F.pmod(F.xxhash64("hit_id"), F.lit(LATE * DAY))).alias("_comes")))
+    first, last = rows.agg(F.min("_comes"), F.max("_comes")).first()
+    path, parts = scratch.folder(spark), 4
+    for i in range(parts if first is not None else 0):  # one after the other, as a stream takes files by their age
+        low, high = (first + (last + 1 - first) * k // parts for k in (i, i + 1))
+        rows.where((F.col("_comes") >= low) & (F.col("_comes") < high)).drop("_comes").write.mode("append").parquet(path)
+    if first is None:
+        return spark.createDataFrame([], "board long, lead long, trail long")
+    stream = spark.readStream.schema("board long, ts timestamp, toa long, kind int").option("maxFilesPerTrigger", 2).parquet(path)
+    before = spark.conf.get(streams.STORE[0], None)
+    streams.state_store(spark)
+    out = scratch.folder(spark)
+    pulses = streams.longest_valid_pulses(stream, "board", "ts", "toa", "kind", SHORTEST, LONGEST, f"{LATE} days")
+    pulses.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    spark.conf.set(streams.STORE[0], before) if before else spark.conf.unset(streams.STORE[0])
+    return spark.read.schema("board long, lead long, trail long").parquet(out)

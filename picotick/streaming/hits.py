@@ -1,8 +1,11 @@
-"""A streaming twin of the pulse matchers: leads wait in state until a trail or their age closes them.
+"""A streaming twin of the pulse matcher, and windowed residuals.
 
-The batch operator is the reference: on the same finite input both give the same pulses. A
-pulse lasts at most ``high`` ticks, so a lead older than the watermark minus ``high`` cannot
-be used and leaves the state, which bounds it by the hits of one such span per key.
+Hits wait in list state, keyed by board, until an event-time timer tells that the watermark has
+passed them; then they are taken in order, and leads without a trail wait on in a list of their
+own. A pulse lasts at most ``high`` ticks, so a lead older than the watermark by more is dropped,
+by a timer of its own if nothing else comes: state is bounded by the hits of one such span, and of
+the allowed lateness, per board. The batch operator is the reference: up to the last watermark
+both give the same pulses.
 """
 
 from __future__ import annotations
@@ -10,50 +13,84 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+#: The state store that list state and timers need.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-def longest_valid_pulses(hits: DataFrame, key: str, event_time: str, ticks: str, kind: str, low: int, high: int, late: str = "10 minutes") -> DataFrame:
-    """Pulses of a stream of hits: ``key``, ``lead``, ``trail`` in ticks.
 
-    ``kind`` is 0 for a lead and 1 for a trail. Hits may come out of order by ``late``; a
-    micro-batch is only used up to the watermark, the rest waits in state.
-    """
+class _Pulses(StatefulProcessor):
+    """Hits (``t`` in microseconds, ``kind``) of one board to pulses."""
+
+    def __init__(self, key: str, low: int, high: int):
+        self.key, self.low, self.high = key, low, high
 
-    def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get, strict=True)) if state.exists else []
-        if not state.hasTimedOut:
-            for b in batches:
-                held += list(zip(b[ticks].tolist(), b[kind].tolist(), strict=True))
-        limit = state.getCurrentWatermarkMs() * 1000
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.hits = handle.getListState("hits", "t long, kind int")
+        self.leads = handle.getListState("leads", "t long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        first = None
+        for b in rows:
+            held = list(zip(b["ticks"].tolist(), b["kind"].tolist(), strict=True))
+            if held:
+                self.hits.appendList(held)
+                first = min([t for t, _ in held] + ([] if first is None else [first]))
+        if first is not None:
+            self._wake(first, timerValues)
+        yield pd.DataFrame({self.key: [], "lead": [], "trail": []})
+
+    def _wake(self, t: int, timerValues) -> None:  # noqa: N803
+        """A timer for when the watermark has passed ``t``."""
+        self.handle.registerTimer(max(-(-t // 1000), timerValues.getCurrentWatermarkInMs() + 1))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        limit = timerValues.getCurrentWatermarkInMs() * 1000
+        held = [(int(t), int(k)) for t, k in self.hits.get()] if self.hits.exists() else []
         ready, rest = sorted(x for x in held if x[0] <= limit), [x for x in held if x[0] > limit]
-        waiting, found = [], []
+        waiting = sorted(int(t) for (t,) in self.leads.get()) if self.leads.exists() else []
+        found = []
         for t, k in ready:
             if k == 0:
                 waiting.append(t)
                 continue
-            while waiting and t - waiting[0] > high:
+            while waiting and t - waiting[0] > self.high:
                 waiting.pop(0)
-            if waiting and t - waiting[0] >= low:
-                found.append((name[0], waiting.pop(0), t))
-        keep = [(t, 0) for t in waiting if limit - t <= high] + rest
-        if keep:
-            state.update(([t for t, _ in keep], [k for _, k in keep]))
-            oldest = min(t for t, _ in rest) // 1000 if rest else limit // 1000 + high // 1000 + 1
-            state.setTimeoutTimestamp(max(int(oldest), state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        if found:
-            yield pd.DataFrame(found, columns=[key, "lead", "trail"])
+            if waiting and t - waiting[0] >= self.low:
+                found.append((waiting.pop(0), t))
+        waiting = [t for t in waiting if limit - t <= self.high]
+        for state, kept in ((self.hits, rest), (self.leads, [(t,) for t in waiting])):
+            if kept:
+                state.put(kept)
+            else:
+                state.clear()
+        if rest:
+            self._wake(min(t for t, _ in rest), timerValues)
+        elif waiting:
+            self._wake(waiting[-1] + self.high + 1000, timerValues)
+        yield pd.DataFrame({self.key: [key[0]] * len(found), "lead": [a for a, _ in found], "trail": [b for _, b in found]})
+
+    def close(self) -> None:
+        pass
 
+
+def state_store(spark: SparkSession) -> None:
+    """Sets the state store of streams that this session starts from now on."""
+    spark.conf.set(*STORE)
+
+
+def longest_valid_pulses(hits: DataFrame, key: str, event_time: str, ticks: str, kind: str, low: int, high: int, late: str = "10 minutes") -> DataFrame:
+    """Pulses of a stream of hits: ``key``, ``lead``, ``trail`` in ticks.
+
+    ``kind`` is 0 for a lead and 1 for a trail. Hits may come out of order by ``late``. Call
+    ``state_store`` before the stream is started.
+    """
     types = dict(hits.dtypes)
-    return (
-        hits.withWatermark(event_time, late)
-        .groupBy(key)
-        .applyInPandasWithState(step, f"{key} {types[key]}, lead long, trail long", "t array<long>, k array<int>", "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    rows = hits.withWatermark(event_time, late).select(key, event_time, F.col(ticks).cast("long").alias("ticks"), F.col(kind).cast("int").alias("kind")).where("ticks is not null and kind is not null")
+    return rows.groupBy(key).transformWithStateInPandas(_Pulses(key, low, high), f"{key} {types[key]}, lead long, trail long", "Append", "EventTime")
 
 
 def running_residuals(hits: DataFrame, event_time: str, value: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:

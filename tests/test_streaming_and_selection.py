@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from picotick.operators import matching, resampling, selection
-from picotick.streaming.hits import longest_valid_pulses
+from picotick.streaming.hits import longest_valid_pulses, state_store
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -16,6 +16,7 @@ def test_stream_equals_batch(spark, tmp_path):
     for i, (a, b) in enumerate(((0, 2_000), (2_000, 3_000), (3_000, 100_000))):
         df.where((F.col("t") >= a * 1_000_000) & (F.col("t") < b * 1_000_000)).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    state_store(spark)
     found = longest_valid_pulses(stream, "board", "ts", "t", "kind", 2_000_000, 60_000_000)
     q = found.writeStream.format("memory").queryName("pulses").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
