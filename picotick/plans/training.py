@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features as X
+from ..operators import imputing as I
 from ..operators import models as M
 from ..operators import neural as N
 from ..operators import scratch
@@ -178,3 +179,38 @@ def ml_neural_swap(spark, sf_dir):
 def xai_input_gradient(spark, sf_dir):
     w, model = _fitted(spark, sf_dir, DENSE, "antisymmetric")
     return rounded(N.importance(w, model, "s1", "s2"))
+
+
+#: Windows of the imputer bank, which leave the samples between them always visible.
+BANK_WINDOWS = [(2, 6), (10, 6), (18, 6), (25, 6)]
+
+
+def _bank(spark, sf_dir):
+    w = waves(spark, sf_dir).withColumn("apart", F.pmod(F.col("event_id"), F.lit(4)) == 0)
+    return w, scratch.stored(I.fit_bank(w, "s1", "apart", BANK_WINDOWS))
+
+
+@register("imp_bank")
+def imp_bank(spark, sf_dir):
+    """The winning imputer of every set of hidden windows."""
+    return rounded(_bank(spark, sf_dir)[1].select("pattern", "method", "rmse"))
+
+
+@register("imp_bank_visible", f"""WITH w AS ({WAVES}), p AS (SELECT unnest(range(1, 16)) AS pattern), v AS (SELECT event_id AS id, unnest(range(32)) AS i, unnest(s1) AS v FROM w)
+  SELECT id, pattern, round(sum(v) FILTER (NOT ((i BETWEEN 2 AND 7 AND pattern & 1 > 0) OR (i BETWEEN 10 AND 15 AND pattern & 2 > 0) OR (i BETWEEN 18 AND 23 AND pattern & 4 > 0) OR (i BETWEEN 25 AND 30 AND pattern & 8 > 0))), 6) + 0.0 AS seen FROM v, p GROUP BY ALL""")
+def imp_bank_visible(spark, sf_dir):
+    """What reconstruction leaves as it was: the sum of every pattern's visible samples."""
+    w, bank = _bank(spark, sf_dir)
+    hidden = F.lit(False)
+    for b, (start, width) in enumerate(BANK_WINDOWS):
+        hidden = hidden | (F.col("i").between(start, start + width - 1) & (F.col("pattern").bitwiseAND(F.lit(1 << b)) > 0))
+    filled = I.reconstruct(w, "event_id", "s1", bank, 32).select("id", "pattern", F.posexplode("filled").alias("i", "v"))
+    return rounded(filled.groupBy("id", "pattern").agg(F.sum(F.when(~hidden, F.col("v"))).alias("seen")))
+
+
+@register("xai_local_attribution")
+def xai_local_attribution(spark, sf_dir):
+    """Attribution and deletion of every event, with hidden windows from the bank."""
+    w, bank = _bank(spark, sf_dir)
+    weights = M.fit_ridge(w, "s1", "y", 4.0)
+    return rounded(I.local_attribution(w, "event_id", "s1", bank, 32, lambda v: weights[0] + v @ weights[1:]))
