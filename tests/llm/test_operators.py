@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from picotick.llm import chat_format, jaccard_join, quality_classifier, quality_rules, registry, url_filters, vector_dedup
+from picotick.llm import chat_format, jaccard_join, mixing, packing, quality_classifier, quality_rules, registry, url_filters, vector_dedup
 from picotick.llm._components import components
 
 from . import brute
@@ -164,6 +164,73 @@ def test_odd_vectors(spark):
     assert vector_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_very_small_and_very_large_vectors(spark):
+    rows = [(1, [1e-200, 0.0]), (2, [3e-200, 1e-201]), (3, [1e200, 0.0]), (4, [2e200, 1e199]), (5, [5e-324, 0.0]), (6, [0.0, 1.7e308]), (7, [1e-320, 1.7e308])]
+    got = {q.vec_id: (q.n_links, q.component_id) for q in vector_dedup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: (4, 1) for i in range(1, 6)} | {6: (1, 6), 7: (1, 6)}
+
+
+# classifier training ------------------------------------------------------------------------
+
+
+def test_training_is_the_plain_rule():
+    """Follow-the-regularised-leader, number by number, against dictionaries."""
+    from math import copysign, exp, sqrt
+
+    c = quality_classifier
+    r = random.Random(4)
+    model, z, n = c.Ftrl(50), Counter(), Counter()
+    for _ in range(200):
+        slots = sorted(r.sample(range(50), 6))
+        values, label = [r.random() * 3 for _ in slots], float(r.random() < 0.4)
+        w = {s: 0.0 if abs(z[s]) <= c.L1 else -(z[s] - copysign(c.L1, z[s])) / ((c.BETA + sqrt(n[s])) / c.ALPHA + c.L2) for s in slots}
+        p = 1 / (1 + exp(-sum(w[s] * v for s, v in zip(slots, values, strict=True))))
+        for s, v in zip(slots, values, strict=True):
+            g = (p - label) * v
+            z[s] += g - (sqrt(n[s] + g * g) - sqrt(n[s])) / c.ALPHA * w[s]
+            n[s] += g * g
+        model.learn(np.array(slots), np.array(values), label)
+    assert np.allclose(model.z, [z[i] for i in range(50)]) and np.allclose(model.n, [n[i] for i in range(50)])
+
+
+def test_features_of_a_text():
+    """Words, pairs and shapes of a text, each as often as it comes."""
+    from picotick.llm._hashing import Chunk
+
+    doc, slot, words = quality_classifier.features(Chunk([b"the cat the dog", b"", b"the"]))
+    assert words.tolist() == [4, 0, 1] and Counter(doc.tolist())[1] == 0
+    # four words and shapes, three pairs of each, two threes, and 3 + 2 + 1 looks back
+    assert Counter(doc.tolist()) == {0: 4 + 4 + 3 + 3 + 2 + 3 + 2 + 1, 2: 2}
+    first = slot[doc == 0]
+    assert set(slot[doc == 2]) <= set(first) and Counter(first.tolist())[int(slot[doc == 2][0])] == 2
+
+
+# very long texts ----------------------------------------------------------------------------
+
+
+def test_texts_of_over_a_megabyte(spark):
+    """Every operator on texts takes one text whole, whatever its length."""
+    long = " ".join(f"word{i % 7919}" for i in range(150_000))
+    assert len(long) > 1_200_000
+    docs = spark.createDataFrame([(1, long, "s"), (2, long + " end", "s"), (3, "short text of some words", "t")], "doc_id long, text string, source string")
+    rules = {q.doc_id: q for q in quality_rules.score(docs).collect()}
+    assert rules[1].n_words == 150_000 and rules[2].n_repeat_words > 100_000
+    near = {q.doc_id: q for q in jaccard_join.join(docs).collect()}
+    assert (near[1].component_id, near[2].component_id, near[1].n_links) == (1, 1, 1) and near[1].n_shingles == 7919
+    taken = {q.doc_id: q for q in mixing.mix(docs).collect()}
+    assert taken[1].size == 150_000 and taken[3].size == 5
+    pieces = packing.pack(docs.select("doc_id", F.substring("text", 1, 300_000).alias("text")).unionByName(docs.select("doc_id", "text").where("doc_id = 3"))).collect()
+    assert sum(q.length for q in pieces if q.doc_id == 1) > 60_000 and max(q.offset + q.length for q in pieces) <= 1024
+    scores = {q.doc_id: q.score for q in quality_classifier.score(docs, np.zeros((1 << quality_classifier.BITS) + 1)).collect()}
+    assert scores == {1: 0.5, 2: 0.5, 3: 0.5}
+    turns = docs.select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), "text")
+    formatted = {q.conv_id: q.formatted for q in chat_format.format_conversations(turns).collect()}
+    assert chat_format.parse(formatted[2])[0][1] == long + " end"
+    pages = spark.createDataFrame([(1, "http://example.com/" + "a/" * 600_000), (2, "x" * 1_300_000)], "page_id long, url string")
+    judged = {q.page_id: q for q in url_filters.judge(pages, spark.createDataFrame([("com/a/", "block")], "rule string, action string")).collect()}
+    assert (judged[1].verdict, len(judged[1].path), judged[2].host) == ("block", 1_200_001, "")
+
+
 # Jaccard ------------------------------------------------------------------------------------
 
 
