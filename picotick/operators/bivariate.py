@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .order import quantiles
-from .ranking import guarded_corr
+from .order import by_keys, quantiles
+from .ranking import guarded_corr, spearman
 from .robust import _back, finite
 
 
@@ -89,3 +89,25 @@ def plane_fit(df: DataFrame, x: str, z: str, y: str, keys: list[str]) -> DataFra
     g = g.withColumn("a", a).withColumn("b", b)
     left = F.col("yy") - F.col("a") * F.col("xy") - F.col("b") * F.col("zy")
     return g.select(*keys, "n", "a", "b", (F.col("my") - F.col("a") * F.col("mx") - F.col("b") * F.col("mz")).alias("c"), (100 * (1 - F.sqrt(F.greatest(F.lit(0.0), left) / F.nullif("yy", F.lit(0.0))))).alias("improvement"))
+
+
+def duration_timing(df: DataFrame, key: str, first: str, second: str, timing: str, selected: Column, least: int = 10) -> DataFrame:
+    """How a time difference depends on two durations and on their difference: a row a run, nineteen figures.
+
+    Correlations (Pearson and Spearman) and slopes on either duration and on second - first, the plane
+    over both, and the deviation of the timing before and after the plane is taken off. Runs with
+    fewer than ``least`` selected events have no row.
+    """
+    given = df.select(key, finite(first).alias("d1"), finite(second).alias("d2"), finite(timing).alias("t"), F.coalesce(selected, F.lit(False)).alias("_sel"))
+    total = given.groupBy(key).agg(F.count("*").alias("events_total"))
+    rows = given.where("_sel and d1 is not null and d2 is not null and t is not null").withColumn("d", F.col("d2") - F.col("d1")).drop("_sel")
+    sides = {"first": "d1", "second": "d2", "difference": "d"}
+    plain = rows.groupBy(key).agg(
+        F.count("*").alias("events_selected"), F.avg("t").alias("mean"), F.stddev_samp("t").alias("sigma"),
+        *[guarded_corr(c, "t").alias(f"pearson_{n}") for n, c in sides.items()], *[F.regr_slope("t", c).alias(f"slope_{n}") for n, c in sides.items()]).where(F.col("events_selected") >= least)
+    out = by_keys(total, plain, [key])
+    for n, c in sides.items():
+        out = by_keys(out, spearman(rows, c, "t", [key]).withColumnRenamed("spearman", f"spearman_{n}"), [key], "left")
+    plane = plane_fit(rows, "d1", "d2", "t", [key]).select(key, F.col("c").alias("plane_intercept"), F.col("a").alias("plane_first"), F.col("b").alias("plane_second"), F.col("improvement").alias("improvement_percent"))
+    out = by_keys(out, plane, [key], "left").withColumn("selection_fraction", F.col("events_selected") / F.col("events_total"))
+    return out.withColumn("sigma_corrected", F.col("sigma") * (1 - F.col("improvement_percent") / 100))

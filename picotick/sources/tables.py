@@ -111,8 +111,9 @@ class Appender:
         import uuid
 
         self.files, base = store(folder)
-        self.files.create_dir(base, recursive=True)
-        self.name, self.path, self.part = name, f"{base}/{name}", f"{base}/.{name}.{uuid.uuid4().hex}"
+        where, _, file = f"{base}/{name}".rpartition("/")  # the name may lead into folders below
+        self.files.create_dir(where, recursive=True)
+        self.name, self.path, self.part = name, f"{where}/{file}", f"{where}/.{file}.{uuid.uuid4().hex}"
         self.out = self.files.open_output_stream(self.part)
         self.write = self.out.write
 
