@@ -36,7 +36,8 @@ def guarded_corr(a: str, b: str) -> Column:
     """Pearson's r, null for fewer than two rows or a constant side."""
     # Spark's own corr divides by zero on a constant side, and would do so before any condition around it
     spread = F.sqrt(F.var_pop(a)) * F.sqrt(F.var_pop(b))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.covar_pop(a, b) / F.when(spread > 0, spread)))
+    share = F.covar_pop(a, b) / F.when(spread > 0, spread)
+    return F.when(spread > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), share)))
 
 
 def percentile_bands(df: DataFrame, score: str, id_col: str, keys: list[str], edges: list[float]) -> DataFrame:

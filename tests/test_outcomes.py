@@ -67,3 +67,10 @@ def test_duration_timing_without_a_dependence(spark):
     got = {q.run: q for q in bivariate.duration_timing(df, "run", "x", "y", "t", F.col("ok")).collect()}
     assert set(got) == {"a", "b"} and abs(got["a"].pearson_first) < 0.2 and got["a"].improvement_percent < 3
     assert got["b"].slope_first == pytest.approx(2) and got["b"].spearman_first == pytest.approx(1) and got["b"].sigma_corrected == pytest.approx(0, abs=1e-6) and len(got["a"]) == 20
+
+
+def test_correlation_of_a_constant_side_is_null(spark):
+    from picotick.operators.ranking import guarded_corr
+
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 3.0), ("b", 1.0, 2.0), ("c", 1.0, 2.0), ("c", 2.0, 1.0)], "g string, x double, y double")
+    assert {q.g: q.r for q in df.groupBy("g").agg(guarded_corr("x", "y").alias("r")).collect()} == {"a": None, "b": None, "c": -1.0}
