@@ -234,16 +234,24 @@ def interval_grid(df: DataFrame, detectors: dict[str, tuple[float, float]], frac
     """Photopeak scan: for every detector, side and fraction, the metric of rows inside the reduced interval.
 
     An interval [low, high] is cut from the left, the right or both ends by a fraction of its
-    width. One pass: the cuts (a few dozen) are an array on each row, exploded where it passes.
+    width. One aggregation with a filter for each cut (a few dozen): rows are neither copied nor
+    shuffled, and its one row is then laid out by cut.
     """
     cuts = []
     for name, (low, high) in detectors.items():
         for f in fractions:
             w = (high - low) * f
             cuts += [(name, side, f, lo, hi) for side, lo, hi in (("left", low + w, high), ("right", low, high - w), ("both", low + w / 2, high - w / 2))]
-    each = F.array(*[F.when(finite(d).between(lo, hi), F.struct(F.lit(d).alias("detector"), F.lit(s).alias("side"), F.lit(float(f)).alias("fraction"))) for d, s, f, lo, hi in cuts])
-    rows = df.select(finite(metric).alias("_m"), F.explode(F.array_compact(each)).alias("c")).where("_m is not null")
-    return rows.groupBy("c.detector", "c.side", "c.fraction").agg(F.count("*").alias("n"), F.avg("_m").alias("mean"), F.stddev_samp("_m").alias("std"), F.sqrt(F.avg(F.col("_m") * F.col("_m"))).alias("rmse"))
+    rows = df.select(*[finite(d).alias(f"_d{i}") for i, d in enumerate(detectors)], finite(metric).alias("_m")).where("_m is not null")
+    at = {d: f"_d{i}" for i, d in enumerate(detectors)}
+    sums = []
+    for i, (d, _, _, lo, hi) in enumerate(cuts):
+        m = F.when(F.col(at[d]).between(lo, hi), F.col("_m"))
+        sums += [F.count(m).alias(f"n{i}"), F.avg(m).alias(f"m{i}"), F.var_pop(m).alias(f"v{i}")]
+    each = F.array(*[F.struct(F.lit(d).alias("detector"), F.lit(s).alias("side"), F.lit(float(f)).alias("fraction"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("mean"), F.col(f"v{i}").alias("v")) for i, (d, s, f, _, _) in enumerate(cuts)])
+    found = rows.agg(*sums).select(F.inline(each)).where("n > 0")
+    std = F.sqrt(F.col("v") * F.col("n") / F.nullif(F.col("n") - 1, F.lit(0)))
+    return found.select("detector", "side", "fraction", "n", "mean", std.alias("std"), F.sqrt(F.col("mean") * F.col("mean") + F.col("v")).alias("rmse"))
 
 
 def threshold_scan(df: DataFrame, residuals: dict[float, str]) -> DataFrame:

@@ -373,9 +373,10 @@ def rpt_result_groups(spark, sf_dir):
 def orc_sweep(spark, sf_dir):
     """All combinations of small dimensions minus the excluded ones (a bounded product of configurations)."""
     modes = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("mode"))
-    windows = [(r.r_regionkey, r.r_name) for r in read(spark, sf_dir, "region").collect()]
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("name")) for k, n in windows])).alias("w")
-    return modes.select("k", "mode", each).where(~((F.col("k") == 1) & (F.col("w.k") == 2))).select("mode", F.col("w.name").alias("win"))
+    # the other dimension is one array on one row
+    windows = read(spark, sf_dir, "region").agg(F.collect_list(F.struct(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name"))).alias("all"))
+    each = modes.join(F.broadcast(windows)).select("k", "mode", F.explode("all").alias("w"))
+    return each.where(~((F.col("k") == 1) & (F.col("w.k") == 2))).select("mode", F.col("w.name").alias("win"))
 
 
 @register("win_previous_event", "SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events")

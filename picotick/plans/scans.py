@@ -148,11 +148,23 @@ def sig_peak_index(spark, sf_dir):
     return waves(spark, sf_dir).select("event_id", A.peak_index(F.col("s1")).alias("peak"))
 
 
-@register("sig_blend_weights", "SELECT i::INT AS i, round(0.5 - 0.5 * cos(pi() * i / 15), 6) + 0.0 AS fade, round(16 * (i / 15) ** 2 * (1 - i / 15) ** 2, 6) + 0.0 AS bump, i::DOUBLE AS edge FROM range(16) t(i)")
+@register("sig_blend_weights", f"""WITH w AS ({WAVES}), v AS (SELECT event_id, unnest(range(16)) AS i, unnest(s1[1:16]) AS v FROM w)
+  SELECT event_id, round(sum(v * (0.5 - 0.5 * cos(pi() * i / 15))), 6) + 0.0 AS fade, round(sum(v * 16 * (i / 15) ** 2 * (1 - i / 15) ** 2), 6) + 0.0 AS bump FROM v GROUP BY event_id""")
 def sig_blend_weights(spark, sf_dir):
-    edges = A.edges_of(F.array(*[F.lit(i + 0.5) for i in range(15)]))
-    each = F.arrays_zip(A.cosine_fade(16).alias("fade"), A.quartic_bump(16).alias("bump"), edges.alias("edge"))
-    return rounded(spark.range(1).select(F.posexplode(each).alias("i", "z")).select("i", "z.fade", "z.bump", "z.edge"))
+    """Every waveform's first samples weighed by a cosine and by a quartic."""
+    head = F.slice("s1", 1, 16)
+    weighed = lambda w: A.total(F.zip_with(head, w, lambda a, b: a * b))
+    return rounded(waves(spark, sf_dir).select("event_id", weighed(A.cosine_fade(16)).alias("fade"), weighed(A.quartic_bump(16)).alias("bump")))
+
+
+@register("fn_cell_edges", """WITH c AS (SELECT l_returnflag AS mode, l_discount::DOUBLE AS c FROM lineitem GROUP BY ALL), n AS (SELECT mode, c, lag(c) OVER w AS before, lead(c) OVER w AS after, row_number() OVER w AS i FROM c WINDOW w AS (PARTITION BY mode ORDER BY c)),
+  e AS (SELECT mode, i AS cell, round(coalesce((before + c) / 2, c - (after - c) / 2), 6) + 0.0 AS low, round(coalesce((c + after) / 2, c + (c - before) / 2), 6) + 0.0 AS high FROM n) SELECT mode, (cell - 1)::INT AS cell, low, high FROM e""")
+def fn_cell_edges(spark, sf_dir):
+    """Cells around each mode's discounts."""
+    centres = read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("mode")).agg(F.sort_array(F.collect_set(F.col("l_discount").cast("double"))).alias("c"))
+    edges = centres.select("mode", A.edges_of(F.col("c")).alias("e"))
+    cells = edges.select("mode", F.posexplode(F.arrays_zip(F.slice("e", F.lit(1), F.size("e") - 1).alias("low"), F.slice("e", F.lit(2), F.size("e") - 1).alias("high"))).alias("cell", "z"))
+    return rounded(cells.select("mode", "cell", "z.low", "z.high"))
 
 
 @register("match_trigger_candidates", f"""WITH h AS (SELECT *, toa // {7 * DAY} AS trigger FROM ({HITS})), e AS (SELECT board, trigger, min(toa) AS energy FROM h WHERE channel = 'purchase' GROUP BY ALL),
