@@ -43,6 +43,15 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str =
     return dealt.join(copies, [key, "_way"], how).drop("_way")
 
 
+#: Rows up to which a stored table of a few numbers a row is broadcast (some 10 MB).
+SHORT = 200_000
+
+
+def short(table: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast if it has at most SHORT rows; beyond, joins with it shuffle."""
+    return F.broadcast(table) if table.count() <= SHORT else table
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, although body uses it repeatedly."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ._components import Groups, components
 from ._hashing import Chunk, U, chunks, concatenated_ranges, mix, shingle_hashes
-from ._spark import NO_ID, documents, id_back, partitions, spread_join, stored, text_hash
+from ._spark import NO_ID, documents, id_back, partitions, short, spread_join, stored, text_hash
 from ._windows import batch, signed
 
 WORDS_PER_SHINGLE = 4
@@ -51,9 +51,9 @@ SKETCH = 1 << 21
 #: A bucket is reported by a task only if it saw this many repeats there.
 LEAST_COUNT = 1
 #: Sets of a block of a cluster: as few as SMALL_BLOCK, at most MOST_BLOCKS blocks until they reach LARGE_BLOCK.
-SMALL_BLOCK, LARGE_BLOCK, MOST_BLOCKS = 1_024, 5_000, 16
+SMALL_BLOCK, LARGE_BLOCK, MOST_BLOCKS = 512, 5_000, 16
 #: Shingles of a block, on average, whatever its sets: what a task holds of a pair of blocks is about 150 bytes for each.
-BLOCK_SHINGLES = 400_000
+BLOCK_SHINGLES = 150_000
 #: The same two bounds for blocks of sketches, which are a hundredth as large.
 SKETCH_BLOCK, SKETCH_SHINGLES = 20_000, 40_000_000
 
@@ -428,11 +428,12 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width
     met = _members(stored(_meetings(_prefix_rows(docs, classes, width, percent), percent)))
     sketched = _placed(met.join(sketches, "node"), SKETCH_BLOCK, SKETCH_BLOCK, SKETCH_SHINGLES)
     cut = _members(_near(_dealt(sketched, "n", "parity"), percent))
-    placed = _placed(cut.join(nodes, "node"), SMALL_BLOCK, LARGE_BLOCK, BLOCK_SHINGLES)
+    # stored: while the clusters' members are few, they go to the texts and not all texts to them
+    placed = stored(_placed(cut.join(nodes, "node"), SMALL_BLOCK, LARGE_BLOCK, BLOCK_SHINGLES))
     pressed = _compressed(docs)
     if repeats:
         pressed = pressed.dropDuplicates(["doc", "tag"])
-    texts = placed.join(pressed, ["doc", "tag"]).select("root", "node", "block", "blocks", "text", "copies")
+    texts = pressed.join(short(placed), ["doc", "tag"]).select("root", "node", "block", "blocks", "text", "copies")
     verified = stored(_verified(_dealt(texts, "text", "copies"), classes, width, percent))
     roots = components(verified.where("n = 0").select("a", "b"))
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from picotick.llm import chat_format, jaccard_join, mixing, packing, quality_classifier, quality_rules, registry, url_filters, vector_dedup
+from picotick.llm import _spark, chat_format, jaccard_join, mixing, packing, quality_classifier, quality_rules, registry, url_filters, vector_dedup
 from picotick.llm._components import components
 
 from . import brute
@@ -240,6 +240,7 @@ def test_jaccard(spark, seed, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SMALL_BLOCK", 4 if seed else 100)
     monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 400_000 if seed == 1 else 150)
     monkeypatch.setattr(jaccard_join, "SKETCH_BLOCK", 5 if seed else 20_000)
+    monkeypatch.setattr(_spark, "SHORT", 200_000 if seed else 0)
     r = random.Random(seed)
     rows = []
     for f in range(8):
