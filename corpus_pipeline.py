@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from picotick.llm import jaccard_join, mixing, packing, quality_rules, suffix_dedup
-from picotick.llm._spark import NO_ID, stored, text_hash
+from picotick.llm._spark import NO_ID, short, stored, text_hash
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Words of a shingle and least Jaccard similarity of near duplicates, in percent; op10 has settings of its own.
@@ -18,7 +18,11 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def drop_rejected(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass every quality rule."""
+    """Documents that pass every quality rule.
+
+    Row by row: null or repeated ids make no difference, null texts have no words and are rejected, very
+    long ones are judged whole, and an empty table gives none.
+    """
     return quality_rules.score(docs, keep=COLUMNS).where("kept").select(*COLUMNS)
 
 
@@ -26,7 +30,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The document with the least id of every near-duplicate group, one row of it; a null id is the least.
 
     Of different texts with that id the one with the least hash stays. Texts without words are
-    in no group: of those only rows that repeat id and text go.
+    in no group: of those only rows that repeat id and text go. Very long texts are compared whole;
+    an empty table gives none.
     """
     found = jaccard_join.join(docs, width=NEAR_WORDS, percent=NEAR_PERCENT, groups=True)
     # a document is an id and a text hash; m is the number of its rows
@@ -36,13 +41,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     again = each.where("m > 1").select("_doc", "_tag")
     named = docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc"), text_hash("text").alias("_tag"))
     apart = stored(gone.withColumn("once", F.lit(False)).unionAll(again.join(gone, ["_doc", "_tag"], "left_anti").withColumn("once", F.lit(True))))
-    single = named.join(apart, ["_doc", "_tag"], "left_anti")
-    once = named.join(apart.where("once").drop("once"), ["_doc", "_tag"], "left_semi").dropDuplicates(["_doc", "_tag"])
+    # while few rows go, their names travel to the texts and not all texts to them
+    single = named.join(short(apart), ["_doc", "_tag"], "left_anti")
+    once = named.join(short(stored(apart.where("once").drop("once"))), ["_doc", "_tag"], "left_semi").dropDuplicates(["_doc", "_tag"])
     return single.unionByName(once).select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated byte strings; a character cut in two becomes U+FFFD."""
+    """Texts without their repeated byte strings; a character cut in two becomes U+FFFD.
+
+    Null texts become empty ones, null ids come before all others, and rows that repeat an id are told
+    apart by their texts. A very long text is one value, searched whole; an empty table gives none.
+    """
     rest = tuple(c for c in COLUMNS if c not in ("doc_id", "text", "n_chars"))
     found = suffix_dedup.dedup(docs, keep=rest)
     text = F.make_valid_utf8(F.col("kept").cast("string"))
@@ -51,13 +61,21 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix takes."""
+    """As many copies of each document as the mix takes.
+
+    Null and empty texts have no words and are not taken; a null source is a source; rows that repeat an
+    id count each; very long texts are only counted; an empty table gives none.
+    """
     copies = mixing.mix(docs, keep=COLUMNS).where("times > 0")
     return copies.select("kept.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy")).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences of 1024 tokens."""
+    """Token pieces and their places in sequences of 1024 tokens.
+
+    Null texts have the end token only, null ids stay null, repeated rows are packed each, long texts are
+    cut; an empty table gives none.
+    """
     return packing.pack(docs)
 
 
