@@ -53,6 +53,24 @@ def peak_index(x: Column) -> Column:
     return F.when(F.size(x) > 0, F.array_position(x, F.array_max(x)).cast("int") - 1)
 
 
+def first_position(x: Column, holds) -> Column:
+    """Place of the first sample for which ``holds`` is true, null if there is none."""
+    return F.array_min(F.filter(F.transform(x, lambda v, i: F.when(holds(v), i)), lambda i: i.isNotNull()))
+
+
+def last_position(x: Column, holds) -> Column:
+    return F.array_max(F.filter(F.transform(x, lambda v, i: F.when(holds(v), i)), lambda i: i.isNotNull()))
+
+
+def baseline_quality(x: Column, low: Column, high: Column, margin: float) -> Column:
+    """Struct (rms, clipped, clearance): the least distance to a limit, and whether it is within the margin.
+
+    Fewer than two samples have neither rms nor clearance and are not clipped.
+    """
+    clearance = F.when(F.size(x) >= 2, F.least(F.array_min(x) - low, high - F.array_max(x)))
+    return F.struct(rms(x).alias("rms"), F.coalesce(clearance <= margin, F.lit(False)).alias("clipped"), clearance.alias("clearance"))
+
+
 def _between(level: Column, y0: Column, y1: Column) -> Column:
     return F.try_divide(level - y0, y1 - y0)
 

@@ -71,6 +71,20 @@ def clipped_bins(x: Column, low: float, high: float, bins: int) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((x - low) / ((high - low) / bins)))).cast("int")
 
 
+def uniform_bin(x: Column, low: float, high: float, bins: int) -> Column:
+    """Bin 0..bins-1 of equal steps, the last one closed on the right; null outside."""
+    inside = F.least(F.lit(bins - 1), F.floor((x - low) / ((high - low) / bins))).cast("int")
+    return F.when((x >= low) & (x <= high), inside)
+
+
+def circular_bin(angle: Column, bins: int) -> Column:
+    """Bin 0..bins-1 of an angle in radians, whatever turns it has made."""
+    import math
+
+    turn = 2 * math.pi
+    return (F.floor((angle - turn * F.floor(angle / turn)) / turn * bins) % bins).cast("int")
+
+
 def profile(df: DataFrame, x: str, y: str, keys: list[str], least: int = 20) -> DataFrame:
     """Binned profile: median x, median y and std of y in min(40, max(10, sqrt n)) bins over x's range."""
     given = df.select(*keys, finite(x).alias("x"), finite(y).alias("y")).where("x is not null and y is not null")

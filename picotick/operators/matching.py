@@ -50,6 +50,13 @@ def window_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: s
     return met.where((F.col(right_time) > F.col(left_time) - window) & (F.col(right_time) < F.col(left_time) - low))
 
 
+def both_sides(energy: DataFrame, timing: DataFrame, keys: list[str], energies: tuple[str, str], timings: tuple[str, str], window: int) -> DataFrame:
+    """Energy pairs with the timing pairs that precede them by less than ``window`` on both sides."""
+    met = window_join(energy, timing, keys, energies[0], timings[0], window)
+    delay = F.col(energies[1]) - F.col(timings[1])
+    return met.where((delay > 0) & (delay < window))
+
+
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str], bucket: int) -> DataFrame:
     """Pairs of closed intervals that overlap, each once, by buckets of ``bucket`` time units."""
     cells = lambda lo, hi: F.sequence(F.floor(F.col(lo) / bucket), F.floor(F.col(hi) / bucket))

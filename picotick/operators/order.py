@@ -129,6 +129,18 @@ def _selected(given: DataFrame, keys: list[str], probabilities: list[float]) ->
     return by_rank.select(*keys, F.array(*read).alias("_q"))
 
 
+def quantile_groups(df: DataFrame, value: str, keys: list[str], bands: list[tuple[float, float]]) -> DataFrame:
+    """Rows whose value lies in a band of percentiles of its group, [low, high) by value, with ``band``, its number."""
+    edges = sorted({p for band in bands for p in band})
+    cuts = stored(quantiles(df, {"_cuts": (F.col(value), [p / 100 for p in edges])}, keys))
+    at = lambda p: F.get("_cuts", F.lit(edges.index(p)))
+    told = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), at(a).alias("low"), at(b).alias("high")) for i, (a, b) in enumerate(bands)])).alias("_b")
+    limits = cuts.select(*keys, told).select(*keys, F.col("_b.band").alias("band"), F.col("_b.low").alias("_low"), F.col("_b.high").alias("_high"))
+    inside = (F.col(value) >= F.col("_low")) & (F.col(value) < F.col("_high"))
+    met = by_keys(df, limits, keys, more=inside) if keys else df.join(F.broadcast(limits), inside)  # a row a band
+    return met.drop("_low", "_high")
+
+
 def median(values: str) -> Column:
     """The only quantile of an array that ``quantiles`` gave."""
     return F.get(values, F.lit(0))

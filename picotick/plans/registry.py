@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None):
 
 def _load() -> None:
     """Imports the modules that register queries; here, so that any of them may be imported first."""
-    from . import attributions, files, matches, modelling, outcomes, peaks, ranks, scans, signals, statistics, tdc_run, training  # noqa: F401
+    from . import attributions, details, files, matches, modelling, outcomes, peaks, ranks, scans, signals, statistics, tdc_run, training  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,18 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str) -> Data
     raise ValueError(f"no format for {path}")
 
 
+def write_events(df: DataFrame, path: str, run: str, about: dict) -> None:
+    """An event table as Parquet by run, and beside it one row of what holds for all of it."""
+    df.write.option("compression", "lz4").partitionBy(run).parquet(f"{path}/events")
+    df.sparkSession.createDataFrame([about]).coalesce(1).write.parquet(f"{path}/metadata")
+
+
+def read_events(spark: SparkSession, path: str, columns: list[str | tuple[str, object]]) -> tuple[DataFrame, DataFrame]:
+    """Asked columns of an event table, and its row of metadata. A (column, default) may be missing; others raise."""
+    events = spark.read.parquet(f"{path}/events")
+    return events.select(*[F.col(c) if isinstance(c, str) else optional(events, *c) for c in columns]), spark.read.parquet(f"{path}/metadata")
+
+
 def schema_differences(a: DataFrame, b: DataFrame) -> dict[str, list[str]]:
     """Columns that are missing in b, extra in b, or of another type."""
     x, y = dict(a.dtypes), dict(b.dtypes)
