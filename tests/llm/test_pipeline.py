@@ -81,3 +81,33 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
 def test_run(spark):
     whole = P.run(spark, SF)
     assert whole.count() > 0 and {"doc_id", "piece", "sequence_id", "offset"} <= set(whole.columns)
+
+
+def test_stages_on_nothing(spark):
+    """Each stage of an empty table gives an empty one, with the columns it always has."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == list(P.COLUMNS) and docs.count() == 0, name
+    assert P.pack_sequences(spark, docs, SF).count() == 0
+
+
+def test_stages_on_odd_rows(spark):
+    """Null ids, texts, sources and languages, empty texts, repeated rows."""
+    prose = lambda k: " ".join(f"The word{k}x{i} of a{k}y{i} and the b{k}z{i}." for i in range(12))
+    rows = [(None, prose(0), None, None, None), (1, prose(1), "en", None, 5), (1, prose(1), "en", None, 5), (2, None, "en", "a", 0), (3, "", "en", "a", 0), (4, prose(2), "en", "a", 1), (5, prose(2), "en", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = P.drop_rejected(spark, docs, SF)
+    assert Counter(r.doc_id for r in kept.collect()) == {None: 1, 1: 2, 4: 1, 5: 1}
+    single = P.drop_near_duplicates(spark, kept, SF)
+    assert Counter(r.doc_id for r in single.collect()) == {None: 1, 1: 1, 4: 1}
+    cut = {r.doc_id: r for r in P.drop_repeated_passages(spark, single, SF).collect()}
+    assert {i: r.text for i, r in cut.items()} == {None: prose(0), 1: prose(1), 4: prose(2)} and cut[1].n_chars == len(prose(1)) and cut[None].source is None
+    mixed = P.mix_sources(spark, spark.createDataFrame(list(cut.values()), single.schema), SF).collect()
+    assert set(Counter(r.doc_id for r in mixed)) <= {None, 1, 4} and max(Counter(r.doc_id for r in mixed).values()) <= 3
+    check(P.pack_sequences(spark, docs.where("doc_id > 1"), SF).collect(), [(r[0], r[1]) for r in rows if r[0] and r[0] > 1])
+    # a bare document passes the middle stages whatever it lacks
+    bare = spark.createDataFrame([(None, None, None, None, None)], docs.schema)
+    for stage in (P.drop_near_duplicates, P.drop_repeated_passages):
+        assert [r.doc_id for r in stage(spark, bare, SF).collect()] == [None]
+    assert P.mix_sources(spark, bare, SF).collect() == []
