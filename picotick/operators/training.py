@@ -6,6 +6,7 @@ Every fit here is a distributed sum: the driver sees one number a feature, or on
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations, product
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .matching import all_of
 from .models import _matrix, gram, solve_ridge, squares
+from .scratch import stored
 
 
 def grid(space: dict[str, list]) -> list[dict]:
@@ -48,6 +50,30 @@ def window_cross_validation(df: DataFrame, x: str, y: str, fold: str, space: dic
     return df.sparkSession.createDataFrame(out, "n_features int, candidate_id string, fold_id int, rmse double")
 
 
+def refitted_windows(df: DataFrame, id_col: str, s1: str, s2: str, y: str, fold: str, windows: list[int], fit: Callable[[DataFrame], Callable[[np.ndarray], np.ndarray]], alphas: list[float]) -> DataFrame:
+    """RMSE of ridge on phi(s1) - phi(s2) per (n_features, candidate_id, fold_id), phi made anew for every prefix.
+
+    A window is the first samples of both waveforms. ``fit`` gets the rows with their waveforms cut to it and
+    gives the function that turns waveforms into features, without looking at targets; features are
+    scaled by both detectors' together. ``n_features`` is the window's length in samples. A pass
+    over the data for the features and one for the sums, for each window.
+    """
+    from .features import paired
+
+    out = []
+    for n in windows:
+        cut = df.withColumn(s1, F.slice(s1, 1, n)).withColumn(s2, F.slice(s2, 1, n)).where(F.col(fold).isNotNull() & F.col(y).isNotNull())
+        made = stored(paired(cut, id_col, s1, s2, fit(cut), keep=tuple(dict.fromkeys((y, fold)))))
+        x = scaled_pair(made, made, "a", "b", "x", shared=True)
+        by = {k: z for (k,), z in squares(gram(x, "x", y, [fold]), [fold]).items()}
+        whole = sum(by.values())
+        for k, z in by.items():
+            for alpha in alphas:
+                w = np.append(-solve_ridge(whole - z, alpha, intercept=False), 1.0)
+                out.append((n, f"alpha={alpha:g}", int(k), float(np.sqrt(max(0.0, w[1:] @ z[1:, 1:] @ w[1:]) / z[0, 0]))))
+    return df.sparkSession.createDataFrame(out, "n_features int, candidate_id string, fold_id int, rmse double")
+
+
 def frozen_over_windows(folds: DataFrame) -> DataFrame:
     """Mean and std over folds of each window and candidate; ``frozen`` marks the candidate that is best at the widest window."""
     s = folds.groupBy("n_features", "candidate_id").agg(F.avg("rmse").alias("mean"), F.stddev_samp("rmse").alias("std"))

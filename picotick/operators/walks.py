@@ -184,7 +184,7 @@ def walked(elements: DataFrame, keys: list[str], rule: Rule, reach: int, look: i
         return pa.Table.from_arrays([*names, pa.array([cell.lags().start], pa.int64()), pa.array([cell.table(rule)], pa.list_(pa.int64()))], names=[*keys, "_cell", "low", "outs"])
 
     tables = stored(dealt.groupBy(*keys, "_cell").applyInArrow(tell, f"{named}_cell long, low long, outs array<long>"))
-    in_order = tables.repartition(*keys, F.lit(0)) if keys else tables.repartition(1)
+    in_order = tables.repartition(*keys) if keys else tables.repartition(1)
     lags = in_order.sortWithinPartitions(*keys, "_cell").mapInArrow(_follow(keys), f"{named}_cell long, _lag long")
 
     def emit(group: tuple, table: pa.Table) -> pa.Table:

@@ -8,8 +8,9 @@ from ..operators import features as X
 from ..operators import imputing as I
 from ..operators import models as M
 from ..operators import neural as N
-from ..operators import scratch
+from ..operators import ranking, scratch
 from ..operators import training as T
+from .modelling import _md5, solved_sql
 from .registry import register
 from .tables import WAVES, read, rounded, waves
 
@@ -214,3 +215,36 @@ def xai_local_attribution(spark, sf_dir):
     w, bank = _bank(spark, sf_dir)
     weights = M.fit_ridge(w, "s1", "y", 4.0)
     return rounded(I.local_attribution(w, "event_id", "s1", bank, 32, lambda v: weights[0] + v @ weights[1:]))
+
+
+def _windows(spark, sf_dir, fit, windows):
+    w = ranking.folds(waves(spark, sf_dir), "event_id", 5, "cv")
+    return rounded(T.frozen_over_windows(T.refitted_windows(w, "event_id", "s1", "s2", "y", "fold_id", windows, fit, [1.0, 100.0])))
+
+
+@register("ml_refitted_windows", f"""WITH RECURSIVE w AS ({WAVES}), o AS (SELECT *, row_number() OVER (ORDER BY {_md5("event_id || ':cv'")}, event_id) - 1 AS p, count(*) OVER () AS n FROM w),
+  f AS (SELECT event_id, s1, s2, y, (1 + CASE WHEN p < (n % 5) * (n // 5 + 1) THEN p // (n // 5 + 1) ELSE n % 5 + (p - (n % 5) * (n // 5 + 1)) // (n // 5) END)::INT AS fold_id FROM o),
+  d AS (SELECT unnest(range(32)) AS i, unnest(s1) AS a, unnest(s2) AS b FROM w), g AS (SELECT i, stddev_pop(v) AS sd FROM (SELECT i, a AS v FROM d UNION ALL SELECT i, b FROM d) GROUP BY i), sds AS (SELECT list(sd ORDER BY i) AS sds FROM g),
+  x AS (SELECT event_id, fold_id, y, list_transform(range(1, 33), lambda i: (s1[i] - s2[i]) / sds[i]) AS x FROM f, sds),
+  z AS (SELECT event_id, fold_id, unnest(range(33)) AS i, unnest(x || [y]) AS v FROM x), m AS (SELECT a.fold_id, a.i, b.i AS j, sum(a.v * b.v) AS v FROM z a JOIN z b USING (event_id) WHERE a.i < 32 GROUP BY ALL),
+  t AS (SELECT k.fold_id, i, j, sum(v) AS v FROM m JOIN (SELECT DISTINCT fold_id FROM f) k ON k.fold_id <> m.fold_id GROUP BY ALL), c AS (SELECT unnest([1.0, 100.0])::DOUBLE AS alpha),
+  {solved_sql("SELECT fold_id || ':' || alpha AS grp, i, CASE WHEN j = 32 THEN 8 ELSE j END AS j, v + CASE WHEN i = j THEN alpha ELSE 0 END AS v FROM t, c WHERE i < 8 AND (j < 8 OR j = 32)", 8, "u")},
+  {solved_sql("SELECT fold_id || ':' || alpha AS grp, i, j, v + CASE WHEN i = j THEN alpha ELSE 0 END AS v FROM t, c", 32, "q")},
+  v AS (SELECT 8 AS n_features, grp, list(w ORDER BY i) AS ws FROM u GROUP BY grp UNION ALL SELECT 32, grp, list(w ORDER BY i) FROM q GROUP BY grp),
+  e AS (SELECT n_features, alpha, fold_id, sqrt(avg((y - list_dot_product(x[1:n_features], ws)) ** 2)) AS rmse FROM x JOIN c ON true JOIN v ON grp = fold_id || ':' || alpha GROUP BY ALL),
+  s AS (SELECT n_features, alpha, avg(rmse) AS mean, stddev_samp(rmse) AS std FROM e GROUP BY n_features, alpha)
+  SELECT n_features::INT AS n_features, 'alpha=' || alpha::INT AS candidate_id, round(mean, 6) + 0.0 AS mean, round(std, 6) + 0.0 AS std, alpha = (SELECT arg_min(alpha, mean) FROM s WHERE n_features = 32) AS frozen FROM s""")
+def ml_refitted_windows(spark, sf_dir):
+    """Samples themselves as features, scaled anew for windows of 8 and 32; the penalty is frozen at the widest."""
+    return _windows(spark, sf_dir, lambda cut: lambda v: v, [8, 32])
+
+
+@register("ml_refitted_shapelets")
+def ml_refitted_shapelets(spark, sf_dir):
+    """Shapelets fitted anew on every prefix."""
+
+    def fit(cut):
+        shapelets = X.fit_shapelets(cut, "event_id", ["s1", "s2"], 12, length=7)
+        return lambda v: X.shapelet_values(v, shapelets)
+
+    return _windows(spark, sf_dir, fit, [16, 32])

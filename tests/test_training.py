@@ -77,3 +77,34 @@ def test_pooled_kernels(spark):
             runs = "".join("x" if value > 0 else " " for value in c).split()
             want = [len(up) / len(c), np.mean([c[t] for t in up]) if up else 0, np.mean(up) if up else -1, max(map(len, runs), default=0)]
             assert np.allclose(got[i][4 * which : 4 * which + 4], want)
+
+
+def test_refitted_windows(spark):
+    """Transforms are fitted on the prefix alone, and errors are those of ridge on the other folds."""
+    import numpy as np
+
+    from picotick.operators import training as T
+
+    r = np.random.default_rng(9)
+    a, b = r.normal(size=(2, 60, 12))
+    y = 2 * (a[:, 3] - b[:, 3]) + (a[:, 9] - b[:, 9]) + 0.1 * r.normal(size=60)
+    df = spark.createDataFrame([(i, a[i].tolist(), b[i].tolist(), float(y[i]), i % 3) for i in range(60)] + [(90, a[0].tolist(), b[0].tolist(), None, 1), (91, a[0].tolist(), b[0].tolist(), 1.0, None)], "id long, s1 array<double>, s2 array<double>, y double, fold int").repartition(3)
+    seen = []
+
+    def fit(cut):
+        seen.append(len(cut.first().s1))
+        return lambda v: v
+
+    found = T.refitted_windows(df, "id", "s1", "s2", "y", "fold", [4, 12], fit, [0.5, 50.0])
+    got = {(q.n_features, q.candidate_id, q.fold_id): q.rmse for q in found.collect()}
+    assert seen == [4, 12] and len(got) == 12
+    for n in (4, 12):
+        both = np.concatenate([a[:, :n], b[:, :n]])
+        x = (a[:, :n] - b[:, :n]) / both.std(axis=0)
+        for alpha in (0.5, 50.0):
+            for fold in range(3):
+                out = np.arange(60) % 3 == fold
+                w = np.linalg.solve(x[~out].T @ x[~out] + alpha * np.eye(n), x[~out].T @ y[~out])
+                assert np.isclose(got[n, f"alpha={alpha:g}", fold], np.sqrt(((y[out] - x[out] @ w) ** 2).mean()), rtol=1e-6)
+    best = T.frozen_over_windows(found).where("frozen").collect()
+    assert {q.candidate_id for q in best} == {"alpha=0.5"} and len(best) == 2
