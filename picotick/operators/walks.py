@@ -26,7 +26,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import stored
@@ -154,6 +154,11 @@ def _follow(keys: list[str]):
     return run
 
 
+def _cell_number(t: Column, span: int) -> Column:
+    """floor(t / span) in whole numbers: ticks may be beyond what a double holds."""
+    return F.call_function("div", t - F.pmod(t, F.lit(span).cast("long")), F.lit(span).cast("long"))
+
+
 def width(elements: DataFrame, keys: list[str], least: int) -> int:
     """Time units of a cell: the densest key has about CELL_ROWS elements in one, and it is no shorter than ``least``."""
     each = elements.groupBy(*keys).agg(F.count("*").alias("n"), (F.max("_t") - F.min("_t") + 1).alias("ticks"))
@@ -172,7 +177,7 @@ def walked(elements: DataFrame, keys: list[str], rule: Rule, reach: int, look: i
     elements = stored(elements.where("_t is not null"))
     # reach and span may be anything up to the whole range of times; a border is never wider than its cell
     span = max(reach + look + 1, span or width(elements, keys, 8 * (reach + look) + 1))
-    cells = F.sequence(F.floor((F.col("_t") - look) / span), F.floor((F.col("_t") + reach) / span))
+    cells = F.sequence(_cell_number(F.col("_t") - look, span), _cell_number(F.col("_t") + reach, span))
     dealt = elements.withColumn("_cell", F.explode(cells))
 
     def of_group(group: tuple) -> tuple[list[pa.Array], int]:

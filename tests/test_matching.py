@@ -281,3 +281,12 @@ def test_plan_modules_import_in_any_order():
 
     for module in ("matches", "scans", "training"):
         subprocess.run([sys.executable, "-c", f"import picotick.plans.{module}; from picotick.plans import registry; assert len(registry.queries()) > 150"], check=True)
+
+
+def test_ticks_beyond_doubles(spark, narrow):
+    """Neighbouring ticks near 2**62 are told apart, also at the borders of cells."""
+    r = random.Random(12)
+    rows = [(2**62 + r.randint(0, 400), r.choice([0, 1])) for _ in range(200)]
+    df = spark.createDataFrame(rows, "t long, kind int").repartition(3)
+    got = sorted((x.lead, x.trail) for x in matching.longest_valid_pulses(df, [], F.col("kind"), "t", 2, 9).collect())
+    assert got == sorted(fifo([t for t, k in rows if k == 0], [t for t, k in rows if k == 1], 2, 9)[0])
