@@ -50,6 +50,13 @@ def test_datasets(spark, tmp_path):
         metadata.datasets(spark, str(tmp_path)).collect()
 
 
+def test_the_driver_lists_no_tree(spark, tmp_path):
+    write(spark, tmp_path, {f"a b/bias_{40 + i}V/s{i}/manifest.json": '{"raw_events": 10, "selected_events": %d}' % i for i in range(5)} | {"_hidden/manifest.json": "{}", "a b/other.json": "{}"})
+    found = metadata.datasets(spark, str(tmp_path))
+    assert not [f for f in found.inputFiles() if f.endswith(".json")]
+    assert {(q.voltage, q.source, q.selected_events) for q in found.collect()} == {(40.0 + i, f"s{i}", i) for i in range(5)}
+
+
 def test_results(spark, tmp_path):
     write(spark, tmp_path, {f"b/r{i}/metadata/{n}.json": t for i, files in enumerate([
         {"config": "{}", "manifest": '{"status": "complete"}', "best": '{"id": 1}'}, {"config": "{}", "manifest": '{"status": "running"}'}, {"config": "{}"}, {"manifest": '{"status": "complete"}'}]) for n, t in files.items()})
