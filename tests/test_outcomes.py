@@ -65,6 +65,12 @@ def test_results(spark, tmp_path):
     assert [q.folder.rsplit("/", 1)[-1] for q in metadata.results(spark, str(tmp_path)).collect()] == ["r0"]
 
 
+def test_results_list_no_tree_on_the_driver(spark, tmp_path):
+    write(spark, tmp_path, {f"b/r{i}/metadata/{n}.json": '{"status": "complete"}' for i in range(3) for n in ("config", "manifest")} | {"b/r9/config.json": "{}", "b/r9/manifest.json": "{}"})
+    found = metadata.results(spark, str(tmp_path))
+    assert not [f for f in found.inputFiles() if f.endswith(".json")] and found.count() == 3
+
+
 def test_duration_timing_without_a_dependence(spark):
     from picotick.operators import bivariate
 
