@@ -6,9 +6,13 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.order import placed
+from ..operators.scratch import stored
+from .tables import read_binary
+
 #: Byte offsets of the trace header's fields and of the samples.
 COUNT_AT, GAIN_AT, OFFSET_AT, INTERVAL_AT, START_AT, SAMPLES_AT = 127, 167, 171, 187, 191, 357
 MOST_SAMPLES = 10_000_000
@@ -39,11 +43,12 @@ def read_traces(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                row = (name, *decode(data.as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
+            rows = [(name, *decode(data.as_py())) for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)
+    found = read_binary(spark, path, ["*"])
+    return found.select(F.concat("folder", F.lit("/"), "name").alias("path"), "content").mapInArrow(run, SCHEMA)
 
 
 def named(traces: DataFrame) -> DataFrame:
@@ -58,7 +63,7 @@ def events(traces: DataFrame, share: float = 0.8) -> DataFrame:
     Channels meet by id if at least ``share`` of the smallest channel's ids are common to all,
     otherwise by place in order of (id, path). A repeated id or an empty channel raises.
     """
-    t = named(traces)
+    t = stored(named(traces))  # files are read once
     counts = t.groupBy("channel").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
     common = t.groupBy("event_id").agg(F.count_distinct("channel").alias("c")).where("c = 4").agg(F.count("*").alias("common"))
     # one row decides for the whole table
@@ -68,8 +73,7 @@ def events(traces: DataFrame, share: float = 0.8) -> DataFrame:
     by_id = bool(about.least) and about.common >= share * about.least
     if by_id and about.repeats:
         raise ValueError("a channel repeats an event id")
-    place = F.row_number().over(Window.partitionBy("channel").orderBy("event_id", "path")) - 1
-    keyed = t.withColumn("key", F.col("event_id") if by_id else place.cast("long"))
+    keyed = t.withColumn("key", F.col("event_id")) if by_id else placed(t, ["channel"], ["event_id", "path"], "key")
     trace = F.struct("gain", "offset", "interval", "h_offset", "samples")
     wide = keyed.groupBy("key").agg(F.count_if(F.col("error").isNull()).alias("good"), *[F.first(F.when(F.col("channel") == c, trace), ignorenulls=True).alias(f"ch{c}") for c in (1, 2, 3, 4)])
     return wide.where("good = 4").select(F.col("key").alias("event_id"), "ch1", "ch2", "ch3", "ch4")

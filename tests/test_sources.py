@@ -118,6 +118,13 @@ def trace(n=50, gain=0.00025, interval=2.5e-12, short=0):
     return bytes(head) + np.arange(n - short, dtype="<i2").tobytes()
 
 
+def test_the_driver_lists_no_traces(spark, tmp_path):
+    for c in range(1, 5):
+        (tmp_path / f"C{c}--run--00001.trc").write_bytes(trace())
+    rows = trc.read_traces(spark, str(tmp_path))
+    assert not [f for f in rows.inputFiles() if f.endswith(".trc")] and rows.count() == 4
+
+
 def test_traces(spark, tmp_path):
     for c in range(1, 5):
         for e in range(5):
