@@ -4,7 +4,9 @@ Rows are numbered once, by ranges of their order, and put into blocks of ``BLOCK
 ones. How many of a draw's picks fall into each block is a multinomial number, which every block
 finds by itself: a tree of binomial splits, each seeded by (seed, draw, part of the blocks). Picks
 inside a block are hashes of (seed, draw, block, number), which other engines share. So no draw is
-shuffled: rows move once, and statistics of draws are partial sums.
+shuffled: rows move once, and statistics of draws are partial sums. ``resample`` draws from whole
+groups instead, pick by pick, as SQL does: picks are made in stretches, sorted by place in the task
+and sent, two bytes each, to the pieces of rows that they name.
 
 Permutations need no rows at all but the observed ones: a random subset of k of n places is the k
 smallest hashes, its threshold lies within a few standard deviations of k / n (checked, and looked
@@ -14,12 +16,14 @@ for further out if not), and what a statistic needs of a stretch of places is a
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, ShortType, StructField, StructType
 
 from ..functions import special
 from .order import by_keys, placed, sized
@@ -93,8 +97,12 @@ def bootstrap(df: DataFrame, keys: list[str], id_col: str, draws: int, seed: int
     groups are groups; groups of one size share their picks.
     """
     others = [c for c in df.columns if c not in keys]
-    numbered = sized(stored(placed(df, keys, [id_col], "_k")), keys, "_n").withColumn("_block", F.floor(F.col("_k") / BLOCK).cast("long"))
-    dealt = numbered.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_block")
+    return _drawn_in_blocks(sized(stored(placed(df, keys, [id_col], "_k")), keys, "_n"), keys, others, draws, seed)
+
+
+def _drawn_in_blocks(placed_rows: DataFrame, keys: list[str], others: list[str], draws: int, seed: int) -> DataFrame:
+    numbered = placed_rows.withColumn("_block", F.floor(F.col("_k") / BLOCK).cast("long"))
+    dealt = numbered.repartition(int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_block")
     blocks = dealt.groupBy(*keys, "_n", "_block").agg(F.sort_array(F.collect_list(F.struct("_k", *others))).alias("_rows"))
 
     @F.pandas_udf("array<long>")
@@ -112,22 +120,78 @@ def bootstrap(df: DataFrame, keys: list[str], id_col: str, draws: int, seed: int
     return each.select(*keys, "draw", F.inline(F.array(chosen))).select(*keys, "draw", *others)
 
 
+#: Rows of a piece to which picks of larger groups are sent (below 2**15), and picks made at once.
+PIECE, STRETCH = 1 << 14, 1 << 20
+
+
+def resample(df: DataFrame, keys: list[str], id_col: str, draws: int, seed: int) -> DataFrame:
+    """Like ``bootstrap``, with picks that do not depend on blocks: pick i of a draw is the row at place hash(seed, draw, 0, i) mod n.
+
+    Groups of up to ``BLOCK`` rows are drawn as there, which gives the same picks. Groups of 2**32 rows raise.
+    """
+    others = [c for c in df.columns if c not in keys]
+    rows = stored(placed(df, keys, [id_col], "_k"))
+    sizes = stored(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))) if keys else stored(rows.agg(F.count(F.lit(1)).alias("_n")))
+    most = sizes.agg(F.max("_n")).first()[0] or 0
+    if most > MASK:
+        raise ValueError("a group has more rows than a hash has values")
+    numbered = by_keys(rows, sizes, keys) if keys else rows.join(F.broadcast(sizes), how="left")  # one row
+    small = _drawn_in_blocks(numbered.where(F.col("_n") <= BLOCK), keys, others, draws, seed)
+    if most <= BLOCK:
+        return small
+    units = sizes.where(F.col("_n") > BLOCK).select(*keys, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_n") / STRETCH) - 1)).alias("_stretch")).select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    units = units.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_stretch", "draw")
+
+    def picking(batches):
+        for b in batches:
+            for row, (n, stretch, draw) in enumerate(zip(*(b.column(c).to_pylist() for c in ("_n", "_stretch", "draw")), strict=True)):
+                slots = np.arange(stretch * STRETCH, min(n, (stretch + 1) * STRETCH), dtype=np.uint64)
+                picks = np.sort((mix(seed, draw, 0, slots) % np.uint64(n)).astype(np.uint32))
+                pieces = -(-n // PIECE)
+                bounds = np.searchsorted(picks, (np.arange(pieces + 1) * PIECE).astype(np.uint64)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array((picks % PIECE).astype(np.int16)))
+                at = pa.array(np.full(pieces, row))
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in keys), pa.array(np.full(pieces, draw, np.int32)), pa.array(np.arange(pieces)), lists], names=[*keys, "draw", "_piece", "_picks"])
+
+    fields = {f.name: f for f in df.schema.fields}
+    kind = StructType([*(fields[k] for k in keys), StructField("draw", IntegerType()), StructField("_piece", LongType()), StructField("_picks", ArrayType(ShortType()))])
+    picks = units.mapInArrow(picking, kind).where(F.size("_picks") > 0)
+
+    def met(_, left: pa.Table, right: pa.Table) -> pa.Table:
+        left, lists = left.sort_by("_k"), right.column("_picks").combine_chunks()
+        chosen = left.select([*keys, *others]).take(lists.flatten())
+        return chosen.add_column(len(keys), "draw", pa.array(np.repeat(right.column("draw").to_numpy(), lists.value_lengths().to_numpy()).astype(np.int32), pa.int32()))
+
+    pieces = numbered.where(F.col("_n") > BLOCK).select(*keys, "_k", F.floor(F.col("_k") / PIECE).alias("_piece"), *others)
+    out = StructType([*(fields[k] for k in keys), StructField("draw", IntegerType()), *(fields[c] for c in others)])
+    large = pieces.groupBy(*keys, "_piece").cogroup(picks.groupBy(*keys, "_piece")).applyInArrow(met, out)
+    return small.unionByName(large)
+
+
 def _hash(*parts: Column, seed: str) -> Column:
     text = F.concat_ws(":", *[p.cast("string") for p in parts], F.lit(seed))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
 def poisson_weights(df: DataFrame, id_col: str, draws: int, seed: str) -> DataFrame:
-    """Adds ``draw`` and ``weight``: the approximate bootstrap, without a join. Rows of weight 0 are left out."""
-    u = (_hash(F.col("draw"), F.col(id_col), seed=seed) + 0.5) / F.lit(float(1 << 32))
-    cut, p, total, cuts = 0, 0.36787944117144233, 0.0, []
+    """Adds ``draw`` and ``weight``: the approximate bootstrap, without a join. Rows of weight 0 are left out.
+
+    The weight counts the cumulative probabilities up to u = (h + 0.5) / 2**32, h being the first eight digits of
+    an md5. u >= c where h is at least a whole number, so the digits are compared as they are.
+    """
+    p, total, limits = 0.36787944117144233, 0.0, []
     for k in range(8):
         total += p
-        cuts.append(total)
+        least = math.ceil(Fraction(total) * (1 << 32) - Fraction(1, 2))
+        limits += [f"{least:08x}"] if least < 1 << 32 else []
         p /= k + 1
-        cut += 1
-    weight = sum(((u >= c).cast("int") for c in cuts), F.lit(0))
-    return df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("weight", weight).where("weight > 0")
+    # rows are dealt out before they are multiplied
+    dealt = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_col)
+    each = dealt.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    digits = F.substring(F.md5(F.concat_ws(":", F.col("draw").cast("string"), F.col(id_col).cast("string"), F.lit(seed)).cast("binary")), 1, 8)
+    weight = lambda h: sum(((h >= c).cast("int") for c in limits), F.lit(0))
+    # rows of weight 0 go at a generator, through which the hash is not pulled: it is made once a row and draw
+    return each.withColumn("weight", F.explode(F.filter(F.transform(F.array(digits), weight), lambda w: w > 0)))
 
 
 def percentile_interval(draws: DataFrame, keys: list[str], value: str, asked: int, level: float = 0.95) -> DataFrame:

@@ -27,7 +27,7 @@ BOOT, CTR, INTERVAL, PAIR, PERMUTED = 11, 21, 31, 41, 51
 
 
 def _picks(rows: str, keys: str, seed: int, draws: int = DRAWS) -> str:
-    """DuckDB: ``p`` holds the rows of every draw, with ``draw``, for groups of one block."""
+    """DuckDB: ``p`` holds the rows of every draw, with ``draw``, as ``resample`` gives them."""
     part = f"PARTITION BY {keys} " if keys else ""
     on = f"p0.{keys} = k.{keys} AND " if keys else ""
     mixed = resampling.mixed_sql("s0", "h", seed, ["draw", "0", "slot"])
@@ -38,7 +38,7 @@ def _picks(rows: str, keys: str, seed: int, draws: int = DRAWS) -> str:
 
 @register("stat_bootstrap", f"WITH {_picks(RESIDUALS, 'event_type', BOOT)} SELECT event_type, draw::INT AS draw, count(*) AS n, round(avg(x), 6) + 0.0 AS mean FROM p GROUP BY ALL")
 def stat_bootstrap(spark, sf_dir):
-    b = resampling.bootstrap(residuals(spark, sf_dir), ["event_type"], "event_id", DRAWS, BOOT)
+    b = resampling.resample(residuals(spark, sf_dir).drop("user_id"), ["event_type"], "event_id", DRAWS, BOOT)
     return rounded(b.groupBy("event_type", "draw").agg(F.count("*").alias("n"), F.avg("x").alias("mean")))
 
 
@@ -47,8 +47,8 @@ def stat_bootstrap_ctr(spark, sf_dir):
     """Width at half maximum per group with the std of its resamples; failed draws are skipped."""
     from ..operators import histogram
 
-    r = residuals(spark, sf_dir).where("x is not null")
-    draws = histogram.fwhm(resampling.bootstrap(r, ["event_type"], "event_id", WIDTH_DRAWS, CTR), "x", ["event_type", "draw"], 0.25)
+    r = residuals(spark, sf_dir).drop("user_id").where("x is not null")
+    draws = histogram.fwhm(resampling.resample(r, ["event_type"], "event_id", WIDTH_DRAWS, CTR), "x", ["event_type", "draw"], 0.25)
     spread = draws.where("success").groupBy("event_type").agg(F.stddev_samp("fwhm").alias("fwhm_std"), F.count("*").alias("draws"))
     return rounded(histogram.fwhm(r, "x", ["event_type"], 0.25).select("event_type", "n", "fwhm", "success").join(spread, "event_type", "left"))
 
@@ -58,13 +58,13 @@ _INTERVAL = "count({0}) AS n_draws, round(quantile_cont({0}, 0.025), 6) + 0.0 AS
 
 @register("stat_percentile_interval", f"WITH {_picks(PAIRS, 'grp', INTERVAL)}, s AS (SELECT grp, draw, corr(a, b) AS r FROM p GROUP BY ALL) SELECT grp, {_INTERVAL.format('r')} FROM s GROUP BY grp")
 def stat_percentile_interval(spark, sf_dir):
-    b = resampling.bootstrap(pairs(spark, sf_dir), ["grp"], "event_id", DRAWS, INTERVAL).groupBy("grp", "draw").agg(F.corr("a", "b").alias("r"))
+    b = resampling.resample(pairs(spark, sf_dir), ["grp"], "event_id", DRAWS, INTERVAL).groupBy("grp", "draw").agg(F.corr("a", "b").alias("r"))
     return rounded(resampling.percentile_interval(b, ["grp"], "r", DRAWS))
 
 
 @register("stat_paired_bootstrap", f"WITH {_picks(PAIRS, '', PAIR)}, s AS (SELECT draw, sqrt(avg(a * a)) - sqrt(avg(b * b)) AS d FROM p GROUP BY draw) SELECT {_INTERVAL.format('d')} FROM s")
 def stat_paired_bootstrap(spark, sf_dir):
-    b = resampling.bootstrap(pairs(spark, sf_dir), [], "event_id", DRAWS, PAIR)
+    b = resampling.resample(pairs(spark, sf_dir).drop("grp"), [], "event_id", DRAWS, PAIR)
     d = b.groupBy("draw").agg((F.sqrt(F.avg(F.col("a") * F.col("a"))) - F.sqrt(F.avg(F.col("b") * F.col("b")))).alias("d"))
     return rounded(resampling.percentile_interval(d, [], "d", DRAWS))
 

@@ -132,6 +132,38 @@ def test_bootstrap(spark, monkeypatch, block):
     assert resampling.bootstrap(df.limit(0), ["g"], "id", draws, 3).count() == 0
 
 
+@pytest.mark.parametrize(("block", "piece", "stretch"), [(1 << 16, 1 << 14, 1 << 20), (8, 4, 16)])
+def test_resample_draws_as_sql_at_any_size(spark, monkeypatch, block, piece, stretch):
+    for name, value in (("BLOCK", block), ("PIECE", piece), ("STRETCH", stretch)):
+        monkeypatch.setattr(resampling, name, value)
+    rows = [(g, 100 * j + i, float(i)) for j, (g, n) in enumerate([("a", 50), (None, 21), ("b", 1), ("c", 8)]) for i in range(n)]
+    df, draws = spark.createDataFrame(rows, "g string, id int, x double").repartition(3), 12
+    want = Counter()
+    for g in {g for g, *_ in rows}:
+        mine = sorted((i, x) for h, i, x in rows if h == g)
+        for d in range(draws):
+            for h in resampling.mix(3, d, 0, np.arange(len(mine))):
+                want[(g, d, *mine[int(h) % len(mine)])] += 1
+    assert Counter((x.g, x.draw, x.id, x.x) for x in resampling.resample(df, ["g"], "id", draws, 3).collect()) == want
+    whole = Counter(x.id for x in resampling.resample(df.drop("g"), [], "id", 1, 3).collect())
+    ids = sorted(i for _, i, _ in rows)
+    assert whole == Counter(ids[int(h) % len(ids)] for h in resampling.mix(3, 0, 0, np.arange(len(ids))))
+    assert resampling.resample(df.limit(0), ["g"], "id", draws, 3).count() == 0
+
+
+def test_poisson_weights_hash_once(spark):
+    import hashlib
+    import math
+
+    found = resampling.poisson_weights(spark.range(400), "id", 3, "p")
+    cuts = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(8)]
+    u = lambda d, i: (int(hashlib.md5(f"{d}:{i}:p".encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+    want = {(i, d): w for i in range(400) for d in range(3) if (w := sum(u(d, i) >= c for c in cuts))}
+    assert {(x.id, x.draw): x.weight for x in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1
+
+
 def test_bootstrap_keeps_null_groups(spark):
     df = spark.createDataFrame([(None, 1, 1.0), (None, 2, 2.0), ("a", 3, 3.0), ("a", 4, 4.0)], "g string, id int, x double")
     assert {x.g: x["count"] for x in resampling.bootstrap(df, ["g"], "id", 10, 1).groupBy("g").count().collect()} == {None: 20, "a": 20}
