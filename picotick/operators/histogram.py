@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .order import median, quantiles
 from .robust import _back, finite
+from .scratch import stored
 
 
 def binned(df: DataFrame, value: str, keys: list[str], width: float) -> DataFrame:
@@ -17,10 +18,12 @@ def binned(df: DataFrame, value: str, keys: list[str], width: float) -> DataFram
     x = finite(value)
     given = df.select(*keys, x.alias("x")).where("x is not null")
     number = F.floor(F.col("x") / width + 0.5).cast("long")
-    top = given.groupBy(*keys).agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
+    # rows are read once: what is stored is a row a bin
+    raw = stored(given.groupBy(*keys, number.alias("bin")).agg(F.count("*").alias("n"), F.min("x").alias("_lo"), F.max("x").alias("_hi")))
+    top = raw.groupBy(*keys).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
     first, last = F.floor(F.col("_lo") / width + 0.5), F.ceil(F.col("_hi") / width - 0.5)
     limits = top.select(*keys, first.cast("long").alias("_first"), F.greatest(first, last).cast("long").alias("_last"))
-    counts = _back(given, limits, keys).select(*keys, F.least(number, F.col("_last")).alias("bin")).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+    counts = _back(raw, limits, keys).select(*keys, F.least("bin", "_last").alias("bin"), "n").groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
     grid = limits.select(*keys, F.explode(F.sequence("_first", "_last")).alias("bin"))
     return _back(grid, counts, [*keys, "bin"]).select(*keys, "bin", ((F.col("bin") - 0.5) * width).alias("left"), F.coalesce("n", F.lit(0)).alias("n"))
 
