@@ -156,8 +156,11 @@ def swap_rmse(df: DataFrame, s1: str, s2: str, predict: Callable[[Column, Column
     return df.agg(F.sqrt(F.avg(both * both)).alias("swap_rmse"))
 
 
-#: Rows of a block of references, and pivots at most (their vectors are sent to every task).
-BLOCK_ROWS, MOST_PIVOTS = 2048, 1024
+#: Rows of a block of references at least, pivots at most (their vectors are sent to every task), and blocks of
+#: larger tables: a query travels to so many at most, however large the table.
+BLOCK_ROWS, MOST_PIVOTS, BLOCKS = 2048, 1024, 64
+#: Numbers of a table of distances, and pairs measured exactly, at once.
+TABLE, PAIRS_AT_ONCE = 4_000_000, 100_000
 
 
 def _assigned(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -181,25 +184,56 @@ def _distances(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.concatenate([((v[i : i + step, None, :] - w[None]) ** 2).sum(axis=2) for i in range(0, len(v), step)]) if len(v) else np.zeros((0, len(w)))
 
 
+def _nearest_of(i: np.ndarray, v: np.ndarray, bound: np.ndarray, ids: np.ndarray, vecs: np.ndarray, k: int):
+    """Places of rows of ``v``, and their k nearest of ``vecs`` (ids ascend) within ``bound``: (row, place, squared distance).
+
+    A matrix product tells distances but for rounding; pairs that may be among the k nearest are measured exactly.
+    """
+    with np.errstate(all="ignore"):
+        centre = vecs.mean(axis=0)
+        centre = np.where(np.isfinite(centre), centre, 0.0)
+        w = vecs - centre
+        w2 = (w * w).sum(axis=1)
+        for at in range(0, len(v), step := max(1, TABLE // len(vecs))):
+            part, own = v[at : at + step] - centre, i[at : at + step]
+            v2 = (part * part).sum(axis=1)
+            slack = 1e-12 * (v2 + w2.max()) + 1e-300
+            about = v2[:, None] + w2 - 2 * (part @ w.T)
+            limit = bound[at : at + step] ** 2 * (1 + 1e-9) + slack
+            maybe = ~(about > limit[:, None])  # what is no number is measured
+            wide = np.flatnonzero(maybe.sum(axis=1) > 4 * k)
+            same = np.searchsorted(ids, own, "right") - np.searchsorted(ids, own, "left")
+            place = k - 1 + int(same.max(initial=0))
+            if len(wide) and place < len(vecs):
+                kth = np.partition(about[wide], place, axis=1)[:, place]
+                maybe[wide] &= ~(about[wide] > (kth + 2 * slack[wide])[:, None])
+            row, col = np.nonzero(maybe)
+            other = own[row] != ids[col]
+            row, col = row[other] + at, col[other]
+            d = np.concatenate([np.zeros(0), *(((v[row[p : p + PAIRS_AT_ONCE]] - vecs[col[p : p + PAIRS_AT_ONCE]]) ** 2).sum(axis=1) for p in range(0, len(row), PAIRS_AT_ONCE))])
+            fine = np.isfinite(d)
+            row, col, d = row[fine], col[fine], d[fine]
+            order = np.lexsort((col, d, row))
+            row, col, d = row[order], col[order], d[order]
+            best = np.arange(len(row)) - np.searchsorted(row, row) < k
+            yield row[best], col[best], d[best]
+
+
 def _best_of_blocks(ref: DataFrame, ask: DataFrame, k: int) -> DataFrame:
-    """Each asked (``pivot``, ``sub``, ``id``, ``v``) with its k nearest references of that block: ``id``, ``ref_id``, ``distance2``."""
+    """Each asked (``pivot``, ``sub``, ``id``, ``v``, perhaps ``bound``) with its k nearest references of that block: ``id``, ``ref_id``, ``distance2``."""
 
     def run(batches):
         held, ids, vecs = None, [], []
 
-        def found(i, v, ids, vecs):
-            order = np.argsort(ids, kind="stable")
-            ids, vecs = ids[order], vecs[order]
-            d = _distances(v, vecs)
-            d[i[:, None] == ids[None]] = np.inf
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            near = np.take_along_axis(d, best, 1)
-            keep = np.isfinite(near)
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(i, best.shape[1])[keep.ravel()]), pa.array(ids[best][keep]), pa.array(near[keep])], names=["id", "ref_id", "distance2"])
+        def found(i, v, bound, ids, vecs):
+            bound = np.where(np.isnan(bound), np.inf, bound)
+            for row, col, d in _nearest_of(i, v, bound, ids, vecs, k):
+                yield pa.RecordBatch.from_arrays([pa.array(i[row]), pa.array(ids[col]), pa.array(d)], names=["id", "ref_id", "distance2"])
 
         for b in batches:
             block = b.column("pivot").to_numpy().astype(np.int64) << 32 | b.column("sub").to_numpy()
             is_ref, i, v = b.column("is_ref").to_numpy(zero_copy_only=False), b.column("id").to_numpy(), _matrix(b.column("v"))
+            bound = b.column("bound").to_numpy(zero_copy_only=False).astype(np.float64)
             cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
             for lo, hi in zip(cuts, [*cuts[1:], len(block)], strict=True):
                 if block[lo] != held:
@@ -209,11 +243,16 @@ def _best_of_blocks(ref: DataFrame, ask: DataFrame, k: int) -> DataFrame:
                     ids.append(i[r])
                     vecs.append(v[r])
                 if r.stop < hi and ids:
-                    ids, vecs = [np.concatenate(ids)], [np.concatenate(vecs)]
-                    yield found(i[r.stop : hi], v[r.stop : hi], ids[0], vecs[0])
-
-    columns = ("pivot", "sub", "is_ref", "id", "v")
-    both = ref.withColumn("is_ref", F.lit(True)).select(*columns).unionAll(ask.withColumn("is_ref", F.lit(False)).select(*columns))
+                    if len(ids) > 1 or not np.all(ids[0][1:] >= ids[0][:-1]):
+                        ids, vecs = [np.concatenate(ids)], [np.concatenate(vecs)]
+                        order = np.argsort(ids[0], kind="stable")
+                        ids, vecs = [ids[0][order]], [vecs[0][order]]
+                    yield from found(i[r.stop : hi], v[r.stop : hi], bound[r.stop : hi], ids[0], vecs[0])
+
+    columns = ("pivot", "sub", "is_ref", "id", "v", "bound")
+    none = F.lit(None).cast("double")
+    ask = ask if "bound" in ask.columns else ask.withColumn("bound", none)
+    both = ref.withColumns({"is_ref": F.lit(True), "bound": none}).select(*columns).unionAll(ask.withColumn("is_ref", F.lit(False)).select(*columns))
     dealt = both.repartition(int(ref.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pivot", "sub").sortWithinPartitions("pivot", "sub", F.desc("is_ref"), "id")
     return dealt.mapInArrow(run, "id long, ref_id long, distance2 double")
 
@@ -223,17 +262,18 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "rank", "ref_id", "distance2")
 
 
-def visits(queries: DataFrame, reference: DataFrame, id_col: str, vec: str, k: int, block: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+def visits(queries: DataFrame, reference: DataFrame, id_col: str, vec: str, k: int, block: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The references in blocks, and every query with each block that can hold one of its k nearest.
 
     References are dealt to the nearest of some pivots (rows of the smallest hashes, one for about
-    ``block`` rows), and those of a pivot with many to blocks of about ``block`` rows. A query's
+    ``block`` rows, BLOCK_ROWS or a share of BLOCKS if not given), and those of a pivot with many to blocks of about ``block`` rows. A query's
     k-th distance in one block near it bounds its true one; by the triangle inequality it need not
     visit pivots whose references are all farther off, nor those beyond the plane half way to them.
     """
     wanted = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")).where("v is not null and id is not null")
     ref, ask = stored(wanted(reference)), wanted(queries)
     n = ref.count()
+    block = block or max(BLOCK_ROWS, -(-n // BLOCKS))
     some = ref.orderBy(F.xxhash64("id"), "id").limit(min(MOST_PIVOTS, max(1, -(-n // block)))).toArrow()
     pivots = np.unique(_matrix(some.column("v").combine_chunks()), axis=0) if n else np.zeros((0, 0))
     if not n:
@@ -270,15 +310,16 @@ def visits(queries: DataFrame, reference: DataFrame, id_col: str, vec: str, k: i
                 times = subs[pivot]
                 within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 at_row = pa.array(np.repeat(row, times))
-                yield pa.RecordBatch.from_arrays([part.column("id").take(at_row), part.column("v").take(at_row), pa.array(np.repeat(pivot, times).astype(np.int32)), pa.array(within)], names=["id", "v", "pivot", "sub"])
+                columns = [*(part.column(c).take(at_row) for c in ("id", "v", "bound")), pa.array(np.repeat(pivot, times).astype(np.int32)), pa.array(within)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "v", "bound", "pivot", "sub"])
 
-    return ref, known.select("id", "v", "bound").mapInArrow(reached, "id long, v array<double>, pivot int, sub long")
+    return ref, known.select("id", "v", "bound").mapInArrow(reached, "id long, v array<double>, bound double, pivot int, sub long")
 
 
-def nearest(queries: DataFrame, reference: DataFrame, id_col: str, vec: str, k: int, block: int = BLOCK_ROWS) -> DataFrame:
+def nearest(queries: DataFrame, reference: DataFrame, id_col: str, vec: str, k: int, block: int | None = None) -> DataFrame:
     """Exact k nearest reference rows of every query row, itself left out: ``id``, ``rank``, ``ref_id``, ``distance2``.
 
-    Queries travel only to blocks that can hold a neighbour (``visits``); each gives its k best,
+    Queries travel only to blocks that can hold a neighbour (``visits``); each gives its k best within the bound,
     and a window over (id) keeps the best k of all. Ties take the smaller reference id. Rows without
     an id or a vector are left out; vectors have one length. The query set is stated by the caller.
     """

@@ -59,3 +59,33 @@ def test_tuning_prefers_what_fills_best(spark):
     pairs = all_pairs([(i, np.delete(w, [2, 3])) for i, w in enumerate(v)], [(i, np.delete(w, [2, 3])) for i, w in enumerate(v)], 3)
     fill = {i: np.mean([v[j][[2, 3]] for q, _, j, _ in pairs if q == i], axis=0) for i in range(60)}
     assert next(x.rmse for x in found if x.k == 3 and not x.by_distance) == pytest.approx(np.sqrt(np.mean([(fill[i] - v[i][[2, 3]]) ** 2 for i in range(60)])))
+
+
+def test_exact_among_copies_far_from_zero_and_beyond_squares(spark, monkeypatch):
+    """A matrix product alone would not tell these apart; what it cannot tell is measured."""
+    from picotick.operators import models
+
+    monkeypatch.setattr(models, "TABLE", 200)
+    r = np.random.default_rng(3)
+    v = np.concatenate([1e8 + r.integers(0, 3, (60, 4)) * 1e-3, np.full((30, 4), 1e8), np.full((2, 4), 1e200), [[np.nan] * 4]])
+    ids = r.permutation(len(v))
+    bound = np.full(len(v), np.inf)
+    order = np.argsort(ids)
+    with np.errstate(all="ignore"):
+        got = {(int(ids[a]), int(np.sort(ids)[b])): x for rows in models._nearest_of(ids, v, bound, np.sort(ids), v[order], 3) for a, b, x in zip(*rows, strict=True)}
+        want = {}
+        for a in range(len(v)):
+            d = [(x, int(j)) for j, w in zip(ids, v, strict=True) if j != ids[a] and np.isfinite(x := ((v[a] - w) ** 2).sum())]
+            want |= {(int(ids[a]), j): x for x, j in sorted(d)[:3]}
+    assert got == want
+
+
+def test_a_query_visits_a_bounded_number_of_blocks(spark, monkeypatch):
+    from picotick.operators import models
+
+    monkeypatch.setattr(models, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(models, "BLOCKS", 5)
+    rows = [(i, x.tolist()) for i, x in enumerate(np.random.default_rng(4).normal(size=(200, 8)))]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    _, ask = models.visits(df, df, "id", "v", 3)
+    assert max(x["count"] for x in ask.groupBy("id").count().collect()) <= 2 * 5
