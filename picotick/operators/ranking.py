@@ -9,15 +9,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import _short as brief
 from .order import by_keys, placed, running, sized
 from .scratch import stored
 
 
+def _average_ranks(df: DataFrame, value: str, keys: list[str], name: str) -> DataFrame:
+    """A row for each value of a group with ``name``, its 1-based rank; only distinct values are put in order."""
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_rows"))
+    upto = running(counts, keys, [value], F.col("_rows"), "_upto")
+    return brief(stored(upto.select(*keys, value, (F.col("_upto") - F.col("_rows") + (F.col("_rows") + 1) / 2).alias(name))))
+
+
 def average_rank(df: DataFrame, value: str, keys: list[str], name: str) -> DataFrame:
     """Adds ``name``: the 1-based rank; equal values share the mean of their places."""
-    ranked = stored(placed(df, keys, [value], "_place"))
-    shared = ranked.groupBy(*keys, value).agg((F.avg("_place") + 1).alias(name))
-    return by_keys(ranked, shared, [*keys, value]).drop("_place")
+    return by_keys(df, _average_ranks(df, value, keys, name), [*keys, value])
 
 
 def ordinal_rank(df: DataFrame, value: str, id_col: str, keys: list[str], name: str) -> DataFrame:
@@ -27,8 +33,11 @@ def ordinal_rank(df: DataFrame, value: str, id_col: str, keys: list[str], name:
 
 def spearman(df: DataFrame, a: str, b: str, keys: list[str], id_col: str | None = None) -> DataFrame:
     """Rank correlation per group: average ranks, or ordinal ones if ``id_col`` breaks ties."""
-    rank = (lambda d, c, n: ordinal_rank(d, c, id_col, keys, n)) if id_col else (lambda d, c, n: average_rank(d, c, keys, n))
-    ranked = rank(rank(df.select(*dict.fromkeys([*keys, a, b, *([id_col] if id_col else [])])), a, "_ra"), b, "_rb")
+    given = df.select(*dict.fromkeys([*keys, a, b, *([id_col] if id_col else [])]))
+    if id_col:
+        ranked = ordinal_rank(ordinal_rank(given, a, id_col, keys, "_ra"), b, id_col, keys, "_rb")
+    else:
+        ranked = by_keys(by_keys(given, _average_ranks(given, a, keys, "_ra"), [*keys, a]), _average_ranks(given, b, keys, "_rb"), [*keys, b])
     return ranked.select(*keys, F.col("_ra").cast("double").alias("ra"), F.col("_rb").cast("double").alias("rb")).groupBy(*keys).agg(guarded_corr("ra", "rb").alias("spearman"))
 
 

@@ -206,3 +206,15 @@ def test_permutations(spark, monkeypatch, size):
         assert (x.n, x.k, x.statistic, x.p) == (n, k, pytest.approx(seen[t]), pytest.approx((more[t] + 1) / (draws + 1))), t
     none = resampling.permutation_tests(df.where("not f"), F.col("f"), "at", "id", draws, seed, block).collect()
     assert [x.p for x in none] == [None] * 3
+
+
+def test_average_ranks_put_distinct_values_in_order_only(spark):
+    from picotick.operators import ranking
+
+    rows = [(g, x) for g in ("a", None) for x in [2.0, None, 2.0, -0.0, 0.0, 7.0, 2.0]]
+    df = spark.createDataFrame(rows, "g string, x double")
+    found = ranking.average_rank(df, "x", ["g"], "r")
+    assert Counter((q.g, q.x, q.r) for q in found.collect()) == Counter((g, x, {None: 1.0, 0.0: 2.5, 2.0: 5.0, 7.0: 7.0}[x]) for g, x in rows)
+    # the rows themselves are neither put in order nor dealt to windows
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [f for f in found.inputFiles() if "_place" in str(spark.read.parquet(f).columns)]
