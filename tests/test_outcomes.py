@@ -87,3 +87,16 @@ def test_correlation_of_a_constant_side_is_null(spark):
 
     df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 3.0), ("b", 1.0, 2.0), ("c", 1.0, 2.0), ("c", 2.0, 1.0)], "g string, x double, y double")
     assert {q.g: q.r for q in df.groupBy("g").agg(guarded_corr("x", "y").alias("r")).collect()} == {"a": None, "b": None, "c": -1.0}
+
+
+def test_a_tree_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Orders of one split are written by several tasks."""
+    from picotick.plans import outcomes
+
+    orders = spark.createDataFrame([(20 * i, "FO"[i % 2], 1.0) for i in range(40)], "o_orderkey long, o_orderstatus string, o_totalprice double")
+    orders.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    tasks = []
+    monkeypatch.setattr(outcomes.tables, "write_binary", lambda df, *_: tasks.append(df.select(F.spark_partition_id().alias("p")).distinct().count()))
+    monkeypatch.setattr(outcomes.metadata, "results", lambda s, _: s.createDataFrame([], "folder string, status string, config string, best string"))
+    outcomes.src_result_tree(spark, str(tmp_path))
+    assert tasks[0] > 1
