@@ -114,17 +114,18 @@ def stream_longest_valid(spark, sf_dir):
     h = hits(spark, sf_dir).where("channel in ('view', 'purchase')")
     rows = scratch.stored(h.select("board", F.timestamp_micros("toa").alias("ts"), "toa", (F.col("channel") == "purchase").cast("int").alias("kind"), (F.col("toa") + F.pmod(F.xxhash64("hit_id"), F.lit(LATE * DAY))).alias("_comes")))
     first, last = rows.agg(F.min("_comes"), F.max("_comes")).first()
-    path, parts = scratch.folder(spark), 4
-    for i in range(parts if first is not None else 0):  # one after the other, as a stream takes files by their age
-        low, high = (first + (last + 1 - first) * k // parts for k in (i, i + 1))
-        rows.where((F.col("_comes") >= low) & (F.col("_comes") < high)).drop("_comes").write.mode("append").parquet(path)
     if first is None:
         return spark.createDataFrame([], "board long, lead long, trail long")
-    stream = spark.readStream.schema("board long, ts timestamp, toa long, kind int").option("maxFilesPerTrigger", 2).parquet(path)
+    path, out, parts = scratch.folder(spark), scratch.folder(spark), 4
     before = spark.conf.get(streams.STORE[0], None)
     streams.state_store(spark)
-    out = scratch.folder(spark)
-    pulses = streams.longest_valid_pulses(stream, "board", "ts", "toa", "kind", SHORTEST, LONGEST, f"{LATE} days")
-    pulses.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
-    spark.conf.set(streams.STORE[0], before) if before else spark.conf.unset(streams.STORE[0])
+    try:
+        for i in range(parts):  # one after the other; the stream takes a part whole, whatever its number of files: hits are late by parts only
+            low, high = (first + (last + 1 - first) * k // parts for k in (i, i + 1))
+            rows.where((F.col("_comes") >= low) & (F.col("_comes") < high)).drop("_comes").write.mode("append").parquet(path)
+            stream = spark.readStream.schema("board long, ts timestamp, toa long, kind int").parquet(path)
+            pulses = streams.longest_valid_pulses(stream, "board", "ts", "toa", "kind", SHORTEST, LONGEST, f"{LATE} days")
+            pulses.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(streams.STORE[0], before) if before else spark.conf.unset(streams.STORE[0])
     return spark.read.schema("board long, lead long, trail long").parquet(out)

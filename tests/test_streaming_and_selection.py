@@ -27,6 +27,28 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == sorted((x.board, x.lead, x.trail) for x in batch.collect())
 
 
+def test_stream_of_parts_in_several_files(spark, tmp_path):
+    """A part of many files is taken whole: none of its hits is late by another of its files."""
+    from picotick.plans import peaks
+
+    r = np.random.default_rng(8)
+    day = 86_400_000_000
+    at = np.sort(r.integers(0, 30 * day, 3000)) + 1_704_067_200_000_000
+    rows = [(i, int(t), int(u), ("view", "purchase")[k]) for i, (t, u, k) in enumerate(zip(at, r.integers(0, 20, 3000), r.integers(0, 2, 3000), strict=True))]
+    e = spark.createDataFrame(rows, "event_id long, t long, user_id long, event_type string").select("event_id", F.timestamp_micros("t").alias("ts"), "user_id", "event_type", F.lit(1.0).alias("value"))
+    e.repartition(6, F.hash("event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(64 << 20))  # a split a file
+    try:
+        got = sorted(map(tuple, peaks.stream_longest_valid(spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    hits = spark.createDataFrame([(u, t, int(k == "purchase")) for _, t, u, k in rows], "board long, t long, kind int")
+    batch = matching.longest_valid_pulses(hits, ["board"], F.col("kind"), "t", peaks.SHORTEST, peaks.LONGEST)
+    last = (int(at.max()) // 1000 - 2 * day // 1000) * 1000
+    assert got == sorted(tuple(x) for x in batch.collect() if x.trail <= last) and len(got) > 500
+
+
 def test_peak_interval_and_fit(spark):
     r = np.random.default_rng(0)
     x = np.concatenate([r.normal(100, 5, 4000), r.uniform(0, 90, 2000)])
