@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .order import by_keys, quantiles
-from .ranking import guarded_corr, spearman
+from .ranking import guarded_corr, spearmans
 from .robust import _back, finite
 
 
@@ -106,8 +106,8 @@ def duration_timing(df: DataFrame, key: str, first: str, second: str, timing: st
         F.count("*").alias("events_selected"), F.avg("t").alias("mean"), F.stddev_samp("t").alias("sigma"),
         *[guarded_corr(c, "t").alias(f"pearson_{n}") for n, c in sides.items()], *[F.regr_slope("t", c).alias(f"slope_{n}") for n, c in sides.items()]).where(F.col("events_selected") >= least)
     out = by_keys(total, plain, [key])
-    for n, c in sides.items():
-        out = by_keys(out, spearman(rows, c, "t", [key]).withColumnRenamed("spearman", f"spearman_{n}"), [key], "left")
+    ranked = spearmans(rows, list(sides.values()), "t", [key]).withColumnsRenamed({f"spearman_{c}": f"spearman_{n}" for n, c in sides.items()})
+    out = by_keys(out, ranked, [key], "left")
     plane = plane_fit(rows, "d1", "d2", "t", [key]).select(key, F.col("c").alias("plane_intercept"), F.col("a").alias("plane_first"), F.col("b").alias("plane_second"), F.col("improvement").alias("improvement_percent"))
     out = by_keys(out, plane, [key], "left").withColumn("selection_fraction", F.col("events_selected") / F.col("events_total"))
     return out.withColumn("sigma_corrected", F.col("sigma") * (1 - F.col("improvement_percent") / 100))

@@ -16,7 +16,7 @@ from .scratch import stored
 
 def _average_ranks(df: DataFrame, value: str, keys: list[str], name: str) -> DataFrame:
     """A row for each value of a group with ``name``, its 1-based rank; only distinct values are put in order."""
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_rows"))
+    counts = stored(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_rows")))  # the ranges' borders are looked for in it before it is dealt
     upto = running(counts, keys, [value], F.col("_rows"), "_upto")
     return brief(stored(upto.select(*keys, value, (F.col("_upto") - F.col("_rows") + (F.col("_rows") + 1) / 2).alias(name))))
 
@@ -33,14 +33,33 @@ def ordinal_rank(df: DataFrame, value: str, id_col: str, keys: list[str], name:
 
 def spearman(df: DataFrame, a: str, b: str, keys: list[str], id_col: str | None = None) -> DataFrame:
     """Rank correlation per group: average ranks, or ordinal ones if ``id_col`` breaks ties."""
-    given = df.select(*dict.fromkeys([*keys, a, b, *([id_col] if id_col else [])]))
-    if id_col:
-        ranked = ordinal_rank(ordinal_rank(given, a, id_col, keys, "_ra"), b, id_col, keys, "_rb")
-    else:
-        ranked = by_keys(by_keys(given, _average_ranks(given, a, keys, "_ra"), [*keys, a]), _average_ranks(given, b, keys, "_rb"), [*keys, b])
+    if not id_col:
+        return spearmans(df, [a], b, keys).withColumnRenamed(f"spearman_{a}", "spearman")
+    given = df.select(*dict.fromkeys([*keys, a, b, id_col]))
+    ranked = ordinal_rank(ordinal_rank(given, a, id_col, keys, "_ra"), b, id_col, keys, "_rb")
     return ranked.select(*keys, F.col("_ra").cast("double").alias("ra"), F.col("_rb").cast("double").alias("rb")).groupBy(*keys).agg(guarded_corr("ra", "rb").alias("spearman"))
 
 
+def spearmans(df: DataFrame, sides: list[str], b: str, keys: list[str]) -> DataFrame:
+    """``spearman_<side>`` of each side against ``b`` per group, by average ranks.
+
+    Rows meet the ranks of the sides, and are then a row for each value of b: its own rank is the same for all of them.
+    """
+    given = df.select(*dict.fromkeys([*keys, *sides, b]))
+    sizes = stored(given.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")))
+    met = by_keys(given, brief(sizes), keys, more=F.lit(True))
+    for c in sides:
+        met = by_keys(met, _average_ranks(given, c, keys, f"_r_{c}"), [*keys, c])
+    middle = (F.col("_size") + 1) / 2
+    off = {c: F.col(f"_r_{c}") - middle for c in sides}
+    sums = stored(met.groupBy(*keys, b, "_size").agg(F.count(F.lit(1)).alias("_rows"), *[F.sum(x).alias(f"_s_{c}") for c, x in off.items()], *[F.sum(x * x).alias(f"_q_{c}") for c, x in off.items()]))
+    own = F.col("_upto") - F.col("_rows") + (F.col("_rows") + 1) / 2 - middle
+    out = running(sums, keys, [b], F.col("_rows"), "_upto").withColumn("_own", own).groupBy(*keys).agg(
+        F.sum(F.col("_rows") * F.col("_own") * F.col("_own")).alias("_qb"), *[F.sum(F.col("_own") * F.col(f"_s_{c}")).alias(f"_c_{c}") for c in sides], *[F.sum(f"_q_{c}").alias(f"_q_{c}") for c in sides])
+    share = lambda c: F.try_divide(F.col(f"_c_{c}"), F.sqrt(f"_q_{c}") * F.sqrt("_qb"))
+    return out.select(*keys, *[F.when(share(c).isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), share(c)))).alias(f"spearman_{c}") for c in sides])
+
+
 def guarded_corr(a: str, b: str) -> Column:
     """Pearson's r, null for fewer than two rows or a constant side."""
     # Spark's own corr divides by zero on a constant side, and would do so before any condition around it

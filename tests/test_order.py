@@ -218,3 +218,24 @@ def test_average_ranks_put_distinct_values_in_order_only(spark):
     # the rows themselves are neither put in order nor dealt to windows
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert not [f for f in found.inputFiles() if "_place" in str(spark.read.parquet(f).columns)]
+
+
+def test_rank_correlations_shuffle_values_not_rows(spark, monkeypatch):
+    """Several sides against one: nulls and groups of one value included, and the other side is ranked once."""
+    from picotick.operators import ranking
+
+    r = np.random.default_rng(5)
+    rows = [(int(g), float(a), float(c), float(b)) for g, a, c, b in zip(r.integers(0, 3, 600), r.integers(0, 9, 600), r.normal(size=600), r.integers(0, 200, 600), strict=True)]
+    rows += [(None, 1.0, 2.0, float(i)) for i in range(5)] + [(9, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g int, a double, c double, b double")
+    ranked = []
+    plain = ranking._average_ranks
+    monkeypatch.setattr(ranking, "_average_ranks", lambda d, v, k, n: (ranked.append(v), plain(d, v, k, n))[1])
+    got = {q.g: q for q in ranking.spearmans(df, ["a", "c"], "b", ["g"]).collect()}
+    assert ranked == ["a", "c"]
+    place = lambda x: np.array([(x < v).sum() + ((x == v).sum() + 1) / 2 for v in x])
+    for g in range(3):
+        own = np.array([q[1:] for q in rows if q[0] == g])
+        for i, name in enumerate(("spearman_a", "spearman_c")):
+            assert abs(got[g][name] - np.corrcoef(place(own[:, i]), place(own[:, 2]))[0, 1]) < 1e-12
+    assert got[None].spearman_a is got[None].spearman_c is got[9].spearman_a is None and len(got) == 5
