@@ -50,6 +50,51 @@ def window_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: s
     return met.where((F.col(right_time) > F.col(left_time) - window) & (F.col(right_time) < F.col(left_time) - low))
 
 
+def _beside(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, window: int, marks: list[tuple[Column, int]]) -> tuple[DataFrame, Column, list[Column]]:
+    """Right times and marks beside each distinct left time in cells of time, and the order in a cell.
+
+    A mark is (time, 0 or 2: before or behind right times equal to it). Equal times are one row and their number, ``_c`` or ``_m``.
+    """
+    cell = lambda c: F.floor(F.col(c) / (8 * window)).cast("long") if isinstance(c, str) else F.floor(c / (8 * window)).cast("long")
+    told = lambda df, time: df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in [*keys, time]])).groupBy(*keys, F.col(time).cast("long").alias("_own"))
+    times = told(right, right_time).agg(F.count("*").alias("_c")).withColumn("_cell", F.explode(F.sequence(cell("_own"), cell(F.col("_own") + window))))
+    times = times.select(*keys, "_cell", F.col("_own").alias("_at"), F.lit(1).alias("_ord"), "_c", F.col("_own").alias("_t"), F.lit(None).cast("long").alias("_own"), F.lit(None).cast("long").alias("_m"))
+    each = F.explode(F.array(*[F.struct(at.cast("long").alias("at"), F.lit(o).alias("o")) for at, o in marks])).alias("_k")
+    own = told(left, left_time).agg(F.count("*").alias("_m")).select("*", cell("_own").alias("_cell"), each)
+    own = own.select(*keys, "_cell", F.col("_k.at").alias("_at"), F.col("_k.o").alias("_ord"), F.lit(0).cast("long").alias("_c"), F.lit(None).cast("long").alias("_t"), "_own", "_m")
+    return times.unionByName(own), Window.partitionBy(*keys, "_cell"), ["_at", "_ord"]
+
+
+def window_counts(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, window: int) -> DataFrame:
+    """What ``window_join`` pairs, counted and not made: a row for each left time that has any.
+
+    Keys, the left time, ``pairs`` (rows of equal times each) and ``latest``, the last right time in the window. Work grows with the
+    rows, however many pairs they have.
+    """
+    rows, by, order = _beside(left, right, keys, left_time, right_time, window, [(F.col("_own"), 0), (F.col("_own") - window, 2)])
+    upto = by.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = rows.withColumn("_n", F.sum("_c").over(upto)).withColumn("_last", F.last("_t", ignorenulls=True).over(upto)).where("_own is not null")
+    end, start = F.col("_ord") == 0, F.col("_ord") == 2
+    found = seen.groupBy(*keys, "_cell", "_own").agg(F.max("_m").alias("_m"), (F.max(F.when(end, F.col("_n"))) - F.max(F.when(start, F.col("_n")))).alias("_n"), F.max(F.when(end, F.col("_last"))).alias("latest"))
+    return found.where("_n > 0").select(*keys, F.col("_own").alias(left_time), (F.col("_m") * F.col("_n")).alias("pairs"), "latest")
+
+
+def nearest_in_window(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, window: int, delay: Column) -> DataFrame:
+    """For each left time the right time of its window whose distance is nearest to ``delay``, of equally near ones the latest (with a null delay: the latest).
+
+    What ``nearest_candidate`` finds among the pairs of ``window_join``, without making them.
+    """
+    at = F.least(F.col("_own") - 1, F.coalesce(F.col("_own") - F.ceil(delay), F.col("_own") - 1))
+    rows, by, order = _beside(left, right, keys, left_time, right_time, window, [(at, 2)])
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    before, after = by.orderBy(*order).rowsBetween(*so_far), by.orderBy(*[F.col(c).desc() for c in order]).rowsBetween(*so_far)
+    seen = rows.withColumn("_lo", F.last("_t", ignorenulls=True).over(before)).withColumn("_hi", F.last("_t", ignorenulls=True).over(after)).where("_own is not null")
+    lo, hi = F.when(F.col("_lo") > F.col("_own") - window, F.col("_lo")), F.when(F.col("_hi") < F.col("_own"), F.col("_hi"))
+    off = lambda t: F.abs(F.col("_own") - t - delay)
+    nearest = F.when(hi.isNull() | (off(lo) < off(hi)), lo).otherwise(hi)
+    return seen.select(*keys, F.col("_own").alias(left_time), nearest.alias(right_time)).where(F.col(right_time).isNotNull())
+
+
 def both_sides(energy: DataFrame, timing: DataFrame, keys: list[str], energies: tuple[str, str], timings: tuple[str, str], window: int) -> DataFrame:
     """Energy pairs with the timing pairs that precede them by less than ``window`` on both sides."""
     met = window_join(energy, timing, keys, energies[0], timings[0], window)

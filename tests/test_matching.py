@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -290,3 +291,17 @@ def test_ticks_beyond_doubles(spark, narrow):
     df = spark.createDataFrame(rows, "t long, kind int").repartition(3)
     got = sorted((x.lead, x.trail) for x in matching.longest_valid_pulses(df, [], F.col("kind"), "t", 2, 9).collect())
     assert got == sorted(fifo([t for t, k in rows if k == 0], [t for t, k in rows if k == 1], 2, 9)[0])
+
+
+@pytest.mark.parametrize("delay", [None, 37.5, 20.0])
+def test_windows_without_their_pairs(spark, delay):
+    """Counts and nearest ones are those of the joined pairs; equal times and null keys included."""
+    r = np.random.default_rng(11)
+    side = lambda n: [(int(k) if k else None, int(t)) for k, t in zip(r.integers(0, 4, n), r.integers(-900, 900, n), strict=True)]
+    left, right = spark.createDataFrame(side(300), "k int, a long"), spark.createDataFrame(side(500), "k int, b long")
+    pairs = matching.window_join(left, right, ["k"], "a", "b", 100)
+    counted = {(q.k, q.a): (q.pairs, q.latest) for q in matching.window_counts(left, right, ["k"], "a", "b", 100).collect()}
+    assert counted == {(q.k, q.a): (q.n, q.m) for q in pairs.groupBy("k", "a").agg(F.count("*").alias("n"), F.max("b").alias("m")).collect()} and len(counted) > 100
+    d = F.lit(delay).cast("double")
+    got = {(q.k, q.a): q.b for q in matching.nearest_in_window(left, right, ["k"], "a", "b", 100, d).collect()}
+    assert got == {(q.k, q.a): q.b for q in matching.nearest_candidate(pairs, ["k", "a"], "b", F.col("a") - F.col("b") - d).collect()}
