@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from picotick.llm import _spark, chat_format, jaccard_join, mixing, packing, quality_classifier, quality_rules, registry, url_filters, vector_dedup
-from picotick.llm._components import components
+from picotick.llm._components import Groups, components
 
 from . import brute
 
@@ -258,6 +258,47 @@ def test_jaccard(spark, seed, monkeypatch):
     assert {x.doc_id: x.n_links for x in got} == brute.jaccard_links(rows)
 
 
+def test_shared_passages_chain_no_clusters(spark, monkeypatch):
+    """Each text shares a passage with the next one: no two link, and none may be compared in a block."""
+    r, dealt, plain = random.Random(5), [], jaccard_join._dealt
+    passages = [[f"p{r.random()}" for _ in range(30)] for _ in range(301)]
+    rows = [(i, " ".join(passages[i] + [f"w{r.random()}" for _ in range(40)] + passages[i + 1])) for i in range(300)]
+    rows += [(i + 1000, rows[i][1] + " end") for i in range(0, 300, 50)]
+
+    def counted(placed, *carried):
+        dealt.append(placed.agg(F.sum("blocks")).first()[0] or 0)
+        return plain(placed, *carried)
+
+    monkeypatch.setattr(jaccard_join, "_dealt", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard_join.join(df, width=5, percent=80).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute.jaccard(rows, 5, 80)
+    assert dealt == [0, 12]
+
+
+@pytest.mark.parametrize("few", [1, 3, 32])
+def test_meetings_of_a_token(spark, few, monkeypatch):
+    """Batches may end inside the sets of a token: all pairs of fitting sizes stay, alone or in one star."""
+    monkeypatch.setattr(jaccard_join, "FEW", few)
+    r = random.Random(few)
+    size = {node: r.choice([10, 11, 12, 20, 21, 40]) for node in range(1, 60)}
+    rows = [(t, size[node], node) for t in range(9) for node in r.choices(list(size), k=2 + 5 * t)]
+    df = spark.createDataFrame(rows, "token long, n int, node long").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = jaccard_join._meetings(df, 85).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pairs = {frozenset((x.a, x.b)) for x in got if not x.star}
+    groups = Groups(60)
+    for x in got:
+        if x.star:
+            groups.join(x.a, x.b)
+    want = {frozenset((a[2], b[2])) for a in rows for b in rows if a[0] == b[0] and a[2] != b[2] and 100 * min(a[1], b[1]) >= 85 * max(a[1], b[1])}
+    assert pairs <= want
+    assert all(p in pairs or len({groups.find(i) for i in p}) == 1 for p in want)
+
+
 def test_odd_documents(spark):
     df = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (6, None)], "doc_id long, text string")
     assert Counter((x.doc_id, x.n_shingles, x.n_links, x.component_id) for x in jaccard_join.join(df).collect()) == Counter({(None, 1, 2, None): 1, (5, 1, 2, None): 2, (6, 0, 0, 6): 1})
