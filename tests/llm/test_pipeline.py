@@ -1,7 +1,8 @@
+import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline as P
-from picotick.llm import mixing
+from picotick.llm import jaccard_join, mixing
 
 from . import brute
 from .test_packing import check
@@ -64,6 +65,23 @@ def test_near_duplicates_by_five_words_and_80_percent(spark):
     assert {i for i, (_, c) in brute.jaccard([r[:2] for r in rows]).items() if i == c} == {1, 2, 3, 4}
 
 
+def test_near_duplicates_among_chained_passages(spark, monkeypatch):
+    """Texts that share a passage with the next one all stay, and only near copies travel to blocks."""
+    r, placed, plain = random.Random(6), [], jaccard_join._dealt
+    passages = [[f"p{r.random()}" for _ in range(30)] for _ in range(121)]
+    rows = [(i, " ".join(passages[i] + [f"w{r.random()}" for _ in range(40)] + passages[i + 1])) for i in range(120)]
+    rows.append((500, rows[7][1] + " end"))
+
+    def counted(members, *carried):
+        placed.append(sorted(x.node for x in members.select("node").collect()))
+        return plain(members, *carried)
+
+    monkeypatch.setattr(jaccard_join, "_dealt", counted)
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert sorted(x.doc_id for x in P.drop_near_duplicates(spark, df, SF).collect()) == list(range(120))
+    assert [len(p) for p in placed] == [0, 2]
+
+
 def test_near_duplicates_with_null_and_repeated_ids(spark):
     """Every group leaves one row, also where its least id is null or its rows repeat; groups of one id stay apart."""
     text = lambda f: " ".join(f"w{f}x{i}" for i in range(100))
